@@ -49,7 +49,7 @@ def targets(sources: DataFrame, most: float = 3.0) -> DataFrame:
     return sources.withColumn("target", goal.cast("double"))
 
 
-def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
     """Entropy balancing: add rate = exp(sum of the multipliers) to cells (families..., size), closest to 1 in
     relative entropy among those whose tokens meet every goal.
 
