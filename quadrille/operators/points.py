@@ -60,6 +60,6 @@ def min_inliers(n: Column, model: int, support: float, doubt: float, most: int =
 
 def merge_metadata(items: DataFrame) -> DataFrame:
     """key, value of (source, key, value) for the keys of the first source: '*' where sources differ or lack it."""
-    totals = items.agg(F.countDistinct("source").alias("n"), F.min("source").alias("first"))
-    g = items.crossJoin(F.broadcast(totals)).groupBy("key").agg(F.countDistinct("value").alias("v"), F.count(F.lit(1)).alias("c"), F.min("value").alias("m"), F.max("n").alias("n"), F.bool_or(F.col("source") == F.col("first")).alias("has"))
-    return g.filter("has").select("key", F.when((F.col("v") == 1) & (F.col("c") == F.col("n")), F.col("m")).otherwise("*").alias("value"))
+    n, first = items.agg(F.countDistinct("source"), F.min("source")).first()
+    g = items.groupBy("key").agg(F.countDistinct("value").alias("v"), F.count(F.lit(1)).alias("c"), F.min("value").alias("m"), F.bool_or(F.col("source") == F.lit(first)).alias("has"))
+    return g.filter("has").select("key", F.when((F.col("v") == 1) & (F.col("c") == n), F.col("m")).otherwise("*").alias("value"))
