@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,29 +77,54 @@ def fit_line_tls(points: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, "n", F.when(xx < 1e-12, 1.0).when(flat, 0.0).otherwise(xy / norm).alias("nx"), F.when(xx < 1e-12, 0.0).when(flat, 1.0).otherwise((least - xx) / norm).alias("ny"), _mean("x").alias("ax"), _mean("y").alias("ay"))
 
 
-def hypotheses(points: DataFrame, rounds: int) -> DataFrame:
-    """pair_id, h, and a similarity through two points that an integer hash of h picks; needs pt = 0..n-1 per pair."""
-    n = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("np")).filter("np >= 2")
+class Model(NamedTuple):
+    """What RANSAC needs of a model: points in a minimal sample, parameters, the fit per group, and its error column."""
+
+    size: int
+    names: tuple[str, ...]
+    fit: Callable[[DataFrame, list[str]], DataFrame]
+    error: Callable[[], Column]
+
+
+SIMILARITY_MODEL = Model(2, SIMILARITY, fit_similarity, similarity_error)
+AFFINE_MODEL = Model(3, AFFINE, fit_affine, affine_error)
+
+
+def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL) -> DataFrame:
+    """pair_id, h, and a model through points that an integer hash of h picks; needs pt = 0..n-1 per pair."""
+    np_ = F.col("np")
+    n = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("np")).filter(np_ >= model.size)
     h = n.select("pair_id", "np", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("h"))
-    first = (F.col("h") * 7919 + 13) % F.col("np")
-    second = (F.col("h") * 104729 + 71) % F.col("np")
-    second = F.when(first == second, (second + 1) % F.col("np")).otherwise(second)
-    picks = h.select("pair_id", "h", F.explode(F.array(first, second)).alias("pt"))
-    return fit_similarity(points.join(picks, ["pair_id", "pt"]), ["pair_id", "h"]).filter("a0 is not null").drop("n")
+    picked: list[Column] = []
+    for times, plus in ((7919, 13), (104729, 71), (15485863, 29))[: model.size]:
+        at = (F.col("h") * times + plus) % np_
+        for _ in picked:
+            at = F.when(F.array_contains(F.array(*picked), at), (at + 1) % np_).otherwise(at)
+        picked.append(at)
+    picks = h.select("pair_id", "h", F.explode(F.array(*picked)).alias("pt"))
+    fitted = model.fit(points.join(picks, ["pair_id", "pt"]), ["pair_id", "h"])
+    return fitted.dropna(subset=[model.names[0]]).drop("n")
 
 
-def ransac_similarity(points: DataFrame, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
-    """pair_id, h, inliers, n, a0..a3: the hypothesis with most inliers (error < factor sigma^2), refitted on them.
+def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+    """pair_id, h, inliers, n and the model: the hypothesis with most inliers (error < factor sigma^2), refitted on them.
 
     Hypotheses are rows (rounds for each pair) joined to the pair's points; inliers are summed in each task before
     they are shuffled, so what moves is one count for each hypothesis and task.
     """
-    limit = factor * sigma * sigma
-    models = hypotheses(points, rounds)
-    scored = points.join(models, "pair_id").groupBy("pair_id", "h", *SIMILARITY).agg(F.sum((similarity_error() < limit).cast("long")).alias("inliers"))
-    best = scored.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"), *SIMILARITY)).alias("b")).select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in SIMILARITY])
-    kept = points.join(best, "pair_id").filter(similarity_error() < limit).select("pair_id", "h", "inliers", "x", "y", "x2", "y2")
-    return fit_similarity(kept, ["pair_id", "h", "inliers"])
+    limit, names = factor * sigma * sigma, model.names
+    scored = points.join(hypotheses(points, rounds, model), "pair_id").groupBy("pair_id", "h", *names).agg(F.sum((model.error() < limit).cast("long")).alias("inliers"))
+    best = scored.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"), *names)).alias("b")).select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
+    kept = points.join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", "x", "y", "x2", "y2")
+    return model.fit(kept, ["pair_id", "h", "inliers"])
+
+
+def ransac_similarity(points: DataFrame, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+    return ransac(points, SIMILARITY_MODEL, rounds, sigma, factor)
+
+
+def ransac_affine(points: DataFrame, rounds: int = 32, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+    return ransac(points, AFFINE_MODEL, rounds, sigma, factor)
 
 
 def robust_weights(rows: DataFrame, partition: str, residual: str, scale: float = 1.0, share: float = 0.5, p: float = 0.8) -> DataFrame:

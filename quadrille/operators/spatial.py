@@ -44,6 +44,15 @@ def lookup_elevation(points: DataFrame, dem: DataFrame, default: float) -> DataF
     return at.join(dem.select("row", "col", F.col("value").alias("hgt")), ["row", "col"], "left").withColumn("hgt", F.coalesce("hgt", F.lit(default))).drop("row", "col")
 
 
+def interpolate_elevation(points: DataFrame, keys: list[str], dem: DataFrame, default: float) -> DataFrame:
+    """keys, hgt of points (x, y): the four heights around weighted by nearness, missing ones left out; else the default."""
+    fx, fy = F.col("x") - F.floor("x"), F.col("y") - F.floor("y")
+    cells = [F.struct((F.floor("y") + j).alias("row"), (F.floor("x") + i).alias("col"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)]
+    met = points.select(*keys, F.inline(F.array(*cells))).join(dem.select("row", "col", "value"), ["row", "col"], "left")
+    weight = F.sum(F.when(F.col("value").isNotNull(), F.col("w")))
+    return met.groupBy(*keys).agg(F.coalesce(F.sum(F.col("w") * F.col("value")) / F.nullif(weight, F.lit(0.0)), F.lit(default)).alias("hgt"))
+
+
 def control_grid(scenes: DataFrame, levels: int, lines: int, samples: int) -> DataFrame:
     """Lattice of each scene (scene_id, ulx, uly, w, h, zmin, zmax): scene_id, level, line, sample, x, y, z."""
     def norm(i, n):

@@ -24,6 +24,19 @@ def warp_bilinear(px: DataFrame, target: DataFrame, sx: Column, sy: Column) -> D
     return met.groupBy("image_id", "band", "row", "col").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(total, F.lit(0.0))).alias("value"))
 
 
+def warp_average(px: DataFrame, trow: Column, tcol: Column) -> DataFrame:
+    """Means of the source cells that fall into each target cell (floor of trow, tcol); nulls are left out."""
+    at = px.filter("value is not null").select("image_id", "band", F.floor(trow).alias("trow"), F.floor(tcol).alias("tcol"), "value")
+    return at.groupBy("image_id", "band", F.col("trow").alias("row"), F.col("tcol").alias("col")).agg(F.avg("value").alias("value"))
+
+
+def warp_mode(px: DataFrame, trow: Column, tcol: Column) -> DataFrame:
+    """As warp_average, with the most frequent value; the lower one on a tie."""
+    at = px.filter("value is not null").select("image_id", "band", F.floor(trow).alias("row"), F.floor(tcol).alias("col"), "value")
+    counts = at.groupBy("image_id", "band", "row", "col", "value").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("image_id", "band", "row", "col").agg(F.min(F.struct((-F.col("c")).alias("c"), "value"))["value"].alias("value"))
+
+
 def cutline_clip(px: DataFrame, polygons: DataFrame) -> DataFrame:
     """Cells whose centre (col, row) is inside any polygon (poly_id, points array of x, y), by even-odd crossings.
 
