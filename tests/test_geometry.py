@@ -23,7 +23,7 @@ def normal(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
