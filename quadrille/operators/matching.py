@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +61,23 @@ def match_groups(left: DataFrame, right: DataFrame, keys: list[str], group: str,
     g = p.groupBy(*keys, group, f"r_{group}").agg(F.min("d").alias("d"))
     best = g.groupBy(*keys, group).agg(F.min(F.struct("d", F.col(f"r_{group}").alias("m"))).alias("b"))
     return best.filter(F.col("b.d") < limit).select(*keys, group, F.col("b.m").alias("match_group"), F.col("b.d").alias("d"))
+
+
+def knn_approx(left: DataFrame, right: DataFrame, keys: list[str], k: int, width: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
+    """keys, kp_id, rank, match_id, d: the k nearest right points among those that share a bucket in any of `tables`
+    random projections; exact distances rank them. Wider buckets and more tables find more of the true neighbours.
+
+    Both sides meet by (keys, table, bucket), so pairs of other keys are never formed.
+    """
+    size = left.select(F.size("descr")).first()
+    directions = np.random.default_rng(seed).normal(size=(tables, size[0] if size else 1))
+    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+
+    def buckets(s: DataFrame) -> DataFrame:
+        spots = [F.struct(F.lit(t).alias("table"), F.floor(dot(F.col("descr"), F.array(*map(F.lit, d.tolist()))) / width).alias("bucket")) for t, d in enumerate(directions)]
+        return s.select(*keys, "kp_id", "descr", F.inline(F.array(*spots)))
+
+    right = buckets(right).select(*keys, "table", "bucket", F.col("kp_id").alias("match_id"), F.col("descr").alias("r_descr"))
+    met = buckets(left).join(right, [*keys, "table", "bucket"]).select(*keys, "kp_id", "match_id", distance(F.col("descr"), F.col("r_descr")).alias("d")).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys, "kp_id").orderBy("d", "match_id")).cast("long")
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
