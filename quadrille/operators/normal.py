@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadrille.operators.steps import cut
+
 
 def normal_sums(rows: DataFrame, keys: list[str], equations: list[tuple[list[Column | None], Column]], weight: Column | None = None) -> DataFrame:
     """keys, n, and the sums a_i_j (i <= j) and b_i of each row's equations: coefficients (None is 0), right side."""
@@ -126,5 +128,6 @@ def refine_homography(points: DataFrame, start: DataFrame, keys: list[str], loop
     for _ in range(loops):
         e = homography_error()
         weighed = points.join(model, keys).withColumn("w", wide / (e * e + wide)).select(*keys, "x", "y", "x2", "y2", "w")
-        model = fit_homography(weighed, keys, F.col("w")).select(*keys, *HOMOGRAPHY)
+        # a fit reads its points twice: without the cut each loop would repeat all before it
+        model = cut(fit_homography(cut(weighed), keys, F.col("w")).select(*keys, *HOMOGRAPHY))
     return points.join(model, keys).groupBy(*keys, *HOMOGRAPHY).agg(F.count(F.lit(1)).alias("n"), F.sum((homography_error() < limit).cast("long")).alias("fitted"))

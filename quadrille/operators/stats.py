@@ -47,11 +47,14 @@ def pca_transform(rows: DataFrame, vector: str, model: dict, k: int) -> DataFram
 
 def pca_inverse(rows: DataFrame, principals: str, model: dict) -> DataFrame:
     """Add restored: the vectors that the first principal values stand for."""
-    parts = []
-    for i, mean in enumerate(model["mean"].tolist()):
-        terms = F.zip_with(principals, F.array(*map(F.lit, model["vectors"][:, i].tolist())), lambda a, w: F.coalesce(a, F.lit(0.0)) * w)
-        parts.append(F.aggregate(terms, F.lit(mean), lambda s, x: s + x))
-    return rows.withColumn("restored", F.array(*parts))
+    vectors, mean = model["vectors"], model["mean"]
+
+    @F.pandas_udf("array<double>")
+    def back(p: pd.Series) -> pd.Series:
+        m = np.stack(p.to_numpy()) if len(p) else np.zeros((0, len(vectors)))
+        return pd.Series(list(m @ vectors[: m.shape[1]] + mean))
+
+    return rows.withColumn("restored", back(principals))
 
 
 def pca_checks(rows: DataFrame, vector: str, model: dict) -> dict[str, float]:

@@ -59,7 +59,9 @@ def ncc_match(templates: DataFrame, searches: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame([[t[key].iloc[0], r + s["row"].min(), c + s["col"].min(), score[r, c]]], columns=names)
 
     kind = templates.schema[key].dataType.simpleString()
-    return templates.groupBy(key).cogroup(searches.groupBy(key)).applyInPandas(run, f"{key} {kind}, row long, col long, score double")
+    # fresh columns: both sides may stem from one table
+    left, right = (t.select(*[F.col(c).alias(c) for c in (key, "row", "col", "value")]) for t in (templates, searches))
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, f"{key} {kind}, row long, col long, score double")
 
 
 def tiled(px: DataFrame, size: int, margin: int) -> DataFrame:
