@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -337,3 +338,18 @@ def test_gradients_match_differences():
         down = loss()
         model.w[k][at] = old
         assert abs((up - down) / 0.02 - grads[k][at]) < 0.02 * abs(grads[k][at]) + 1e-4
+
+
+def test_emails_and_addresses_are_linear_and_equal_the_patterns():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    draw = random.Random(4)
+    for _ in range(20_000):
+        t = "".join(draw.choices("ab1.@_- é+", k=draw.randint(0, 30)))
+        assert list(pii.emails(t)) == [m.span() for m in email.finditer(t)], t
+        t = "".join(draw.choices("019. ", k=draw.randint(0, 30)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in ip.finditer(t)], t
+    began = time.time()
+    for t in ("a" * 300_000 + " @", "9" * 300_000, "a@" * 150_000, "a.b" * 100_000 + "@"):
+        pii.base_spans(t)
+    assert time.time() - began < 20
