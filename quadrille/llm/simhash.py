@@ -183,12 +183,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = rows.count()
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")))
     roots = components(links(fps.select("fp"), n, budget))
-    linked = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
-    linked = cut(linked)
-    tops = linked.filter("fp <> root").select("root").distinct()
-    inside = linked.join(tops, "root")
-    least = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = cut(inside.join(least, "root").select("fp", "size", "component_id").union(linked.join(tops, "root", "left_anti").select("fp", "size", F.col("least").alias("component_id"))))
+    linked = cut(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", "size", "root"))
+    inside = linked.filter("root is not null")
+    tops = cut(inside.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    met = join_groups(inside, tops, "root", "members", n).select("fp", "size", "component_id")
+    classes = cut(met.union(linked.filter("root is null").select("fp", "size", F.col("least").alias("component_id"))))
     return join_groups(rows, classes, "fp", "size", n).select("doc_id", "fp", "component_id")
 
 
