@@ -7,6 +7,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from quadrille.llm.common import MULTIPLIER, WordHash, bloom, bloom_bits, cut, e
 WINDOW, GRAM = 50, 12
 #: A super-k-mer ends after so many windows, so that text of one word repeated makes no giant.
 LONGEST = 64
+#: A minimiser with more different super-k-mers than this is hot: its windows are dealt to several buckets.
+HOT = 20_000
+#: A table of hot minimisers is broadcast up to so many rows (16 bytes each); a shuffle join takes it beyond.
+SMALL = 100_000
 #: Odd multipliers of the rolling hashes.
 MULTIPLIERS = (MULTIPLIER, 0xC2B2AE3D27D4EB4F)
 RUN = "doc_id long, th long, start int, n int, mini long, x1 long, x2 long"
@@ -105,11 +110,12 @@ def _runs(batches, pack: bool, window: int, gram: int):
 
 
 def bucket_rows(rows: list[tuple], window: int = WINDOW):
-    """One minimiser's super-k-mers (x1, x2, least id, most id, words): sort all their windows, so that equal ones
-    meet; yield (x1, x2, offset, windows, least id) for each stretch of windows that more than one id holds."""
-    kmers: dict[tuple[int, int], list] = {}
-    for a, c, least, most, words in rows:
-        got = kmers.setdefault((a, c), [least, most, words])
+    """One bucket's super-k-mers (x1, x2, first, least id, most id, words), words from window `first` of it on: sort
+    all their windows, so that equal ones meet; yield (x1, x2, offset, windows, least id) for each stretch of windows
+    that more than one id holds."""
+    kmers: dict[tuple[int, int, int], list] = {}
+    for a, c, off, least, most, words in rows:
+        got = kmers.setdefault((a, c, off), [least, most, words])
         got[0], got[1] = min(got[0], least), max(got[1], most)
     if len(kmers) == 1 and next(iter(kmers.values()))[0] == next(iter(kmers.values()))[1]:
         return
@@ -125,21 +131,43 @@ def bucket_rows(rows: list[tuple], window: int = WINDOW):
         if w != at:
             at, first = w, least
         found.setdefault(i, []).append((j, first))
-    for i, ((a, c), (_, most, _)) in enumerate(kmers.items()):
+    for i, ((a, c, off), (_, most, _)) in enumerate(kmers.items()):
         run = None
         for j, d in sorted(found[i]):
-            if run and run[0] + run[1] == j and run[2] == d:
+            if run and run[0] + run[1] == off + j and run[2] == d:
                 run[1] += 1
                 continue
             if run and run[2] < most:
                 yield a, c, *run
-            run = [j, 1, d]
+            run = [off + j, 1, d]
         if run[2] < most:
             yield a, c, *run
 
 
+def _dealt(batches, window: int):
+    """Rows of hot minimisers (`parts` > 1) become one row for each window, in a bucket that its hash picks."""
+    names = ["mini", "bucket", "x1", "x2", "first", "least", "most", "words"]
+    types = (*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 2, pa.binary())
+    for b in batches:
+        parts = b.column("parts").to_numpy()
+        cold = b.filter(pa.array(parts == 1))
+        zero = np.zeros(cold.num_rows, np.int64)
+        yield pa.RecordBatch.from_arrays([cold.column("mini"), pa.array(zero), cold.column("x1"), cold.column("x2"), pa.array(zero.astype(np.int32)), *[cold.column(c) for c in names[5:]]], names=names)
+        out = []
+        for r in b.filter(pa.array(parts > 1)).to_pylist():
+            words = r["words"].split(b" ")
+            for j in range(len(words) - window + 1):
+                w = b" ".join(words[j : j + window])
+                out.append((r["mini"], xxhash.xxh64_intdigest(w) % r["parts"], r["x1"], r["x2"], j, r["least"], r["most"], w))
+            if len(out) > 5_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
 def _buckets(batches, window: int):
-    """Rows come sorted by minimiser; each one's are worked off as they end."""
+    """Rows come sorted by minimiser and bucket; each one's are worked off as they end."""
     held, at, out = [], None, []
 
     def batch():
@@ -150,11 +178,11 @@ def _buckets(batches, window: int):
         return done
 
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("x1", "x2", "least", "most", "words")]
-        for mini, *row in zip(b.column("mini").to_pylist(), *cols, strict=True):
-            if mini != at:
+        cols = [b.column(c).to_pylist() for c in ("x1", "x2", "first", "least", "most", "words")]
+        for *key, row in zip(b.column("mini").to_pylist(), b.column("bucket").to_pylist(), zip(*cols, strict=True), strict=True):
+            if key != at:
                 out.extend(bucket_rows(held, window))
-                held, at = [], mini
+                held, at = [], key
             held.append(row)
         if len(out) > 20_000:
             yield batch()
@@ -163,23 +191,41 @@ def _buckets(batches, window: int):
         yield batch()
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def hot_minimisers(runs: DataFrame, shared: DataFrame, hot: int) -> DataFrame | None:
+    """(mini, parts) of those with more than `hot` different super-k-mers, with the buckets they need; None if none."""
+    many = shared.filter(F.col("c") > hot).select("mini")
+    few = many.count()
+    if not few:
+        return None
+    different = runs.join(F.broadcast(many) if few <= SMALL else many, "mini").select("mini", "x1", "x2").distinct().groupBy("mini").agg(F.count(F.lit(1)).alias("d"))
+    parts = cut(different.filter(F.col("d") > hot).select("mini", (F.ceil(F.col("d") / hot) * 8).cast("long").alias("parts")))
+    few = parts.count()
+    return (F.broadcast(parts) if few <= SMALL else parts) if few else None
+
+
+def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, th, ranges): the word ranges, ends exclusive, of windows that also start in a smaller doc_id.
 
     docs: doc_id long, text, th (a hash of the text, so that rows that repeat an id stay apart).
     1. Every text is cut to super-k-mers; only minimisers that more than one document has can hold a repeat, and
        a Bloom filter over them (of bounded size) lets just those super-k-mers travel.
     2. They go to their minimiser's bucket as one packed string each, equal ones of a task once, and are sorted.
+       Of minimisers with more than `hot` different super-k-mers (say, of a huge group of near copies) the windows
+       go each to one of several buckets by its hash: equal windows still meet, and no bucket outgrows a task.
     3. What the buckets find is joined to the places where each super-k-mer stands.
     """
     usable = docs.filter("doc_id is not null and text is not null")
     runs = stored(usable.mapInArrow(lambda it: _runs(it, False, window, gram), RUN))
-    shared = runs.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("mini")
-    shared = cut(shared)
+    met = runs.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("c"))
+    shared = cut(met.filter("a < b").select("mini", "c"))
     bits = bloom_bits(shared.count())
     filter_ = cut(bloom(shared, "mini", bits))
     packed = usable.select("doc_id", "text").mapInArrow(lambda it: _runs(it, True, window, gram), "x1 long, x2 long, mini long, least long, most long, words binary")
-    dealt = probe(packed, "mini", filter_, bits, "maybe").filter("maybe").drop("maybe").repartition("mini").sortWithinPartitions("mini")
+    travels = probe(packed, "mini", filter_, bits, "maybe").filter("maybe").drop("maybe")
+    parts = hot_minimisers(runs, shared, hot)
+    travels = travels.withColumn("parts", F.lit(1).cast("long")) if parts is None else travels.join(parts, "mini", "left").fillna(1, ["parts"])
+    keys = ["mini", "bucket"]
+    dealt = travels.mapInArrow(lambda it: _dealt(it, window), "mini long, bucket long, x1 long, x2 long, first int, least long, most long, words binary").repartition(*keys).sortWithinPartitions(*keys)
     found = dealt.mapInArrow(lambda it: _buckets(it, window), "x1 long, x2 long, off int, wins int, least long")
     places = probe(runs, "mini", filter_, bits, "maybe").filter("maybe").select("doc_id", "th", "start", "x1", "x2")
     hits = places.join(found, ["x1", "x2"]).filter("doc_id > least")
@@ -187,7 +233,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     return hits.select("doc_id", "th", span.alias("r")).groupBy("doc_id", "th").agg(F.collect_list("r").alias("ranges"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by a space), kept_sha256.
 
     A word goes if a window of `window` words that covers it has the same words as one that starts in a document
@@ -196,7 +242,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     removes nor loses words. Other columns are not looked at. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    ranges = repeated_ranges(rows, window, gram)
+    ranges = repeated_ranges(rows, window, gram, hot)
 
     def finish(batches):
         for b in pieces(batches, 8_000_000):

@@ -116,7 +116,7 @@ def test_targets_stop_at_three_times(spark):
     assert got["a"] == 30 and abs(got["b"] - 1970 / 3) < 1e-6 and abs(got["c"] - 2 * 1970 / 3) < 1e-6
 
 
-def test_substring(docs, none, corpus):
+def brute_repeats(corpus):
     first = {}
     for row in corpus:
         w = split(row[1])
@@ -132,11 +132,34 @@ def test_substring(docs, none, corpus):
                 gone[k : k + 50] = [True] * 50
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         want.append((row[0], len(w), sum(gone), kept, hashlib.sha256(kept.encode()).hexdigest()))
+    return want
+
+
+def test_substring(docs, none, corpus):
+    want = brute_repeats(corpus)
     got = [tuple(r) for r in substring.without_repeats(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and any(w[2] for w in want)
     assert substring.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_substring_of_near_copies(spark, monkeypatch, hot):
+    """One passage in many documents, each with a word of its own: its minimisers have many different runs."""
+    r = random.Random(5)
+    passage = [f"w{r.randrange(400)}" for _ in range(130)]
+    rows = []
+    for i in range(60):
+        w = list(passage)
+        w[r.randrange(130)] = f"own{r.randrange(20)}"
+        rows.append((i, " ".join([f"a{i}"] * r.randrange(3) + w)))
+    parts = []
+    chosen = substring.hot_minimisers
+    monkeypatch.setattr(substring, "hot_minimisers", lambda *a: parts.append(chosen(*a)) or parts[-1])
+    got = [tuple(x) for x in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()]
+    assert sorted(got) == sorted(brute_repeats(rows)) and sum(x[2] for x in got) > 2000
+    assert (parts[0] is not None) == (hot == 3)
+
+
 def brute_fingerprint(text):
     w = [x for x in (text or "").encode().lower().split()]
     if not w:
