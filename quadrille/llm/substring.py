@@ -7,8 +7,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import MULTIPLIER, WordHash, bloom, bloom_bits, cut, encoded, mixed, pieces, probe, stored
@@ -144,26 +143,18 @@ def bucket_rows(rows: list[tuple], window: int = WINDOW):
             yield a, c, *run
 
 
-def _dealt(batches, window: int):
-    """Rows of hot minimisers (`parts` > 1) become one row for each window, in a bucket that its hash picks."""
-    names = ["mini", "bucket", "x1", "x2", "first", "least", "most", "words"]
-    types = (*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 2, pa.binary())
-    for b in batches:
-        parts = b.column("parts").to_numpy()
-        cold = b.filter(pa.array(parts == 1))
-        zero = np.zeros(cold.num_rows, np.int64)
-        yield pa.RecordBatch.from_arrays([cold.column("mini"), pa.array(zero), cold.column("x1"), cold.column("x2"), pa.array(zero.astype(np.int32)), *[cold.column(c) for c in names[5:]]], names=names)
-        out = []
-        for r in b.filter(pa.array(parts > 1)).to_pylist():
-            words = r["words"].split(b" ")
-            for j in range(len(words) - window + 1):
-                w = b" ".join(words[j : j + window])
-                out.append((r["mini"], xxhash.xxh64_intdigest(w) % r["parts"], r["x1"], r["x2"], j, r["least"], r["most"], w))
-            if len(out) > 5_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+def dealt_windows(travels: DataFrame, parts: DataFrame, window: int) -> DataFrame:
+    """Rows of the minimisers in `parts` become one row for each window, in a bucket that its hash picks."""
+    words = F.split(F.col("words").cast("string"), " ")
+    kind = "struct<bucket:bigint,first:int,words:binary>"
+
+    def one(j: Column) -> Column:
+        w = F.array_join(F.slice(words, j + 1, window), " ")
+        return F.struct(F.pmod(F.xxhash64(w), "parts").alias("bucket"), j.cast("int").alias("first"), w.cast("binary").alias("words")).cast(kind)
+
+    whole = F.array(F.struct(F.lit(0).alias("bucket"), F.lit(0).alias("first"), "words").cast(kind))
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - window), one)
+    return travels.join(parts, "mini", "left").select("mini", "x1", "x2", "least", "most", F.inline(F.when(F.col("parts").isNull(), whole).otherwise(windows)))
 
 
 def _buckets(batches, window: int):
@@ -223,9 +214,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     packed = usable.select("doc_id", "text").mapInArrow(lambda it: _runs(it, True, window, gram), "x1 long, x2 long, mini long, least long, most long, words binary")
     travels = probe(packed, "mini", filter_, bits, "maybe").filter("maybe").drop("maybe")
     parts = hot_minimisers(runs, shared, hot)
-    travels = travels.withColumn("parts", F.lit(1).cast("long")) if parts is None else travels.join(parts, "mini", "left").fillna(1, ["parts"])
+    travels = travels.withColumns({"bucket": F.lit(0).cast("long"), "first": F.lit(0)}) if parts is None else dealt_windows(travels, parts, window)
     keys = ["mini", "bucket"]
-    dealt = travels.mapInArrow(lambda it: _dealt(it, window), "mini long, bucket long, x1 long, x2 long, first int, least long, most long, words binary").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = travels.repartition(*keys).sortWithinPartitions(*keys)
     found = dealt.mapInArrow(lambda it: _buckets(it, window), "x1 long, x2 long, off int, wins int, least long")
     places = probe(runs, "mini", filter_, bits, "maybe").filter("maybe").select("doc_id", "th", "start", "x1", "x2")
     hits = places.join(found, ["x1", "x2"]).filter("doc_id > least")
