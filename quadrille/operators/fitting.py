@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.normal import HOMOGRAPHY, fit_homography, homography_error
+
 SIMILARITY = ("a0", "a1", "a2", "a3")
 AFFINE = ("m0", "m1", "m2", "m3", "m4", "m5")
 
@@ -77,6 +79,10 @@ def fit_line_tls(points: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, "n", F.when(xx < 1e-12, 1.0).when(flat, 0.0).otherwise(xy / norm).alias("nx"), F.when(xx < 1e-12, 0.0).when(flat, 1.0).otherwise((least - xx) / norm).alias("ny"), _mean("x").alias("ax"), _mean("y").alias("ay"))
 
 
+def line_error() -> Column:
+    return F.abs(F.col("nx") * (F.col("x") - F.col("ax")) + F.col("ny") * (F.col("y") - F.col("ay")))
+
+
 class Model(NamedTuple):
     """What RANSAC needs of a model: points in a minimal sample, parameters, the fit per group, and its error column."""
 
@@ -88,6 +94,8 @@ class Model(NamedTuple):
 
 SIMILARITY_MODEL = Model(2, SIMILARITY, fit_similarity, similarity_error)
 AFFINE_MODEL = Model(3, AFFINE, fit_affine, affine_error)
+LINE_MODEL = Model(2, ("nx", "ny", "ax", "ay"), fit_line_tls, line_error)
+HOMOGRAPHY_MODEL = Model(4, tuple(HOMOGRAPHY), fit_homography, homography_error)
 
 
 def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL) -> DataFrame:
@@ -96,7 +104,7 @@ def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL)
     n = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("np")).filter(np_ >= model.size)
     h = n.select("pair_id", "np", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("h"))
     picked: list[Column] = []
-    for times, plus in ((7919, 13), (104729, 71), (15485863, 29))[: model.size]:
+    for times, plus in ((7919, 13), (104729, 71), (15485863, 29), (32452843, 53))[: model.size]:
         at = (F.col("h") * times + plus) % np_
         for _ in picked:
             at = F.when(F.array_contains(F.array(*picked), at), (at + 1) % np_).otherwise(at)
@@ -115,7 +123,7 @@ def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5
     limit, names = factor * sigma * sigma, model.names
     scored = points.join(hypotheses(points, rounds, model), "pair_id").groupBy("pair_id", "h", *names).agg(F.sum((model.error() < limit).cast("long")).alias("inliers"))
     best = scored.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"), *names)).alias("b")).select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
-    kept = points.join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", "x", "y", "x2", "y2")
+    kept = points.join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", *[c for c in ("x", "y", "x2", "y2") if c in points.columns])
     return model.fit(kept, ["pair_id", "h", "inliers"])
 
 
@@ -127,6 +135,15 @@ def ransac_affine(points: DataFrame, rounds: int = 32, sigma: float = 0.5, facto
     return ransac(points, AFFINE_MODEL, rounds, sigma, factor)
 
 
+def ransac_line(points: DataFrame, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+    """As ransac, of the orthogonal line through pair_id, pt, x, y."""
+    return ransac(points, LINE_MODEL, rounds, sigma, factor)
+
+
+def ransac_homography(points: DataFrame, rounds: int = 32, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+    return ransac(points, HOMOGRAPHY_MODEL, rounds, sigma, factor)
+
+
 def robust_weights(rows: DataFrame, partition: str, residual: str, scale: float = 1.0, share: float = 0.5, p: float = 0.8) -> DataFrame:
     """Add w_pnorm, w_tukey, w_fair, w_logistic, w_trimmed and w_uniform of a residual."""
     r = F.col(residual) / scale

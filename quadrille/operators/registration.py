@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.normal import matrices, normal_sums
+from quadrille.operators.steps import cut
 
 XYZ = ("x", "y", "z")
 
@@ -106,3 +107,53 @@ def icp(points: DataFrame, master: DataFrame, radius: float, weight: Callable[[C
             break
         last, at = at, motion @ at
     return at
+
+
+def shrunk(n: Column, mu: float, p: float, steps: int = 3) -> Column:
+    """The factor by which a residual of length n shrinks under the penalty |z|^p + mu / 2 |z - residual|^2.
+
+    0 up to the threshold of the p-norm (1 / mu for p = 1), else `steps` fixed-point steps from the middle.
+    """
+    base = (2 / mu * (1 - p)) ** (1 / (2 - p))
+    threshold = base + p / mu * base ** (p - 1)
+    s = (base / n + 1) / 2
+    for _ in range(steps):
+        s = 1 - p / mu * F.pow(n, F.lit(p - 2)) * F.pow(s, F.lit(p - 1))
+    return F.when(n > threshold, s).otherwise(0.0)
+
+
+def icp_sparse(points: DataFrame, master: DataFrame, radius: float, p: float = 1.0, mu: float = 10.0, alpha: float = 1.2, most_mu: float = 1e5, rounds: int = 100, outer: int = 100, penalty: bool = False, tolerance: float = 1e-5) -> np.ndarray:
+    """As icp to points, in the p-norm of the residuals (p <= 1), so that outliers hardly count.
+
+    After each search for partners, steps of the alternating direction method run: residuals shrink, one weighted
+    sum gives the motion, and multipliers (cx, cy, cz, kept as columns of each point) take up the rest; penalty
+    leaves them at 0. mu grows by alpha up to most_mu. Each step cuts its rows to the shared folder.
+    """
+    at = np.eye(4)
+
+    def norm(cols: list[Column]) -> Column:
+        return F.sqrt(sum((c * c for c in cols[1:]), cols[0] * cols[0]))
+
+    for _ in range(rounds):
+        before, now = at, mu
+        near = nearest_3d(moved(points, at), master, radius)
+        state = cut(near.select(*XYZ, *[F.col(f"m_{c}").alias(f"q{c}") for c in XYZ], *[F.lit(0.0).alias(f"c{c}") for c in XYZ]))
+        for _ in range(outer):
+            gap = [F.col(c) - F.col(f"q{c}") + F.col(f"c{c}") / now for c in XYZ]
+            pairs = state.withColumn("__s", shrunk(norm(gap), now, p)).withColumns({f"z{c}": F.coalesce("__s", F.lit(0.0)) * g for c, g in zip(XYZ, gap, strict=True)})
+            pairs = pairs.withColumns({"w": F.lit(1.0), **{f"m_{c}": F.col(f"q{c}") + F.col(f"z{c}") - F.col(f"c{c}") / now for c in XYZ}})
+            motion = _to_points(pairs)
+            if motion is None:
+                return at
+            old = pairs.select("*", *[F.col(c).alias(f"o{c}") for c in XYZ])
+            left = moved(old, motion).withColumns({f"r{c}": F.col(c) - F.col(f"q{c}") - F.col(f"z{c}") for c in XYZ})
+            primal, dual = norm([F.col(f"r{c}") for c in XYZ]), norm([F.col(c) - F.col(f"o{c}") for c in XYZ])
+            kept = [F.col(f"c{c}") if penalty else (F.col(f"c{c}") + now * F.col(f"r{c}")).alias(f"c{c}") for c in XYZ]
+            state = cut(left.select(*XYZ, *[f"q{c}" for c in XYZ], *kept, primal.alias("primal"), dual.alias("dual")))
+            at, now = motion @ at, now * alpha if now < most_mu else now
+            off = state.agg(F.max("primal"), F.max("dual")).first()
+            if max(off) < tolerance:
+                break
+        if np.abs(at - before).max() < tolerance:
+            break
+    return at

@@ -41,6 +41,14 @@ def icp_point_to_plane(spark, sf):
     return _registered(spark, sf, True)
 
 
+@query("icp_sparse", CLOUD_SQL)
+def icp_sparse(spark, sf):
+    cloud = _cloud(spark, sf)
+    points = _turned(cloud)
+    motion = registration.icp_sparse(points, cloud, 0.5, rounds=5, outer=8)
+    return registration.moved(points, motion).select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
+
+
 def _affine(p):
     x, y = F.col("x"), F.col("y")
     bend = p["k"] * 1e-6 * (x * x + y * y) if "k" in p else F.lit(0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrille.operators import fitting, lines, normal, projection, spatial, warp
+from quadrille.operators import fitting, line_matching, lines, normal, projection, spatial, warp
 from quadrille.plans.fit_queries import rounded
 from quadrille.plans.registry import query, table
 from quadrille.plans.views import A0, A1, A2, A3, DESCR_SQL, PIXEL_SQL, TIE_SQL, descriptors, pixels, tie_points
@@ -148,3 +148,46 @@ def warp_mode(spark, sf):
 def interpolate_elevation(spark, sf):
     dem = pixels(spark, sf).filter("image_id = 0")
     return spatial.interpolate_elevation(tie_points(spark, sf), ["pair_id", "pt"], dem, -9.0).select("pair_id", "pt", (F.round("hgt", 5) + 0.0).alias("hgt"))
+
+
+@query("ransac_line", f"WITH {TIE_SQL}, f AS (SELECT pair_id, count(*) AS n, avg(x) AS ax FROM tie WHERE abs(x2 - {A0}*x - {A1}*y - {A2}) < 1 GROUP BY 1) SELECT pair_id, CAST(n AS BIGINT) AS inliers, round(1 / sqrt(5::DOUBLE), 4) AS nx, round(-2 / sqrt(5::DOUBLE), 4) AS ny, round(ax, 4) AS ax, round(ax / 2 + 3, 4) AS ay FROM f")
+def ransac_line(spark, sf):
+    t = tie_points(spark, sf)
+    moved = F.abs(F.col("x2") - A0 * F.col("x") - A1 * F.col("y") - A2) >= 1
+    on = t.select("pair_id", "pt", "x", (F.col("x") / 2 + 3 + F.when(moved, 500.0).otherwise(0.0)).alias("y"))
+    return fitting.ransac_line(on).select("pair_id", "inliers", *rounded("nx", "ny", "ax", "ay"))
+
+
+@query("ransac_homography", f"WITH {TIE_SQL} SELECT pair_id, CAST(count(*) AS BIGINT) AS inliers, " + ", ".join(f"{v} + 0.0::DOUBLE AS h{i}" for i, v in enumerate(H)) + f" FROM tie WHERE abs(x2 - {A0}*x - {A1}*y - {A2}) < 1 GROUP BY 1")
+def ransac_homography(spark, sf):
+    w = _warped(spark, sf)
+    moved = w.withColumn("x2", F.when(F.col("out"), F.col("x2") + 400).otherwise(F.col("x2"))).drop("out")
+    return fitting.ransac_homography(moved).select("pair_id", "inliers", *rounded(*normal.HOMOGRAPHY, digits=6))
+
+
+def _sides(spark, sf):
+    """Both images' segments, in groups of 12 neighbouring ids, in polar form."""
+    s = segments(spark, sf).withColumn("block", F.floor(F.col("line_id") / 12))
+    left = s.select("pair_id", "block", "line_id", "ax", "ay", "bx", "by")
+    right = s.select("pair_id", "block", "line_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
+    return left, right
+
+
+@query("spectral_match")
+def spectral_match(spark, sf):
+    """Candidates are each line's own partner and those of the next two ids."""
+    ends = ("ax", "ay", "bx", "by", "theta", "rho")
+    left, right = (lines.polar(t).select("pair_id", "block", F.col("line_id").alias(f"{n}_id"), F.struct(*ends).alias(n[0])) for t, n in zip(_sides(spark, sf), ("left", "right"), strict=True))
+    near = left.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("right_id", F.col("left_id") + F.col("step"))
+    nodes = near.join(right, ["pair_id", "block", "right_id"]).withColumn("node", F.col("left_id") * 3 + F.col("step"))
+    got = line_matching.spectral_match(nodes, ["pair_id", "block"], rounds=15)
+    return got.select("pair_id", "block", "left_id", "right_id", F.round("score", 4).alias("score"))
+
+
+@query("em_line_registration")
+def em_line_registration(spark, sf):
+    left, right = _sides(spark, sf)
+    keys = ["pair_id", "block"]
+    start = left.select(*keys).distinct().select(*keys, *[F.lit(v).alias(c) for c, v in zip(normal.AFFINE6, (A2 + 0.5, A0, A1, A3 - 0.5, -A1, A0), strict=True)], F.lit(4.0).alias("delta2"))
+    _, found = line_matching.em_line_registration(left, right, start, keys, rounds=8)
+    return found.select(*keys, "left_id", "right_id", F.round("distance", 3).alias("distance"))

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quadrille.operators import adjustment, flow, matching, stats, tiles
+from quadrille.operators import adjustment, fitting, flow, line_matching, lines, matching, registration, stats, tiles
 
 
 def flows(spark, x2):
@@ -96,3 +97,99 @@ def test_bootstrap_checks_and_storage(spark, tmp_path):
     assert all(np.allclose(model[k], again[k]) for k in model)
     with pytest.raises(ValueError):
         stats.pca_bootstrap(rows, "v", "id", replicates=3)
+
+
+SEGMENT = "k int, line_id long, ax double, ay double, bx double, by double"
+
+
+def segments(rng, n):
+    a = rng.uniform(0, 100, (n, 2))
+    t = rng.uniform(-np.pi, np.pi, n)
+    return np.c_[a, a + rng.uniform(10, 40, n)[:, None] * np.c_[np.cos(t), np.sin(t)]]
+
+
+def test_spectral_match_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    left = segments(rng, 14)
+    turn = np.array([[0.8, -0.6], [0.6, 0.8]])
+    right = np.c_[left[:, :2] @ turn.T + 5, left[:, 2:] @ turn.T + 5] + 0.1 * rng.normal(size=left.shape)
+    nodes = [(i, j) for i in range(14) for j in {i, int(rng.integers(14)), int(rng.integers(14))}]
+
+    def form(s):
+        theta = np.arctan2(s[3] - s[1], s[2] - s[0])
+        return theta, -s[0] * np.sin(theta) + s[1] * np.cos(theta)
+
+    def apart(a, b):
+        out = 0.0
+        for p, q in ((a, b), (b, a)):
+            theta, rho = form(q)
+            out += sum((-x * np.sin(theta) + y * np.cos(theta) - rho) ** 2 for x, y in (p[:2], p[2:]))
+        return np.sqrt(out)
+
+    m = np.zeros((len(nodes),) * 2)
+    for u, (i, j) in enumerate(nodes):
+        for v, (i2, j2) in enumerate(nodes):
+            c = (left[i][:2] + left[i][2:] - left[i2][:2] - left[i2][2:]) / 2
+            d = abs(apart(left[i], left[i2]) - apart(right[j], right[j2]))
+            if i != i2 and j != j2 and c @ c <= 60**2 and d < 9:
+                m[u, v] = 4.5 - d * d / 18
+    values, vectors = np.linalg.eigh(m)
+    score = np.abs(vectors[:, -1])
+    used = [u for u in range(len(nodes)) if m[u].any()]
+    want, seen = set(), (set(), set())
+    for u in sorted(used, key=lambda u: -score[u]):
+        i, j = nodes[u]
+        if score[u] >= 0.1 * score[used].mean() and i not in seen[0] and j not in seen[1]:
+            want.add((i, j))
+            seen[0].add(i)
+            seen[1].add(j)
+
+    def side(s, name):
+        t = lines.polar(spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(s)], SEGMENT))
+        return t.select(F.col("line_id").alias(f"{name}_id"), F.struct("ax", "ay", "bx", "by", "theta", "rho").alias(name[0]))
+
+    pairs = spark.createDataFrame([(0, u, i, j) for u, (i, j) in enumerate(nodes)], "k int, node long, left_id long, right_id long")
+    table = pairs.join(side(left, "left"), "left_id").join(side(right, "right"), "right_id")
+    got = line_matching.spectral_match(table, ["k"], reach=60.0, rounds=200).collect()
+    assert {(r.left_id, r.right_id) for r in got} == want and {(i, i) for i in range(14)} <= want
+    at = {(i, j): u for u, (i, j) in enumerate(nodes)}
+    assert all(abs(r.score - score[at[r.left_id, r.right_id]]) < 1e-3 for r in got)
+    assert line_matching.spectral_match(table.limit(0), ["k"]).count() == 0
+
+
+def test_em_finds_the_planted_map(spark):
+    rng = np.random.default_rng(12)
+    left = segments(rng, 25)
+    planted = np.array([3.0, 1.02, -0.05, -2.0, 0.04, 0.97])
+
+    def moved(xy):
+        return np.c_[planted[0] + xy @ planted[1:3], planted[3] + xy @ planted[4:6]]
+
+    right = np.c_[moved(left[:, :2]), moved(left[:, 2:])]
+    right[20:] = segments(rng, 5)  # no partners
+    one, two = (spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(s)], SEGMENT) for s in (left, right))
+    start = spark.createDataFrame([(0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 9.0)], "k int, p0 double, p1 double, p2 double, p3 double, p4 double, p5 double, delta2 double")
+    model, found = line_matching.em_line_registration(one, two, start, ["k"], reach=200.0, rounds=40)
+    got = model.first()
+    assert np.allclose([got[f"p{i}"] for i in range(6)], planted, atol=[0.5, 0.02, 0.02] * 2)
+    assert {(i, i) for i in range(20)} <= {(r.left_id, r.right_id) for r in found.collect()}
+
+
+def test_sparse_icp_ignores_outliers(spark):
+    rng = np.random.default_rng(13)
+    cloud = rng.uniform(0, 10, (80, 3))
+    c, s = np.cos(0.02), np.sin(0.02)
+    turn, shift = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]), np.array([0.05, -0.04, 0.03])
+    points = (cloud - shift) @ turn
+    points[70:] += 0.4
+    one, two = (spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id int, x double, y double, z double") for p in (points, cloud))
+    sparse = registration.icp_sparse(one, two, 1.5, rounds=4, outer=12)
+    plain = registration.icp(one, two, 1.5, weight=registration.uniform, rounds=30)
+    off = [np.abs(points[:70] @ t[:3, :3].T + t[:3, 3] - cloud[:70]).max() for t in (sparse, plain)]
+    assert off[0] < 0.02 < off[1]
+
+
+def test_ransac_needs_its_minimal_sample(spark):
+    few = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 0.0)], "pair_id int, pt long, x double, y double, x2 double, y2 double")
+    for find in (fitting.ransac_line, fitting.ransac_homography):
+        assert find(few).count() == 0
