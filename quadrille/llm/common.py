@@ -85,6 +85,11 @@ def probe(df: DataFrame, h: str, filter_: DataFrame, bits: int, out: str) -> Dat
     )
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, nulls included; equal for equal rows only."""
+    return F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))])
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
     """Inner join of rows with their group (one row for each key), where a few groups may hold most rows.
 
