@@ -74,15 +74,16 @@ def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, to
 
 
 def whole_copies(docs: DataFrame, most: int = 3) -> DataFrame:
-    """Add copies to (doc_id, source, size, rate, n): whole numbers next to rate, whose tokens follow the rate.
+    """Add copies to (doc_id, source, size, rate, n and, if given, row): whole numbers next to rate, whose tokens follow the rate.
 
     A source's documents are dealt by a hash of their id to chunks of about CHUNK. There, from the longest down,
     each takes the whole number (rate rounded down or up) that keeps the chunk's tokens nearest to rate times
     size, so what one leaves over the next ones make up; where their sizes can't, beside a giant, any number from
-    0 to `most` is open to them. The deal depends on ids alone: reruns agree.
+    0 to `most` is open to them. The deal depends on ids alone: reruns agree. `row` orders documents of one id and size.
     """
+    row = ["row"] if "row" in docs.columns else []
     chunk = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).alias("chunk")
-    held = docs.select("*", chunk).groupBy("source", "chunk", "rate").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id")), asc=False).alias("d"))
+    held = docs.select("*", chunk).groupBy("source", "chunk", "rate").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", *row)), asc=False).alias("d"))
     rate = F.least(F.col("rate"), F.lit(float(most)))
     low = F.floor(rate + 1e-6).cast("int")
     high = F.least(F.lit(most), F.ceil(rate - 1e-6).cast("int"))
@@ -100,17 +101,19 @@ def whole_copies(docs: DataFrame, most: int = 3) -> DataFrame:
 
     start = F.struct(F.lit(0.0).alias("lack"), F.aggregate("d", F.lit(0).cast("long"), lambda t, d: t + d["size"]).alias("rest"), F.array().cast("array<int>").alias("copies"))
     picked = held.withColumn("copies", F.aggregate("d", start, take)["copies"])
-    return picked.select("source", F.inline(F.arrays_zip("d", "copies"))).select(F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").alias("size"), "copies")
+    return picked.select("source", F.inline(F.arrays_zip("d", "copies"))).select(F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").alias("size"), "copies", *[F.col("d.row").alias(c) for c in row])
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3) -> DataFrame:
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, row_col: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, source, size, source_size, target, copies, taken.
 
     Sources in code point order, null as one last source of its own, weigh 1, 2, 3 and so on in turn. Null and
     empty texts have size 0, are taken 0 times at rate 0 and change no sum. If every text is empty, all targets
-    are 0. Rows that repeat an id are rounded each on its own. An empty table gives an empty one.
+    are 0. Rows that repeat an id are rounded each on its own. An empty table gives an empty one. row_col, a hash
+    that tells rows of one id apart, is passed on as `row`.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row))
     sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     weighed = cut(targets(ranked(sums).withColumn("weight", F.pmod("rank", F.lit(3)) + 1), most))
     rates = balanced(weighed.select("source", F.col("source_size").alias("size")).filter("size > 0"), {"source": weighed.select("source", "target")})
@@ -118,9 +121,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     known = cut(weighed.join(rates, weighed["source"].eqNullSafe(rates["s"]), "left").select(F.col("source").alias("s"), "source_size", "n", "target", F.coalesce("rate", F.lit(0.0)).alias("rate")))
     if known.count() <= SMALL:
         known = F.broadcast(known)
-    copies = whole_copies(sized.join(known, sized["source"].eqNullSafe(known["s"])).select("doc_id", "source", "size", "rate", "n"), most)
+    copies = whole_copies(sized.join(known, sized["source"].eqNullSafe(known["s"])).select("doc_id", "source", "size", "rate", "n", *(["row"] if row else [])), most)
     return copies.join(known, copies["source"].eqNullSafe(known["s"])).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row else [])
     )
 
 
