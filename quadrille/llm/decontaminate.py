@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import MULTIPLIER, WordHash, encoded, mixed, pieces
+from quadrille.llm.common import MULTIPLIER, WordHash, encoded, mixed, pieces, row_hash
 
 #: A tile has so many tokens at least; items whose tokens are covered by this share or more are leaked.
 MIN_TILE, MIN_COVERAGE = 5, 0.5
@@ -87,9 +87,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Suite:
-    """A bounded set of test items, as each task holds it: tokens, and seed hash -> items."""
+    """A bounded set of test items, as each task holds it: ids and tokens by place, and seed hash -> places."""
 
-    def __init__(self, items: dict[int, list[str]], least: int):
+    def __init__(self, ids: list[int | None], items: dict[int, list[str]], least: int):
+        self.ids = ids
         self.items, self.least, self.known = items, least, WordHash()
         found: dict[int, set[int]] = {}
         for item, words in items.items():
@@ -118,15 +119,17 @@ class Suite:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text"))
+    """(item, item_id, item_text), a row for each different pair of id, null or not, and text; item tells them apart."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct()
+    return rows.withColumn("item", row_hash(rows))
 
 
 def small_suite(benchmark: DataFrame, least: int = MIN_TILE, most: int = MAX_TOKENS) -> Suite | None:
     """The test items for all tasks, or None if they hold more than `most` words (or characters / 2)."""
-    rows = _items(benchmark).filter("item_id is not null")
-    if (rows.agg(F.sum(F.length("item_text"))).first()[0] or 0) > 2 * most:
+    if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > 2 * most:
         return None
-    return Suite({r.item_id: tokens(r.item_text) for r in rows.collect()}, least)
+    rows = sorted(_items(benchmark).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.item))
+    return Suite([r.item_id for r in rows], {k: tokens(r.item_text) for k, r in enumerate(rows)}, least)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TILE, share: float = MIN_COVERAGE, most: int = MAX_TOKENS) -> DataFrame:
@@ -135,14 +138,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Tokens are runs of letters, digits and underscores in lower case. A document and an item meet if they share
     `least` tokens in a row; greedy string tiling then counts the item's tokens covered by non-overlapping common
     runs, in any order. Items of fewer than `least` tokens, null or empty texts cover nothing. Rows that repeat an
-    id give a row each; rows of null id give null. Null item ids are left out; a repeated item_id keeps one text
-    if the suite is small. Extra columns are not looked at. Small suites travel to all tasks, after a check of
+    id give a row each; rows of null id give null. Items of one id, or of null id, are searched each by its own text;
+    equal items are one. Extra columns are not looked at. Small suites travel to all tasks, after a check of
     their size; larger ones meet the documents' seeds in a shuffle join.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     suite = small_suite(benchmark, least, most)
     if suite is None:
-        return _joined(texts, benchmark, least, share)
+        return _joined(texts, benchmark, least, share).drop("th")
     sent = docs.sparkSession.sparkContext.broadcast(suite)
 
     def run(batches):
@@ -151,13 +154,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             split = [tokens(t) for t in b.column("text").to_pylist()]
             ids = b.column("doc_id").to_pylist()
             hits = suite.hits(split)
-            yield _batch([(ids[d], *r) for d in sorted(hits) for r in judged(split[d], suite.items, sorted(hits[d]), least, share)])
+            yield _batch([(ids[d], suite.ids[k], *r) for d in sorted(hits) for k, *r in judged(split[d], suite.items, sorted(hits[d]), least, share)])
 
     return texts.mapInArrow(run, FOUND)
 
 
 def _joined(texts: DataFrame, benchmark: DataFrame, least: int, share: float) -> DataFrame:
-    """As leaks, for suites of any size: seeds are rows, and a hash join finds the pairs to tile."""
+    """As leaks, with a hash of the document's row, for suites of any size: a hash join of seeds finds the pairs to tile."""
 
     def seeds(key: str, text: str):
         def run(batches):
@@ -169,31 +172,36 @@ def _joined(texts: DataFrame, benchmark: DataFrame, least: int, share: float) ->
 
         return run
 
-    rows = texts.withColumn("th", F.xxhash64("doc_id", "text"))
-    items = _items(benchmark).filter("item_id is not null")
+    rows = texts.withColumn("th", row_hash(texts))
+    items = _items(benchmark)
     left = rows.select("th", "text").mapInArrow(seeds("th", "text"), "th long, seed long")
-    right = items.mapInArrow(seeds("item_id", "item_text"), "item_id long, seed long")
-    pairs = left.join(right, "seed").select("th", "item_id").distinct()
+    right = items.mapInArrow(seeds("item", "item_text"), "item long, seed long")
+    pairs = left.join(right, "seed").select("th", "item").distinct()
 
     def run(batches):
         for b in batches:
-            out = []
-            for doc, text, item, want in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text")), strict=True):
-                out += [(doc, *r) for r in judged(tokens(text), {item: tokens(want)}, [item], least, share)]
-            yield _batch(out)
+            out, rows = [], []
+            for doc, th, text, item, want in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "item_id", "item_text")), strict=True):
+                met = [(doc, item, *r[1:]) for r in judged(tokens(text), {0: tokens(want)}, [0], least, share)]
+                out += met
+                rows += [th] * len(met)
+            yield _batch(out).append_column("th", pa.array(rows, pa.int64()))
 
-    return pairs.join(rows, "th").join(items, "item_id").select("doc_id", "text", "item_id", "item_text").mapInArrow(run, FOUND)
+    return pairs.join(rows, "th").join(items, "item").select("doc_id", "th", "text", "item_id", "item_text").mapInArrow(run, f"{FOUND}, th long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TILE, share: float = MIN_COVERAGE, most: int = MAX_TOKENS) -> DataFrame:
     """The rows of docs that leak no test item, with all their columns.
 
-    With a small suite each task judges its own rows and nothing is shuffled; else leaking ids are joined away.
+    With a small suite each task judges its own rows and nothing is shuffled; else leaking rows are joined away
+    by id, null or not, and text.
     """
     suite = small_suite(benchmark, least, most)
     if suite is None:
-        bad = leaks(docs, benchmark, id_col, text_col, least, share, most).select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti")
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        bad = _joined(texts, benchmark, least, share).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h")).distinct()
+        keyed = docs.withColumn("__th", F.xxhash64(*[x for c in (F.col(id_col).cast("long"), F.col(text_col)) for x in (c.isNull(), c)]))
+        return keyed.join(bad, keyed[id_col].cast("long").eqNullSafe(bad["__id"]) & (keyed["__th"] == bad["__h"]), "left_anti").select(*docs.columns)
     sent = docs.sparkSession.sparkContext.broadcast(suite)
 
     def run(batches):

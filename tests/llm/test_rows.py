@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_operators import SCHEMA, words
 
 import corpus_pipeline
-from quadrille.llm import common, mixing
+from quadrille.llm import common, decontaminate, mixing
 
 
 def test_mixing_keeps_null_and_repeated_ids(spark):
@@ -26,3 +26,17 @@ def test_mixing_keeps_null_and_repeated_ids(spark):
     assert (len(got), sum(x.taken for x in got)) == tuple(plain)
     again = corpus_pipeline.mixing_stage(spark, docs.repartition(2), "").collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_leaks_of_repeated_and_null_item_ids(spark):
+    r = random.Random(9)
+    items = [(1, words(r, 30)), (1, words(r, 30)), (None, words(r, 30)), (None, words(r, 30)), (2, words(r, 30)), (2, None)]
+    items += [items[0]]
+    rows = [(k, words(r, 6) + " " + t) for k, (_, t) in enumerate(items[:5])] + [(None, items[1][1]), (None, words(r, 40)), (3, words(r, 40)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    want = Counter([(0, 1), (1, 1), (2, None), (3, None), (4, 2), (None, 1)])
+    for most in (decontaminate.MAX_TOKENS, 1):
+        assert Counter((x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench, most=most).collect()) == want
+        left = decontaminate.clean(docs, bench, most=most)
+        assert left.columns == docs.columns and Counter(map(tuple, left.collect())) == Counter(rows[6:])
