@@ -23,8 +23,11 @@ WEIGHTS = os.path.join(os.path.dirname(__file__), "block_labeller.npz")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
-#: Elements whose content is no text.
-OPAQUE = frozenset("script style noscript template svg textarea title iframe object canvas select head".split())
+#: Elements whose content is no text: raw up to their end tag, or of elements, which their parent's end ends too.
+RAW = frozenset("script style textarea title iframe".split())
+OPAQUE = frozenset("noscript template svg object canvas select".split())
+#: What a head holds; any other element, or text, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
 #: Elements that run inside a block.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,7 +39,7 @@ BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset foote
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """The leaf texts of a page in order, each with the names (tags, classes, ids) on its path; white space as one space."""
     found, stack, text = [], [], []
-    at = 0
+    at, hidden = 0, None  # hidden: the place in stack of the outermost opaque element
 
     def end():
         if text:
@@ -46,12 +49,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             text.clear()
 
     def pop(k: int):
+        nonlocal hidden
         end()
         del stack[k:]
+        if hidden is not None and hidden >= k:
+            hidden = None
+
+    def add(part: str):
+        if hidden is None:
+            if stack and stack[-1][0] == "head" and not part.isspace():
+                pop(len(stack) - 1)
+            text.append(part)
 
     while m := TAG.search(page, at):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -66,12 +78,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                 end()
             continue
         if name == "br":
-            text.append("\n")
+            add("\n")
             continue
         if name in INLINE:
             continue
         end()
-        if name in OPAQUE and not m[3].rstrip().endswith("/"):
+        if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+            pop(len(stack) - 1)
+        whole = not m[3].rstrip().endswith("/")
+        if name in RAW and whole:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else len(page)
             continue
@@ -84,10 +99,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             stack.pop()
             if stack and stack[-1][0] in shut and stack[-1][0] != name:
                 stack.pop()
+        if name == "select" and hidden is not None and stack[hidden][0] == "select":
+            pop(hidden)
+        if name in OPAQUE and whole and hidden is None:
+            hidden = len(stack)
         given = [x for g in NAMES.findall(m[3]) for x in PART.findall(" ".join(g).lower())] if m[3] else []
         stack.append((name, (name, *(f".{g}" for g in given))))
     if at < len(page):
-        text.append(page[at:])
+        add(page[at:])
     end()
     return found
 
