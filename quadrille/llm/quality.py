@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.common import WordHash, cut, encoded, pieces
+from quadrille.llm.common import WordHash, cut, encoded, pieces, stored
 
 #: The classifier is fitted on at most so many labelled rows (those of the least hashes).
 SAMPLE = 4000
@@ -88,7 +88,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Models of quality and of toxicity from at most `sample` labelled rows; None if there are none.
 
     labels: doc_id, quality, toxic (0 or 1). Rows with a null there are left out. Of several labels of one id
-    all count. What reaches the driver are features of the sample, whatever the tables' sizes.
+    all count; of documents that repeat an id the first `sample` rows by hash. What reaches the driver are features
+    of the sample, whatever the tables' sizes.
     """
     chosen = labels.select("doc_id", "quality", "toxic").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             words, surface = featurised(encoded(b.column("text")), known)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.array(words, pa.list_(pa.int64())), pa.array(surface.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "toxic", "words", "surface"])
 
-    got = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["quality"], rows.schema["toxic"], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("surface", T.ArrayType(T.DoubleType()))])).toArrow()
+    found = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["quality"], rows.schema["toxic"], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("surface", T.ArrayType(T.DoubleType()))]))
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic", F.xxhash64("words", "surface")).limit(sample).toArrow()
     if not got.num_rows:
         return None
     order = np.lexsort([got.column(c).to_numpy() for c in ("toxic", "quality", "doc_id")])
@@ -195,14 +197,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """The rows of docs that judge keeps, with all their columns. Texts are scored twice instead of shuffled."""
+    """The rows of docs that judge keeps, with all their columns. Texts are scored once and kept beside their p."""
     models = fit(docs, labels, id_col, text_col, sample)
-    chosen = docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    sites, mean = site_posteriors(cut(scored(chosen, models, "text", False, "p")))
-    renamed = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    again = scored(renamed, models, f"c{docs.columns.index(text_col)}", True, "p")
-    rows = again.withColumn("host", F.col(f"c{docs.columns.index(host_col)}")).withColumn("path", F.col(f"c{docs.columns.index(path_col)}"))
-    return combined(rows, sites, mean).filter(F.col("score") >= least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = stored(scored(docs.select(*[F.col(c).alias(names[c]) for c in docs.columns]), models, names[text_col], True, "p"))
+    rows = rows.withColumns({"host": F.col(names[host_col]), "path": F.col(names[path_col])})
+    sites, mean = site_posteriors(rows.select("host", "path", "p"))
+    return combined(rows, sites, mean).filter(F.col("score") >= least).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op1_site_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

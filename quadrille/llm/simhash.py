@@ -23,7 +23,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         return 0
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)), np.uint64, len(words) - shingle + 1)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(shingle)), strict=False)), np.uint64, len(words) - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes: a bit is set if it is set in over half of them."""
     ones = sum(np.unpackbits(h[i : i + 65536, None].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), 65536))
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
