@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import mixing, quality
-from test_operators import brute_classes, brute_fingerprint
+from test_near_dedup import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,13 +35,8 @@ def test_stages(spark, tmp_path):
         best[key] = min(best.get(key, (0, 1 << 62)), (-len(r.text or ""), i))
     assert set(out[1]) == {i for _, i in best.values()}
 
-    ids = sorted(out[1])
-    fps = [brute_fingerprint(out[1][i].text) for i in ids]
-    cls = brute_classes(ids, [(a, b) for a in range(len(ids)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 2])
-    least = {}
-    for i, c in zip(ids, cls):
-        least[c] = min(least.get(c, i), i)
-    assert set(out[2]) == set(least.values())
+    kept, near = brute_kept([(i, r.text) for i, r in out[1].items()])
+    assert sorted(out[2]) == sorted(i for i, _ in kept) and near
 
     def toks(t):
         return re.findall(r"\w+", (t or "").lower())
