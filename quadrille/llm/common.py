@@ -107,10 +107,10 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 class WordHash(dict):
-    """XXH64 of words (bytes), remembered; forgets all at a million words."""
+    """XXH64 of words (bytes), remembered; forgets all at 250,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

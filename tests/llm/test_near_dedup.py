@@ -45,9 +45,8 @@ def test_near_dedup(spark, monkeypatch):
     assert sum((fps[a] ^ fps[b]).bit_count() > 2 for a, b in near) > 10  # pairs that 2 bits don't reach
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
-    for seen, star, block in ((shingles.SEEN, shingles.STAR, shingles.BLOCK), (1 << 30, 2, 3)):  # with and without common and hot shingles
+    for seen, block in ((shingles.SEEN, shingles.BLOCK), (1 << 30, 3)):  # with and without common and hot shingles
         monkeypatch.setattr(shingles, "SEEN", seen)
-        monkeypatch.setattr(shingles, "STAR", star)
         monkeypatch.setattr(shingles, "BLOCK", block)
         got = stage(spark, docs, "")
         assert got.columns == docs.columns
