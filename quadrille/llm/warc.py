@@ -19,85 +19,102 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
 
 def leaves(recs: DataFrame, per_file: int = FILE_RECORDS) -> DataFrame:
-    """(file, at, record_id, offset, length, hash): records as they stand in files of `per_file` ids each.
+    """(file, at, record_id, length, hash): the digest and the place of each record; only these move.
 
-    Only digests and lengths move; a file's rows are few. Records of null id are file -1; repeated ids follow each
-    other by hash.
+    A file holds `per_file` ids, each at the place that its id gives it, so what one record loses or gains shifts no
+    other. Records of null id are file -1, at a place that their digest gives. Records that repeat an id share a place.
     """
-    narrow = recs.select(F.coalesce(F.floor(F.col("record_id") / per_file), F.lit(-1)).cast("long").alias("file"), "record_id", F.octet_length("record").cast("long").alias("length"), F.unhex(F.sha2("record", 256)).alias("hash"))
-    order = Window.partitionBy("file").orderBy("record_id", "hash")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return narrow.select("file", (F.row_number().over(order) - 1).cast("long").alias("at"), "record_id", before.cast("long").alias("offset"), "length", "hash")
+    narrow = recs.select("record_id", F.octet_length("record").cast("long").alias("length"), F.unhex(F.sha2("record", 256)).alias("hash"))
+    file = F.coalesce(F.floor(F.col("record_id") / per_file), F.lit(-1)).cast("long")
+    at = F.coalesce(F.pmod(F.col("record_id"), F.lit(per_file)), F.pmod(F.xxhash64("hash"), F.lit(per_file))).cast("long")
+    return narrow.select(file.alias("file"), at.alias("at"), "record_id", "length", "hash")
 
 
-def tree(leaf: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """The levels of each file's tree, leaves first: (file, at, offset, length, hash).
+def tree(leaf: DataFrame, per_file: int = FILE_RECORDS, fanout: int = FANOUT) -> list[DataFrame]:
+    """The levels of each file's tree, places first: (file, at, length, hash).
 
-    A node covers the byte range of its up to `fanout` children; its hash is that of their hashes, offsets and
-    lengths in order. Levels shrink by the fanout, so all above the leaves is a small part of them.
+    A place's hash is that of its records' number, bytes and digests in any order, summed, so that a place of many
+    records is a sum of partial sums. A node covers the ordered byte range of its up to `fanout` children; its hash
+    is that of their places, lengths and hashes. Levels shrink by the fanout.
     """
-    levels = [leaf]
-    most = leaf.agg(F.max("at")).first()[0] or 0
-    while most > 0:
-        child = F.struct("at", "offset", "length", "hash")
-        up = levels[-1].groupBy("file", F.floor(F.col("at") / fanout).alias("up")).agg(F.sort_array(F.collect_list(child)).alias("c"))
-        mark = F.concat_ws("", F.transform("c", lambda c: F.concat_ws(":", F.hex(c["hash"]), c["offset"], c["length"])))
-        levels.append(cut(up.select("file", F.col("up").alias("at"), F.col("c")[0]["offset"].alias("offset"), F.aggregate("c", F.lit(0).cast("long"), lambda s, c: s + c["length"]).alias("length"), F.unhex(F.sha2(mark, 256)).alias("hash"))))
-        most //= fanout
+    digest = [F.sum(F.xxhash64("hash", F.lit(k)).cast("decimal(38,0)")) for k in range(2)]
+    mark = F.concat_ws(":", F.count(F.lit(1)), F.sum("length"), *digest)
+    levels = [cut(leaf.groupBy("file", "at").agg(F.sum("length").alias("length"), F.unhex(F.sha2(mark, 256)).alias("hash")))]
+    places = per_file
+    while places > 1:
+        up = levels[-1].groupBy("file", F.floor(F.col("at") / fanout).alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "length", "hash"))).alias("c"), F.sum("length").alias("length"))
+        mark = F.concat_ws("", F.transform("c", lambda c: F.concat_ws(":", c["at"], c["length"], F.hex(c["hash"]))))
+        levels.append(cut(up.select("file", F.col("up").alias("at"), "length", F.unhex(F.sha2(mark, 256)).alias("hash"))))
+        places = -(-places // fanout)
     return levels
 
 
-def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """Records that differ between two replicas' leaves: file, at, record_id, offset, length, status, levels.
+def audit(ours: DataFrame, theirs: DataFrame, per_file: int = FILE_RECORDS, fanout: int = FANOUT) -> DataFrame:
+    """Ids whose records differ between two replicas' leaves: record_id, file, at, start, length, ours, theirs, status.
 
     Roots are compared first; level by level only the children of nodes that differ are read and compared, so a
-    sound replica ends at its roots. status: changed, missing (not in theirs) or extra (only there). levels:
-    how many levels were descended. Two empty replicas have no difference.
+    sound replica ends at its roots. ours and theirs count the records that the other replica lacks, digest by digest;
+    status: missing (theirs is 0), extra (ours is 0) or changed. start: where the id's records begin in our file, or
+    in theirs if we have none; length: bytes of our differing records, of theirs if extra. Repeated rows and ids count
+    each; null ids give a row for each place of file -1. Two empty replicas have no difference.
     """
-    a, b = tree(ours, fanout), tree(theirs, fanout)
-    top = max(len(a), len(b)) - 1
+    a, b = tree(ours, per_file, fanout), tree(theirs, per_file, fanout)
     bad = None
-    for k in range(top, -1, -1):
-        # a lower tree's root stands for the nodes above it
-        one, two = a[min(k, len(a) - 1)], b[min(k, len(b) - 1)]
+    for k in range(len(a) - 1, -1, -1):
+        one, two = a[k], b[k]
         if bad is not None:
             one, two = (x.withColumn("up", F.floor(F.col("at") / fanout)).join(bad, ["file", "up"], "left_semi") for x in (one, two))
-        names = ["record_id", "offset", "length", "hash"] if k == 0 else ["offset", "length", "hash"]
-        one = one.select("file", "at", *[F.col(c).alias(f"a_{c}") for c in names])
-        two = two.select("file", "at", *[F.col(c).alias(f"b_{c}") for c in names])
-        differ = one.join(two, ["file", "at"], "full").filter(~(F.col("a_hash").eqNullSafe(F.col("b_hash")) & F.col("a_offset").eqNullSafe(F.col("b_offset"))))
-        if k:
-            bad = cut(differ.select("file", F.col("at").alias("up")))
-    status = F.when(F.col("b_hash").isNull(), "missing").when(F.col("a_hash").isNull(), "extra").otherwise("changed")
-    return differ.select("file", "at", *[F.coalesce(f"a_{c}", f"b_{c}").alias(c) for c in ("record_id", "offset", "length")], status.alias("status"), F.lit(top).alias("levels"))
+        met = one.select("file", "at", F.col("hash").alias("one")).join(two.select("file", "at", F.col("hash").alias("two")), ["file", "at"], "full")
+        bad = cut(met.filter(~F.col("one").eqNullSafe(F.col("two"))).select("file", F.col("at").alias("up")))
+    bad = bad.withColumnRenamed("up", "at")
+    sides = ours.withColumn("side", F.lit(1)).unionByName(theirs.withColumn("side", F.lit(-1))).join(bad, ["file", "at"], "left_semi")
+    left = sides.groupBy("file", "at", "record_id", "length", "hash").agg(F.sum("side").alias("more")).filter("more <> 0")
+    more, size = F.col("more"), F.col("more") * F.col("length")
+    ids = left.groupBy("file", "at", "record_id").agg(
+        F.sum(F.greatest(more, F.lit(0))).alias("ours"), F.sum(F.greatest(-more, F.lit(0))).alias("theirs"), F.sum(F.greatest(size, F.lit(0))).alias("mine"), F.sum(F.greatest(-size, F.lit(0))).alias("other"),
+    )
+    files = bad.select("file").distinct()
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a file has per_file places at most
+    for name, level in (("x", a[0]), ("y", b[0])):
+        ids = ids.join(level.join(files, "file", "left_semi").select("file", "at", before.alias(name)), ["file", "at"], "left")
+    status = F.when(F.col("theirs") == 0, "missing").when(F.col("ours") == 0, "extra").otherwise("changed")
+    return ids.select("record_id", "file", "at", F.coalesce("x", "y").alias("start"), F.when(F.col("ours") > 0, F.col("mine")).otherwise(F.col("other")).alias("length"), "ours", "theirs", status.alias("status"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """The replica that op8 audits: a copy in which storage has overwritten the first byte of some bodies."""
-    hit = (F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2) < "03") & (F.length("html") > 0)
-    return pages.withColumn("html", F.when(hit, F.overlay("html", F.lit("?"), 1, 1)).otherwise(F.col("html")))
+    """The replica that op8 audits: a copy in which storage has overwritten the first byte of some bodies, lost other
+    records, and holds some once more with a body that is one byte longer."""
+    mark = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    hit = (mark < "03") & (F.length("html") > 0)
+    held = pages.withColumn("html", F.when(hit, F.overlay("html", F.lit("?"), 1, 1)).otherwise(F.col("html"))).filter(F.coalesce(mark != "03", F.lit(True)))
+    return held.union(pages.filter(mark == "04").withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit("!"))))
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = audit(cut(leaves(records(pages))), cut(leaves(records(damaged(pages)))))
-    return found.select(F.col("record_id").alias("page_id"), "file", F.col("at").alias("position"), F.col("offset").alias("start_byte"), F.col("length").alias("n_bytes"), "status")
+    return found.select(F.col("record_id").alias("page_id"), "file", F.col("at").alias("position"), F.col("start").alias("start_byte"), F.col("length").alias("n_bytes"), "ours", "theirs", "status")
 
 
 QUERIES = {"op8_merkle_audit": op8_merkle_audit}
 ORACLES = {
     "op8_merkle_audit": r"""
-WITH r AS (
-  SELECT page_id, html, coalesce(CAST(floor(page_id / 1000) AS BIGINT), -1) AS file,
+WITH h AS (
+  SELECT page_id, coalesce(html, '') AS html, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS mark,
+         CAST(floor(page_id / 1000) AS BIGINT) AS file,
          'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' ||
-         coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) ||
-         chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+         coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head
   FROM pages),
+r AS (
+  SELECT page_id, file, mark, html,
+         strlen(head) + strlen(CAST(strlen(html) AS VARCHAR)) + strlen(html) + 8 AS size,
+         strlen(head) + strlen(CAST(strlen(html) + 1 AS VARCHAR)) + strlen(html) + 9 AS longer
+  FROM h),
 p AS (
-  SELECT page_id, html, file, CAST(strlen(record) AS BIGINT) AS n_bytes,
-         row_number() OVER w - 1 AS position,
-         CAST(coalesce(sum(strlen(record)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte
-  FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id))
-SELECT page_id, file, position, start_byte, n_bytes, 'changed' AS status
-FROM p WHERE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) < '03' AND length(html) > 0"""
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte
+  FROM r)
+SELECT page_id, file, page_id % 1000 AS position, start_byte, CAST(CASE WHEN mark = '04' THEN longer ELSE size END AS BIGINT) AS n_bytes,
+       CAST(CASE WHEN mark = '04' THEN 0 ELSE 1 END AS BIGINT) AS ours, CAST(CASE WHEN mark = '03' THEN 0 ELSE 1 END AS BIGINT) AS theirs,
+       CASE WHEN mark = '03' THEN 'missing' WHEN mark = '04' THEN 'extra' ELSE 'changed' END AS status
+FROM p WHERE mark IN ('03', '04') OR (mark < '03' AND length(html) > 0)"""
 }
