@@ -22,9 +22,11 @@ MAX_BITS = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where none is configured."""
+    """The folder that the driver and all executors see; a local one only for a local master that sets none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-")
         shared_dir.own = found
     if spark.sparkContext.getCheckpointDir() is None:
@@ -119,10 +121,10 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def pieces(batches, chars: int = 2_000_000):
-    """Cut record batches so that each piece holds about `chars` bytes of column text, or one row."""
+def pieces(batches, chars: int = 2_000_000, column: str | int = "text"):
+    """Cut record batches so that each piece holds about `chars` bytes of the text in column (a name or place), or one row."""
     for batch in batches:
-        text = batch.column("text")
+        text = batch.column(column)
         sizes = np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype=float))
         ends = np.cumsum(sizes)
         at = 0

@@ -34,49 +34,99 @@ def seed_hashes(h: np.ndarray, least: int) -> np.ndarray:
     return mixed(out)
 
 
-def tile(doc: list, item: list, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
+def _grams(h: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of `length` words, from one pass of prefix sums."""
+    up, down = powers
+    sums = np.r_[np.uint64(0), np.cumsum(h * up[: len(h)])]
+    return (sums[length:] - sums[:-length]) * down[: len(h) - length + 1]
+
+
+def _free(used: np.ndarray, length: int) -> np.ndarray:
+    """The places from which `length` words are unmarked."""
+    marks = np.r_[0, np.cumsum(used)]
+    return np.flatnonzero(marks[length:] == marks[:-length])
+
+
+def tile(doc, item, least: int = MIN_TILE, need: float = 0) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in doc, place in item, length) of the longest common runs, none overlapping.
 
     Round by round the longest unmarked matches of at least `least` tokens are marked, so order doesn't matter.
-    Ties go to the first place in the item, then in the document.
+    Ties go to the first place in the item, then in the document. doc and item: tokens, or arrays of their hashes.
+    The longest match is found by halving over Karp-Rabin hashes of all runs of a length, and its places by lookup;
+    a round costs (doc + item) * log, also in texts that repeat one word, and what is marked is compared in full.
+    If the item's tokens that stand in common runs are fewer than `need`, there are no tiles.
     """
-    places: dict[tuple, list[int]] = {}
-    for j in range(len(item) - least + 1):
-        places.setdefault(tuple(item[j : j + least]), []).append(j)
-    seeds = [(i, j) for i in range(len(doc) - least + 1) for j in places.get(tuple(doc[i : i + least]), ())]
-    used_d, used_i = bytearray(len(doc)), bytearray(len(item))
+    if not isinstance(doc, np.ndarray):
+        known = WordHash()
+        doc, item = (known.array([str(t).encode() for t in x]) for x in (doc, item))
+    if min(len(doc), len(item)) < least:
+        return []
+    a, b = seed_hashes(doc, least), seed_hashes(item, least)
+    in_doc, in_item = np.isin(a, b), np.isin(b, a)
+
+    def spread(hit: np.ndarray, n: int) -> np.ndarray:
+        edge = np.zeros(n + 1, np.int64)
+        edge[: len(hit)] += hit
+        edge[least : least + len(hit)] -= hit
+        return np.cumsum(edge[:-1]) > 0
+
+    used_i = ~spread(in_item, len(item))
+    if len(item) - used_i.sum() < max(need, 1):
+        return []
+    # only the document's words in common runs are looked at, runs kept apart by a marked word
+    common = spread(in_doc, len(doc))
+    place = np.flatnonzero(common | np.r_[False, common[:-1]])
+    used_d, doc = ~common[place], doc[place]
+    n = max(len(doc), len(item))
+    k = MULTIPLIER
+    powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (k, pow(k, -1, 1 << 64)))
     tiles: list[tuple[int, int, int]] = []
-    while True:
-        best = 0
-        matches: list[tuple[int, int]] = []
-        going: dict[int, int] = {}  # diagonal -> end of the match that runs along it
-        for i, j in seeds:
-            if going.get(i - j, -1) > i:
+    most = min(len(doc), len(item))
+    while most >= least:
+        low, high, best = least, most, None
+        while low <= high:
+            length = (low + high + 1) // 2
+            i, j = _free(used_d, length), _free(used_i, length)
+            x, y = _grams(doc, length, powers)[i], _grams(item, length, powers)[j]
+            met = np.isin(x, y)
+            if met.any():
+                best, low = (length, i[met], x[met], j, y), length + 1
+            else:
+                high = length - 1
+        if best is None:
+            break
+        length, i, x, j, y = best
+        order = np.argsort(x, kind="stable")
+        i, x = i[order], x[order]
+        begins = dict(zip(*(v.tolist() for v in np.unique(x, return_index=True)), strict=True))
+        nexts, ends = dict(begins), dict(zip(x.tolist(), range(1, len(x) + 1), strict=True))
+        for q, h in zip(j.tolist(), y.tolist(), strict=True):
+            if h not in begins or used_i[q : q + length].any():
                 continue
-            k = 0
-            while i + k < len(doc) and j + k < len(item) and not used_d[i + k] and not used_i[j + k] and doc[i + k] == item[j + k]:
-                k += 1
-            going[i - j] = i + k
-            if k >= least and k >= best:
-                if k > best:
-                    matches = []
-                best = k
-                matches.append((j, i))
-        if not matches:
-            return tiles
-        for j, i in sorted(matches):
-            if not any(used_d[i : i + best]) and not any(used_i[j : j + best]):
-                used_d[i : i + best] = used_i[j : j + best] = b"\x01" * best
-                tiles.append((i, j, best))
-
-
-def judged(doc: list, items: dict[int, list], which, least: int, share: float):
+            at = nexts[h]
+            while at < ends[h]:
+                p = int(i[at])
+                taken = np.flatnonzero(used_d[p : p + length])
+                if len(taken):
+                    at += max(1, int(np.searchsorted(i[at : ends[h]], p + int(taken[-1]), "right")))
+                elif not np.array_equal(doc[p : p + length], item[q : q + length]):
+                    at += 1
+                else:
+                    used_d[p : p + length] = used_i[q : q + length] = True
+                    tiles.append((int(place[p]), q, length))
+                    break
+            nexts[h] = at
+        most = length - 1
+    return tiles
+
+
+def judged(doc: np.ndarray, items: dict[int, np.ndarray], which, least: int, share: float):
     """(item, tokens, covered, tiles, coverage) of those items that the document covers to `share`."""
     for item in which:
         want = items[item]
-        got = tile(doc, want, least)
+        got = tile(doc, want, least, share * len(want))
         covered = sum(t[2] for t in got)
-        if covered >= share * len(want):
+        if got and covered >= share * len(want):
             yield item, len(want), covered, len(got), covered / len(want)
 
 
@@ -90,21 +140,24 @@ class Suite:
     """A bounded set of test items, as each task holds it: ids and tokens by place, and seed hash -> places."""
 
     def __init__(self, ids: list[int | None], items: dict[int, list[str]], least: int):
-        self.ids = ids
-        self.items, self.least, self.known = items, least, WordHash()
+        self.ids, self.least, self.known = ids, least, WordHash()
+        self.items = {k: self.array(words) for k, words in items.items()}
         found: dict[int, set[int]] = {}
-        for item, words in items.items():
-            for h in seed_hashes(self.known.array([w.encode() for w in words]), least).tolist():
+        for item, words in self.items.items():
+            for h in seed_hashes(words, least).tolist():
                 found.setdefault(h, set()).add(item)
         self.seeds = found
         self.quick = np.zeros(1 << 22, bool)
         if found:
             self.quick[(np.fromiter(found, np.uint64, len(found)) & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hits(self, docs: list[list[str]]) -> dict[int, set[int]]:
+    def array(self, words: list[str]) -> np.ndarray:
+        return self.known.array([w.encode() for w in words])
+
+    def hits(self, docs: list[np.ndarray]) -> dict[int, set[int]]:
         """Documents that share a seed with items: position -> items."""
         lengths = np.array([len(d) for d in docs], np.int64)
-        h = seed_hashes(self.known.array([w.encode() for d in docs for w in d]), self.least)
+        h = seed_hashes(np.concatenate(docs) if docs else np.empty(0, np.uint64), self.least)
         out: dict[int, set[int]] = {}
         if not len(h):
             return out
@@ -125,8 +178,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def small_suite(benchmark: DataFrame, least: int = MIN_TILE, most: int = MAX_TOKENS) -> Suite | None:
-    """The test items for all tasks, or None if they hold more than `most` words (or characters / 2)."""
-    if (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > 2 * most:
+    """The test items for all tasks, or None if they hold more than `most` words (or characters / 2; a row counts as 2)."""
+    if (benchmark.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 2)).first()[0] or 0) > 2 * most:
         return None
     rows = sorted(_items(benchmark).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.item))
     return Suite([r.item_id for r in rows], {k: tokens(r.item_text) for k, r in enumerate(rows)}, least)
@@ -151,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         suite = sent.value
         for b in pieces(batches):
-            split = [tokens(t) for t in b.column("text").to_pylist()]
+            split = [suite.array(tokens(t)) for t in b.column("text").to_pylist()]
             ids = b.column("doc_id").to_pylist()
             hits = suite.hits(split)
             yield _batch([(ids[d], suite.ids[k], *r) for d in sorted(hits) for k, *r in judged(split[d], suite.items, sorted(hits[d]), least, share)])
@@ -179,10 +232,12 @@ def _joined(texts: DataFrame, benchmark: DataFrame, least: int, share: float) ->
     pairs = left.join(right, "seed").select("th", "item").distinct()
 
     def run(batches):
+        known = WordHash()
         for b in batches:
             out, rows = [], []
             for doc, th, text, item, want in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "item_id", "item_text")), strict=True):
-                met = [(doc, item, *r[1:]) for r in judged(tokens(text), {0: tokens(want)}, [0], least, share)]
+                one, two = (known.array([w.encode() for w in tokens(t)]) for t in (text, want))
+                met = [(doc, item, *r[1:]) for r in judged(one, {0: two}, [0], least, share)]
                 out += met
                 rows += [th] * len(met)
             yield _batch(out).append_column("th", pa.array(rows, pa.int64()))
@@ -208,11 +263,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         suite = sent.value
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            for b in pieces([batch.rename_columns([*batch.schema.names[:at], "text", *batch.schema.names[at + 1 :]])]):
-                split = [tokens(t) for t in b.column(at).to_pylist()]
+            for b in pieces([batch], column=at):
+                split = [suite.array(tokens(t)) for t in b.column(at).to_pylist()]
                 bad = {d for d, which in suite.hits(split).items() if next(judged(split[d], suite.items, sorted(which), least, share), None)}
-                kept = b.filter(pa.array([d not in bad for d in range(b.num_rows)], pa.bool_()))
-                yield kept.rename_columns(batch.schema.names)
+                yield b.filter(pa.array([d not in bad for d in range(b.num_rows)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

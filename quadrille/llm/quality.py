@@ -119,8 +119,7 @@ def scored(docs: DataFrame, models: tuple[Head, Head] | None, text_col: str, kee
     def run(batches):
         known, models = WordHash(), sent.value
         for batch in batches:
-            names = [*batch.schema.names[:at], "text", *batch.schema.names[at + 1 :]]
-            for b in pieces([batch.rename_columns(names)]):
+            for b in pieces([batch], column=at):
                 p = np.ones(b.num_rows)
                 if models:
                     words, surface = featurised(encoded(b.column(at)), known)

@@ -300,15 +300,77 @@ def test_pii(spark, none):
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(i, f"http://a/{i}", "<p>" + "x" * (i % 50)) for i in range(2500)] + [(None, None, None), (7, "u", "twice")], "page_id long, url string, html string").withColumn("hash", F.lit(1))
+    rows = [(i, f"http://a/{i}", "<p>" + "x" * (i % 50)) for i in range(2500)] + [(None, None, None)] * 3 + [(7, "u", "twice"), (None, "n", "y" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"hash": F.lit(1), "at": F.lit(2)})
     a = warc.leaves(warc.records(pages))
+
+    def audited(theirs):
+        return {(r.record_id, r.status, r.ours, r.theirs) for r in warc.audit(a, warc.leaves(warc.records(theirs))).collect()}
+
     assert warc.audit(a, a).count() == 0
     change = F.when(F.col("page_id").isin(3, 1700), F.overlay("html", F.lit("?"), 1, 1)).otherwise(F.col("html"))
-    got = {(r.record_id, r.status) for r in warc.audit(a, warc.leaves(warc.records(pages.withColumn("html", change)))).collect()}
-    assert got == {(3, "changed"), (1700, "changed")}
-    got = {(r.record_id, r.status) for r in warc.audit(a, warc.leaves(warc.records(pages.filter("page_id < 2499 or page_id is null")))).collect()}
-    assert got == {(2499, "missing")}
-    assert warc.audit(a.limit(0), a.limit(0)).count() == 0 and warc.audit(a, a.limit(0)).count() == 2502
+    assert audited(pages.withColumn("html", change)) == {(3, "changed", 1, 1), (1700, "changed", 1, 1)}
+    lost = pages.filter("page_id is null or page_id not in (2, 1000, 2499)")
+    gone = {(2, "missing", 1, 0), (1000, "missing", 1, 0), (2499, "missing", 1, 0)}
+    assert audited(lost) == gone
+    more = spark.createDataFrame([(7, "u", "again"), (2600, "v", ""), (None, "n", None)], "page_id long, url string, html string").withColumns({"hash": F.lit(1), "at": F.lit(2)})
+    assert audited(lost.union(more)) == gone | {(7, "extra", 0, 1), (2600, "extra", 0, 1), (None, "extra", 0, 1)}
+    assert audited(pages.filter("html <> 'twice' or html is null")) == {(7, "missing", 1, 0)}
+    starts = {r.record_id: (r.start, r.length) for r in warc.audit(a, warc.leaves(warc.records(lost))).collect()}
+    sizes = [len(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(t)}\r\n\r\n{t}\r\n\r\n") for _, u, t in rows[:1000]]
+    assert starts[2] == (sum(sizes[:2]), sizes[2]) and starts[1000][0] == 0
+    assert warc.audit(a.limit(0), a.limit(0)).count() == 0 and warc.audit(a, a.limit(0)).agg(F.sum("ours")).first()[0] == 2505
+
+
+def brute_tile(doc, item, least=5):
+    """Every round looks at every pair of places."""
+    used_d, used_i, tiles = set(), set(), []
+    while True:
+        best, matches = least - 1, []
+        for j in range(len(item)):
+            for i in range(len(doc)):
+                k = 0
+                while i + k < len(doc) and j + k < len(item) and i + k not in used_d and j + k not in used_i and doc[i + k] == item[j + k]:
+                    k += 1
+                if k > best:
+                    best, matches = k, []
+                if k == best and k >= least:
+                    matches.append((j, i))
+        if not matches:
+            return tiles
+        for j, i in matches:
+            if not used_d & set(range(i, i + best)) and not used_i & set(range(j, j + best)):
+                used_d |= set(range(i, i + best))
+                used_i |= set(range(j, j + best))
+                tiles.append((i, j, best))
+
+
+def test_tiling_equals_brute_force():
+    r = random.Random(6)
+    for _ in range(300):
+        doc, item = (r.choices("ab" if r.random() < 0.5 else "abcdefgh", k=r.randint(0, 40)) for _ in range(2))
+        if r.random() < 0.5:
+            cut = r.randint(0, len(item))
+            doc = doc[:10] + item[cut:] + doc[10:] + item[:cut]
+        assert decontaminate.tile(doc, item) == brute_tile(doc, item)
+
+
+def test_tiling_of_one_word_is_bounded():
+    began = time.time()
+    assert sum(t[2] for t in decontaminate.tile(["w"] * 200_000, ["w"] * 500)) == 500
+    assert sum(t[2] for t in decontaminate.tile(["w", "x"] * 50_000, ["x", "w", "w"] * 200)) == 0
+    assert time.time() - began < 10
+
+
+def test_clean_of_another_text_column(spark):
+    r = random.Random(3)
+    items = [(i, words(r, 40)) for i in range(4)]
+    rows = [(i, items[i][1] if i < 2 else words(r, 40), "own", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, body string, text string, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most in (decontaminate.MAX_TOKENS, 1):
+        left = decontaminate.clean(docs, bench, text_col="body", most=most)
+        assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == {2, 3, 4, 5}
 
 
 def test_urls(spark):
