@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute now and keep the rows in the folder of spark.checkpoint.dir; an own one only where that is unset."""
+    """Compute now and keep the rows in the folder of spark.checkpoint.dir; an own one only for a local master that sets none."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
