@@ -6,7 +6,8 @@ import html
 import os
 import re
 import zlib
-from functools import cache
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,12 @@ from quadrille.llm.common import pieces
 #: Sizes of the hashed tag-path and word vectors, and of the figures of each block.
 PATH, WORDS, STATS = 160, 16, 4
 HIDDEN = 24
+#: Pages of more blocks are labelled in stretches of so many, which hand on the network's state.
+STRETCH = 20_000
 WEIGHTS = os.path.join(os.path.dirname(__file__), "block_labeller.npz")
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:!|\?|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+EVENT = re.compile(r"[>\"']")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 #: Elements whose content is no text: raw up to their end tag, or of elements, which their parent's end ends too.
@@ -36,21 +40,116 @@ CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li p", "p": "p", "dt": "dt
 BLOCK_ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """The leaf texts of a page in order, each with the names (tags, classes, ids) on its path; white space as one space."""
-    found, stack, text = [], [], []
-    at, hidden = 0, None  # hidden: the place in stack of the outermost opaque element
+class Tags:
+    """Finds the tags of a page in order, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.known: dict[int, int] = {}  # opening quote -> end of the tag that goes on from it, or -1
+        self.event = (0, -1)  # no >, " or ' stands from the first place to the second
+
+    def _event(self, at: int) -> int:
+        if not self.event[0] <= at <= self.event[1]:
+            m = EVENT.search(self.page, at)
+            self.event = (at, m.start() if m else len(self.page))
+        return self.event[1]
+
+    def end(self, at: int) -> int:
+        """Behind the first > from `at` on that stands outside quotes; -1 if there is none."""
+        passed, found = [], -1
+        while at <= self.last:
+            k = self._event(at)
+            if k >= len(self.page):
+                break
+            if self.page[k] == ">":
+                found = k + 1
+                break
+            if k in self.known:
+                found = self.known[k]
+                break
+            passed.append(k)
+            close = self.page.find(self.page[k], k + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for k in passed:
+            self.known[k] = found
+        return found
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the first tag from `at` on; name is None for comments and the like."""
+        page = self.page
+        while m := OPEN.search(page, at):
+            at = m.end()
+            if m[2] is None:
+                if page.startswith("!--", m.start() + 1):
+                    close = page.find("-->", m.start() + 4)
+                    return m.start(), close + 3 if close >= 0 else len(page), "", None, ""
+                if at <= self.last:
+                    return m.start(), page.index(">", at) + 1, "", None, ""
+            elif (end := self.end(at)) >= 0:
+                return m.start(), end, m[1], m[2].lower(), page[at : end - 1]
+        return None
+
+
+class Path:
+    """The way to a block: an element's names (tag, then classes and ids with a dot) and its parent's way."""
+
+    __slots__ = ("names", "parent", "vector")
+
+    def __init__(self, parent: Path | None, names: tuple[str, ...]):
+        self.parent, self.names, self.vector = parent, names, None
+
+    def way(self) -> list[Path]:
+        out, at = [], self
+        while at is not None:
+            out.append(at)
+            at = at.parent
+        return out[::-1]
+
+    def __eq__(self, other):
+        return isinstance(other, Path) and [p.names for p in self.way()] == [p.names for p in other.way()]
+
+    def __hash__(self):
+        return hash(self.names)
+
+    def bits(self) -> np.ndarray:
+        """The hashed names on the way, each computed once from its parent's."""
+        todo, at = [], self
+        while at is not None and at.vector is None:
+            todo.append(at)
+            at = at.parent
+        v = np.zeros(PATH, bool) if at is None else at.vector
+        for p in reversed(todo):
+            v = v.copy()
+            for n in p.names:
+                v[_slot(n)] = True
+            p.vector = v
+        return v
+
+
+ROOT = Path(None, ())
+
+
+def blocks(page: str) -> list[tuple[Path, str]]:
+    """The leaf texts of a page in order, each with its path; white space as one space."""
+    found, stack, text = [], [], []  # stack: (name, path)
+    at, hidden, tags = 0, None, Tags(page)  # hidden: the place in stack of the outermost opaque element
+    opened: Counter = Counter()
 
     def end():
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                found.append((tuple(n for _, names in stack for n in names), joined))
+                found.append((stack[-1][1] if stack else ROOT, joined))
             text.clear()
 
     def pop(k: int):
         nonlocal hidden
         end()
+        for name, _ in stack[k:]:
+            opened[name] -= 1
         del stack[k:]
         if hidden is not None and hidden >= k:
             hidden = None
@@ -61,19 +160,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                 pop(len(stack) - 1)
             text.append(part)
 
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while tag := tags.next(at):
+        start, to, closing, name, attributes = tag
+        if start > at:
+            add(page[at:start])
+        at = to
+        if name is None:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closing:
             if name in INLINE:
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                pop(k)
+            if opened[name]:
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             else:
                 end()
             continue
@@ -85,62 +183,58 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         end()
         if stack and stack[-1][0] == "head" and name not in IN_HEAD:
             pop(len(stack) - 1)
-        whole = not m[3].rstrip().endswith("/")
+        whole = not attributes.rstrip().endswith("/")
         if name in RAW and whole:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = _raw_end(page, name, at)
             continue
         if name in VOID:
             continue
         if name in BLOCK_ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            pop(len(stack) - 1)
         shut = CLOSES.get(name)
         if shut and stack and stack[-1][0] in shut:
-            stack.pop()
-            if stack and stack[-1][0] in shut and stack[-1][0] != name:
-                stack.pop()
+            last = len(stack) - 1
+            pop(last - 1 if last and stack[last - 1][0] in shut and stack[last - 1][0] != name else last)
         if name == "select" and hidden is not None and stack[hidden][0] == "select":
             pop(hidden)
         if name in OPAQUE and whole and hidden is None:
             hidden = len(stack)
-        given = [x for g in NAMES.findall(m[3]) for x in PART.findall(" ".join(g).lower())] if m[3] else []
-        stack.append((name, (name, *(f".{g}" for g in given))))
+        given = [x for g in NAMES.findall(attributes) for x in PART.findall(" ".join(g).lower())] if attributes else []
+        stack.append((name, Path(stack[-1][1] if stack else None, (name, *(f".{g}" for g in given)))))
+        opened[name] += 1
     if at < len(page):
         add(page[at:])
     end()
     return found
 
 
-@cache
-def _slot(name: str) -> int:
-    return zlib.crc32(name.encode()) % PATH
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where a raw element ends. Without end tag a title or textarea ends at the next tag, others at the head's end or
+    the body's start, or else with the page."""
+    close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    if close:
+        return close.end()
+    other = re.compile("<" if name in ("title", "textarea") else r"</head\b|<body\b", re.I).search(page, at)
+    return other.start() if other else len(page)
 
 
-@cache
-def _path(names: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for n in names:
-        v[_slot(n)] = 1
-    if names:
-        v[_slot(f"leaf {next((n for n in reversed(names) if n[0] != '.'), '')}")] = 1
-    return v
+def _slot(name: str) -> int:
+    return zlib.crc32(name.encode()) % PATH
 
 
-@cache
+@lru_cache(500_000)
 def _word(w: str) -> int:
     return zlib.crc32(w.encode()) % WORDS
 
 
-def vectors(found: list[tuple[tuple[str, ...], str]]) -> np.ndarray:
+def vectors(found: list[tuple[Path, str]]) -> np.ndarray:
     """A row for each block: its tag path, its hashed words, its length and share of end marks and digits."""
     out = np.zeros((len(found), PATH + WORDS + STATS), np.float32)
-    for i, (names, text) in enumerate(found):
-        if _path.cache_info().currsize > 50_000:
-            _path.cache_clear()
-        if _word.cache_info().currsize > 500_000:
-            _word.cache_clear()
+    for i, (path, text) in enumerate(found):
         words = text.split()
-        out[i, :PATH] = _path(names)
+        out[i, :PATH] = path.bits()
+        if path.names:
+            out[i, _slot(f"leaf {path.names[0]}")] = 1
         out[i, PATH : PATH + WORDS] = np.sqrt(np.bincount([_word(w) for w in words], minlength=WORDS) / len(words))
         out[i, PATH + WORDS :] = np.log1p(len(words)) / 5, np.log1p(len(text)) / 8, text[-1] in ".!?…", sum(map(text.count, "©|»·")) > 0
     return out
@@ -178,9 +272,10 @@ class Labeller:
         with np.load(WEIGHTS) as z:
             return cls(dict(z))
 
-    def _run(self, x, there, s, keep=False):
-        """One direction's states; padding holds the state, so that both directions start at a page's own ends."""
-        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+    def _run(self, x, there, s, keep=False, state=None):
+        """One direction's states from `state` on, what it kept, and the state at its end; padding holds the state, so
+        that both directions start at a page's own ends."""
+        h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
         given = x @ self.w[f"x{s}"] + self.w[f"c{s}"]
         out, tape = np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         for t in range(len(x)) if s == "f" else range(len(x) - 1, -1, -1):
@@ -195,10 +290,10 @@ class Labeller:
                 tape.append((t, h, c, i, f, o, g, tc, m))
             h, c = h2, c2
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def logits(self, x, there, keep=False):
-        (hf, tf), (hb, tb) = self._run(x, there, "f", keep), self._run(x, there, "b", keep)
+        (hf, tf, _), (hb, tb, _) = self._run(x, there, "f", keep), self._run(x, there, "b", keep)
         both = np.concatenate([hf, hb], 2)
         return both @ self.w["o"] + x @ self.w["skip"] + self.w["ob"], both, tf, tb
 
@@ -222,6 +317,17 @@ class Labeller:
             grads |= {f"x{s}": gx, f"h{s}": gh, f"c{s}": gc}
         return grads
 
+    def long(self, found: list[tuple[Path, str]], stretch: int = STRETCH) -> np.ndarray:
+        """Which blocks of one page of any length are main text, by the same network, a stretch of blocks at a time."""
+        z, parts = np.zeros(len(found), np.float32), range(0, len(found), stretch)
+        for s, w, order in (("f", self.w["o"][:HIDDEN], parts), ("b", self.w["o"][HIDDEN:], reversed(parts))):
+            state = None
+            for at in order:
+                x = vectors(found[at : at + stretch])[:, None]
+                out, _, state = self._run(x, np.ones(x.shape[:2], bool), s, state=state)
+                z[at : at + stretch] += out[:, 0] @ w + (x[:, 0] @ self.w["skip"] + self.w["ob"] if s == "f" else 0)
+        return z > 0
+
     def main(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """For each page which of its blocks are main text. Pages of like length are labelled together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -244,7 +350,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Character references are decoded and white space inside a block is one space. Null and empty pages, and pages
     without a main block, give an empty text. Each row is worked on by itself: repeated ids and extra columns
-    change nothing.
+    change nothing. Work and memory are linear in a page: a tag that never ends is text, deep nesting shares its paths,
+    and a page of more than STRETCH blocks is labelled in stretches.
     """
     sent = pages.sparkSession.sparkContext.broadcast(Labeller.trained().w)
 
@@ -252,7 +359,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         model = Labeller(sent.value)
         for b in pieces(batches):
             found = [blocks(p or "") for p in b.column("text").to_pylist()]
-            marks = model.main([vectors(f) for f in found])
+            marks = model.main([vectors(f) if len(f) <= STRETCH else np.zeros((0, 0)) for f in found])
+            marks = [m if len(f) <= STRETCH else model.long(f) for f, m in zip(found, marks, strict=True)]
             texts = ["\n".join(t for (_, t), k in zip(f, m, strict=True) if k) for f, m in zip(found, marks, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
