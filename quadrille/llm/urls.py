@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,6 @@ RULES = (
 SUPPORT, COUNT, CONFIDENCE = 0.001, 5, 0.8
 #: Mined rules are broadcast up to so many; a shuffle join takes them beyond.
 SMALL = 50_000
-BAD = "=bad"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -46,27 +47,53 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(F.when(F.size(labels) > 0, F.concat(names, tops)).otherwise(F.array().cast("array<string>")), steps, keys, end))
 
 
+def alike_tokens(items: DataFrame) -> DataFrame:
+    """(token, name, n): `items` (row, token, bad) by token, with the least token that stands in just the same rows.
+
+    Tokens of the same rows (say, of one long path that is linked often) are one item to the miner, which else would
+    count all their subsets. Rows are compared by their number and two sums of hashes.
+    """
+    sums = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+    tokens = cut(items.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("int")).alias("b"), *sums))
+    names = tokens.groupBy("n", "s0", "s1").agg(F.min("token").alias("name"))
+    return cut(tokens.join(names, ["n", "s0", "s1"]).select("token", "name", "n", "b"))
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, confidence: float = CONFIDENCE) -> DataFrame:
     """(anchor, needs, confidence, hits): token combinations that foretell a bad URL, by Spark's FP-growth.
 
-    labelled: tokens array, bad boolean. Rules that contain a shorter rule of the same confidence or more are
-    dropped. anchor is the rarest of a rule's tokens, under which the inverted index finds it.
+    labelled: tokens array, bad boolean. Of rules that hold, the shortest are kept: one that contains another is
+    dropped. So tokens that are a rule by themselves are taken first and FP-growth combines only the others, of bad
+    URLs; tokens that always go together are one item. anchor is the rarest of a rule's tokens, under which the
+    inverted index finds it.
     """
-    baskets = cut(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")))
-    n = baskets.count()
-    empty = baskets.sparkSession.createDataFrame([], "anchor string, needs array<string>, confidence double, hits long")
-    if n < count or not baskets.filter(F.array_contains("items", BAD)).count():
+    rows = cut(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("row")))
+    n = rows.count()
+    empty = rows.sparkSession.createDataFrame([], "anchor string, needs array<string>, confidence double, hits long")
+    least = max(count, math.ceil(support * n))
+    if n < count or rows.filter("bad").count() < least:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(support, count / n), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select(F.array_sort("antecedent").alias("needs"), "confidence", F.round(F.col("support") * n).cast("long").alias("hits"))
-    rules = cut(rules.filter((F.col("hits") >= count) & (F.size("needs") > 0)))
-    parts = rules.select(F.explode("needs").alias("token"), F.struct("needs", "confidence").alias("r"))
-    general = rules.select(F.col("needs").alias("g"), F.col("confidence").alias("gc"), F.col("needs")[0].alias("token"))
-    wider = parts.join(general, "token").filter((F.size("g") < F.size("r.needs")) & (F.size(F.array_except("g", "r.needs")) == 0) & (F.col("gc") >= F.col("r.confidence"))).select(F.col("r.needs").alias("needs")).distinct()
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    kept = rules.join(wider, "needs", "left_anti")
-    anchors = kept.select("needs", F.explode("needs").alias("token")).join(single, "token").groupBy("needs").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return kept.join(anchors, "needs").select("anchor", "needs", "confidence", "hits")
+    items = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    tokens = alike_tokens(items).filter(F.col("b") >= least)
+    single = tokens.filter(F.col("b") >= confidence * F.col("n"))
+    alone = single.select(F.col("token").alias("anchor"), F.array("token").alias("needs"), (F.col("b") / F.col("n")).alias("confidence"), F.col("b").cast("long").alias("hits"))
+    others = tokens.join(single.select("token"), "token", "left_anti")
+    baskets = cut(items.join(others.filter("token = name").select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items")))
+    bad = baskets.filter("bad").select("items")
+    m = bad.count()
+    if not m:
+        return alone
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / m), minConfidence=1.0).fit(bad).freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= least))
+    sets = cut(sets.select(F.array_sort("items").alias("needs"), F.col("freq").alias("hits")))
+    size = others.select("token", F.col("n").alias("size"))
+    rarest = sets.select("needs", F.explode("needs").alias("token")).join(size, "token").groupBy("needs").agg(F.min(F.struct("size", "token"))["token"].alias("anchor"))
+    sets = cut(sets.join(rarest, "needs"))
+    good = baskets.filter("not bad").select(F.col("items").alias("has"), F.explode("items").alias("anchor")).join(sets, "anchor").filter(F.size(F.array_except("needs", "has")) == 0)
+    sets = sets.join(good.groupBy("needs").agg(F.count(F.lit(1)).alias("g")), "needs", "left").withColumn("confidence", F.col("hits") / (F.col("hits") + F.coalesce("g", F.lit(0))))
+    rules = cut(sets.filter(F.col("confidence") >= confidence).select("anchor", "needs", "confidence", "hits"))
+    parts = rules.select(F.col("needs").alias("r"), F.explode("needs").alias("anchor"))
+    wider = parts.join(rules.select("anchor", F.col("needs").alias("g")), "anchor").filter((F.size("g") < F.size("r")) & (F.size(F.array_except("g", "r")) == 0)).select(F.col("r").alias("needs")).distinct()
+    return alone.union(rules.join(wider, "needs", "left_anti").select("anchor", "needs", "confidence", "hits"))
 
 
 def filtered(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", support: float = SUPPORT, count: int = COUNT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -75,7 +102,8 @@ def filtered(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "pa
     The longest curated rule that fits decides; else a fitting mined rule blocks, and what none fits is allowed.
     Labels belong to the page of their id: bad is quality 0 or toxic 1; rows with null labels are left out. A
     null url, or one without ://, has empty host and path and no tokens. Rows that repeat an id are judged each.
-    Extra columns change nothing. Without labels nothing is mined; an empty table gives an empty one.
+    Extra columns change nothing; long urls of many parts are one basket each. Without labels nothing is mined; an
+    empty table gives an empty one.
     """
     host, path = host_path(F.col(url_col))
     rows = cut(pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), tokens(F.col(url_col)).alias("tokens"), F.monotonically_increasing_id().alias("row")))
