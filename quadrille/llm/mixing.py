@@ -11,6 +11,8 @@ from quadrille.llm.common import WORD, cut
 SMALL = 100_000
 #: Documents of a source that are rounded together.
 CHUNK = 256
+#: Equal rows are written out again in blocks of so many.
+EQUAL = 10_000
 
 
 def words(text: Column) -> Column:
@@ -55,7 +57,9 @@ def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, to
 
     goals: family column -> (family, target). The dual sum(size * exp(lam)) - sum(lam * target) is convex; its
     Hessian within a family is diagonal, so each round takes one Newton step for each family in turn, with the
-    tokens summed by Spark and the step bounded by 1. A goal of no tokens gives rate 0.
+    tokens summed by Spark and the step bounded by 1. A goal of no tokens gives rate 0. Goals that can't all be met
+    within `rounds` raise an error. One family alone parts the dual into one equation for each member; its documents
+    then share one rate, since nothing else tells them apart.
     """
     at = cut(cells.withColumn("lam", F.lit(0.0)))
     for _ in range(rounds):
@@ -70,6 +74,8 @@ def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, to
             at = at.drop("off")
         if worst < tolerance:
             break
+    else:
+        raise ArithmeticError(f"the dual did not converge in {rounds} rounds: some goal is missed by a share of {worst:.3g}")
     return at.withColumn("rate", F.exp("lam")).drop("lam")
 
 
@@ -79,11 +85,19 @@ def whole_copies(docs: DataFrame, most: int = 3) -> DataFrame:
     A source's documents are dealt by a hash of their id to chunks of about CHUNK. There, from the longest down,
     each takes the whole number (rate rounded down or up) that keeps the chunk's tokens nearest to rate times
     size, so what one leaves over the next ones make up; where their sizes can't, beside a giant, any number from
-    0 to `most` is open to them. The deal depends on ids alone: reruns agree. `row` orders documents of one id and size.
+    0 to `most` is open to them. The deal depends on ids alone: reruns agree. `row` orders documents of one id and
+    size; equal ones are numbered, so that they too are dealt to chunks of CHUNK.
     """
     row = ["row"] if "row" in docs.columns else []
-    chunk = F.pmod(F.xxhash64("doc_id", "size"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).alias("chunk")
-    held = docs.select("*", chunk).groupBy("source", "chunk", "rate").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", *row)), asc=False).alias("d"))
+    one = ["source", "doc_id", "size", *row]
+    equal = docs.groupBy(*one, "rate", "n").agg(F.count(F.lit(1)).alias("m"))
+    many = F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / EQUAL))
+    blocks = equal.filter(F.col("m") > EQUAL).select("*", F.explode(many).alias("b")).repartition(*one, "b")
+    blocks = blocks.withColumn("m", F.least(F.lit(EQUAL).cast("long"), F.col("m") - F.col("b") * EQUAL))
+    equal = equal.filter(F.col("m") <= EQUAL).withColumn("b", F.lit(0).cast("long")).unionByName(blocks)
+    numbered = equal.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("k")).withColumn("k", F.col("k") + F.col("b") * EQUAL)
+    chunk = F.pmod(F.xxhash64("doc_id", "size", *row, "k"), F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK))).alias("chunk")
+    held = numbered.select(*one, "rate", "k", chunk).groupBy("source", "chunk", "rate").agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", *row, "k")), asc=False).alias("d"))
     rate = F.least(F.col("rate"), F.lit(float(most)))
     low = F.floor(rate + 1e-6).cast("int")
     high = F.least(F.lit(most), F.ceil(rate - 1e-6).cast("int"))
@@ -109,7 +123,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
     Sources in code point order, null as one last source of its own, weigh 1, 2, 3 and so on in turn. Null and
     empty texts have size 0, are taken 0 times at rate 0 and change no sum. If every text is empty, all targets
-    are 0. Rows that repeat an id are rounded each on its own. An empty table gives an empty one. row_col, a hash
+    are 0. Rows that repeat an id are rounded each on its own, also equal ones; texts of any length are counted whole. An empty table gives an empty one. row_col, a hash
     that tells rows of one id apart, is passed on as `row`.
     """
     row = [F.col(row_col).alias("row")] if row_col else []
