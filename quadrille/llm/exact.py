@@ -47,18 +47,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The rows of docs that stay, with all their columns; exactly one of each group, repeated rows included.
 
     Rows that the Bloom filter clears don't shuffle. The others meet by digest; Spark's top-1 window drops all
-    but one row of a digest in each task before the shuffle, so hot groups don't travel.
+    but one row of a digest in each task before the shuffle, so hot groups don't travel. Columns of any name are kept.
     """
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("__h", F.xxhash64("__sha"))
-    hashes = cut(rows.select("__h"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no name of the caller's clashes
+    text, row_id = F.col(names[text_col]), F.col(names[id_col])
+    rows = docs.select(*[F.col(c).alias(k) for c, k in names.items()]).withColumn("sha", F.sha2(normalised(text), 256)).withColumn("h", F.xxhash64("sha"))
+    hashes = cut(rows.select("h"))
     bits = bloom_bits(hashes.count())
-    filter_ = cut(bloom(hashes, "__h", bits, repeated=True))
-    marked = probe(rows, "__h", filter_, bits, "__maybe")
-    first = F.row_number().over(
-        Window.partitionBy("__sha").orderBy(F.length(F.coalesce(F.col(text_col), F.lit(""))).desc(), F.col(id_col).asc_nulls_last())
-    )
-    best = marked.filter("__maybe").withColumn("__first", first).filter("__first = 1")
-    return marked.filter("not __maybe").select(docs.columns).unionByName(best.select(docs.columns))
+    filter_ = cut(bloom(hashes, "h", bits, repeated=True))
+    marked = probe(rows, "h", filter_, bits, "maybe")
+    first = F.row_number().over(Window.partitionBy("sha").orderBy(F.length(F.coalesce(text, F.lit(""))).desc(), row_id.asc_nulls_last()))
+    best = marked.filter("maybe").withColumn("first", first).filter("first = 1")
+    kept = marked.filter("not maybe").select(*names.values()).unionByName(best.select(*names.values()))
+    return kept.select(*[F.col(k).alias(c) for c, k in names.items()])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -61,6 +62,13 @@ def test_exact(docs, none, corpus):
     assert exact.duplicate_groups(none).count() == exact.dedup(none).count() == 0
 
 
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b", "s1", 1, 2), (2, "ab", "s2", 3, 4), (3, "c", "s3", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __sha string, h int, maybe int")
+    left = exact.dedup(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [rows[0], rows[2]]
+
+
 def test_bloom_lets_all_repeats_pass(spark):
     rows = spark.range(3000).select(F.xxhash64(F.when(F.col("id") < 400, F.col("id") % 200).otherwise(F.col("id"))).alias("h"), (F.col("id") < 400).alias("twice"))
     bits = common.bloom_bits(3000)
@@ -100,6 +108,20 @@ def test_mixing(docs, none, corpus):
     assert mixing.mixture(none).count() == 0
 
 
+def test_mixing_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL", 700)
+    rows = spark.range(20_000).select(F.when(F.col("id") < 15_000, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 4 == 0, "s").otherwise("t").alias("source"))
+    got = mixing.mixture(rows).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert {r.source: r.n for r in got} == {"s": 5000, "t": 15_000} and all(abs(r.taken - r.target) < 0.01 * r.target and r.most <= 3 for r in got)
+
+
+def test_balancing_reports_goals_out_of_reach(spark):
+    cells = spark.createDataFrame([("a", "x", 100), ("b", "y", 100)], "f string, g string, size long")
+    goals = {"f": spark.createDataFrame([("a", 50.0), ("b", 150.0)], "f string, target double"), "g": spark.createDataFrame([("x", 150.0), ("y", 50.0)], "g string, target double")}
+    with pytest.raises(ArithmeticError):
+        mixing.balanced(cells, goals, rounds=4)
+
+
 def test_balancing_meets_two_families(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 50)], "f string, g string, size long")
     goals = {"f": spark.createDataFrame([("a", 300.0), ("b", 350.0)], "f string, target double"), "g": spark.createDataFrame([("x", 250.0), ("y", 400.0)], "g string, target double")}
@@ -297,6 +319,48 @@ def test_pii(spark, none):
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert clean[10] == "the  guy [EMAIL] said bye" and clean[3] is None and clean[30] == rows[13][1]
     assert pii.spans_of(none).count() == 0
+    six = docs.unionAll(docs).unionAll(docs)
+    assert pii.spans_of(six.unionAll(six)).filter("size(terms) > 0").count() == 36
+
+
+def test_secrets_by_disclosing_terms(spark):
+    r = random.Random(4)
+    hexed = ["".join(r.choices("0123456789abcdef", k=40)) for _ in range(8)]
+    rows = [(i, f"{words(r, 20)} token = \"{h}\" {words(r, 20)}") for i, h in enumerate(hexed)]
+    rows += [(100 + i, words(r, 40)) for i in range(80)] + [(200, "an id of build" + "er2" * 10)]
+    got = {x.doc_id: [tuple(s) for s in x.terms] for x in pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, h in enumerate(hexed):
+        at = rows[i][1].index(h)
+        assert ("secret", at, at + 40) in got[i] and ("removed", at - 9, at - 4) in got[i]
+    assert not any(got[i] for i in got if i >= 100)
+
+
+def test_context_against_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choices(["ab", "é", " ", " ", "1", "@x.de", "a@b.cd", "zz zz ", "1.2.3.4"], k=30))
+        spans, words_ = pii.base_spans(text), [m.span() for m in pii.LETTER_RUN.finditer(text)]
+        free = [w for w in words_ if not any(w[0] < e and s < w[1] for _, s, e in spans)]
+        want = []
+        for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+            near = [w for w in free if w[0] < a][-3:] + [w for w in free if w[0] >= b][:3]
+            want += [(k, text[x:y].lower(), x, y, kind, a, b) for k in pii.keys_of(kind, text[a:b]) for x, y in near]
+        assert pii.context(text, spans, 3) == want
+    assert [t[1] for t in pii.context("w" * 400 + " a@b.cd " + " " * 300 + "far", [("email", 401, 407)], 5)] == ["w" * 400, "far"] * 2
+    began = time.time()
+    text = "name a@b.cd " * 50_000
+    assert len(pii.context(text, pii.base_spans(text), 5)) > 900_000 and time.time() - began < 30
+
+
+def test_patterns_equal_sql(spark):
+    """Cards and phones against plain scans of the contract's patterns."""
+    r = random.Random(2)
+    for _ in range(3000):
+        t = "".join(r.choices("0123456789 -+().x", k=r.randint(0, 60)))
+        want = [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        assert sorted(s for s in pii.base_spans(t) if s[0] in ("card", "phone")) == sorted(want)
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
 def test_warc(spark):
@@ -389,6 +453,30 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filtered(pages.filter("page_id > 99"), labels.limit(0)).collect()} == {"allow"}
 
 
+def test_mined_rules_against_brute_force(spark):
+    r = random.Random(7)
+    rows = [(sorted(set(r.choices("abcdefgh", k=4))), False) for _ in range(120)]
+    rows = [(t, {"a", "b"} <= set(t) or "c" in t and "d" in t and r.random() < 0.95 or "h" in t and r.random() < 0.9) for t, _ in rows]
+    got = {tuple(x.needs): (x.hits, round(x.confidence, 6)) for x in urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.001, 4, 0.8).collect()}
+    hold = {}
+    for k in range(1, 5):
+        for c in combinations("abcdefgh", k):
+            bad, every = sum(b for t, b in rows if set(c) <= set(t)), sum(set(c) <= set(t) for t, _ in rows)
+            if bad >= 4 and bad >= 0.8 * every and not any(set(h) < set(c) for h in hold):
+                hold[c] = (bad, round(bad / every, 6))
+    assert got == hold and len(hold) > 2
+
+
+def test_long_urls_are_mined_in_time(spark):
+    r = random.Random(9)
+    long = "/".join(f"word{i}" for i in range(40))
+    rows = [(i, f"http://h{i % 7}.org/{long}") for i in range(6)] + [(50 + i, f"http://g{i}.org/{r.randint(0, 99)}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(6)] + [(50 + i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert {x.page_id for x in got if x.verdict == "block"} == set(range(6)) and time.time() - began < 60
+
+
 def test_extract(spark):
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; <i>tail</i></h1><p>One\n two <b>three<br><p>Four &lt;5&gt;.</p><div class="ad">Ad</div></article><footer>&copy; me</footer></body></html>'
     pages = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p"), (1, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
