@@ -169,13 +169,13 @@ def disclosing(found: DataFrame, docs: DataFrame, share: float = DISCLOSURE, sup
     to know of it.
 
     With p() as shares of all rows, a term tells log p(term, key) / (p(term) p(key)) of the key's -log p(key); pairs in
-    fewer than `support` different texts are left alone, so that copies lend no support. Very rare terms are removed,
-    others generalised. All shares are of rows, repeated ones each; pairs come from neighbourhoods of bounded size, and
+    fewer than `support` documents are left alone, where equal rows are one. Very rare terms are removed, others
+    generalised. All shares are of rows, repeated ones each; pairs come from neighbourhoods of bounded size, and
     are summed before they move.
     """
     n = max(1, found.count())
-    near = found.select("row", "th", F.inline("context")).select("row", "th", "key", "term").distinct()
-    texts = near.groupBy("key", "term", "th").agg(F.count(F.lit(1)).alias("c"))
+    near = found.select("row", "doc_id", "th", F.inline("context")).select("row", "doc_id", "th", "key", "term").distinct()
+    texts = near.groupBy("key", "term", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
     pairs = texts.groupBy("key", "term").agg(F.sum("c").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
     keys = near.select("row", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("ef"))
     met = pairs.join(keys, "key").join(term_documents(docs), "term")
