@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.operators.normal import HOMOGRAPHY, fit_homography, homography_error
+from quadrille.operators.points import min_inliers
+from quadrille.operators.steps import cut
 
 SIMILARITY = ("a0", "a1", "a2", "a3")
 AFFINE = ("m0", "m1", "m2", "m3", "m4", "m5")
@@ -98,14 +101,21 @@ LINE_MODEL = Model(2, ("nx", "ny", "ax", "ay"), fit_line_tls, line_error)
 HOMOGRAPHY_MODEL = Model(4, tuple(HOMOGRAPHY), fit_homography, homography_error)
 
 
-def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL) -> DataFrame:
-    """pair_id, h, and a model through points that an integer hash of h picks; needs pt = 0..n-1 per pair."""
+def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL, todo: DataFrame | None = None) -> DataFrame:
+    """pair_id, h, and a model through points that an integer hash of h picks; needs pt = 0..n-1 per pair.
+
+    todo: (pair_id, since, until), the pairs and rounds to draw; else all pairs, `rounds` each.
+    """
     np_ = F.col("np")
     n = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("np")).filter(np_ >= model.size)
-    h = n.select("pair_id", "np", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("h"))
+    if todo is None:
+        n = n.withColumns({"since": F.lit(0).cast("long"), "until": F.lit(rounds).cast("long")})
+    else:
+        n = n.join(todo, "pair_id")
+    h = n.select("pair_id", "np", F.explode(F.sequence("since", F.col("until") - 1)).alias("h"))
     picked: list[Column] = []
     for times, plus in ((7919, 13), (104729, 71), (15485863, 29), (32452843, 53))[: model.size]:
-        at = (F.col("h") * times + plus) % np_
+        at = F.when(F.col("h") < rounds, (F.col("h") * times + plus) % np_).otherwise(F.pmod(F.xxhash64("h", F.lit(times)), np_))
         for _ in picked:
             at = F.when(F.array_contains(F.array(*picked), at), (at + 1) % np_).otherwise(at)
         picked.append(at)
@@ -114,15 +124,34 @@ def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL)
     return fitted.dropna(subset=[model.names[0]]).drop("n")
 
 
-def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, confidence: float = 0.99, most: int = 1000, support: float | None = None, doubt: float = 0.05) -> DataFrame:
     """pair_id, h, inliers, n and the model: the hypothesis with most inliers (error < factor sigma^2), refitted on them.
 
-    Hypotheses are rows (rounds for each pair) joined to the pair's points; inliers are summed in each task before
+    Each pair is tried `rounds` times, and then on while its best share w of inliers asks for more: a sample of clean
+    points has come up with `confidence` after log(1 - confidence) / log(1 - w^size) rounds, `most` at most. Only
+    pairs that need more are tried on. support: pairs whose inliers may be chance (min_inliers) are left out.
+
+    Hypotheses are rows joined to the pair's points, which are kept once; inliers are summed in each task before
     they are shuffled, so what moves is one count for each hypothesis and task.
     """
-    limit, names = factor * sigma * sigma, model.names
-    scored = points.join(hypotheses(points, rounds, model), "pair_id").groupBy("pair_id", "h", *names).agg(F.sum((model.error() < limit).cast("long")).alias("inliers"))
-    best = scored.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"), *names)).alias("b")).select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
+    limit, names, points = factor * sigma * sigma, model.names, cut(points)
+    best, todo = None, None
+    while True:
+        scored = points.join(hypotheses(points, rounds, model, todo), "pair_id").groupBy("pair_id", "h", *names).agg(F.sum((model.error() < limit).cast("long")).alias("inliers"), F.count(F.lit(1)).alias("np"))
+        found = scored.groupBy("pair_id", "np").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"), *names)).alias("b"))
+        found = found.withColumn("tried", F.lit(rounds).cast("long")) if todo is None else found.join(todo.select("pair_id", F.col("until").alias("tried")), "pair_id")
+        if best is not None:
+            found = found.unionByName(best).groupBy("pair_id", "np").agg(F.max("b").alias("b"), F.max("tried").alias("tried"))
+        best = cut(found)
+        clean = F.least(F.lit(1 - 1e-12), F.pow(F.col("b.inliers") / F.col("np"), F.lit(float(model.size))))
+        need = F.when(clean > 0, F.ceil(math.log(1 - confidence) / F.log(1 - clean))).otherwise(most)
+        open_ = best.withColumn("until", F.least(need, F.lit(most), 4 * F.col("tried")).cast("long")).filter("until > tried")
+        todo = cut(open_.select("pair_id", F.col("tried").alias("since"), "until"))
+        if todo.isEmpty():
+            break
+    if support is not None:
+        best = best.filter(F.col("b.inliers") >= min_inliers(F.col("np"), model.size, support, doubt))
+    best = best.select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
     kept = points.join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", *[c for c in ("x", "y", "x2", "y2") if c in points.columns])
     return model.fit(kept, ["pair_id", "h", "inliers"])
 

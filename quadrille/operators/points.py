@@ -39,27 +39,49 @@ def best_per_block(blocked: DataFrame, most: int = 1) -> DataFrame:
     return blocked.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
-def min_inliers(n: Column, model: int, support: float, doubt: float, most: int = 60) -> Column:
-    """The least j in model+1..most such that j or more inliers of n by chance are less likely than `doubt`.
+def min_inliers(n: Column, model: int, support: float, doubt: float) -> Column:
+    """The least j in model+1..n such that j or more inliers of n by chance are less likely than `doubt`, or null.
 
-    Beyond the `model` points of the sample, each is an inlier by chance with probability `support`.
+    Beyond the `model` points of the sample, each is an inlier by chance with probability `support`. The binomial
+    tail is summed from n down, its terms by the ratio of neighbours in logarithms, so that any n will do.
     """
-    facts = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
-    rest = (n - model).cast("int")
+    rest = (n - model).cast("long")
+    odds = math.log((1 - support) / support)
+    start = F.struct((rest * math.log(support)).cast("double").alias("term"), F.lit(0.0).alias("tail"), F.lit(None).cast("long").alias("least"))
 
-    def chance(i: Column) -> Column:
-        k = i - model
-        return F.exp(F.element_at(facts, rest + 1) - F.element_at(facts, k + 1) - F.element_at(facts, rest - k + 1) + k * math.log(support) + (rest - k) * math.log(1 - support))
+    def down(s: Column, k: Column) -> Column:
+        tail = s["tail"] + F.exp(s["term"])
+        return F.struct((s["term"] + F.log(k / (rest - k + 1)) + odds).alias("term"), tail.alias("tail"), F.when(tail < doubt, k).otherwise(s["least"]).alias("least"))
 
-    def tail(j: Column) -> Column:
-        return F.aggregate(F.sequence(j, n.cast("int")), F.lit(0.0), lambda s, i: s + chance(i))
+    return F.when(rest > 0, F.aggregate(F.sequence(rest, F.lit(1).cast("long"), F.lit(-1).cast("long")), start, down)["least"] + model)
 
-    fits = F.filter(F.sequence(F.lit(model + 1), n.cast("int")), lambda j: tail(j) < doubt)
-    return F.element_at(fits, 1).cast("long")
+
+def prosac_samples(points: DataFrame, rounds: int) -> DataFrame:
+    """pair_id, h, newest, other: pairs of points (pair_id, pt, score) in the order of growing prefixes by score.
+
+    Round h draws from the h + 2 best points: the last of them, and one before it by a hash of h.
+    """
+    s = points.select("pair_id", "pt", (F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("score"), "pt")) - 1).alias("k")).filter(F.col("k") <= rounds)
+    n = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    h = n.select("pair_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))).alias("h")).withColumn("m", F.least("n", F.col("h") + 2))
+    picks = h.select("pair_id", "h", (F.col("m") - 1).alias("a"), ((F.col("h") * 7919 + 13) % (F.col("m") - 1)).alias("b"))
+    one = s.select("pair_id", F.col("k").alias("a"), F.col("pt").alias("newest"))
+    two = s.select("pair_id", F.col("k").alias("b"), F.col("pt").alias("other"))
+    return picks.join(one, ["pair_id", "a"]).join(two, ["pair_id", "b"]).select("pair_id", "h", "newest", "other")
+
+
+def kth_value(rows: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
+    """keys, value: the k-th smallest of each group, or the largest where it has fewer rows."""
+    w = Window.partitionBy(*keys)
+    r = rows.select(*keys, value, F.row_number().over(w.orderBy(value, tie)).alias("k"), F.count(F.lit(1)).over(w).alias("c"))
+    return r.filter(F.col("k") == F.least(F.lit(k), "c")).select(*keys, F.col(value).alias("value"))
 
 
 def merge_metadata(items: DataFrame) -> DataFrame:
-    """key, value of (source, key, value) for the keys of the first source: '*' where sources differ or lack it."""
+    """key, value of (source, key, value) for the keys of the first source by name: '*' where sources differ or lack it.
+
+    Rows that repeat change nothing.
+    """
     n, first = items.agg(F.countDistinct("source"), F.min("source")).first()
-    g = items.groupBy("key").agg(F.countDistinct("value").alias("v"), F.count(F.lit(1)).alias("c"), F.min("value").alias("m"), F.bool_or(F.col("source") == F.lit(first)).alias("has"))
+    g = items.groupBy("key").agg(F.countDistinct("value").alias("v"), F.countDistinct("source").alias("c"), F.min("value").alias("m"), F.bool_or(F.col("source") == F.lit(first)).alias("has"))
     return g.filter("has").select("key", F.when((F.col("v") == 1) & (F.col("c") == n), F.col("m")).otherwise("*").alias("value"))

@@ -28,16 +28,20 @@ def integral_image(px: DataFrame) -> DataFrame:
 
 
 def box_sums(integral: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Sum of value in each box (box_id, image_id, band, r0, c0, r1, c1, ends included) by its four corners.
+    """box_id, total, n, mean, std (of n) of value in each box (box_id, image_id, band, r0, c0, r1, c1, ends included).
 
-    A corner outside counts 0; one beyond the edge is clipped to it; sums below 0 become 0.
+    By its four corners: one outside counts 0, one beyond the edge is clipped to it; sums below 0 become 0. A box
+    without cells has null mean and std.
     """
     edge = integral.groupBy(*KEY).agg(F.max("row").alias("mr"), F.max("col").alias("mc"))
     b = boxes.join(edge, KEY).withColumns({"r1": F.least("r1", "mr"), "c1": F.least("c1", "mc")})
+    sides = [F.greatest(F.lit(0), F.col(h) - F.greatest(F.lit(0), F.col(lo)) + 1) for lo, h in (("r0", "r1"), ("c0", "c1"))]
     corners = F.array(*[F.struct(r.alias("row"), c.alias("col"), F.lit(s).alias("sign")) for r, c, s in ((F.col("r1"), F.col("c1"), 1), (F.col("r0") - 1, F.col("c1"), -1), (F.col("r1"), F.col("c0") - 1, -1), (F.col("r0") - 1, F.col("c0") - 1, 1))])
-    at = b.select("box_id", *KEY, F.inline(corners))
-    met = at.join(integral.select(*KEY, "row", "col", "s"), [*KEY, "row", "col"], "left")
-    return met.groupBy("box_id").agg(F.greatest(F.lit(0.0), F.sum(F.coalesce(F.col("sign") * F.col("s"), F.lit(0.0)))).alias("total"))
+    at = b.select("box_id", *KEY, (sides[0] * sides[1]).cast("long").alias("n"), F.inline(corners))
+    met = at.join(integral.select(*KEY, "row", "col", "s", "s2"), [*KEY, "row", "col"], "left")
+    sums = met.groupBy("box_id", "n").agg(*[F.greatest(F.lit(0.0), F.sum(F.coalesce(F.col("sign") * F.col(c), F.lit(0.0)))).alias(o) for c, o in (("s", "total"), ("s2", "__t2"))], F.sum(F.coalesce(F.col("sign") * F.col("s"), F.lit(0.0))).alias("__t"))
+    mean = F.col("__t") / F.nullif(F.col("n"), F.lit(0))
+    return sums.select("box_id", "total", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("__t2") / F.nullif(F.col("n"), F.lit(0)) - mean * mean)).alias("std"))
 
 
 def convolve_1d(px: DataFrame, kernel: list[float], axis: str, strict: bool = False) -> DataFrame:
@@ -88,6 +92,24 @@ def local_maxima(px: DataFrame, strict: bool = True) -> DataFrame:
     return x.select(*KEY, "row", "col", F.when(full & best, F.col("value")).alias("value"))
 
 
+def local_minima(px: DataFrame, strict: bool = True) -> DataFrame:
+    """As local_maxima, where value is below (or not above) all 8 neighbours."""
+    turned = local_maxima(px.withColumn("value", -F.col("value")), strict)
+    return turned.withColumn("value", -F.col("value"))
+
+
+def stacked(px: DataFrame, images: list, names: list[str]) -> DataFrame:
+    """row, col and one column for each of `images`, null where it has no cell."""
+    w = px.groupBy("row", "col").pivot("image_id", images).agg(F.max("value"))
+    return w.select("row", "col", *[F.col(f"`{i}`").alias(n) for i, n in zip(images, names, strict=True)])
+
+
+def band_math(px: DataFrame, bands: dict[str, object], expression: str, keys: tuple[str, ...] = ("row", "col")) -> DataFrame:
+    """keys, value: an SQL expression over named bands (name -> value of column band), null where one it needs is."""
+    one = [F.max(F.when(F.col("band") == F.lit(b), F.col("value"))).alias(n) for n, b in bands.items()]
+    return px.groupBy(*keys).agg(*one).select(*keys, F.expr(expression).alias("value"))
+
+
 def density_reduce(px: DataFrame, size: int, density: float) -> DataFrame:
     """In each tile keep the ceil(density * size^2) largest values, others null; ties go to the first row and column."""
     keep = math.ceil(density * size * size)

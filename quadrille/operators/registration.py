@@ -35,10 +35,10 @@ def nearest_3d(points: DataFrame, master: DataFrame, radius: float) -> DataFrame
     around = F.array(*[F.struct(*[(cell(c) + s).alias(f"__c{c}") for c, s in zip(XYZ, step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
     extra = [c for c in master.columns if c not in ("id", *XYZ)]
     right = master.select(F.struct(*XYZ, *extra).alias("__m"), F.inline(around))
-    left = points.withColumns({f"__c{c}": cell(c) for c in XYZ})
+    left = points.withColumns({f"__c{c}": cell(c) for c in XYZ} | {"__row": F.monotonically_increasing_id()})  # equal points stay apart
     square = sum((F.col(c) - F.col(f"__m.{c}")) * (F.col(c) - F.col(f"__m.{c}")) for c in XYZ)
     met = left.join(right, [f"__c{c}" for c in XYZ]).withColumn("d", F.sqrt(square)).filter(F.col("d") <= radius)
-    best = met.groupBy(*points.columns).agg(F.min(F.struct("d", "__m")).alias("b"))
+    best = met.groupBy("__row", *points.columns).agg(F.min(F.struct("d", "__m")).alias("b"))
     return best.select(*points.columns, F.col("b.d").alias("d"), *[F.col(f"b.__m.{c}").alias(f"m_{c}") for c in (*XYZ, *extra)])
 
 

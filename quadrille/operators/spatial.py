@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.steps import cut
+
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -67,17 +69,50 @@ def control_grid(scenes: DataFrame, levels: int, lines: int, samples: int) -> Da
     return g.select("scene_id", "level", "line", "sample", x.alias("x"), y.alias("y"), z.alias("z"))
 
 
-def kmeans_step(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """One Lloyd step: k, n, and the means of x, y, dx, dy of the points (id, x, y, dx, dy) nearest to centre k.
+def _nearest_centre(centres: list) -> Column:
+    """The k of the centre (k, cx, cy) nearest to x, y; ties go to the lower k."""
+    d = [F.struct(((F.col("x") - float(c[1])) * (F.col("x") - float(c[1])) + (F.col("y") - float(c[2])) * (F.col("y") - float(c[2]))).alias("d"), F.lit(c[0]).cast("long").alias("k")) for c in centres]
+    return F.array_min(F.array(*d))["k"]
+
+
+def _few(centres: DataFrame, most: int) -> list:
+    rows = centres.select("k", "cx", "cy").orderBy("k").limit(most + 1).collect()
+    if not rows or len(rows) > most:
+        raise ValueError(f"k-means needs 1 to {most} centres")
+    return rows
+
 
-    The centres (k, cx, cy) are few and travel as one array; ties go to the lower k.
+def kmeans_step(points: DataFrame, centres: DataFrame, most: int = 1000) -> DataFrame:
+    """One Lloyd step: k, n, and the means of x, y, dx, dy of the points (x, y, dx, dy) nearest to centre k.
+
+    The centres (k, cx, cy), `most` at most, are constants of the plan: no join is needed.
     """
-    few = F.broadcast(centres.groupBy().agg(F.collect_list(F.struct("k", "cx", "cy")).alias("cs")))
-    d = F.transform("cs", lambda c: F.struct(((F.col("x") - c["cx"]) * (F.col("x") - c["cx"]) + (F.col("y") - c["cy"]) * (F.col("y") - c["cy"])).alias("d"), c["k"].alias("k")))
-    near = points.join(few, F.lit(True)).select(F.array_min(d)["k"].alias("k"), "x", "y", "dx", "dy")
+    near = points.withColumn("k", _nearest_centre(_few(centres, most)))
     return near.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "dx", "dy")])
 
 
+def kmeans_points(points: DataFrame, k: int, rounds: int = 100, most: int = 1000) -> tuple[DataFrame, DataFrame, bool]:
+    """Points (id, x, y, dx, dy) with their cluster k; the clusters (k, n, x, y, dx, dy); whether no point moved at last.
+
+    Starts from the k points of least hash of their id; a cluster that loses all points is dropped. The driver holds
+    the centres only.
+    """
+    points = cut(points)
+    start = points.orderBy(F.xxhash64("id"), "id").limit(min(k, most + 1)).select(F.col("x").alias("cx"), F.col("y").alias("cy")).collect()
+    if not 0 < len(start) <= most:
+        raise ValueError(f"k-means needs 1 to {most} centres")
+    centres, seen, still = [(i, *r) for i, r in enumerate(start)], None, False
+    for _ in range(rounds):
+        at = points.withColumn("k", _nearest_centre(centres))
+        means = at.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "dx", "dy")], F.sum(F.xxhash64("id", "k").cast("decimal(38,0)")).alias("mark")).orderBy("k").collect()
+        now = [(r.k, r.n, r.mark) for r in means]
+        still, seen = now == seen, now
+        if still:
+            break
+        centres = [(r.k, r.x, r.y) for r in means]
+    return at, at.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "dx", "dy")]), still
+
+
 def datum_shift(points: DataFrame, dx: float, dy: float, dz: float, a: float = 6378137.0, f: float = 1 / 298.257223563) -> DataFrame:
     """Points (lon, lat in degrees, hgt) moved by a geocentric shift: to XYZ, add, and back by Bowring's formula."""
     e2, b = f * (2 - f), a * (1 - f)
@@ -99,6 +134,26 @@ def target_extent(boxes: DataFrame, step: float) -> DataFrame:
     return g.select(*[((F.floor if "min" in c else F.ceil)(F.col(c) / step) * step).alias(c) for c in BOX])
 
 
+def target_grid(boxes: DataFrame, te: tuple[float, float, float, float] | None = None, tr: float | None = None, ts: tuple[int, int] | None = None, align: bool = False) -> DataFrame:
+    """xmin, ymin, xmax, ymax, step_x, step_y, cols, rows of the target raster of boxes in target coordinates.
+
+    te sets the extent (else it is the union of the boxes); tr the size of a cell, ts the number of columns and rows;
+    align moves the edges outward to multiples of tr. Of tr the extent grows to whole cells to the right and down.
+    """
+    if (tr is None) == (ts is None) or (align and tr is None):
+        raise ValueError("give either tr or ts, and tr with align")
+    g = boxes.agg(*[(F.min if "min" in c else F.max)(c).alias(c) for c in BOX])
+    if te is not None:
+        g = g.select(*[F.lit(float(v)).alias(c) for v, c in zip(te, BOX, strict=True)])
+    if ts is not None:
+        return g.select(*BOX, ((F.col("xmax") - F.col("xmin")) / ts[0]).alias("step_x"), ((F.col("ymax") - F.col("ymin")) / ts[1]).alias("step_y"), F.lit(ts[0]).cast("long").alias("cols"), F.lit(ts[1]).cast("long").alias("rows"))
+    if align:
+        g = g.select(*[((F.floor if "min" in c else F.ceil)(F.col(c) / tr) * tr).alias(c) for c in BOX])
+    cols, rows = (F.greatest(F.lit(1).cast("long"), F.ceil((F.col(b) - F.col(a)) / tr - 1e-9).cast("long")) for a, b in (("xmin", "xmax"), ("ymin", "ymax")))
+    g = g.withColumns({"cols": cols, "rows": rows})
+    return g.select("xmin", (F.col("ymax") - F.col("rows") * tr).alias("ymin"), (F.col("xmin") + F.col("cols") * tr).alias("xmax"), "ymax", F.lit(float(tr)).alias("step_x"), F.lit(float(tr)).alias("step_y"), "cols", "rows")
+
+
 def knn_spatial(left: DataFrame, right: DataFrame, keys: list[str], radius: float, k: int) -> DataFrame:
     """keys, left_id, rank, right_id, d: the k nearest within radius; ties go to the lower id."""
     rank = F.row_number().over(Window.partitionBy(*keys, "left_id").orderBy("d", "right_id")).cast("long")

@@ -10,6 +10,19 @@ from pyspark.sql import functions as F
 from quadrille.operators.steps import cut
 
 
+def column_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, mean, and sigma: the root mean square after centring, with divisor n - 1."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sigma"))
+
+
+def normalised(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with value centred and divided by its column's sigma. A sigma of 0 is an error, raised before any row is made."""
+    stats = cut(column_stats(rows, keys, value))
+    if not stats.filter("sigma = 0").isEmpty():
+        raise ValueError("a column whose values are all equal can't be normalised")
+    return rows.join(stats.select(*keys, "mean", "sigma"), keys).withColumn(value, (F.col(value) - F.col("mean")) / F.col("sigma")).drop("mean", "sigma")
+
+
 def covariance(rows: DataFrame, vector: str) -> DataFrame:
     """(i, j, cov) for i <= j of the vectors' columns, with divisor n - 1: sums of products, combined before the shuffle."""
     v = rows.select(F.col(vector).cast("array<double>").alias("v"))

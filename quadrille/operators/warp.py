@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a stretch of cells that meets a cutline's stretches of a row.
+TILE = 64
+
 
 def warp_nearest(px: DataFrame, target: DataFrame, sx: Column, sy: Column) -> DataFrame:
     """target (image_id, band, row, col) with the value of the source cell nearest to (sx, sy); null outside."""
@@ -40,17 +43,41 @@ def warp_mode(px: DataFrame, trow: Column, tcol: Column) -> DataFrame:
 def cutline_clip(px: DataFrame, polygons: DataFrame) -> DataFrame:
     """Cells whose centre (col, row) is inside any polygon (poly_id, points array of x, y), by even-odd crossings.
 
-    A cell meets only the edges that span its row, found by an equi-join on the row.
+    A polygon's crossings of a row, in order, are the ends of its stretches there. A cell meets only the stretches of
+    its row and of its TILE columns, and is kept once, whatever their number.
     """
     n = F.size("points")
     edges = polygons.select("poly_id", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("points")[i].alias("p"), F.col("points")[(i + 1) % n].alias("q")))).alias("e"))
     low, high = F.least("e.p.y", "e.q.y"), F.greatest("e.p.y", "e.q.y")
     rows = edges.filter(F.ceil(low) < high).select("poly_id", "e", F.explode(F.sequence(F.ceil(low), F.ceil(high) - 1)).alias("row"))
     x = F.col("e.p.x") + (F.col("row") - F.col("e.p.y")) / (F.col("e.q.y") - F.col("e.p.y")) * (F.col("e.q.x") - F.col("e.p.x"))
-    crossings = rows.select("poly_id", "row", x.alias("x")).groupBy("row", "poly_id").agg(F.collect_list("x").alias("xs"))
-    each = crossings.groupBy("row").agg(F.collect_list("xs").alias("all"))
-    right = F.exists("all", lambda xs: F.size(F.filter(xs, lambda v: v > F.col("col"))) % 2 == 1)
-    return px.join(each, "row").filter(right).select(*px.columns)
+    crossings = rows.select("poly_id", "row", x.alias("x")).groupBy("row", "poly_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    ends = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.col("xs")[i].alias("x0"), F.col("xs")[i + 1].alias("x1")))
+    stretches = crossings.filter(F.size("xs") > 1).select("row", F.inline(ends)).filter("x0 < x1")
+    tile = F.sequence(F.floor(F.col("x0") / TILE), F.floor(F.col("x1") / TILE))
+    stretches = stretches.select(F.col("row").alias("__row"), "x0", "x1", F.explode(tile).alias("__tile"))
+    met = (F.col("row") == F.col("__row")) & (F.floor(F.col("col") / TILE) == F.col("__tile")) & (F.col("col") >= F.col("x0")) & (F.col("col") < F.col("x1"))
+    return px.join(stretches, met, "left_semi")
+
+
+def cutline(px: DataFrame, features: DataFrame, where: str | None = None, crop: bool = False) -> DataFrame:
+    """px with value null outside the cutline: the features (poly_id, type, points, ...) that `where` (SQL) picks.
+
+    No such feature, or one that is no polygon, is an error. crop: only cells within the cutline's bounds are left.
+    """
+    chosen = features.filter(where) if where else features
+    corner = F.explode("points").alias("c")
+    kinds = chosen.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.lower("type") != "polygon") | (F.size("points") < 3)).alias("bad")).first()
+    if not kinds.n:
+        raise ValueError("the cutline has no feature")
+    if kinds.bad:
+        raise ValueError("the cutline has a feature that is no polygon")
+    inside = cutline_clip(px.select("image_id", "band", "row", "col"), chosen).distinct().withColumn("__in", F.lit(True))
+    out = px.join(inside, ["image_id", "band", "row", "col"], "left").withColumn("value", F.when(F.col("__in"), F.col("value"))).drop("__in")
+    if crop:
+        b = chosen.select(corner).agg(F.min("c.x").alias("x0"), F.min("c.y").alias("y0"), F.max("c.x").alias("x1"), F.max("c.y").alias("y1")).first()
+        out = out.filter(F.col("col").between(b.x0, b.x1) & F.col("row").between(b.y0, b.y1))
+    return out
 
 
 def segment_distance(pairs: DataFrame) -> DataFrame:

@@ -80,12 +80,12 @@ def robust_weights(spark, sf):
     return w.select("pair_id", "pt", *[F.round(c, 4).alias(c) for c in names])
 
 
-@query("min_inliers", f"WITH {TIE_SQL}, n AS (SELECT pair_id, count(*) AS n FROM tie GROUP BY 1), j AS (SELECT pair_id, n, unnest(range(3, 61)) AS j FROM n), g AS (SELECT pair_id, n, j, i FROM (SELECT pair_id, n, j, unnest(range(j, 61)) AS i FROM j)), p AS (SELECT pair_id, j, sum(exp(lgamma(59.0) - lgamma(i-2+1.0) - lgamma(58-(i-2)+1.0) + (i-2)*ln(0.25) + (58-(i-2))*ln(0.75))) AS tail FROM g GROUP BY 1, 2) SELECT pair_id, CAST(min(j) AS BIGINT) AS least FROM p WHERE tail < 0.05 GROUP BY 1")
+@query("min_inliers", f"WITH {TIE_SQL}, n AS (SELECT pair_id, count(*) AS n FROM tie GROUP BY 1), i AS (SELECT pair_id, n, unnest(range(3, n + 1)) AS i FROM n), p AS (SELECT pair_id, n, i, exp(lgamma(n-2+1.0) - lgamma(i-2+1.0) - lgamma(n-i+1.0) + (i-2)*ln(0.25) + (n-i)*ln(0.75)) AS p FROM i), t AS (SELECT pair_id, n, i, sum(p) OVER (PARTITION BY pair_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS tail FROM p) SELECT pair_id, n, CAST(min(i) FILTER (tail < 0.05) AS BIGINT) AS least FROM t GROUP BY 1, 2")
 def min_inliers(spark, sf):
     from quadrille.operators.points import min_inliers as least
 
-    pairs = tie_points(spark, sf).select("pair_id").distinct()
-    return pairs.select("pair_id", least(F.lit(60), 2, 0.25, 0.05).alias("least"))
+    pairs = tie_points(spark, sf).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.select("pair_id", "n", least(F.col("n"), 2, 0.25, 0.05).alias("least"))
 
 
 @query("split_roles", f"WITH {TIE_SQL} SELECT pair_id, pt, x, y, CASE WHEN (pair_id * 31 + pt * 17) % 5 = 0 THEN 'check' ELSE 'control' END AS kind FROM tie")
@@ -124,22 +124,16 @@ def best_per_block(spark, sf):
 
 @query("prosac_samples", f"WITH {TIE_SQL}, s AS (SELECT pair_id, pt, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, pt) - 1 AS k FROM tie), n AS (SELECT pair_id, count(*) AS n FROM tie GROUP BY 1 HAVING count(*) >= 2), h AS (SELECT pair_id, h, least(n, 2 + h) AS m FROM n, (SELECT unnest(range(16)) AS h)), t AS (SELECT pair_id, h, m - 1 AS newest, (h*7919+13) % (m-1) AS other FROM h) SELECT t.pair_id, t.h, a.pt AS newest, b.pt AS other FROM t JOIN s a ON a.pair_id = t.pair_id AND a.k = newest JOIN s b ON b.pair_id = t.pair_id AND b.k = other")
 def prosac_samples(spark, sf):
-    t = tie_points(spark, sf)
-    s = t.select("pair_id", "pt", (F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("score"), "pt")) - 1).alias("k"))
-    n = t.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    h = n.select("pair_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("h")).withColumn("m", F.least("n", F.col("h") + 2))
-    picks = h.select("pair_id", "h", (F.col("m") - 1).alias("a"), ((F.col("h") * 7919 + 13) % (F.col("m") - 1)).alias("b"))
-    one = s.filter("k < 17").select("pair_id", F.col("k").alias("a"), F.col("pt").alias("newest"))
-    two = s.filter("k < 17").select("pair_id", F.col("k").alias("b"), F.col("pt").alias("other"))
-    return picks.join(one, ["pair_id", "a"]).join(two, ["pair_id", "b"]).select("pair_id", "h", "newest", "other")
+    from quadrille.operators.points import prosac_samples as samples
+
+    return samples(tie_points(spark, sf), 16)
 
 
 @query("kth_value", f"WITH {TIE_SQL}, r AS (SELECT pair_id, x, row_number() OVER (PARTITION BY pair_id ORDER BY x, pt) AS k, count(*) OVER (PARTITION BY pair_id) AS c FROM tie) SELECT pair_id, x AS value FROM r WHERE k = least(300, c)")
 def kth_value(spark, sf):
-    t = tie_points(spark, sf)
-    w = Window.partitionBy("pair_id")
-    r = t.select("pair_id", "x", F.row_number().over(w.orderBy("x", "pt")).alias("k"), F.count(F.lit(1)).over(w).alias("c"))
-    return r.filter(F.col("k") == F.least(F.lit(300), "c")).select("pair_id", F.col("x").alias("value"))
+    from quadrille.operators.points import kth_value as kth
+
+    return kth(tie_points(spark, sf), ["pair_id"], "x", "pt", 300)
 
 
 @query("merge_metadata", "WITH m AS (SELECT user_id % 50 AS source, event_type AS key, max(props->>'$.k') AS value FROM events GROUP BY 1, 2), n AS (SELECT count(DISTINCT source) AS n FROM m), f AS (SELECT min(source) AS s FROM m) SELECT key, CASE WHEN count(DISTINCT value) = 1 AND count(*) = (SELECT n FROM n) THEN min(value) ELSE '*' END AS value FROM m GROUP BY key HAVING bool_or(source = (SELECT s FROM f))")

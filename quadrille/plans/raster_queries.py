@@ -25,11 +25,11 @@ def integral_image(spark, sf):
     return raster.integral_image(pixels(spark, sf)).select(*COLS, (F.round("s", 5) + 0.0).alias("s"), (F.round("s2", 5) + 0.0).alias("s2"))
 
 
-@query("box_stats", f"WITH {PIXEL_SQL}, b AS (SELECT p_partkey AS box_id, p_partkey % 10 AS image_id, 0 AS band, p_partkey % 20 AS r0, p_partkey % 30 AS c0, p_partkey % 20 + 5 AS r1, p_partkey % 30 + 50 AS c1 FROM part) SELECT box_id, round(greatest(0.0, sum(value)), 5) + 0.0 AS total FROM b JOIN px p ON p.image_id = b.image_id AND p.row BETWEEN r0 AND r1 AND p.col BETWEEN c0 AND c1 GROUP BY box_id")
+@query("box_stats", f"WITH {PIXEL_SQL}, b AS (SELECT p_partkey AS box_id, p_partkey % 10 AS image_id, 0 AS band, p_partkey % 20 AS r0, p_partkey % 30 AS c0, p_partkey % 20 + 5 AS r1, p_partkey % 30 + 50 AS c1 FROM part) SELECT box_id, round(greatest(0.0, sum(value)), 5) + 0.0 AS total, round(avg(value), 5) + 0.0 AS mean, round(stddev_pop(value), 5) AS std FROM b JOIN px p ON p.image_id = b.image_id AND p.row BETWEEN r0 AND r1 AND p.col BETWEEN c0 AND c1 GROUP BY box_id")
 def box_stats(spark, sf):
     k = F.col("p_partkey")
     boxes = table(spark, sf, "part").select(k.alias("box_id"), (k % 10).cast("int").alias("image_id"), F.lit(0).alias("band"), (k % 20).alias("r0"), (k % 30).alias("c0"), (k % 20 + 5).alias("r1"), (k % 30 + 50).alias("c1"))
-    return raster.box_sums(raster.integral_image(pixels(spark, sf)), boxes).select("box_id", (F.round("total", 5) + 0.0).alias("total"))
+    return raster.box_sums(raster.integral_image(pixels(spark, sf)), boxes).select("box_id", (F.round("total", 5) + 0.0).alias("total"), (F.round("mean", 5) + 0.0).alias("mean"), F.round("std", 5).alias("std"))
 
 
 @query("convolve_1d", f"WITH {PIXEL_SQL} SELECT {P}, round(-0.5 * coalesce(lag(value) OVER w, value) + 0.5 * coalesce(lead(value) OVER w, value), 6) + 0.0 AS value FROM px WINDOW w AS ({ROWW})")
@@ -60,16 +60,23 @@ def multiply_clamped(spark, sf):
     return out(raster.multiply(p, p.withColumn("image_id", (F.col("image_id") + 9) % 10), -0.02, 0.02))
 
 
-@query("band_math", f"WITH {PIXEL_SQL}, w AS (SELECT row, col, max(CASE WHEN image_id = 0 THEN value END) AS b0, max(CASE WHEN image_id = 1 THEN value END) AS b1, max(CASE WHEN image_id = 2 THEN value END) AS b2 FROM px WHERE image_id < 3 GROUP BY 1, 2) SELECT row, col, round((b0*b2 - b1*b1) - 0.05*(b0+b2)*(b0+b2), 6) + 0.0 AS value FROM w")
+@query("band_math", f"WITH {PIXEL_SQL}, b AS (SELECT (image_id + 10 - k) % 10 AS image_id, k, row, col, value FROM px, (SELECT unnest(range(3)) AS k)), w AS (SELECT image_id, row, col, max(CASE WHEN k = 0 THEN value END) AS b0, max(CASE WHEN k = 1 THEN value END) AS b1, max(CASE WHEN k = 2 THEN value END) AS b2 FROM b GROUP BY 1, 2, 3) SELECT image_id, row, col, round((b0*b2 - b1*b1) - 0.05*(b0+b2)*(b0+b2), 6) + 0.0 AS value FROM w")
 def band_math(spark, sf):
-    w = pixels(spark, sf).filter("image_id < 3").groupBy("row", "col").pivot("image_id", [0, 1, 2]).agg(F.max("value"))
-    return w.selectExpr("row", "col", "round((`0`*`2` - `1`*`1`) - 0.05D*(`0`+`2`)*(`0`+`2`), 6) + 0.0D as value")
+    """Each image with the two that follow it as its bands."""
+    p = pixels(spark, sf).select("image_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("band"), "row", "col", "value")
+    p = p.withColumn("image_id", ((F.col("image_id") + 10 - F.col("band")) % 10).cast("int"))
+    w = raster.band_math(p, {"b0": 0, "b1": 1, "b2": 2}, "(b0*b2 - b1*b1) - 0.05D*(b0+b2)*(b0+b2)", ("image_id", "row", "col"))
+    return w.withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("stack_bands", f"WITH {PIXEL_SQL} SELECT row, col, " + ", ".join(f"max(CASE WHEN image_id = {i} THEN value END) AS b{i}" for i in range(4)) + " FROM px WHERE image_id < 4 GROUP BY 1, 2")
+@query("stack_bands", f"WITH {PIXEL_SQL} SELECT row, col, " + ", ".join(f"max(CASE WHEN image_id = {i} THEN value END) AS b{i}" for i in range(10)) + " FROM px GROUP BY 1, 2")
 def stack_bands(spark, sf):
-    w = pixels(spark, sf).filter("image_id < 4").groupBy("row", "col").pivot("image_id", [0, 1, 2, 3]).agg(F.max("value"))
-    return w.select("row", "col", *[F.col(str(i)).alias(f"b{i}") for i in range(4)])
+    return raster.stacked(pixels(spark, sf), list(range(10)), [f"b{i}" for i in range(10)])
+
+
+@query("local_minima", f"WITH {PIXEL_SQL}, nb AS (SELECT a.image_id, a.band, a.row, a.col, a.value, count(*) AS n, min(b.value) AS m FROM px a JOIN px b ON a.image_id = b.image_id AND a.band = b.band AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY a.image_id, a.band, a.row, a.col, a.value) SELECT {P}, CASE WHEN n = 8 AND value <= m THEN value END AS value FROM nb")
+def local_minima(spark, sf):
+    return raster.local_minima(pixels(spark, sf), strict=False)
 
 
 @query("local_extrema", f"WITH {PIXEL_SQL}, nb AS (SELECT a.image_id, a.band, a.row, a.col, a.value, count(*) AS n, max(b.value) AS m FROM px a JOIN px b ON a.image_id = b.image_id AND a.band = b.band AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND NOT (a.row = b.row AND a.col = b.col) GROUP BY a.image_id, a.band, a.row, a.col, a.value) SELECT {P}, CASE WHEN n = 8 AND value > m THEN value END AS value FROM nb")
@@ -170,7 +177,16 @@ def match_group_threshold(spark, sf):
 
 @query("column_stats", f"WITH {PIXEL_SQL} SELECT col, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) AS sigma FROM px GROUP BY 1")
 def column_stats(spark, sf):
-    return pixels(spark, sf).groupBy("col").agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("value"), 6) + 0.0).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sigma"))
+    from quadrille.operators.stats import column_stats as stats_of
+
+    return stats_of(pixels(spark, sf), ["col"], "value").select("col", "n", (F.round("mean", 6) + 0.0).alias("mean"), F.round("sigma", 6).alias("sigma"))
+
+
+@query("normalise", f"WITH {PIXEL_SQL}, m AS (SELECT col, avg(value) AS mean, stddev_samp(value) AS sigma FROM px GROUP BY 1) SELECT image_id, row, px.col, round((value - mean) / sigma, 5) + 0.0 AS value FROM px JOIN m ON px.col = m.col")
+def normalise(spark, sf):
+    from quadrille.operators.stats import normalised
+
+    return normalised(pixels(spark, sf), ["col"], "value").select("image_id", "row", "col", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query("covariance", f"WITH {PIXEL_SQL} SELECT a.col AS i, b.col AS j, round(covar_samp(a.value, b.value), 7) + 0.0 AS cov FROM px a JOIN px b ON a.image_id = b.image_id AND a.row = b.row AND a.col <= b.col GROUP BY 1, 2")

@@ -60,6 +60,19 @@ def kmeans_step(spark, sf):
     return spatial.kmeans_step(points, centres).select("k", "n", *[F.round(c, 5).alias(c) for c in ("x", "y", "dx", "dy")])
 
 
+@query("target_grid", f"WITH a AS ({BOXES.format(k='p_partkey', t='part')}), g AS (SELECT floor(min(xmin)/7.0)*7.0 AS xmin, ceil(max(ymax)/7.0)*7.0 AS ymax, floor(min(ymin)/7.0)*7.0 AS ymin, ceil(max(xmax)/7.0)*7.0 AS xmax FROM a) SELECT xmin, ymin, xmax, ymax, 7.0::DOUBLE AS step_x, 7.0::DOUBLE AS step_y, CAST(round((xmax - xmin) / 7.0) AS BIGINT) AS cols, CAST(round((ymax - ymin) / 7.0) AS BIGINT) AS rows FROM g")
+def target_grid(spark, sf):
+    return spatial.target_grid(boxes(table(spark, sf, "part"), "p_partkey"), tr=7.0, align=True)
+
+
+@query("kmeans_points")
+def kmeans_points(spark, sf):
+    """The clusters after Lloyd's loop has stopped; a test holds the loop to a plain version."""
+    t = tie_points(spark, sf).select(F.xxhash64("pair_id", "pt").alias("id"), "x", "y", (F.col("x2") - F.col("x")).alias("dx"), (F.col("y2") - F.col("y")).alias("dy"))
+    _, clusters, _ = spatial.kmeans_points(t, 4)
+    return clusters
+
+
 @query("target_extent", f"WITH a AS ({BOXES.format(k='p_partkey', t='part')}) SELECT floor(min(xmin)/30.0)*30.0 AS xmin, floor(min(ymin)/30.0)*30.0 AS ymin, ceil(max(xmax)/30.0)*30.0 AS xmax, ceil(max(ymax)/30.0)*30.0 AS ymax FROM a")
 def target_extent(spark, sf):
     return spatial.target_extent(boxes(table(spark, sf, "part"), "p_partkey"), 30.0)

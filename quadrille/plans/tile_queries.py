@@ -12,15 +12,15 @@ from quadrille.plans.views import PIXEL_SQL, descriptors, pixels, tie_points
 @query(
     "ncc_match",
     f"""WITH {PIXEL_SQL}, t AS (SELECT image_id AS k, row - 10 AS r, col - 20 AS c, value - avg(value) OVER (PARTITION BY image_id) AS v, stddev_pop(value) OVER (PARTITION BY image_id) AS sd FROM px WHERE row BETWEEN 10 AND 17 AND col BETWEEN 20 AND 27),
- s AS (SELECT (image_id + 9) % 10 AS k, row, col, value FROM px WHERE row < 30 AND col < 40), o AS (SELECT r0, c0 FROM (SELECT unnest(range(23)) AS r0), (SELECT unnest(range(33)) AS c0)),
- a AS (SELECT k, r0, c0, r0 + r AS row, c0 + c AS col, v, sd FROM t, o), j AS (SELECT a.k, r0, c0, sum(v * value) / 64 AS cc, stddev_pop(value) AS wd, max(sd) AS sd FROM a JOIN s ON s.k = a.k AND s.row = a.row AND s.col = a.col GROUP BY 1, 2, 3),
+ s AS (SELECT (image_id + 9) % 10 AS k, row, col, value FROM px), o AS (SELECT r0, c0 FROM (SELECT unnest(range((SELECT max(row) FROM px))) AS r0), (SELECT unnest(range(57)) AS c0)),
+ a AS (SELECT k, r0, c0, r0 + r AS row, c0 + c AS col, v, sd FROM t, o), j AS (SELECT a.k, r0, c0, sum(v * value) / 64 AS cc, stddev_pop(value) AS wd, max(sd) AS sd FROM a JOIN s ON s.k = a.k AND s.row = a.row AND s.col = a.col GROUP BY 1, 2, 3 HAVING count(*) = 64),
  n AS (SELECT k, r0, c0, CASE WHEN wd * sd > 1e-13 THEN cc / (wd * sd) ELSE 0 END AS score FROM j)
 SELECT k AS image_id, r0 AS row, c0 AS col, round(score, 6) AS score FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(score, 12) DESC, r0, c0) = 1""",
 )
 def ncc_match(spark, sf):
     p = pixels(spark, sf).drop("band")
     template = p.filter(F.col("row").between(10, 17) & F.col("col").between(20, 27))
-    search = p.filter("row < 30 and col < 40").withColumn("image_id", ((F.col("image_id") + 9) % 10).cast(p.schema["image_id"].dataType))
+    search = p.withColumn("image_id", ((F.col("image_id") + 9) % 10).cast(p.schema["image_id"].dataType))
     return tiles.ncc_match(template, search, "image_id").withColumn("score", F.round("score", 6))
 
 

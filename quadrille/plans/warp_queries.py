@@ -27,7 +27,7 @@ def warp_bilinear(spark, sf):
     return warp.warp_bilinear(p, *inverse(p.drop("value"))).withColumn("value", F.round("value", 6) + 0.0)
 
 
-POLY = "SELECT p_partkey AS poly_id, CAST(p_partkey * 13 % 60 AS DOUBLE) AS x, CAST(p_partkey * 7 % 60 AS DOUBLE) AS y FROM part WHERE p_size = 7"
+POLY = "SELECT p_partkey AS poly_id, CAST(p_partkey * 13 % 60 AS DOUBLE) AS x, CAST(p_partkey * 7 % 60 AS DOUBLE) AS y FROM part"
 
 
 @query("cutline_clip", f"WITH {PIXEL_SQL}, g AS ({POLY}), e AS (SELECT poly_id, x - 3.5 AS x1, y - 2.5 AS y1, x + 6.5 AS x2, y + 0.5 AS y2 FROM g UNION ALL SELECT poly_id, x + 6.5, y + 0.5, x + 1.5, y + 7.5 FROM g UNION ALL SELECT poly_id, x + 1.5, y + 7.5, x - 3.5, y - 2.5 FROM g), h AS (SELECT DISTINCT image_id, band, row, col FROM (SELECT image_id, band, row, col, poly_id FROM px JOIN e ON row >= least(y1, y2) AND row < greatest(y1, y2) AND x1 + (row - y1) / (y2 - y1) * (x2 - x1) > col GROUP BY ALL HAVING count(*) % 2 = 1)) SELECT image_id, band, row, col, value FROM px JOIN h USING (image_id, band, row, col)")
@@ -35,7 +35,7 @@ def cutline_clip(spark, sf):
     k = F.col("p_partkey")
     x, y = (k * 13 % 60).cast("double"), (k * 7 % 60).cast("double")
     corners = [F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((-3.5, -2.5), (6.5, 0.5), (1.5, 7.5))]
-    polygons = table(spark, sf, "part").filter("p_size = 7").select(k.alias("poly_id"), F.array(*corners).alias("points"))
+    polygons = table(spark, sf, "part").select(k.alias("poly_id"), F.array(*corners).alias("points"))
     return warp.cutline_clip(pixels(spark, sf), polygons).select("image_id", "band", "row", "col", "value")
 
 
