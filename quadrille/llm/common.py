@@ -104,6 +104,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int)
     )
 
 
+#: Links in a partition while components are joined (16 bytes each).
+EDGES = 100_000
 #: Odd multiplier of rolling hashes over words.
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -149,8 +151,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have links, root the least node reachable: alternating large and small stars.
 
-    edges: (u, v) of any order. The rows stay distributed; each round is cut to the shared folder.
+    edges: (u, v) of any order. The rows stay distributed, EDGES to a partition, so that few links make few files;
+    each round is cut to the shared folder.
     """
+    parts = 1
 
     def sym(e: DataFrame) -> DataFrame:
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -164,13 +168,15 @@ def components(edges: DataFrame) -> DataFrame:
             down = both.filter("v < u")
             least = down.groupBy("u").agg(F.min("v").alias("m"))
             moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return moved.filter("u <> v").distinct()
+        return moved.filter("u <> v").coalesce(parts).distinct().coalesce(parts)
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     at = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(at)
+    parts = seen[0] // EDGES + 1
+    at = at.coalesce(parts)
     while True:
         at = cut(star(star(at, True), False))
         now = mark(at)
