@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.steps import cut
+
 KEY = ["image_id", "band"]
 
 
@@ -44,20 +46,23 @@ def box_sums(integral: DataFrame, boxes: DataFrame) -> DataFrame:
     return sums.select("box_id", "total", "n", mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("__t2") / F.nullif(F.col("n"), F.lit(0)) - mean * mean)).alias("std"))
 
 
-def convolve_1d(px: DataFrame, kernel: list[float], axis: str, strict: bool = False) -> DataFrame:
-    """Weighted sum along an axis. At edges the nearest cell counts; strict: a missing or null cell makes null."""
+def _convolved(column: str, kernel: list[float], axis: str, strict: bool) -> Column:
     half = len(kernel) // 2
-    parts = []
+    total = None
     for i, k in enumerate(kernel):
-        step, v = i - half, F.col("value")
-        for s in [step] if strict else range(int(math.copysign(1, step)), step + int(math.copysign(1, step)), int(math.copysign(1, step))) if step else [0]:
-            got = _near("value", axis, s) if s else F.col("value")
-            v = got if strict else F.coalesce(got, v)
-        parts.append(F.lit(k) * v)
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return px.withColumn("value", total)
+        step = i - half
+        if strict or not step:
+            v = _near(column, axis, step) if step else F.col(column)
+        else:  # the farthest cell that is there
+            side = 1 if step > 0 else -1
+            v = F.coalesce(*[_near(column, axis, s) for s in range(step, 0, -side)], F.col(column))
+        total = F.lit(k) * v if total is None else total + F.lit(k) * v
+    return total
+
+
+def convolve_1d(px: DataFrame, kernel: list[float], axis: str, strict: bool = False) -> DataFrame:
+    """Weighted sum along an axis. At edges the nearest cell counts; strict: a missing or null cell makes null."""
+    return px.withColumn("value", _convolved("value", kernel, axis, strict))
 
 
 def gaussian_kernel(std: float = 1.0, half: int = 2) -> list[float]:
@@ -119,13 +124,15 @@ def density_reduce(px: DataFrame, size: int, density: float) -> DataFrame:
 
 
 def harris_corners(px: DataFrame, k: float = 0.05, size: int = 16, density: float = 0.03) -> DataFrame:
-    """Gradients, their products smoothed, the corner measure, strict maxima, and the densest allowed per tile."""
-    g = [-0.5, 0.0, 0.5]
-    dx = convolve_1d(px, g, "col").withColumnRenamed("value", "dx")
-    dy = convolve_1d(px, g, "row").withColumnRenamed("value", "dy")
-    d = dx.join(dy, [*KEY, "row", "col"])
-    smooth = [gaussian_smooth(d.select(*KEY, "row", "col", v.alias("value"))).withColumnRenamed("value", n) for n, v in (("a", F.col("dx") * F.col("dx")), ("b", F.col("dx") * F.col("dy")), ("c", F.col("dy") * F.col("dy")))]
-    m = smooth[0].join(smooth[1], [*KEY, "row", "col"]).join(smooth[2], [*KEY, "row", "col"])
+    """Gradients, their products smoothed, the corner measure, strict maxima, and the densest allowed per tile.
+
+    All are columns of the same cells: one sort along each axis takes the place of joins.
+    """
+    g, kernel = [-0.5, 0.0, 0.5], gaussian_kernel()
+    d = px.withColumn("dx", _convolved("value", g, "col", False)).withColumn("dy", _convolved("value", g, "row", False))
+    m = d.select(*KEY, "row", "col", *[(F.col(u) * F.col(v)).alias(n) for n, u, v in (("a", "dx", "dx"), ("b", "dx", "dy"), ("c", "dy", "dy"))])
+    for axis in ("col", "row"):
+        m = m.withColumns({n: _convolved(n, kernel, axis, True) for n in "abc"})
     corner = (F.col("a") * F.col("c") - F.col("b") * F.col("b")) - k * (F.col("a") + F.col("c")) * (F.col("a") + F.col("c"))
     peaks = local_maxima(m.select(*KEY, "row", "col", corner.alias("value")))
     return density_reduce(peaks, size, density).filter("value is not null")
@@ -137,12 +144,12 @@ def overview(px: DataFrame) -> DataFrame:
 
 
 def overviews(px: DataFrame, stop: int) -> DataFrame:
-    """All levels from 1 until both sides are at most `stop`, with column level."""
+    """All levels from 1 until both sides are at most `stop`, with column level; each is made once, from the one before."""
     side = px.agg(F.greatest(F.max("row"), F.max("col"))).first()[0]
     out, at, level = None, px, 0
     side = 0 if side is None else side + 1
     while side > stop:
-        at, level, side = overview(at), level + 1, (side + 1) // 2
+        at, level, side = cut(overview(at)), level + 1, (side + 1) // 2
         named = at.withColumn("level", F.lit(level))
         out = named if out is None else out.unionByName(named)
     return px.limit(0).withColumn("level", F.lit(0)) if out is None else out

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute now and keep the rows in the folder of spark.checkpoint.dir; an own one only for a local master that sets none."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, of spark.checkpoint.dir; an own one only for a local master that sets none."""
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else writes."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute now and keep the rows in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -108,12 +108,16 @@ def harris_corners(spark, sf):
     return out(raster.harris_corners(pixels(spark, sf)), 9)
 
 
-@query("build_overviews", f"WITH {PIXEL_SQL}, l1 AS (SELECT image_id, band, row // 2 AS row, col // 2 AS col, avg(value) AS value FROM px GROUP BY ALL), l2 AS (SELECT image_id, band, row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l1 GROUP BY ALL) SELECT {P}, round(value, 6) + 0.0 AS value, level FROM (SELECT *, 1 AS level FROM l1 UNION ALL SELECT *, 2 AS level FROM l2)")
+def _levels(most: int) -> str:
+    """SQL of the levels of means from 1 on while the side before them is over 16; `most` bounds the text alone."""
+    one = "SELECT image_id, band, row // 2 AS row, col // 2 AS col, avg(value) AS value FROM {} WHERE (SELECT s FROM side) > {} GROUP BY ALL"
+    parts = ["side AS (SELECT greatest(max(row), max(col)) + 1 AS s FROM px)", *[f"l{k} AS ({one.format(f'l{k - 1}' if k > 1 else 'px', 16 << (k - 1))})" for k in range(1, most + 1)]]
+    return ", ".join(parts) + f" SELECT {P}, round(value, 6) + 0.0 AS value, level FROM (" + " UNION ALL ".join(f"SELECT *, {k} AS level FROM l{k}" for k in range(1, most + 1)) + ")"
+
+
+@query("build_overviews", f"WITH {PIXEL_SQL}, {_levels(16)}")
 def build_overviews(spark, sf):
-    p = pixels(spark, sf)
-    one = raster.overview(p)
-    two = raster.overview(one)
-    return one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2))).select(*COLS, (F.round("value", 6) + 0.0).alias("value"), "level")
+    return raster.overviews(pixels(spark, sf), 16).select(*COLS, (F.round("value", 6) + 0.0).alias("value"), "level")
 
 
 @query("histogram", f"WITH {PIXEL_SQL} SELECT image_id, band, CAST(CASE WHEN value < -0.3 THEN 0 WHEN value >= 0.3 THEN 33 ELSE floor(32 * ((value + 0.3) / 0.6)) + 1 END AS BIGINT) AS bin, count(*) AS n FROM px GROUP BY ALL")

@@ -39,6 +39,13 @@ def read_tiepoint_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"{g}.X").alias("gx"), F.col(f"{g}.Y").alias("gy"), F.col(f"{g}.Z").alias("gz"), F.col(f"{i}.X").alias("x"), F.col(f"{i}.Y").alias("y"), "score")
 
 
+def read_tiepoint_header(spark: SparkSession, path: str) -> DataFrame:
+    """set_id, master, slave: the image paths that the head of each tie-point file names; null where it names none."""
+    t = spark.read.text(path).select(F.col(NAME).alias("set_id"), "value")
+    names = {"master": "MasterPath", "slave": "SlavePath"}
+    return t.groupBy("set_id").agg(*[F.max(F.nullif(F.trim(F.regexp_extract("value", f"<{tag}>([^<]*)</{tag}>", 1)), F.lit(""))).alias(n) for n, tag in names.items()])
+
+
 def read_line_features(spark: SparkSession, path: str) -> DataFrame:
     """set_id, id, type, points: records `id type n` and n coordinate lines. A record is one row from the start on."""
     files = spark.read.text(path, wholetext=True).select(F.col(NAME).alias("set_id"), "value")
@@ -57,19 +64,23 @@ def write_line_features(features: DataFrame, path: str) -> None:
 
 
 def read_descriptor_files(spark: SparkSession, path: str, layout: str = "affine", most: int = 128) -> DataFrame:
-    """image_id, kp_id, x, y, shape, descr. affine: header `d n`, rows `x y a b c` + d values; scale: header `n d`,
-    rows `y x scale orientation` + d values. Files whose d is over `most`, or whose length is wrong, give no rows.
+    """image_id, kp_id, x, y, shape, descr, corrupt. affine: header `d n`, rows `x y a b c` + d values; scale: header
+    `n d`, rows `y x scale orientation` + d values. A file whose header or length is wrong, or whose d is over `most`,
+    is one row that has its header in corrupt; a value that is no number is null; an empty file gives
+    no row.
     """
     t = spark.read.text(path, wholetext=True).select(F.col(NAME).alias("image_id"), _tokens(F.col("value")).alias("t"))
-    first, second = _double(F.get("t", F.lit(0))).cast("int"), _double(F.get("t", F.lit(1))).cast("int")
+    first, second = F.get("t", F.lit(0)).try_cast("int"), F.get("t", F.lit(1)).try_cast("int")
     lead = 5 if layout == "affine" else 4
     t = t.select("image_id", "t", (first if layout == "affine" else second).alias("d"), (second if layout == "affine" else first).alias("n"))
-    t = t.filter((F.col("d") <= most) & (F.col("n") > 0) & (F.size("t") == 2 + F.col("n") * (F.col("d") + lead)))
-    r = t.select("image_id", "d", "t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("kp_id"))
+    wide = F.col("n").cast("long") * (F.col("d") + lead) + 2
+    good = F.coalesce(F.col("d").between(0, most) & (F.col("n") > 0) & (F.size("t") == wide), F.lit(False))
+    r = t.select("image_id", "t", good.alias("good"), F.when(good, F.col("d")).otherwise(0).alias("d"), F.explode(F.when(good, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array(F.lit(0)))).alias("kp_id"))
     at = 3 + F.col("kp_id") * (F.col("d") + lead)
-    v = r.select("image_id", "kp_id", F.transform(F.slice("t", at, F.col("d") + lead), _double).alias("v"))
+    v = r.withColumn("v", F.transform(F.slice("t", at, F.col("d") + lead), _double))
     x, y = (0, 1) if layout == "affine" else (1, 0)
-    return v.select("image_id", "kp_id", F.col("v")[x].alias("x"), F.col("v")[y].alias("y"), F.slice("v", 3, lead - 2).alias("shape"), F.slice("v", lead + 1, F.size("v")).alias("descr"))
+    named = {"kp_id": F.col("kp_id"), "x": F.get("v", F.lit(x)), "y": F.get("v", F.lit(y)), "shape": F.slice("v", 3, lead - 2), "descr": F.slice("v", lead + 1, F.size("v"))}
+    return v.select("image_id", *[F.when(F.col("good"), c).alias(n) for n, c in named.items()], F.when(~F.col("good"), F.concat_ws(" ", F.slice("t", 1, 2))).alias("corrupt"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -28,13 +28,14 @@ def test_gcp_text_round_trip(spark, tmp_path):
 def test_tiepoint_xml(spark, tmp_path):
     got = files.read_tiepoint_xml(spark, put(tmp_path / "x", "t.xml", XML)).orderBy("gx").collect()
     assert [tuple(r) for r in got] == [(1.5, 2.0, 3.0, 7.0, 8.0, 9.0), (4.0, 5.0, 6.0, 1.0, 2.0, 3.0)]
+    assert [tuple(r) for r in files.read_tiepoint_header(spark, str(tmp_path / "x")).collect()] == [("t.xml", "m.tif", None)]
 
 
 def test_line_features_round_trip(spark, tmp_path):
-    p = put(tmp_path / "l", "s.txt", "4001\tStraightLine\t2\n   874.5  1086.25\n   881.5  1075\n4002\tPolygon\t3\n 1 2\n 3 4\n -5e1 6\n")
+    p = put(tmp_path / "l", "s.txt", "A-1\tStraightLine\t2\n   12.5  -3.75\n   14  9\nA-2\tPolygon\t3\n 1 2\n 3 4\n -5e1 6\n")
     one = files.read_line_features(spark, p)
     rows = sorted((r.id, r.type, [tuple(x) for x in r.points]) for r in one.collect())
-    assert rows == [("4001", "StraightLine", [(874.5, 1086.25), (881.5, 1075.0)]), ("4002", "Polygon", [(1.0, 2.0), (3.0, 4.0), (-50.0, 6.0)])]
+    assert rows == [("A-1", "StraightLine", [(12.5, -3.75), (14.0, 9.0)]), ("A-2", "Polygon", [(1.0, 2.0), (3.0, 4.0), (-50.0, 6.0)])]
     files.write_line_features(one, str(tmp_path / "again"))
     again = files.read_line_features(spark, str(tmp_path / "again"))
     assert sorted((r.id, r.type, [tuple(x) for x in r.points]) for r in again.collect()) == rows
@@ -45,7 +46,9 @@ def test_descriptors(spark, tmp_path):
     assert [(r.kp_id, r.x, r.y, r.descr) for r in a.orderBy("kp_id").collect()] == [(0, 1, 2, [7, 8, 9]), (1, 3, 4, [10, 11, 12])]
     s = files.read_descriptor_files(spark, put(tmp_path / "s", "i.txt", "1 2\n5 6 .5 .25\n 7 8\n"), "scale")
     assert [(r.x, r.y, r["shape"], r.descr) for r in s.collect()] == [(6, 5, [0.5, 0.25], [7, 8])]
-    assert files.read_descriptor_files(spark, put(tmp_path / "b", "i.txt", "200 1\n" + "1 " * 205)).count() == 0
+    for k, text in enumerate(("200 1\n" + "1 " * 205, "3 2\n1 2 3", "x y")):  # a rejected file is one row that says so
+        bad = files.read_descriptor_files(spark, put(tmp_path / f"b{k}", "i.txt", text)).collect()
+        assert [(r.image_id, r.kp_id, r.descr, r.corrupt) for r in bad] == [("i.txt", None, None, " ".join(text.split()[:2]))]
 
 
 def test_keywords_and_listing(spark, tmp_path):
