@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.operators.normal import matrices, normal_sums
-from quadrille.operators.steps import cut
+from quadrille.operators.steps import by_size, cut
 
 
 class Sensor(NamedTuple):
@@ -96,10 +97,9 @@ def _reducer(own: int, few: int, mu: float):
         for pdf in batches:
             a, b = matrices(pdf, own + few)
             out = np.zeros(few * few + few)
-            for m, r in zip(a, b, strict=True):
-                x = np.linalg.solve(m[:own, :own] + mu * np.eye(own), np.c_[m[:own, own:], r[:own]]) if own else np.zeros((0, few + 1))
-                out[: few * few] += (m[own:, own:] - m[own:, :own] @ x[:, :few]).ravel()
-                out[few * few :] += r[own:] - m[own:, :own] @ x[:, few]
+            x = np.linalg.solve(a[:, :own, :own] + mu * np.eye(own), np.concatenate([a[:, :own, own:], b[:, :own, None]], 2)) if own else np.zeros((len(a), 0, few + 1))
+            out[: few * few] = (a[:, own:, own:] - a[:, own:, :own] @ x[:, :, :few]).sum(0).ravel()
+            out[few * few :] = (b[:, own:] - (a[:, own:, :own] @ x[:, :, few:])[:, :, 0]).sum(0)
             yield pd.DataFrame([out], columns=[f"s_{i}" for i in range(len(out))])
 
     return run
@@ -111,7 +111,7 @@ def _mover(own: int, names: list[str], delta: np.ndarray, mu: float):
     def run(batches):
         for pdf in batches:
             a, b = matrices(pdf, own + len(delta))
-            d = np.array([np.linalg.solve(m[:own, :own] + mu * np.eye(own), r[:own] - m[:own, own:] @ delta) for m, r in zip(a, b, strict=True)]).reshape(len(pdf), own)
+            d = np.linalg.solve(a[:, :own, :own] + mu * np.eye(own), (b[:, :own] - a[:, :own, own:] @ delta)[:, :, None])[:, :, 0]
             out = pdf[["image_id"]].copy()
             for i, p in enumerate(names):
                 out[f"d_{p}"] = d[:, i]
@@ -122,22 +122,51 @@ def _mover(own: int, names: list[str], delta: np.ndarray, mu: float):
     return run
 
 
+#: Groups of up to so many points are refined in one task; larger ones in rounds of grouped sums.
+LOCAL = 50_000
+
+
 def refine_gcps(points: DataFrame, keys: list[str], tolerance: float, least: int) -> DataFrame:
     """points without those of the worst affine residual, taken away one at a time per group.
 
-    A group stops once its largest residual is within tolerance or `least` points remain. points: keys, pt, x, y,
-    x2, y2. All groups advance together: a round is one grouped fit and one grouped maximum.
+    A group stops once its largest residual is within tolerance or `least` points remain; ties go to the lower pt.
+    points: keys, pt, x, y, x2, y2. Groups of up to LOCAL points run each in a task. All larger ones advance
+    together: a round is one grouped fit and one grouped maximum.
     """
+    points = cut(points)
+    small, large = by_size(points, keys, LOCAL)
+    kept = small.groupBy(*keys).applyInPandas(_refined(tolerance, least), points.schema)
+    return kept if large.isEmpty() else kept.unionByName(_refined_in_rounds(large, keys, tolerance, least))
+
+
+def _refined(tolerance: float, least: int):
+    def run(pdf):
+        pdf = pdf.sort_values("pt", ignore_index=True)
+        a = np.c_[np.ones(len(pdf)), pdf[["x", "y"]].to_numpy(float)]
+        t, left = pdf[["x2", "y2"]].to_numpy(float), np.ones(len(pdf), bool)
+        while left.sum() > least:
+            model, _, rank, _ = np.linalg.lstsq(a[left], t[left], rcond=None)
+            if rank < 3:  # collinear points have no fit, so no residual
+                break
+            off = np.where(left, np.hypot(*(a @ model - t).T), -1.0)
+            if not off.max() > tolerance:
+                break
+            left[off.argmax()] = False
+        return pdf[left]
+
+    return run
+
+
+def _refined_in_rounds(points: DataFrame, keys: list[str], tolerance: float, least: int) -> DataFrame:
     from quadrille.operators.fitting import affine_error, fit_affine
 
-    at, done = cut(points), None
+    at, done = cut(points), []
     while True:
         e = at.join(fit_affine(at, keys), keys).filter(F.col("n") > least).withColumn("__e", affine_error())
         worst = e.groupBy(*keys).agg(F.max(F.struct("__e", (-F.col("pt")).alias("p"))).alias("w")).filter(F.col("w.__e") > tolerance).select(*keys, (-F.col("w.p")).alias("pt"))
         worst = cut(worst)
-        if worst.isEmpty():
-            return at if done is None else at.unionByName(done)
-        active = cut(at.join(worst.select(*keys), keys, "left_semi"))
         rest = at.join(worst.select(*keys), keys, "left_anti")
-        done = cut(rest if done is None else done.unionByName(rest))
-        at = cut(active.join(worst, [*keys, "pt"], "left_anti").select(*points.columns))
+        if worst.isEmpty():
+            return reduce(DataFrame.unionByName, done, at)
+        done.append(cut(rest))
+        at = cut(at.join(worst.select(*keys), keys, "left_semi").join(worst, [*keys, "pt"], "left_anti").select(*points.columns))

@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.operators.lines import polar
 from quadrille.operators.normal import AFFINE6, fit_line_affine
-from quadrille.operators.steps import cut
+from quadrille.operators.steps import by_size, cut
 
 #: A partner of no line weighs so much in the posterior.
 OUTLIER = 2 / 9
 #: A match's centres are at most this far apart (squared).
 CENTRE = 1000.0
+#: Lines are candidates up to this distance: the root of the squares of all four ends' distances to the other line.
+CANDIDATE = 10.35
+#: Groups of up to so many nodes, or pairs of lines, are matrices in one task; larger ones are tables of pairs.
+NODES, PAIRS = 4000, 4_000_000
+#: Rows of a matrix that are computed at a time.
+BLOCK = 256
 
 
 def _off(x: Column, y: Column, theta: Column, rho: Column) -> Column:
@@ -27,6 +36,31 @@ def _near(rows: DataFrame, x: Column, y: Column, reach: float) -> DataFrame:
     return rows.select("*", F.inline(steps))
 
 
+def candidates(left: DataFrame, right: DataFrame, keys: list[str], most: float = CANDIDATE, reach: float = 50.0) -> DataFrame:
+    """Nodes for spectral_match: keys, node, left_id, right_id, l, r of lines (line_id, ax, ay, bx, by) that may match.
+
+    Each end's distance to the other line, all four squared and summed, is at most the square of `most`; centres are
+    at most `reach` apart, and meet by a grid. Nodes are numbered by left_id, then right_id.
+    """
+    ends = ("ax", "ay", "bx", "by", "theta", "rho")
+
+    def side(t: DataFrame, name: str) -> DataFrame:
+        x, y = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
+        return polar(t).select(*keys, F.col("line_id").alias(f"{name}_id"), F.struct(*ends).alias(name[0]), F.sin("theta").alias(f"{name}_s"), F.cos("theta").alias(f"{name}_c"), x.alias(f"{name}_x"), y.alias(f"{name}_y"))
+
+    one, two = side(left, "left"), side(right, "right")
+    two = two.withColumns({"__cx": F.floor(F.col("right_x") / reach), "__cy": F.floor(F.col("right_y") / reach)})
+    met = _near(one, F.col("left_x"), F.col("left_y"), reach).join(two, [*keys, "__cx", "__cy"])
+    apart = (F.col("left_x") - F.col("right_x")) ** 2 + (F.col("left_y") - F.col("right_y")) ** 2
+    square = F.lit(0.0)
+    for p, q, name in (("l", "r", "right"), ("r", "l", "left")):
+        for e in "ab":
+            off = -F.col(f"{p}.{e}x") * F.col(f"{name}_s") + F.col(f"{p}.{e}y") * F.col(f"{name}_c") - F.col(f"{q}.rho")
+            square = square + off * off
+    near = met.filter((apart <= reach * reach) & (square <= most * most)).select(*keys, "left_id", "right_id", "l", "r")
+    return near.withColumn("node", F.row_number().over(Window.partitionBy(*keys).orderBy("left_id", "right_id")).cast("long"))
+
+
 def consistency(nodes: DataFrame, keys: list[str], sigma: float = 3.0, reach: float = 50.0) -> DataFrame:
     """keys, u, v, weight (both ways) of candidate pairs that agree: the distance of their left lines is that of
     their right lines up to 3 sigma; the weight is 4.5 - d^2 / (2 sigma^2).
@@ -86,11 +120,58 @@ def one_to_one(scored: DataFrame, keys: list[str], least: float = 0.1) -> DataFr
     return at if taken is None else taken
 
 
-def spectral_match(nodes: DataFrame, keys: list[str], sigma: float = 3.0, reach: float = 50.0, rounds: int = 50) -> DataFrame:
-    """keys, node, left_id, right_id, score of the matches; nodes that agree with no other are left out."""
-    nodes = cut(nodes)
-    scores = principal_scores(cut(consistency(nodes, keys, sigma, reach)), keys, rounds)
-    return one_to_one(nodes.select(*keys, "node", "left_id", "right_id").join(scores, [*keys, "node"]), keys)
+def spectral_match(nodes: DataFrame, keys: list[str], sigma: float = 3.0, reach: float = 50.0, rounds: int = 200, tolerance: float = 1e-6, least: float = 0.1) -> DataFrame:
+    """keys, node, left_id, right_id, score of the matches; nodes that agree with no other are left out.
+
+    Groups of up to NODES nodes are matrices, each in one task; larger ones go by consistency, principal_scores and
+    one_to_one. Both follow the same rules.
+    """
+    nodes = cut(nodes.select(*keys, "node", "left_id", "right_id", "l", "r"))
+    small, large = by_size(nodes, keys, NODES)
+    schema = T.StructType([*[nodes.schema[k] for k in (*keys, "node", "left_id", "right_id")], T.StructField("score", T.DoubleType())])
+    flat = small.select(*keys, "node", "left_id", "right_id", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "lr" for c in ("ax", "ay", "bx", "by", "theta", "rho")])
+    found = flat.groupBy(*keys).applyInPandas(_matched(keys, sigma, reach, rounds, tolerance, least), schema)
+    if large.isEmpty():
+        return found
+    scores = principal_scores(cut(consistency(large, keys, sigma, reach)), keys, rounds, tolerance)
+    return found.unionByName(one_to_one(large.select(*keys, "node", "left_id", "right_id").join(scores, [*keys, "node"]), keys, least).select(schema.names))
+
+
+def _matched(keys: list[str], sigma: float, reach: float, rounds: int, tolerance: float, least: float):
+    """The matches of one group of nodes, from the matrix of their consistency."""
+
+    def apart(pdf: pd.DataFrame, p: str, k: slice) -> np.ndarray:
+        s, c, rho = np.sin(pdf[f"{p}_theta"].to_numpy()), np.cos(pdf[f"{p}_theta"].to_numpy()), pdf[f"{p}_rho"].to_numpy()
+        ends = [(pdf[f"{p}_{e}x"].to_numpy(), pdf[f"{p}_{e}y"].to_numpy()) for e in "ab"]
+        square = sum((y[k, None] * c - x[k, None] * s - rho) ** 2 + (y * c[k, None] - x * s[k, None] - rho[k, None]) ** 2 for x, y in ends)
+        return np.sqrt(square)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = ((pdf[f"l_a{c}"].to_numpy() + pdf[f"l_b{c}"].to_numpy()) / 2 for c in "xy")
+        left, right, node = (pdf[c].to_numpy() for c in ("left_id", "right_id", "node"))
+        weight, used = np.zeros((len(pdf), len(pdf)), np.float32), np.zeros(len(pdf), bool)
+        for at in range(0, len(pdf), BLOCK):
+            k = slice(at, at + BLOCK)
+            d = np.abs(apart(pdf, "l", k) - apart(pdf, "r", k))
+            agrees = (d < 3 * sigma) & (left[k, None] != left) & (right[k, None] != right) & ((x[k, None] - x) ** 2 + (y[k, None] - y) ** 2 <= reach * reach)
+            weight[k], used[k] = np.where(agrees, 4.5 - d * d / (2 * sigma * sigma), 0.0), agrees.any(1)
+        score = used.astype(np.float32)
+        for _ in range(rounds if used.any() else 0):
+            moved = weight @ score + score
+            moved /= np.linalg.norm(moved)
+            score, off = moved, np.abs(moved - score).max()
+            if off < tolerance:
+                break
+        cut_off = least * score[used].mean() if used.any() else 0.0
+        lefts, rights, kept = set(), set(), []
+        for u in np.lexsort((node, -score)):
+            if used[u] and score[u] >= cut_off and left[u] not in lefts and right[u] not in rights:
+                kept.append(u)
+                lefts.add(left[u])
+                rights.add(right[u])
+        return pdf.iloc[kept][[*keys, "node", "left_id", "right_id"]].assign(score=score[kept].astype(float))
+
+    return run
 
 
 def _posteriors(left: DataFrame, right: DataFrame, model: DataFrame, keys: list[str], reach: float) -> DataFrame:
@@ -117,11 +198,79 @@ def em_line_registration(left: DataFrame, right: DataFrame, start: DataFrame, ke
     right_id, distance).
 
     left, right: keys, line_id, ax, ay, bx, by. start: keys, p0..p5, delta2. A round weighs each near pair by its
-    posterior, fits the affine map by one grouped sum and renews delta2, the mean weighted square, of 1 at least.
-    All groups advance together; one whose fit is singular or moved at most `change` rests. Pairs whose centres
-    are more than `reach` apart don't count, which keeps the pair table local. A match is each left line's most
-    probable partner, with centres within CENTRE (squared) and a distance of at most 2 delta.
+    posterior, fits the affine map by one grouped sum and renews delta2, the mean weighted square, of 1 at least. A
+    group whose fit is singular or moved at most `change` rests. Pairs whose centres are more than `reach` apart
+    don't count, which keeps the pair table local. A match is each left line's most probable partner (the lower id
+    on a tie), with centres within CENTRE (squared) and a distance of at most 2 delta.
+
+    Groups of up to PAIRS pairs of lines are matrices, each in one task; all larger ones advance together by joins.
     """
+    left, right, start = cut(left.select(*keys, "line_id", "ax", "ay", "bx", "by")), cut(right.select(*keys, "line_id", "ax", "ay", "bx", "by")), cut(start)
+    counts = [t.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(c)) for t, c in ((left, "nl"), (right, "nr"))]
+    large = cut(counts[0].join(counts[1], keys).filter(F.col("nl") * F.col("nr") > PAIRS).select(*keys))
+    names = [*AFFINE6, "delta2"]
+    here = left.join(start.join(large, keys, "left_anti").select(*keys, *names), keys)
+    schema = T.StructType([*[left.schema[k] for k in keys], *[T.StructField(c, T.DoubleType()) for c in names], T.StructField("left_id", left.schema["line_id"].dataType), T.StructField("right_id", right.schema["line_id"].dataType), T.StructField("distance", T.DoubleType())])
+    # fresh columns: both sides may stem from one table
+    here, there = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (here, right))
+    both = cut(here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(_registered(keys, reach, rounds, change), schema))
+    model, found = both.filter("left_id is null").select(*keys, *names), both.filter("left_id is not null").select(*keys, "left_id", "right_id", "distance")
+    if large.isEmpty():
+        return model, found
+    rest = _registered_in_rounds(*(t.join(large, keys, "left_semi") for t in (left, right, start)), keys, reach, rounds, change)
+    return model.unionByName(rest[0]), found.unionByName(rest[1])
+
+
+def _registered(keys: list[str], reach: float, rounds: int, change: float):
+    """Of one group a row of the model, and a row for each match."""
+    names = [*AFFINE6, "delta2"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=[*keys, *names, "left_id", "right_id", "distance"])
+        left, right = left.sort_values("line_id"), right.sort_values("line_id")
+        p, delta2 = left[AFFINE6].iloc[0].to_numpy(float), float(left["delta2"].iloc[0])
+        ends = [np.c_[np.ones(len(left)), left[[f"{e}x", f"{e}y"]].to_numpy(float)] for e in "ab"]
+        a, b = right[["ax", "ay"]].to_numpy(float), right[["bx", "by"]].to_numpy(float)
+        theta = np.arctan2(b[:, 1] - a[:, 1], b[:, 0] - a[:, 0])
+        q = np.c_[-np.sin(theta), np.cos(theta)]
+        rho, centre = (a * q).sum(1), (a + b) / 2
+
+        def weighed(p: np.ndarray, delta2: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            moved = [e @ p.reshape(2, 3).T for e in ends]
+            d2 = sum((m @ q.T - rho) ** 2 for m in moved)
+            mid = (moved[0] + moved[1]) / 2
+            shift = ((mid[:, None] - centre[None]) ** 2).sum(2)
+            e = np.where(shift <= reach * reach, np.exp(-d2 / (2 * delta2)), 0.0)
+            return e / (e.sum(0) + OUTLIER), d2, shift
+
+        for _ in range(rounds):
+            alpha, d2, _ = weighed(p, delta2)
+            w, g = np.einsum("ij,jk,jl->ikl", alpha, q, q, optimize=True), alpha @ (q * rho[:, None])
+            m = sum(np.einsum("ikl,im,in->kmln", w, u, u, optimize=True) for u in ends).reshape(6, 6)
+            v = sum(np.einsum("ik,im->km", g, u) for u in ends).ravel()
+            scale = np.sqrt(np.maximum(np.diag(m), 1e-300))
+            m = m / np.outer(scale, scale)
+            if not np.isfinite(m).all() or np.linalg.cond(m) >= 1e14:
+                break
+            new, spread = np.linalg.solve(m, v / scale) / scale, max(1.0, float((alpha * d2).sum() / (2 * alpha.sum())))
+            step = max(np.abs(new - p).max(), abs(spread - delta2))
+            p, delta2 = new, spread
+            if step <= change:
+                break
+        first = left[keys].iloc[[0]].assign(**dict(zip(names, (*p, delta2), strict=True)), left_id=None, right_id=None, distance=None)
+        if not len(right):
+            return first
+        alpha, d2, shift = weighed(p, delta2)
+        rows, best = np.arange(len(left)), alpha.argmax(1)
+        good = (shift[rows, best] <= min(CENTRE, reach * reach)) & (d2[rows, best] <= 4 * delta2)
+        found = left[keys][good].assign(**dict(zip(names, (*p, delta2), strict=True)), left_id=left["line_id"].to_numpy()[good], right_id=right["line_id"].to_numpy()[best[good]], distance=np.sqrt(d2[rows, best][good]))
+        return pd.concat([first.astype({"left_id": object, "right_id": object, "distance": object}), found.astype({"left_id": object, "right_id": object, "distance": object})])
+
+    return run
+
+
+def _registered_in_rounds(left: DataFrame, right: DataFrame, start: DataFrame, keys: list[str], reach: float, rounds: int, change: float) -> tuple[DataFrame, DataFrame]:
     names = [*AFFINE6, "delta2"]
     model = cut(start.select(*keys, *names, F.lit(False).alias("rests")))
     for _ in range(rounds):

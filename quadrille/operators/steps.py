@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute now and keep the rows in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def by_size(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of groups of up to `most` rows, which one task may hold, and those of larger groups."""
+    sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")))
+    return tuple(rows.join(sizes.filter(c).select(*keys), keys, "left_semi") for c in (F.col("__size") <= most, F.col("__size") > most))

@@ -77,7 +77,7 @@ def self_calibrate(spark, sf):
     return images.select("image_id", *[(F.round(p, 4) + 0.0).alias(p) for p in START], F.lit(round(shared["k"], 3)).alias("k"), F.lit(round(after, 4)).alias("rmse"))
 
 
-@query("refine_gcps")
+@query("refine_gcps", f"WITH {TIE_SQL} SELECT pair_id, pt FROM tie WHERE abs(x2 - {A0}*x - {A1}*y - {A2}) < 1")
 def refine_gcps(spark, sf):
-    t = tie_points(spark, sf).select("pair_id", F.floor(F.col("pt") / 30).alias("block"), "pt", "x", "y", "x2", "y2")
-    return adjustment.refine_gcps(t, ["pair_id", "block"], 1.0, 10).select("pair_id", "block", "pt")
+    t = tie_points(spark, sf).select("pair_id", "pt", "x", "y", "x2", "y2")
+    return adjustment.refine_gcps(t, ["pair_id"], 1.0, 10).select("pair_id", "pt")

@@ -165,29 +165,40 @@ def ransac_homography(spark, sf):
     return fitting.ransac_homography(moved).select("pair_id", "inliers", *rounded(*normal.HOMOGRAPHY, digits=6))
 
 
-def _sides(spark, sf):
-    """Both images' segments, in groups of 12 neighbouring ids, in polar form."""
-    s = segments(spark, sf).withColumn("block", F.floor(F.col("line_id") / 12))
-    left = s.select("pair_id", "block", "line_id", "ax", "ay", "bx", "by")
-    right = s.select("pair_id", "block", "line_id", F.col("cx").alias("ax"), F.col("cy").alias("ay"), F.col("dx").alias("bx"), F.col("dy").alias("by"))
-    return left, right
+def _line_pairs(spark, sf):
+    """All segments of both images with errors of up to half a unit in the second, and a similarity fitted to the points."""
+    def error(c, k):
+        return F.col(c) + F.pmod(F.xxhash64("pair_id", "pt", F.lit(k)), F.lit(1001)) / 1000 - 0.5
+
+    t = tie_points(spark, sf).withColumns({"x2": error("x2", 1), "y2": error("y2", 2)})
+    coarse = fitting.ransac_similarity(t, sigma=2.0).select("pair_id", *fitting.SIMILARITY)
+    g = t.filter(F.abs(F.col("x2") - A0 * F.col("x") - A1 * F.col("y") - A2) < 2).groupBy("pair_id", F.floor(F.col("pt") / 2).alias("line_id"))
+
+    def side(x, y):
+        ends = [F.max(F.when(F.col("pt") % 2 == k, F.col(c))).alias(n) for k, c, n in ((0, x, "ax"), (0, y, "ay"), (1, x, "bx"), (1, y, "by"))]
+        return g.agg(F.count(F.lit(1)).alias("c"), *ends).filter("c = 2").drop("c")
+
+    return side("x", "y"), side("x2", "y2"), coarse
 
 
 @query("spectral_match")
 def spectral_match(spark, sf):
-    """Candidates are each line's own partner and those of the next two ids."""
-    ends = ("ax", "ay", "bx", "by", "theta", "rho")
-    left, right = (lines.polar(t).select("pair_id", "block", F.col("line_id").alias(f"{n}_id"), F.struct(*ends).alias(n[0])) for t, n in zip(_sides(spark, sf), ("left", "right"), strict=True))
-    near = left.withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("right_id", F.col("left_id") + F.col("step"))
-    nodes = near.join(right, ["pair_id", "block", "right_id"]).withColumn("node", F.col("left_id") * 3 + F.col("step"))
-    got = line_matching.spectral_match(nodes, ["pair_id", "block"], rounds=15)
-    return got.select("pair_id", "block", "left_id", "right_id", F.round("score", 4).alias("score"))
+    """Left lines are moved by the similarity of the points; candidates are all lines of the pair near enough to them."""
+    left, right, coarse = _line_pairs(spark, sf)
+
+    def moved(e):
+        x, y = F.col(f"{e}x"), F.col(f"{e}y")
+        return (F.col("a0") * x + F.col("a1") * y + F.col("a2")).alias(f"{e}x"), (-F.col("a1") * x + F.col("a0") * y + F.col("a3")).alias(f"{e}y")
+
+    left = left.join(coarse, "pair_id").select("pair_id", "line_id", *moved("a"), *moved("b"))
+    got = line_matching.spectral_match(line_matching.candidates(left, right, ["pair_id"]), ["pair_id"])
+    return got.select("pair_id", "left_id", "right_id", F.round("score", 4).alias("score"))
 
 
 @query("em_line_registration")
 def em_line_registration(spark, sf):
-    left, right = _sides(spark, sf)
-    keys = ["pair_id", "block"]
-    start = left.select(*keys).distinct().select(*keys, *[F.lit(v).alias(c) for c, v in zip(normal.AFFINE6, (A2 + 0.5, A0, A1, A3 - 0.5, -A1, A0), strict=True)], F.lit(4.0).alias("delta2"))
-    _, found = line_matching.em_line_registration(left, right, start, keys, rounds=8)
-    return found.select(*keys, "left_id", "right_id", F.round("distance", 3).alias("distance"))
+    """From the similarity of the points, all lines of a pair against all."""
+    left, right, coarse = _line_pairs(spark, sf)
+    start = coarse.select("pair_id", F.col("a2").alias("p0"), F.col("a0").alias("p1"), F.col("a1").alias("p2"), F.col("a3").alias("p3"), (-F.col("a1")).alias("p4"), F.col("a0").alias("p5"), F.lit(16.0).alias("delta2"))
+    _, found = line_matching.em_line_registration(left, right, start, ["pair_id"])
+    return found.select("pair_id", "left_id", "right_id", F.round("distance", 3).alias("distance"))

@@ -19,7 +19,9 @@ def test_flow_groups_known_cases(spark):
     assert flows(spark, [*range(2, 7), *range(106, 111)]) == [(3, 0, -1, 0)] * 5 + [(8, 0, -100, 0)] * 5
 
 
-def test_refine_gcps_equals_brute_force(spark):
+@pytest.mark.parametrize("local", [50_000, 0])
+def test_refine_gcps_equals_brute_force(spark, monkeypatch, local):
+    monkeypatch.setattr(adjustment, "LOCAL", local)
     rng = np.random.default_rng(3)
     rows = []
     for k in range(3):
@@ -108,7 +110,29 @@ def segments(rng, n):
     return np.c_[a, a + rng.uniform(10, 40, n)[:, None] * np.c_[np.cos(t), np.sin(t)]]
 
 
-def test_spectral_match_equals_brute_force(spark):
+def test_candidates_equal_brute_force(spark):
+    rng = np.random.default_rng(17)
+    left, right = segments(rng, 60), segments(rng, 60)
+    right[:30] = left[:30] + rng.normal(size=(30, 4))
+
+    def square(p, q):
+        theta = np.arctan2(q[3] - q[1], q[2] - q[0])
+        rho = -q[0] * np.sin(theta) + q[1] * np.cos(theta)
+        return sum((-x * np.sin(theta) + y * np.cos(theta) - rho) ** 2 for x, y in (p[:2], p[2:]))
+
+    def centre(p):
+        return (p[:2] + p[2:]) / 2
+
+    want = {(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if square(p, q) + square(q, p) <= 10.35**2 and np.linalg.norm(centre(p) - centre(q)) <= 50}
+    one, two = (spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(s)], SEGMENT) for s in (left, right))
+    got = line_matching.candidates(one, two, ["k"]).collect()
+    assert {(r.left_id, r.right_id) for r in got} == want and len(got) == len(want) >= 30
+    assert sorted(r.node for r in got) == list(range(1, len(got) + 1))
+
+
+@pytest.mark.parametrize("most", [4000, 0])
+def test_spectral_match_equals_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(line_matching, "NODES", most)
     rng = np.random.default_rng(11)
     left = segments(rng, 14)
     turn = np.array([[0.8, -0.6], [0.6, 0.8]])
@@ -157,7 +181,9 @@ def test_spectral_match_equals_brute_force(spark):
     assert line_matching.spectral_match(table.limit(0), ["k"]).count() == 0
 
 
-def test_em_finds_the_planted_map(spark):
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_em_finds_the_planted_map(spark, monkeypatch, most):
+    monkeypatch.setattr(line_matching, "PAIRS", most)
     rng = np.random.default_rng(12)
     left = segments(rng, 25)
     planted = np.array([3.0, 1.02, -0.05, -2.0, 0.04, 0.97])
