@@ -1,4 +1,4 @@
-"""Matching of descriptors: joins within an image pair, best and second best by partial aggregation, never a sort."""
+"""Matching of descriptors: joins within an image pair, best and second best by a group limit in each task."""
 
 from __future__ import annotations
 
@@ -23,13 +23,13 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def best_two(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """keys, kp_id, x, y, b1 (struct of the least score), d2 (the next): two bounded aggregations, combined before
-    the shuffle. Equal scores go to the lower r_kp_id.
+    """keys, kp_id, x, y, b1 (struct of the least score), d2 (the next): the two least of each point, which every task
+    picks before the shuffle, so scores are computed once. Equal scores go to the lower r_kp_id.
     """
-    best = pairs.groupBy(*keys, "kp_id").agg(F.min(F.struct(score, "r_kp_id")).alias("b"))
-    first = F.struct(score, "r_kp_id") == F.col("b")
+    rank = F.row_number().over(Window.partitionBy(*keys, "kp_id").orderBy(score, "r_kp_id"))
+    two = pairs.select(*keys, "kp_id", "x", "y", "r_kp_id", "r_x", "r_y", score).withColumn("__rank", rank).filter("__rank <= 2")
     s = F.struct(F.col(score).alias("d"), "r_kp_id", "r_x", "r_y")
-    return pairs.join(best, [*keys, "kp_id"]).groupBy(*keys, "kp_id", "x", "y").agg(F.min(F.when(first, s)).alias("b1"), F.min(F.when(~first, F.col(score))).alias("d2"))
+    return two.groupBy(*keys, "kp_id", "x", "y").agg(F.min(F.when(F.col("__rank") == 1, s)).alias("b1"), F.min(F.when(F.col("__rank") == 2, F.col(score))).alias("d2"))
 
 
 def match_ratio(left: DataFrame, right: DataFrame, keys: list[str], most: float = 0.65) -> DataFrame:

@@ -122,8 +122,11 @@ def shrunk(n: Column, mu: float, p: float, steps: int = 3) -> Column:
     return F.when(n > threshold, s).otherwise(0.0)
 
 
-def icp_sparse(points: DataFrame, master: DataFrame, radius: float, p: float = 1.0, mu: float = 10.0, alpha: float = 1.2, most_mu: float = 1e5, rounds: int = 100, outer: int = 100, penalty: bool = False, tolerance: float = 1e-5) -> np.ndarray:
-    """As icp to points, in the p-norm of the residuals (p <= 1), so that outliers hardly count.
+def icp_sparse(points: DataFrame, master: DataFrame, radius: float, p: float = 1.0, mu: float = 10.0, alpha: float = 1.2, most_mu: float = 1e5, rounds: int = 100, outer: int = 100, penalty: bool = False, tolerance: float = 1e-5, planes: bool = False) -> np.ndarray:
+    """As icp, in the p-norm of the residuals (p <= 1), so that outliers hardly count.
+
+    Residuals are the gaps to the partners; with planes, the gaps along their normals (nx, ny, nz of master), kept as
+    the parts of a vector along the normal.
 
     After each search for partners, steps of the alternating direction method run: residuals shrink, one weighted
     sum gives the motion, and multipliers (cx, cy, cz, kept as columns of each point) take up the rest; penalty
@@ -134,22 +137,30 @@ def icp_sparse(points: DataFrame, master: DataFrame, radius: float, p: float = 1
     def norm(cols: list[Column]) -> Column:
         return F.sqrt(sum((c * c for c in cols[1:]), cols[0] * cols[0]))
 
+    def apart(at: tuple[str, ...]) -> list[Column]:
+        gaps = [F.col(c) - F.col(f"q{c}") for c in at]
+        if not planes:
+            return gaps
+        along = sum((g * F.col(f"m_n{c}") for c, g in zip(at, gaps, strict=True)), F.lit(0.0))
+        return [along * F.col(f"m_n{c}") for c in at]
+
     for _ in range(rounds):
         before, now = at, mu
         near = nearest_3d(moved(points, at), master, radius)
-        state = cut(near.select(*XYZ, *[F.col(f"m_{c}").alias(f"q{c}") for c in XYZ], *[F.lit(0.0).alias(f"c{c}") for c in XYZ]))
+        normals = [f"m_n{c}" for c in XYZ] if planes else []
+        state = cut(near.select(*XYZ, *normals, *[F.col(f"m_{c}").alias(f"q{c}") for c in XYZ], *[F.lit(0.0).alias(f"c{c}") for c in XYZ]))
         for _ in range(outer):
-            gap = [F.col(c) - F.col(f"q{c}") + F.col(f"c{c}") / now for c in XYZ]
+            gap = [g + F.col(f"c{c}") / now for c, g in zip(XYZ, apart(XYZ), strict=True)]
             pairs = state.withColumn("__s", shrunk(norm(gap), now, p)).withColumns({f"z{c}": F.coalesce("__s", F.lit(0.0)) * g for c, g in zip(XYZ, gap, strict=True)})
             pairs = pairs.withColumns({"w": F.lit(1.0), **{f"m_{c}": F.col(f"q{c}") + F.col(f"z{c}") - F.col(f"c{c}") / now for c in XYZ}})
-            motion = _to_points(pairs)
+            motion = (_to_planes if planes else _to_points)(pairs)
             if motion is None:
                 return at
             old = pairs.select("*", *[F.col(c).alias(f"o{c}") for c in XYZ])
-            left = moved(old, motion).withColumns({f"r{c}": F.col(c) - F.col(f"q{c}") - F.col(f"z{c}") for c in XYZ})
+            left = moved(old, motion).withColumns({f"r{c}": g - F.col(f"z{c}") for c, g in zip(XYZ, apart(XYZ), strict=True)})
             primal, dual = norm([F.col(f"r{c}") for c in XYZ]), norm([F.col(c) - F.col(f"o{c}") for c in XYZ])
             kept = [F.col(f"c{c}") if penalty else (F.col(f"c{c}") + now * F.col(f"r{c}")).alias(f"c{c}") for c in XYZ]
-            state = cut(left.select(*XYZ, *[f"q{c}" for c in XYZ], *kept, primal.alias("primal"), dual.alias("dual")))
+            state = cut(left.select(*XYZ, *normals, *[f"q{c}" for c in XYZ], *kept, primal.alias("primal"), dual.alias("dual")))
             at, now = motion @ at, now * alpha if now < most_mu else now
             off = state.agg(F.max("primal"), F.max("dual")).first()
             if max(off) < tolerance:

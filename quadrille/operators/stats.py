@@ -23,12 +23,45 @@ def normalised(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.join(stats.select(*keys, "mean", "sigma"), keys).withColumn(value, (F.col(value) - F.col("mean")) / F.col("sigma")).drop("mean", "sigma")
 
 
+def _moments(rows: DataFrame, vector: str, d: int, shift: np.ndarray) -> np.ndarray:
+    """The d + 1 by d + 1 matrix of sums of products of (1, vector - shift): each task sends the sum of its batches."""
+
+    def sums(batches):
+        total = np.zeros((d + 1, d + 1))
+        for pdf in batches:
+            if len(pdf):
+                x = np.c_[np.ones(len(pdf)), np.stack(pdf["v"].to_numpy()) - shift]
+                total += x.T @ x
+        i, j = np.triu_indices(d + 1)
+        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
+
+    whole = rows.select(F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    out = np.zeros((d + 1, d + 1))
+    for r in whole.mapInPandas(sums, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.s
+    return out
+
+
+def _covariance(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """The covariance matrix (divisor n - 1) and the mean; sums are taken about one of the rows, so that they stay exact."""
+    some = rows.select(F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull()).first()
+    if some is None:
+        return np.zeros((0, 0)), np.zeros(0)
+    shift = np.array(some[0], float)
+    m = _moments(rows, vector, len(shift), shift)
+    n, s = m[0, 0], m[0, 1:]
+    cov = (m[1:, 1:] - np.outer(s, s) / n) / (n - 1) if n > 1 else np.full((len(s), len(s)), np.nan)
+    return cov, shift + s / n
+
+
 def covariance(rows: DataFrame, vector: str) -> DataFrame:
-    """(i, j, cov) for i <= j of the vectors' columns, with divisor n - 1: sums of products, combined before the shuffle."""
-    v = rows.select(F.col(vector).cast("array<double>").alias("v"))
-    left = v.select("v", F.posexplode("v").alias("i", "a"))
-    pairs = left.select("i", "a", F.posexplode(F.col("v")).alias("j", "b")).filter("i <= j")
-    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.covar_samp("a", "b").alias("cov"))
+    """(i, j, cov) for i <= j of the vectors' columns, with divisor n - 1 (one row: null). Null vectors don't count.
+
+    A task moves one matrix of d by d, whatever its rows, and the driver holds one.
+    """
+    cov, _ = _covariance(rows, vector)
+    out = [(int(i), int(j), None if np.isnan(cov[i, j]) else float(cov[i, j])) for i, j in zip(*np.triu_indices(len(cov)), strict=True)]
+    return rows.sparkSession.createDataFrame(out, "i long, j long, cov double")
 
 
 def pca_fit(rows: DataFrame, vector: str) -> dict[str, np.ndarray]:
@@ -39,10 +72,7 @@ def pca_fit(rows: DataFrame, vector: str) -> dict[str, np.ndarray]:
     d = rows.select(F.size(vector)).first()
     if d is None or d[0] < 2 or rows.limit(2).count() < 2:
         raise ValueError("principal components need two columns and two rows at least")
-    cov = np.zeros((d[0], d[0]))
-    for r in covariance(rows, vector).collect():
-        cov[r.i, r.j] = cov[r.j, r.i] = r["cov"]
-    mean = np.array([r[1] for r in sorted(rows.select(F.posexplode(vector)).groupBy("pos").agg(F.avg("col")).collect())])
+    cov, mean = _covariance(rows, vector)
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1], vectors.T[::-1]
     signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])

@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sides of the box filters; three neighbouring ones of equal spacing make a stack.
-FILTERS = (9, 15, 21, 27)
+
+def filters(octave: int) -> tuple[int, ...]:
+    """Sides of the four box filters of an octave, 1 and on, evenly spaced: 9 15 21 27, then 15 27 39 51, and so on."""
+    return tuple(3 * (2**octave * k + 1) for k in range(1, 5))
+
 
 
 def _grid(pdf: pd.DataFrame, fill: float = 0.0) -> np.ndarray:
@@ -104,35 +107,40 @@ def _refined(cube: np.ndarray) -> np.ndarray | None:
     return -np.linalg.pinv(hess) @ grad
 
 
-def blobs(a: np.ndarray, threshold: float, filters: tuple[int, ...] = FILTERS) -> Iterator[tuple[int, int, float, float, float, float]]:
-    """(row, col, y, x, scale, response) of the peaks over place and filter side, in the array's own coordinates."""
-    layers = [hessian(a, side) for side in filters]
-    for k in range(1, len(filters) - 1):
-        border = (filters[k + 1] + 1) // 2
-        middle = layers[k]
+def blobs(a: np.ndarray, threshold: float, octaves: int = 1) -> Iterator[tuple[int, int, float, float, float, float]]:
+    """(row, col, y, x, scale, response) of the peaks over place and filter side, in the array's own coordinates.
+
+    A peak stands out among its neighbours in three filters in a row of one octave. Every pixel counts in every octave.
+    """
+    layers = {side: hessian(a, side) for side in sorted({s for o in range(1, octaves + 1) for s in filters(o)})}
+    for low, mid, high in (filters(o)[k : k + 3] for o in range(1, octaves + 1) for k in (0, 1)):
+        border = (high + 1) // 2
+        middle, stack = layers[mid], [layers[s] for s in (low, mid, high)]
         if middle.shape[0] <= 2 * border + 1 or middle.shape[1] <= 2 * border + 1:
             continue
         inner = (slice(border + 1, middle.shape[0] - border), slice(border + 1, middle.shape[1] - border))
         peak = middle[inner] >= threshold
-        for layer in layers[k - 1 : k + 2]:
+        for layer in stack:
             for dr in (-1, 0, 1):
                 for dc in (-1, 0, 1):
                     if layer is not middle or dr or dc:
                         peak &= layer[inner[0].start + dr : inner[0].stop + dr, inner[1].start + dc : inner[1].stop + dc] < middle[inner]
         for r, c in np.argwhere(peak) + border + 1:
-            off = _refined(np.stack([layer[r - 1 : r + 2, c - 1 : c + 2] for layer in layers[k - 1 : k + 2]]))
+            off = _refined(np.stack([layer[r - 1 : r + 2, c - 1 : c + 2] for layer in stack]))
             if (np.abs(off) < 0.5).all():
-                yield int(r), int(c), r + off[1], c + off[2], 0.1333 * (filters[k] + off[0] * (filters[k + 1] - filters[k])), float(middle[r, c])
+                yield int(r), int(c), r + off[1], c + off[2], 0.1333 * (mid + off[0] * (high - mid)), float(middle[r, c])
 
 
-def hessian_blobs(px: DataFrame, threshold: float, size: int = 512) -> DataFrame:
+def hessian_blobs(px: DataFrame, threshold: float, size: int = 512, octaves: int = 1) -> DataFrame:
     """image_id, band, row, col, y, x, scale, response of blob key points: peaks of the Hessian over three filters.
 
+    Octave o has the filters of `filters(o)`; a peak that two octaves share comes once for each.
+
     Tiles of size by size pixels travel with a margin that covers the largest filter, so a point found in a
     tile's own area is the one the whole image would give. Pixels nearer to the image's edge than the largest
     filter of a stack give none; a null or missing pixel counts 0.
     """
-    margin = FILTERS[-1] + 2
+    margin = filters(octaves)[-1] + 2
     edges = px.groupBy("image_id", "band").agg(F.max("row").alias("__mr"), F.max("col").alias("__mc"))
     given = tiled(px, size, margin).join(edges, ["image_id", "band"])
 
@@ -140,7 +148,7 @@ def hessian_blobs(px: DataFrame, threshold: float, size: int = 512) -> DataFrame
         image, band, trow, tcol = key
         top, left, last_r, last_c = pdf["row"].min(), pdf["col"].min(), pdf["__mr"].iloc[0], pdf["__mc"].iloc[0]
         found = []
-        for r, c, y, x, scale, response in blobs(_grid(pdf), threshold):
+        for r, c, y, x, scale, response in blobs(_grid(pdf), threshold, octaves):
             gr, gc = r + top, c + left
             if gr // size == trow and gc // size == tcol and gr <= last_r and gc <= last_c:
                 found.append((image, band, gr, gc, y + top, x + left, scale, response))

@@ -26,7 +26,7 @@ def ncc_match(spark, sf):
 
 @query("hessian_blobs")
 def hessian_blobs(spark, sf):
-    return tiles.hessian_blobs(pixels(spark, sf), 1e-7, 256)
+    return tiles.hessian_blobs(pixels(spark, sf), 1e-7, 256, octaves=2)
 
 
 @query("knn_approx")

@@ -74,6 +74,26 @@ def test_blobs_do_not_depend_on_tiles(spark):
     assert {(40, 60), (70, 100), (90, 40)} <= {(round(r.y), round(r.x)) for r in got}
 
 
+def test_octaves_find_larger_blobs(spark):
+    assert [tiles.filters(o) for o in (1, 2, 3)] == [(9, 15, 21, 27), (15, 27, 39, 51), (27, 51, 75, 99)]
+    y, x = np.mgrid[0:220, 0:200]
+    a = sum(np.exp(-((y - r) ** 2 + (x - c) ** 2) / (2 * w * w)) for r, c, w in [(50, 60, 2.5), (130, 110, 5.0)])
+    px = spark.createDataFrame([(1, 0, int(r), int(c), float(a[r, c])) for r in range(220) for c in range(200)], "image_id int, band int, row long, col long, value double")
+    one, two = ({(round(r.y), round(r.x)): r.scale for r in tiles.hessian_blobs(px, 1e-3, 96, octaves=o).collect()} for o in (1, 2))
+    assert (130, 110) not in one and {(50, 60), (130, 110)} <= set(two) and two[130, 110] > 3.6
+    assert {(r, c) for r, c, *_ in tiles.blobs(a, 1e-3, 2)} == {(r.row, r.col) for r in tiles.hessian_blobs(px, 1e-3, 96, octaves=2).collect()}
+
+
+def test_covariance_of_few_and_far_rows(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(50, 3)) + 1e6
+    rows = spark.createDataFrame([(x.tolist(),) for x in v] + [(None,)], "v array<double>")
+    want = np.cov(v.T)
+    assert all(abs(r["cov"] - want[r.i, r.j]) < 1e-6 for r in stats.covariance(rows, "v").collect())
+    assert stats.covariance(rows.filter("v is null"), "v").count() == 0
+    assert [r["cov"] for r in stats.covariance(spark.createDataFrame([([1.0],)], "v array<double>"), "v").collect()] == [None]
+
+
 def test_knn_approx_recall(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16))
@@ -215,6 +235,21 @@ def test_sparse_icp_ignores_outliers(spark):
     assert off[0] < 0.02 < off[1]
 
 
+def test_sparse_icp_to_planes(spark):
+    rng = np.random.default_rng(15)
+    cloud, normal = rng.uniform(0, 10, (90, 3)), np.eye(3)[np.arange(90) % 3]
+    c, s = np.cos(0.02), np.sin(0.02)
+    turn, shift = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]), np.array([0.05, -0.04, 0.03])
+    points = (cloud - shift) @ turn
+    points[80:] += 0.4
+    one = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(points)], "id int, x double, y double, z double")
+    two = spark.createDataFrame([(i, *map(float, r), *map(float, n)) for i, (r, n) in enumerate(zip(cloud, normal))], "id int, x double, y double, z double, nx double, ny double, nz double")
+    sparse = registration.icp_sparse(one, two, 1.5, rounds=4, outer=12, planes=True)
+    plain = registration.icp(one, two, 1.5, weight=registration.uniform, planes=True, rounds=20)
+    off = [np.abs(points[:80] @ t[:3, :3].T + t[:3, 3] - cloud[:80]).max() for t in (sparse, plain)]
+    assert off[0] < 0.02 < off[1]
+
+
 def test_ransac_needs_its_minimal_sample(spark):
     few = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 0.0)], "pair_id int, pt long, x double, y double, x2 double, y2 double")
     for find in (fitting.ransac_line, fitting.ransac_homography):
