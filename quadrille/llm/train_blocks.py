@@ -49,6 +49,12 @@ class Pages:
     def inside(self, tag: str, body: str) -> str:
         return f"<{tag}>{body}" + (f"</{tag.split()[0]}>")
 
+    def links(self) -> str:
+        """A menu that only its place beside the article tells: a row of a table, or a plain list."""
+        outer, inner = self.r.choice((("table", "td"), ("ul", "li")))
+        items = "".join(self.inside(inner, f'<a href="/x">{self.text(REST, 1, 3)}</a>') for _ in range(self.r.randint(2, 8)))
+        return self.inside(outer, f"<tr>{items}</tr>" if outer == "table" else items)
+
     def menu(self) -> str:
         return self.inside(self.r.choice(MENU), "<ul>" + "".join(f'<li><a href="/x">{self.text(REST, 1, 3)}</a></li>' for _ in range(self.r.randint(2, 8))) + "</ul>")
 
@@ -63,9 +69,11 @@ class Pages:
 
     def article(self) -> str:
         r = self.r
+        if r.random() < 0.08:  # one paragraph is all
+            return self.inside(r.choice(ARTICLE), f"<p>{self.text(MAIN, 5, 60)}</p>")
         parts = [f"<h1>{self.text(MAIN, 1, 9)}</h1>"] if r.random() < 0.8 else []
         for _ in range(r.randint(1, 14)):
-            parts.append(r.choices((lambda: f"<p>{self.text(MAIN, 1, 90)}</p>", lambda: f"<p>{self.text(MAIN, 1, 90)}", lambda: f"<p><b>{self.text(MAIN, 1, 40)}<br>", lambda: f"<h2>{self.text(MAIN, 1, 7)}</h2>", lambda: "<ul>" + "".join(f"<li>{self.text(MAIN, 1, 20)}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote><p>{self.text(MAIN, 3, 40)}</p></blockquote>", lambda: f"<table><tr><td>{self.text(MAIN, 1, 4)}</td><td>{self.text(MAIN, 1, 4)}</td></tr></table>", lambda: f"<pre>{self.text(MAIN, 3, 30)}</pre>", lambda: f"<div>{self.text(MAIN, 3, 60)}</div>", lambda: f"<section><p>{self.text(MAIN, 3, 60)}</p></section>", lambda: f"<figure><figcaption>{self.text(MAIN, 2, 12)}</figcaption></figure>"), (40, 12, 8, 6, 3, 3, 2, 2, 3, 3, 1))[0]())
+            parts.append(r.choices((lambda: f"<p>{self.text(MAIN, 1, 90)}</p>", lambda: f"<p>{self.text(MAIN, 1, 90)}", lambda: f"<p><b>{self.text(MAIN, 1, 40)}<br>", lambda: f"<h2>{self.text(MAIN, 1, 7)}</h2>", lambda: "<ul>" + "".join(f"<li>{self.text(MAIN, 1, 20)}</li>" for _ in range(3)) + "</ul>", lambda: "<ol>" + "".join(f"<li>{self.text(MAIN, 1, 20)}" for _ in range(r.randint(1, 6))) + "</ol>", lambda: f"<blockquote>{self.text(MAIN, 3, 40)}</blockquote>", lambda: f"<blockquote><p>{self.text(MAIN, 3, 40)}</p></blockquote>", lambda: f"<table><tr><td>{self.text(MAIN, 1, 4)}</td><td>{self.text(MAIN, 1, 4)}</td></tr></table>", lambda: f"<pre>{self.text(MAIN, 3, 30)}</pre>", lambda: f"<div>{self.text(MAIN, 3, 60)}</div>", lambda: f"<section><p>{self.text(MAIN, 3, 60)}</p></section>", lambda: f"<figure><figcaption>{self.text(MAIN, 2, 12)}</figcaption></figure>"), (40, 12, 8, 6, 3, 2, 2, 3, 2, 2, 3, 3, 1))[0]())
             if r.random() < 0.12:
                 parts.append(r.choice((lambda: self.boxed(ADVERT), self.form, lambda: self.boxed(AROUND), lambda: self.boxed(COMMENT), self.menu, lambda: self.boxed(NOTICE)))())
         if r.random() < 0.15:
@@ -76,6 +84,8 @@ class Pages:
         r = self.r
         before = [x() for x in (self.menu, lambda: self.boxed(ADVERT), lambda: self.boxed(HEAD), lambda: self.boxed(NOTICE), self.form, lambda: self.boxed(AROUND)) if r.random() < 0.45]
         after = [x() for x in (lambda: self.boxed(COMMENT), lambda: self.boxed(AROUND), lambda: self.boxed(ADVERT), self.form, self.menu, lambda: self.boxed(NOTICE)) if r.random() < 0.35]
+        if r.random() < 0.12:
+            before.append(self.links())
         r.shuffle(before)
         r.shuffle(after)
         if r.random() < 0.7:
@@ -90,7 +100,7 @@ class Pages:
         return vectors([(n, t.strip(MAIN + REST) or "x") for n, t in found]), np.array([t[0] == MAIN for _, t in found])
 
 
-def train(pages: int = 3000, rounds: int = 6, batch: int = 32, seed: int = 7, rate: float = 4e-3) -> Labeller:
+def train(pages: int = 6000, rounds: int = 6, batch: int = 32, seed: int = 7, rate: float = 4e-3) -> Labeller:
     """Adam over shuffled batches of pages of like length."""
     draw, model, r = Pages(seed), Labeller.fresh(seed), np.random.default_rng(seed)
     data = sorted((p for p in (draw.labelled() for _ in range(pages)) if len(p[0])), key=lambda p: len(p[0]))
