@@ -15,6 +15,8 @@ NAMES = (
     "warc",
     "urls",
     "extract",
+    "topk",
+    "negatives",
 )
 
 QUERIES: dict = {}
