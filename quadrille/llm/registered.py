@@ -17,6 +17,7 @@ NAMES = (
     "extract",
     "topk",
     "negatives",
+    "manifest",
 )
 
 QUERIES: dict = {}
