@@ -149,11 +149,11 @@ def tops(logs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def paths(logs: list[DataFrame], above: DataFrame) -> DataFrame:
+def paths(logs: list[DataFrame], above: DataFrame | None = None) -> DataFrame:
     """For each leaf of the lowest round (g, at, id, leaf, other, lefts, rights, subroot), its siblings up to the root.
 
-    above: (g, lefts, rights, subroot), what follows above each group's top. From the highest round down, a log meets
-    what stands above its builders and passes on what stands above its leaves.
+    above: (g, lefts, rights, subroot), what follows above each group's top; nothing if left out. From the highest
+    round down, a log meets what stands above its builders and passes on what stands above its leaves.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +172,11 @@ def paths(logs: list[DataFrame], above: DataFrame) -> DataFrame:
     schema = "g string, at long, id long, leaf binary, other binary, lefts array<string>, rights array<string>, subroot string"
     found = None
     for log in reversed(logs):
-        met = log.filter("alone").join(above, "g")
+        met = log.filter("alone")
+        if above is None:
+            met = met.withColumns({"lefts": F.array().cast("array<string>"), "rights": F.array().cast("array<string>"), "subroot": F.lit("")})
+        else:
+            met = met.join(above, "g")
         if found is not None:
             met = met.unionByName(log.filter("not alone").join(found.select("g", F.col("at").alias("builder"), "lefts", "rights", "subroot"), ["g", "builder"]))
         found = met.mapInArrow(extract, schema)
@@ -218,9 +222,7 @@ def manifest(docs: DataFrame, group: str, id_col: str, fields: list[str], other:
 
 def proofs(m: Manifest) -> DataFrame:
     """g, at, id, leaf, other, lefts, rights, subroot of every document: the siblings before and behind its path, by level."""
-    spark = m.logs[0].sparkSession
-    start = spark.range(1).select(F.lit("").alias("g"), F.array().cast("array<string>").alias("lefts"), F.array().cast("array<string>").alias("rights"), F.lit("").alias("subroot"))
-    upper = paths(m.root_logs, start)
+    upper = paths(m.root_logs)
     above = stored(upper.select(F.decode("other", "UTF-8").alias("g"), "lefts", "rights", F.lower(F.hex("leaf")).alias("subroot")))
     return paths(m.logs, above)
 
