@@ -6,11 +6,14 @@ import math
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators import consensus
+from quadrille.operators.epipolar import FUNDAMENTAL, fit_fundamental, sample_models, sampson_error, sampson_errors
 from quadrille.operators.normal import HOMOGRAPHY, fit_homography, homography_error
-from quadrille.operators.points import min_inliers
+from quadrille.operators.points import GROWTH, min_inliers, prosac_prefix
 from quadrille.operators.steps import cut
 
 SIMILARITY = ("a0", "a1", "a2", "a3")
@@ -87,75 +90,140 @@ def line_error() -> Column:
 
 
 class Model(NamedTuple):
-    """What RANSAC needs of a model: points in a minimal sample, parameters, the fit per group, and its error column."""
+    """What RANSAC needs of a model: points in a minimal sample, parameters, the fit per group, its error column and the
+    same error of many models over many points; axes of a point; the models of samples, where a sample gives several.
+    """
 
     size: int
     names: tuple[str, ...]
     fit: Callable[[DataFrame, list[str]], DataFrame]
     error: Callable[[], Column]
+    errors: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    axes: tuple[str, ...] = ("x", "y", "x2", "y2")
+    sample: Callable[[DataFrame], DataFrame] | None = None
+
+
+SIMILARITY_MODEL = Model(2, SIMILARITY, fit_similarity, similarity_error, consensus.similarity_errors)
+AFFINE_MODEL = Model(3, AFFINE, fit_affine, affine_error, consensus.affine_errors)
+LINE_MODEL = Model(2, ("nx", "ny", "ax", "ay"), fit_line_tls, line_error, consensus.line_errors, ("x", "y"))
+HOMOGRAPHY_MODEL = Model(4, tuple(HOMOGRAPHY), fit_homography, homography_error, consensus.homography_errors)
+FUNDAMENTAL_MODEL = Model(7, FUNDAMENTAL, fit_fundamental, sampson_error, sampson_errors, sample=sample_models)
+
 
+def distinct_places(h: Column, n: Column, size: int) -> Column:
+    """`size` different numbers below n (of size or more), picked by hashes of h: each among those that are still free."""
 
-SIMILARITY_MODEL = Model(2, SIMILARITY, fit_similarity, similarity_error)
-AFFINE_MODEL = Model(3, AFFINE, fit_affine, affine_error)
-LINE_MODEL = Model(2, ("nx", "ny", "ax", "ay"), fit_line_tls, line_error)
-HOMOGRAPHY_MODEL = Model(4, tuple(HOMOGRAPHY), fit_homography, homography_error)
+    def pick(taken: Column, k: Column) -> Column:
+        free = F.pmod(F.xxhash64(h, k), n - F.size(taken))
+        at = F.aggregate(F.array_sort(taken), free, lambda a, t: F.when(t <= a, a + 1).otherwise(a))
+        return F.array_append(taken, at)
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.array().cast("array<bigint>"), pick)
 
-def hypotheses(points: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL, todo: DataFrame | None = None) -> DataFrame:
-    """pair_id, h, and a model through points that an integer hash of h picks; needs pt = 0..n-1 per pair.
 
-    todo: (pair_id, since, until), the pairs and rounds to draw; else all pairs, `rounds` each.
+def picked_points(rounds: int, size: int) -> Column:
+    """The places of round h in a pair of np points; the first `rounds` by a formula that SQL has too."""
+    h, np_ = F.col("h"), F.col("np")
+    if size > 4:
+        return distinct_places(h, np_, size)
+    picked: list[Column] = []
+    for times, plus in ((7919, 13), (104729, 71), (15485863, 29), (32452843, 53))[:size]:
+        at = F.when(h < rounds, (h * times + plus) % np_).otherwise(F.pmod(F.xxhash64("h", F.lit(times)), np_))
+        for _ in picked:
+            at = F.when(F.array_contains(F.array(*picked), at), (at + 1) % np_).otherwise(at)
+        picked.append(at)
+    return F.array(*picked)
+
+
+def prosac_places(size: int) -> Column:
+    """The places of round h among a pair's points by falling score: the newest of the prefix `m` and others before it.
+
+    Once the prefix has grown to all np points, any `size` of them.
     """
-    np_ = F.col("np")
-    n = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("np")).filter(np_ >= model.size)
+    h, m = F.col("h"), F.col("m")
+    newest = F.concat(distinct_places(h, m - 1, size - 1), F.array(m - 1)) if size > 1 else F.array(m - 1)
+    return F.when(F.col("grown"), distinct_places(h, F.col("np"), size)).otherwise(newest)
+
+
+def hypotheses(blocks: DataFrame, sizes: DataFrame, rounds: int, model: Model = SIMILARITY_MODEL, todo: DataFrame | None = None, ordered: bool = False, budget: int = GROWTH) -> DataFrame:
+    """pair_id, h, and a model through points of consensus.point_blocks that an integer hash of h picks.
+
+    todo: (pair_id, since, until), the pairs and rounds to draw; else all pairs, `rounds` each. ordered: pt is the order
+    of falling quality, and samples come from growing prefixes of it (prosac_prefix).
+    """
+    n = sizes.filter(F.col("np") >= model.size)
     if todo is None:
         n = n.withColumns({"since": F.lit(0).cast("long"), "until": F.lit(rounds).cast("long")})
     else:
         n = n.join(todo, "pair_id")
     h = n.select("pair_id", "np", F.explode(F.sequence("since", F.col("until") - 1)).alias("h"))
-    picked: list[Column] = []
-    for times, plus in ((7919, 13), (104729, 71), (15485863, 29), (32452843, 53))[: model.size]:
-        at = F.when(F.col("h") < rounds, (F.col("h") * times + plus) % np_).otherwise(F.pmod(F.xxhash64("h", F.lit(times)), np_))
-        for _ in picked:
-            at = F.when(F.array_contains(F.array(*picked), at), (at + 1) % np_).otherwise(at)
-        picked.append(at)
-    picks = h.select("pair_id", "h", F.explode(F.array(*picked)).alias("pt"))
-    fitted = model.fit(points.join(picks, ["pair_id", "pt"]), ["pair_id", "h"])
-    return fitted.dropna(subset=[model.names[0]]).drop("n")
+    if ordered:
+        h = prosac_prefix(h, model.size, budget)
+    picks = h.select("pair_id", "h", F.explode(prosac_places(model.size) if ordered else picked_points(rounds, model.size)).alias("pt"))
+    drawn = consensus.points_at(blocks, picks, list(model.axes))
+    if model.sample is not None:
+        return model.sample(drawn)
+    return model.fit(drawn, ["pair_id", "h"]).dropna(subset=[model.names[0]]).drop("n")
 
 
-def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, confidence: float = 0.99, most: int = 1000, support: float | None = None, doubt: float = 0.05) -> DataFrame:
+def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, confidence: float = 0.99, most: int = 1000, support: float | None = None, doubt: float = 0.05, ordered: bool = False, budget: int = GROWTH) -> DataFrame:
     """pair_id, h, inliers, n and the model: the hypothesis with most inliers (error < factor sigma^2), refitted on them.
 
     Each pair is tried `rounds` times, and then on while its best share w of inliers asks for more: a sample of clean
     points has come up with `confidence` after log(1 - confidence) / log(1 - w^size) rounds, `most` at most. Only
     pairs that need more are tried on. support: pairs whose inliers may be chance (min_inliers) are left out.
+    ordered: pt is the order of falling quality and samples grow with it; a pair also stops at what the prefix
+    of its last round needs, once the best has more inliers there than chance gives.
 
-    Hypotheses are rows joined to the pair's points, which are kept once; inliers are summed in each task before
-    they are shuffled, so what moves is one count for each hypothesis and task.
+    Points are packed into blocks once (pt counts 0..n-1 in each pair). Each batch of hypotheses is fitted and written
+    before it meets them as the matrix of its pair, so what moves is one count for each hypothesis and task.
     """
-    limit, names, points = factor * sigma * sigma, model.names, cut(points)
-    best, todo = None, None
+    limit, names, axes = factor * sigma * sigma, model.names, list(model.axes)
+    blocks = consensus.point_blocks(points, axes)
+    sizes = cut(consensus.block_sizes(blocks))
+    best, todo, zero = None, None, F.lit(0).cast("long")
     while True:
-        scored = points.join(hypotheses(points, rounds, model, todo), "pair_id").groupBy("pair_id", "h", *names).agg(F.sum((model.error() < limit).cast("long")).alias("inliers"), F.count(F.lit(1)).alias("np"))
-        found = scored.groupBy("pair_id", "np").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"), *names)).alias("b"))
-        found = found.withColumn("tried", F.lit(rounds).cast("long")) if todo is None else found.join(todo.select("pair_id", F.col("until").alias("tried")), "pair_id")
+        models = cut(hypotheses(blocks, sizes, rounds, model, todo, ordered, budget))
+        sized = models.join(sizes, "pair_id")
+        sized = sized.withColumn("known", zero) if best is None else sized.join(best.select("pair_id", F.col("b.inliers").alias("known")), "pair_id", "left").withColumn("known", F.coalesce("known", zero))
+        top = consensus.inlier_counts(blocks, sized, axes, names, model.errors, limit).groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("h")).alias("h"))).alias("t"))
+        met = top.select("pair_id", (-F.col("t.h")).alias("h"), F.col("t.inliers").alias("inliers")).join(models, ["pair_id", "h"])
+        found = met.select("pair_id", F.struct("inliers", (-F.col("h")).alias("h"), *names).alias("b"))
+        tried = sizes.filter(F.col("np") >= model.size).withColumn("tried", F.lit(rounds).cast("long")) if todo is None else todo.select("pair_id", F.col("until").alias("tried")).join(sizes, "pair_id")
+        found = tried.join(found, "pair_id", "left")  # a pair whose samples were all degenerate is tried on
         if best is not None:
             found = found.unionByName(best).groupBy("pair_id", "np").agg(F.max("b").alias("b"), F.max("tried").alias("tried"))
         best = cut(found)
         clean = F.least(F.lit(1 - 1e-12), F.pow(F.col("b.inliers") / F.col("np"), F.lit(float(model.size))))
         need = F.when(clean > 0, F.ceil(math.log(1 - confidence) / F.log(1 - clean))).otherwise(most)
-        open_ = best.withColumn("until", F.least(need, F.lit(most), 4 * F.col("tried")).cast("long")).filter("until > tried")
-        todo = cut(open_.select("pair_id", F.col("tried").alias("since"), "until"))
+        state = best
+        if ordered:
+            state = best.join(prefix_inliers(blocks, best, model, limit, budget), "pair_id", "left")
+            share = F.least(F.lit(1 - 1e-12), F.pow(F.col("within") / F.col("m"), F.lit(float(model.size))))
+            enough = F.col("within") > F.coalesce(min_inliers(F.col("m"), model.size, 0.05, 0.05), F.col("m"))
+            need = F.when(enough, F.least(need, F.ceil(math.log(1 - confidence) / F.log(1 - share)))).otherwise(need)
+        open_ = state.withColumn("until", F.least(need, F.lit(most), 4 * F.col("tried")).cast("long")).filter("until > tried")
+        todo = open_.select("pair_id", F.col("tried").alias("since"), "until")
+        todo = cut(todo) if ordered else todo
         if todo.isEmpty():
             break
+    best = best.filter("b is not null")
     if support is not None:
         best = best.filter(F.col("b.inliers") >= min_inliers(F.col("np"), model.size, support, doubt))
     best = best.select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
-    kept = points.join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", *[c for c in ("x", "y", "x2", "y2") if c in points.columns])
+    kept = consensus.block_points(blocks.join(best, "pair_id", "left_semi"), axes).join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", *axes)
     return model.fit(kept, ["pair_id", "h", "inliers"])
 
 
+def prefix_inliers(blocks: DataFrame, best: DataFrame, model: Model, limit: float, budget: int) -> DataFrame:
+    """pair_id, m, within: the prefix of each pair's last round, and the best model's inliers in it."""
+    best = best.filter("b is not null")
+    last = prosac_prefix(best.select("pair_id", "np", (F.col("tried") - 1).alias("h")), model.size, budget).select("pair_id", "m")
+    models = best.select("pair_id", *[F.col(f"b.{c}").alias(c) for c in model.names]).join(last, "pair_id")
+    points = consensus.block_points(blocks, list(model.axes)).join(models, "pair_id").filter(F.col("pt") < F.col("m"))
+    return points.groupBy("pair_id", "m").agg(F.sum((model.error() < limit).cast("long")).alias("within"))
+
+
 def ransac_similarity(points: DataFrame, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
     return ransac(points, SIMILARITY_MODEL, rounds, sigma, factor)
 
@@ -173,6 +241,17 @@ def ransac_homography(points: DataFrame, rounds: int = 32, sigma: float = 0.5, f
     return ransac(points, HOMOGRAPHY_MODEL, rounds, sigma, factor)
 
 
+def ransac_fundamental(points: DataFrame, rounds: int = 64, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
+    """As ransac, of the fundamental matrix f0..f8; the error is Sampson's. h is three times the round, plus the root."""
+    return ransac(points, FUNDAMENTAL_MODEL, rounds, sigma, factor)
+
+
+def prosac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, **more) -> DataFrame:
+    """As ransac, with samples from growing prefixes of the pair's points by falling score (ties by pt)."""
+    order = Window.partitionBy("pair_id").orderBy(F.desc("score"), "pt")
+    return ransac(points.withColumn("pt", (F.row_number().over(order) - 1).cast("long")), model, rounds, sigma, factor, ordered=True, **more)
+
+
 def robust_weights(rows: DataFrame, partition: str, residual: str, scale: float = 1.0, share: float = 0.5, p: float = 0.8) -> DataFrame:
     """Add w_pnorm, w_tukey, w_fair, w_logistic, w_trimmed and w_uniform of a residual."""
     r = F.col(residual) / scale

@@ -70,6 +70,34 @@ def prosac_samples(points: DataFrame, rounds: int) -> DataFrame:
     return picks.join(one, ["pair_id", "a"]).join(two, ["pair_id", "b"]).select("pair_id", "h", "newest", "other")
 
 
+#: Rounds after which growing prefixes have drawn as plain sampling does.
+GROWTH = 200_000
+
+
+def prosac_prefix(rounds: DataFrame, size: int, budget: int = GROWTH) -> DataFrame:
+    """Add m, grown to (np, h, ...): the prefix of the np best points that round h draws `size` points from.
+
+    Of `budget` rounds on all points, T(n) = floor(budget C(n, size) / C(np, size)) would have stayed within the first
+    n, so prefix n is drawn from T(n) - T(n - 1) times, once at least. grown: all points have had their turn. A prefix
+    takes a round or more, so only as many prefixes as rounds are looked at, once for each np.
+    """
+    n = F.col("m")
+    within = F.lit(float(budget))
+    before = F.lit(float(budget))
+    for i in range(size):
+        within = within * (n - i) / (F.col("np") - i)
+        before = before * (n - 1 - i) / (F.col("np") - i)
+    times = F.greatest(F.floor(within) - F.floor(before), F.lit(1))
+    first = F.when(n == size, F.greatest(F.floor(within), F.lit(1))).otherwise(times)
+    lengths = rounds.groupBy("np").agg(F.max("h").alias("last"))
+    lengths = lengths.select("np", "last", F.explode(F.sequence(F.lit(size).cast("long"), F.least(F.col("np"), size + F.col("last")).cast("long"))).alias("m")).withColumn("times", first)
+    until = F.sum("times").over(Window.partitionBy("np").orderBy("m"))
+    spans = lengths.withColumn("until", until).filter(F.col("until") - F.col("times") <= F.col("last"))
+    turns = spans.select("np", "m", F.explode(F.sequence(F.col("until") - F.col("times"), F.least(F.col("until") - 1, F.col("last").cast("long")))).alias("h"))
+    met = rounds.join(turns, ["np", "h"], "left")
+    return met.withColumn("grown", F.col("m").isNull()).withColumn("m", F.coalesce("m", F.col("np").cast("long")))
+
+
 def kth_value(rows: DataFrame, keys: list[str], value: str, tie: str, k: int) -> DataFrame:
     """keys, value: the k-th smallest of each group, or the largest where it has fewer rows."""
     w = Window.partitionBy(*keys)

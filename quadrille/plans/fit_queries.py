@@ -129,6 +129,14 @@ def prosac_samples(spark, sf):
     return samples(tie_points(spark, sf), 16)
 
 
+@query("prosac_prefix", f"WITH {TIE_SQL}, np AS (SELECT pair_id, count(*) AS np FROM tie GROUP BY 1 HAVING count(*) >= 3), m AS (SELECT DISTINCT np, unnest(range(3, np + 1)) AS m FROM np), t AS (SELECT np, m, floor(200000.0 * m / np * (m - 1) / (np - 1) * (m - 2) / (np - 2)) AS t FROM m), k AS (SELECT np, m, CAST(greatest(1, t - coalesce(lag(t) OVER (PARTITION BY np ORDER BY m), 0)) AS BIGINT) AS times FROM t), u AS (SELECT *, sum(times) OVER (PARTITION BY np ORDER BY m) AS until FROM k), h AS (SELECT pair_id, np, unnest(range(0, 300)) AS h FROM np) SELECT pair_id, h, coalesce(u.m, h.np) AS m, u.m IS NULL AS grown FROM h LEFT JOIN u ON u.np = h.np AND h.h < until AND h.h >= until - times")
+def prosac_prefix(spark, sf):
+    from quadrille.operators.points import prosac_prefix as prefix
+
+    pairs = tie_points(spark, sf).groupBy("pair_id").agg(F.count(F.lit(1)).alias("np")).filter("np >= 3")
+    return prefix(pairs.select("pair_id", "np", F.explode(F.sequence(F.lit(0), F.lit(299)).cast("array<bigint>")).alias("h")), 3).select("pair_id", "h", "m", "grown")
+
+
 @query("kth_value", f"WITH {TIE_SQL}, r AS (SELECT pair_id, x, row_number() OVER (PARTITION BY pair_id ORDER BY x, pt) AS k, count(*) OVER (PARTITION BY pair_id) AS c FROM tie) SELECT pair_id, x AS value FROM r WHERE k = least(300, c)")
 def kth_value(spark, sf):
     from quadrille.operators.points import kth_value as kth

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.operators import fitting, line_matching, lines, normal, projection, spatial, warp
 from quadrille.plans.fit_queries import rounded
 from quadrille.plans.registry import query, table
-from quadrille.plans.views import A0, A1, A2, A3, DESCR_SQL, PIXEL_SQL, TIE_SQL, descriptors, pixels, tie_points
+from quadrille.plans.views import A0, A1, A2, A3, DESCR_SQL, EPIPOLAR_SQL, PIXEL_SQL, TIE_SQL, descriptors, epipolar_points, pixels, tie_points
 
 PROJ_SQL = """pj AS (SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'll' WHEN 1 THEN 'tm' ELSE 'lcc' END AS kind, radians(n_nationkey / 50) AS l0, radians(CAST(30 AS DOUBLE)) AS p0,
   radians(CAST(31 + n_nationkey % 3 AS DOUBLE)) AS p1, radians(CAST(38 + n_nationkey % 5 AS DOUBLE)) AS p2, 0.9996::DOUBLE AS k0, 500000.0::DOUBLE AS fe, n_nationkey * 1000.0::DOUBLE AS fn FROM nation)"""
@@ -150,6 +150,16 @@ def interpolate_elevation(spark, sf):
     return spatial.interpolate_elevation(tie_points(spark, sf), ["pair_id", "pt"], dem, -9.0).select("pair_id", "pt", (F.round("hgt", 5) + 0.0).alias("hgt"))
 
 
+@query("ransac_fundamental", f"WITH {EPIPOLAR_SQL} SELECT pair_id, count(*) AS inliers FROM li WHERE power(x2*r0 + y2*r1 + r2, 2) / (r0*r0 + r1*r1 + l0*l0 + l1*l1) < 0.96 GROUP BY 1")
+def ransac_fundamental(spark, sf):
+    return fitting.ransac_fundamental(epipolar_points(spark, sf)).select("pair_id", "inliers")
+
+
+@query("prosac_affine", f"WITH {TIE_SQL}, f AS (SELECT pair_id, count(*) AS n FROM tie WHERE abs(x2 - {A0}*x - {A1}*y - {A2}) < 1 GROUP BY 1) SELECT pair_id, CAST(n AS BIGINT) AS inliers, {A2} + 0.0::DOUBLE AS m0, {A0} + 0.0::DOUBLE AS m1, {A1} + 0.0::DOUBLE AS m2, {A3} + 0.0::DOUBLE AS m3, {-A1} + 0.0::DOUBLE AS m4, {A0} + 0.0::DOUBLE AS m5 FROM f")
+def prosac_affine(spark, sf):
+    return fitting.prosac(tie_points(spark, sf), fitting.AFFINE_MODEL).select("pair_id", "inliers", *rounded(*fitting.AFFINE))
+
+
 @query("ransac_line", f"WITH {TIE_SQL}, f AS (SELECT pair_id, count(*) AS n, avg(x) AS ax FROM tie WHERE abs(x2 - {A0}*x - {A1}*y - {A2}) < 1 GROUP BY 1) SELECT pair_id, CAST(n AS BIGINT) AS inliers, round(1 / sqrt(5::DOUBLE), 4) AS nx, round(-2 / sqrt(5::DOUBLE), 4) AS ny, round(ax, 4) AS ax, round(ax / 2 + 3, 4) AS ay FROM f")
 def ransac_line(spark, sf):
     t = tie_points(spark, sf)

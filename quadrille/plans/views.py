@@ -55,3 +55,30 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 DESCR_SQL = """de AS (
   SELECT label AS pair_id, vec_id % 2 AS side, vec_id AS kp_id, CAST(embedding AS DOUBLE[64]) AS descr,
          CAST(vec_id % 17 AS DOUBLE) AS x, CAST(vec_id % 23 AS DOUBLE) AS y FROM embeddings)"""
+
+
+#: The second camera of epipolar_points: turned by THETA in the plane and moved by (TX, TY, TZ).
+COS, SIN, TX, TY, TZ = 0.96, 0.28, 30.0, 20.0, 0.2
+
+
+def epipolar_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pair_id, pt, x, y, x2, y2: points of some depth in two cameras, half of them moved by different ways."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    x, y, z = F.col("l_extendedprice") / 1000, F.col("l_quantity").cast("double"), 1 + F.col("l_partkey") % 97 / 97
+    moved = F.when((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 10 < 5, 1.0).otherwise(0.0)
+    u = (COS * x * z - SIN * y * z + TX) / (z + TZ) + moved * (40 + F.col("l_partkey") * 37 % 211)
+    v = (SIN * x * z + COS * y * z + TY) / (z + TZ) - moved * (25 + F.col("l_partkey") * 91 % 173)
+    return li.select(F.col("l_suppkey").alias("pair_id"), (F.row_number().over(order) - 1).cast("long").alias("pt"), x.alias("x"), y.alias("y"), u.alias("x2"), v.alias("y2"))
+
+
+EPIPOLAR_SQL = f"""sc AS (
+  SELECT l_suppkey AS pair_id, l_extendedprice / 1000 AS x, CAST(l_quantity AS DOUBLE) AS y, 1 + l_partkey % 97 / 97.0::DOUBLE AS z, l_partkey,
+         CASE WHEN (l_orderkey * 7 + l_linenumber) % 10 < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS moved FROM lineitem),
+ep AS (
+  SELECT pair_id, x, y, ({COS} * x * z - {SIN} * y * z + {TX}) / (z + {TZ}) + moved * (40 + l_partkey * 37 % 211) AS x2,
+         ({SIN} * x * z + {COS} * y * z + {TY}) / (z + {TZ}) - moved * (25 + l_partkey * 91 % 173) AS y2 FROM sc),
+li AS (
+  SELECT *, {-TZ * SIN} * x + {-TZ * COS} * y + {TY} AS r0, {TZ * COS} * x + {-TZ * SIN} * y + {-TX} AS r1,
+         {TX * SIN - TY * COS} * x + {TX * COS + TY * SIN} * y AS r2,
+         {-TZ * SIN} * x2 + {TZ * COS} * y2 + {TX * SIN - TY * COS} AS l0, {-TZ * COS} * x2 + {-TZ * SIN} * y2 + {TX * COS + TY * SIN} AS l1 FROM ep)"""
