@@ -59,13 +59,33 @@ def alike_tokens(items: DataFrame) -> DataFrame:
     return cut(tokens.join(names, ["n", "s0", "s1"]).select("token", "name", "n", "b"))
 
 
+def conditional(baskets: DataFrame, tokens: DataFrame, good: int, least: int) -> DataFrame:
+    """items of bad URLs: for each anchor in a basket the commoner tokens beside it, each as JSON [anchor, token].
+
+    Left are the tokens that stand in some, but not all, of the anchor's good URLs, beside it in at least `least` bad
+    ones; and anchors that aren't in all good URLs. Dropping another from a rule would spare no good URL, and lose no
+    bad one, so the shorter set is a rule too. Sets of one anchor never mix with those of others.
+    """
+    size = tokens.select("token", F.struct("n", "token").alias("place"))
+    ordered = baskets.select("row", "bad", F.explode("items").alias("token")).join(size, "token")
+    whole = ordered.groupBy("row", "bad").agg(F.sort_array(F.collect_list("place")).alias("p"))
+    beside = whole.select("row", "bad", F.posexplode("p").alias("at", "a"), "p").select("row", "bad", F.col("a.token").alias("anchor"), F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("t"))
+    beside = beside.select("row", "bad", "anchor", F.col("t.token").alias("token"))
+    own = ordered.filter("not bad").groupBy(F.col("token").alias("anchor")).agg(F.count(F.lit(1)).alias("g"))
+    pairs = beside.groupBy("anchor", "token").agg(F.sum((~F.col("bad")).cast("long")).alias("both"), F.sum(F.col("bad").cast("long")).alias("b")).filter(F.col("b") >= least)
+    free = pairs.join(own, "anchor").filter((F.col("both") < F.col("g")) & (F.col("g") < good)).select("anchor", "token")
+    kept = beside.filter("bad").join(free, ["anchor", "token"])
+    return kept.groupBy("row", "anchor").agg(F.collect_list(F.to_json(F.array("anchor", "token"))).alias("items")).select("items")
+
+
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, confidence: float = CONFIDENCE) -> DataFrame:
     """(anchor, needs, confidence, hits): token combinations that foretell a bad URL, by Spark's FP-growth.
 
     labelled: tokens array, bad boolean. Of rules that hold, the shortest are kept: one that contains another is
     dropped. So tokens that are a rule by themselves are taken first and FP-growth combines only the others, of bad
     URLs; tokens that always go together are one item. anchor is the rarest of a rule's tokens, under which the
-    inverted index finds it.
+    inverted index finds it. Baskets are those of an anchor (conditional): what spares no good URL of the anchor can't
+    be in a shortest rule with it, so a site's template words drop out before sets of them are listed.
     """
     rows = cut(labelled.select("tokens", "bad", F.monotonically_increasing_id().alias("row")))
     n = rows.count()
@@ -79,15 +99,13 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, count: int = COUN
     alone = single.select(F.col("token").alias("anchor"), F.array("token").alias("needs"), (F.col("b") / F.col("n")).alias("confidence"), F.col("b").cast("long").alias("hits"))
     others = tokens.join(single.select("token"), "token", "left_anti")
     baskets = cut(items.join(others.filter("token = name").select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items")))
-    bad = baskets.filter("bad").select("items")
+    bad = cut(conditional(baskets, others, rows.filter("not bad").count(), least))
     m = bad.count()
     if not m:
         return alone
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / m), minConfidence=1.0).fit(bad).freqItemsets.filter((F.size("items") > 1) & (F.col("freq") >= least))
-    sets = cut(sets.select(F.array_sort("items").alias("needs"), F.col("freq").alias("hits")))
-    size = others.select("token", F.col("n").alias("size"))
-    rarest = sets.select("needs", F.explode("needs").alias("token")).join(size, "token").groupBy("needs").agg(F.min(F.struct("size", "token"))["token"].alias("anchor"))
-    sets = cut(sets.join(rarest, "needs"))
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, least / m), minConfidence=1.0).fit(bad).freqItemsets.filter(F.col("freq") >= least)
+    anchored = sets.select(F.transform("items", lambda x: F.from_json(x, "array<string>")).alias("p"), F.col("freq").alias("hits"))
+    sets = cut(anchored.select(F.col("p")[0][0].alias("anchor"), F.array_sort(F.concat(F.array(F.col("p")[0][0]), F.transform("p", lambda x: x[1]))).alias("needs"), "hits"))
     good = baskets.filter("not bad").select(F.col("items").alias("has"), F.explode("items").alias("anchor")).join(sets, "anchor").filter(F.size(F.array_except("needs", "has")) == 0)
     sets = sets.join(good.groupBy("needs").agg(F.count(F.lit(1)).alias("g")), "needs", "left").withColumn("confidence", F.col("hits") / (F.col("hits") + F.coalesce("g", F.lit(0))))
     rules = cut(sets.filter(F.col("confidence") >= confidence).select("anchor", "needs", "confidence", "hits"))
