@@ -132,6 +132,15 @@ class Path:
 ROOT = Path(None, ())
 
 
+ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+BEYOND = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers of any length, beyond the code points as U+FFFD."""
+    return html.unescape(BEYOND.sub("\ufffd", ZEROS.sub(r"&#\1", text)) if "&#" in text else text)
+
+
 def blocks(page: str) -> list[tuple[Path, str]]:
     """The leaf texts of a page in order, each with its path; white space as one space."""
     found, stack, text = [], [], []  # stack: (name, path)
@@ -140,7 +149,7 @@ def blocks(page: str) -> list[tuple[Path, str]]:
 
     def end():
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
+            joined = " ".join(decoded("".join(text)).split())
             if joined:
                 found.append((stack[-1][1] if stack else ROOT, joined))
             text.clear()

@@ -61,7 +61,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     found += [("email", *span) for span in emails(text)]
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x.lstrip("0")) < 4 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split(".")):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
