@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,12 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[x for c in df.columns for x in (F.col(c).isNull(), F.col(c))])
 
 
+def plain_names(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df with columns c0, c1, ... that clash with no name of ours, what `cols` are called there, and the way back."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in cols], lambda out: out.toDF(*names)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int) -> DataFrame:
     """Inner join of rows with their group (one row for each key), where a few groups may hold most rows.
 

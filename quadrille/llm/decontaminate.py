@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import MULTIPLIER, WordHash, encoded, mixed, pieces, row_hash
+from quadrille.llm.common import MULTIPLIER, WordHash, encoded, mixed, pieces, plain_names, row_hash
 
 #: A tile has so many tokens at least; items whose tokens are covered by this share or more are leaked.
 MIN_TILE, MIN_COVERAGE = 5, 0.5
@@ -254,9 +254,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     suite = small_suite(benchmark, least, most)
     if suite is None:
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        docs, (id_col, text_col), given = plain_names(docs, id_col, text_col)
         bad = _joined(texts, benchmark, least, share).select(F.col("doc_id").alias("__id"), F.col("th").alias("__h")).distinct()
         keyed = docs.withColumn("__th", F.xxhash64(*[x for c in (F.col(id_col).cast("long"), F.col(text_col)) for x in (c.isNull(), c)]))
-        return keyed.join(bad, keyed[id_col].cast("long").eqNullSafe(bad["__id"]) & (keyed["__th"] == bad["__h"]), "left_anti").select(*docs.columns)
+        return keyed.join(bad, keyed[id_col].cast("long").eqNullSafe(bad["__id"]) & (keyed["__th"] == bad["__h"]), "left_anti").select(*docs.columns).transform(given)
     sent = docs.sparkSession.sparkContext.broadcast(suite)
 
     def run(batches):
