@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrille.operators import adjustment, registration
+from quadrille.operators import adjustment, ephemeris, registration
 from quadrille.plans.registry import query, table
 from quadrille.plans.views import A0, A1, A2, A3, TIE_SQL, tie_points
 
@@ -81,3 +81,32 @@ def self_calibrate(spark, sf):
 def refine_gcps(spark, sf):
     t = tie_points(spark, sf).select("pair_id", "pt", "x", "y", "x2", "y2")
     return adjustment.refine_gcps(t, ["pair_id"], 1.0, 10).select("pair_id", "pt")
+
+
+#: Planted angles of an ephemeris row, in hundredths: (image * M + row * K) % 11 - 5.
+ANGLES = {"roll": (7, 3), "pitch": (5, 4), "yaw": (3, 2)}
+EVERY = 10.0
+
+
+def _swath(p):
+    x, y = F.col("x"), F.col("y")
+    return x + 50 * p["roll"] + y * p["yaw"] + p["k"] * 1e-4 * x * y, y + 50 * p["pitch"] - x * p["yaw"] + p["k"] * 1e-4 * x * x
+
+
+@query(
+    "ephemeris_adjust",
+    f"WITH r AS (SELECT DISTINCT l_suppkey AS image_id, CAST(floor(l_quantity / {EVERY}) AS BIGINT) AS e FROM lineitem), u AS (SELECT image_id, e AS row FROM r UNION SELECT image_id, e + 1 FROM r WHERE (image_id, e) IN (SELECT l_suppkey, CAST(floor(l_quantity / {EVERY}) AS BIGINT) FROM lineitem WHERE l_quantity % 10 <> 0)) SELECT image_id, row, "
+    + ", ".join(f"round(((image_id * {m} + row * {k}) % 11 - 5) / 100.0::DOUBLE, 4) + 0.0 AS {a}" for a, (m, k) in ANGLES.items())
+    + ", 2.0::DOUBLE AS k, 0.0::DOUBLE AS rmse FROM u",
+)
+def ephemeris_adjust(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("image_id"), (F.col("l_extendedprice") / 1000).alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    row = F.floor(F.col("y") / EVERY)
+    w = F.col("y") / EVERY - row
+    angle = lambda m, k, at: ((F.col("image_id") * m + at * k) % 11 - 5) / 100.0
+    seen = _swath({a: angle(m, k, row) * (1 - w) + angle(m, k, row + 1) * w for a, (m, k) in ANGLES.items()} | {"k": F.lit(2.0)})
+    points = li.select("image_id", F.col("y").alias("t"), "x", "y", seen[0].alias("x2"), seen[1].alias("y2"))
+    rows, shared, _, after = ephemeris.ephemeris_adjust(points, adjustment.Sensor(dict.fromkeys(ANGLES, 0.0), {"k": 0.0}, _swath), EVERY)
+    # a last row on which no point has any weight keeps its start value
+    hit = points.select("image_id", F.explode(F.array(F.floor(F.col("t") / EVERY), F.ceil(F.col("t") / EVERY))).alias("row")).distinct()
+    return rows.join(hit, ["image_id", "row"]).select("image_id", "row", *[(F.round(a, 4) + 0.0).alias(a) for a in ANGLES], F.lit(round(shared["k"], 3)).alias("k"), F.lit(round(after, 4)).alias("rmse"))
