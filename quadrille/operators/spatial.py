@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.operators.steps import cut
@@ -10,24 +10,52 @@ from quadrille.operators.steps import cut
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
-def _cells(boxes: DataFrame, size: float) -> DataFrame:
-    def run(lo, hi):
-        return F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
+#: Levels of the grid that boxes are placed on, each of cells twice as wide as the one before.
+LEVELS = 60
 
-    return boxes.withColumn("cx", F.explode(run("xmin", "xmax"))).withColumn("cy", F.explode(run("ymin", "ymax")))
+
+def _levelled(boxes: DataFrame, size: float, side: str) -> DataFrame:
+    """Boxes as (side_id, side_xmin ..., own): own is the least level whose cells are as wide as the box."""
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    own = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.ceil(F.log2(wide / size)))).cast("int")
+    return boxes.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in BOX], F.when(wide > size, own).otherwise(0).alias("own"))
+
+
+def _placed(boxes: DataFrame, size: float, side: str, levels: Column) -> DataFrame:
+    """Boxes with each of `levels` and the cells that they meet there, four at most at levels from their own on."""
+    at = boxes.withColumn("level", F.explode(levels))
+    cell = F.pow(F.lit(2.0), F.col("level")) * size
+
+    def run(axis: str) -> Column:
+        return F.sequence(F.floor(F.col(f"{side}_{axis}min") / cell), F.floor(F.col(f"{side}_{axis}max") / cell))
+
+    return at.withColumn("cx", F.explode(run("x"))).withColumn("cy", F.explode(run("y"))).drop("own")
 
 
 def footprint_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """left_id, right_id and the intersection of boxes (id, xmin, ymin, xmax, ymax) that overlap or touch.
 
-    Boxes go to all grid cells they meet; a pair counts in the cell that holds the lower corner of its overlap, so
-    no pair is seen twice. Choose `size` near a typical box: cells of few boxes and boxes of few cells.
+    A box stands on the grid level of its own width, so it meets four cells at most, however large. The smaller box of
+    a pair also goes to the coarser levels on which the other side has boxes of their own; boxes that both came up
+    from finer levels never meet there. A pair counts in the cell that holds the lower corner of its overlap, so no
+    pair is seen twice. `size` is the finest cell; boxes with a null edge, or upside down, meet nothing.
     """
-    a = _cells(left, size).select("cx", "cy", F.col("id").alias("left_id"), *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = _cells(right, size).select("cx", "cy", F.col("id").alias("right_id"), *[F.col(c).alias(f"b_{c}") for c in BOX])
-    met = a.join(b, ["cx", "cy"]).select("cx", "cy", "left_id", "right_id", *[F.greatest(f"a_{c}", f"b_{c}").alias(c) for c in BOX[:2]], *[F.least(f"a_{c}", f"b_{c}").alias(c) for c in BOX[2:]])
-    own = (F.floor(F.col("xmin") / size) == F.col("cx")) & (F.floor(F.col("ymin") / size) == F.col("cy"))
-    return met.filter((F.col("xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("ymax")) & own).drop("cx", "cy")
+    whole = [b.dropna(subset=list(BOX)).filter("xmin <= xmax and ymin <= ymax") for b in (left, right)]
+    a, b = (_levelled(t, size, side) for t, side in zip(whole, ("a", "b"), strict=True))
+    # the levels in use, 61 numbers at most
+    used = {side: sorted(r.own for r in t.select("own").distinct().collect()) for side, t in (("a", a), ("b", b))}
+    own = F.array("own")
+
+    def upward(other: str, least: int) -> Column:
+        return F.filter(F.array(*map(F.lit, used[other])).cast("array<int>"), lambda x: x >= F.col("own") + least)
+
+    pairs = [(_placed(a, size, "a", own), _placed(b, size, "b", upward("a", 0))), (_placed(a, size, "a", upward("b", 1)), _placed(b, size, "b", own))]
+    met = [x.join(y, ["level", "cx", "cy"]) for x, y in pairs]
+    cell = F.pow(F.lit(2.0), F.col("level")) * size
+    names = [F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), *[F.greatest(f"a_{c}", f"b_{c}").alias(c) for c in BOX[:2]], *[F.least(f"a_{c}", f"b_{c}").alias(c) for c in BOX[2:]]]
+    both = met[0].unionByName(met[1]).select(*names, "cx", "cy", cell.alias("cell"))
+    here = (F.floor(F.col("xmin") / F.col("cell")) == F.col("cx")) & (F.floor(F.col("ymin") / F.col("cell")) == F.col("cy"))
+    return both.filter((F.col("xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("ymax")) & here).drop("cx", "cy", "cell")
 
 
 def radius_join(left: DataFrame, right: DataFrame, keys: list[str], radius: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrille.operators import spatial
+from quadrille.operators import nearest, spatial
 from quadrille.plans.registry import query, table
 from quadrille.plans.views import PIXEL_SQL, TIE_SQL, pixels, tie_points
 
@@ -39,6 +39,20 @@ def knn_spatial(spark, sf):
     return spatial.knn_spatial(*sides(spark, sf), ["pair_id"], 3.0, 3).withColumn("d", F.round("d", 6))
 
 
+def _nearest_sql(d):
+    return f"WITH {TIE_SQL}, s AS (SELECT pair_id, pt AS id, x, y FROM tie), j AS (SELECT a.pair_id, a.id AS left_id, b.id AS right_id, {d} AS d FROM s a JOIN s b ON a.pair_id = b.pair_id AND a.id % 2 = 0 AND b.id % 2 = 1) SELECT pair_id, left_id, right_id, round(d, 6) AS d, row_number() OVER w AS rank FROM j WINDOW w AS (PARTITION BY pair_id, left_id ORDER BY d, right_id) QUALIFY row_number() OVER w <= 3"
+
+
+@query("k_nearest", _nearest_sql("sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))"))
+def k_nearest(spark, sf):
+    return nearest.k_nearest(*sides(spark, sf), ["pair_id"], 3).withColumn("d", F.round("d", 6))
+
+
+@query("k_nearest_l1", _nearest_sql("abs(a.x-b.x) + abs(a.y-b.y)"))
+def k_nearest_l1(spark, sf):
+    return nearest.k_nearest(*sides(spark, sf), ["pair_id"], 3, norm=1).withColumn("d", F.round("d", 6))
+
+
 @query("lookup_elevation", f"WITH {TIE_SQL}, {PIXEL_SQL}, dem AS (SELECT row, col, value FROM px WHERE image_id = 0) SELECT pair_id, pt, coalesce(value, -9.0) AS hgt FROM tie LEFT JOIN dem ON dem.row = floor(y) AND dem.col = floor(x)")
 def lookup_elevation(spark, sf):
     dem = pixels(spark, sf).filter("image_id = 0")
