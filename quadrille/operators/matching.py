@@ -1,10 +1,20 @@
-"""Matching of descriptors: joins within an image pair, best and second best by a group limit in each task."""
+"""Matching of descriptors: matrix products of blocks of an image pair's two sides, the best of which are merged."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quadrille.operators.steps import cut
+
+#: Rows of a block.
+BLOCK = 2048
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -17,9 +27,123 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    r = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
-    return left.join(r, keys)
+def _sized(side: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, blocks: how many blocks of about BLOCK rows the rows of each key make."""
+    return side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+
+
+def _packed(side: DataFrame, keys: list[str], id_col: str, cols: list[str], own: DataFrame, other: DataFrame, mine: str, theirs: str) -> DataFrame:
+    """keys, mine, theirs, rows_mine: the blocks of a side, sorted by id, once for each block of the other side."""
+    blocks = own.join(other.withColumnRenamed("blocks", "others"), keys)
+    placed = side.join(blocks, keys).withColumn(mine, F.pmod(F.xxhash64(id_col), F.col("blocks")))
+    rows = placed.groupBy(*keys, mine, "others").agg(F.sort_array(F.collect_list(F.struct(id_col, *[c for c in cols if c != id_col]))).alias(f"rows_{mine}"))
+    return rows.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1))).drop("others")
+
+
+def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], id_col: str, cols: list[str], work: Callable[[pa.StructArray, pa.StructArray], tuple[np.ndarray, np.ndarray, np.ndarray]], schema: list[T.StructField], pick: Callable[[pa.StructArray, pa.StructArray, np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """keys and schema: what `work` keeps of each pair of a left and a right block that share their keys.
+
+    work: (left rows, right rows) -> places in both, and their score; pick makes the columns of it. A pair of blocks is
+    one row and one task's matrix product, so a key of any size spreads over tasks, and what moves grows with
+    the rows times the blocks of the other side.
+    """
+    sizes = cut(_sized(left, keys)), cut(_sized(right, keys))
+    a = _packed(left, keys, id_col, cols, *sizes, "lb", "rb")
+    b = _packed(right, keys, id_col, cols, sizes[1], sizes[0], "rb", "lb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c).slice(i, 1).flatten() for c in ("rows_lb", "rows_rb"))
+                at, to, score = work(one, two)
+                if len(at):
+                    same = pa.array(np.full(len(at), i))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(same) for k in keys], *pick(one, two, at, to), pa.array(score)], names=[*keys, *[f.name for f in schema]])
+
+    kinds = T.StructType([*[left.schema[k] for k in keys], *schema])
+    met = a.join(b, [*keys, "lb", "rb"]).select(*keys, "rows_lb", "rows_rb")
+    return met.mapInArrow(run, kinds)
+
+
+def vectors_by_size(rows: pa.StructArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The places and the matrix of the descriptors of each length; null ones have none."""
+    descr = rows.field("descr")
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(descr), -1))
+    out = {}
+    for n in np.unique(sizes[sizes >= 0]):
+        at = np.flatnonzero(sizes == n)
+        flat = descr.take(pa.array(at)).flatten()
+        out[int(n)] = at, np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(at), n)
+    return out
+
+
+def exact_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a - b) ** 2).sum(-1))
+
+
+def exact_negative_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return -(a * b).sum(-1)
+
+
+def _smallest(a: np.ndarray, b: np.ndarray, k: int, exact: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and scores of the k least scores of each row of a among the rows of b; ties to the earlier row of b.
+
+    A matrix product picks candidates; they are scored again one by one, as products round differently from place to
+    place. Where rounding might have hidden a better one, all are.
+    """
+    n = len(b)
+    k, few = min(k, n), min(n, 2 * k + 6)
+    outs = []
+    for since in range(0, len(a), 1024):
+        part = a[since : since + 1024]
+        rough = -(part @ b.T) if exact is exact_negative_dot else (part**2).sum(1)[:, None] + (b**2).sum(1) - 2 * (part @ b.T)
+        cand = np.sort(np.argpartition(rough, few - 1, axis=1)[:, :few], axis=1) if few < n else np.tile(np.arange(n), (len(part), 1))
+        score = exact(part[:, None], b[cand])
+        best = np.argsort(score, axis=1, kind="stable")[:, :k]
+        to, s = np.take_along_axis(cand, best, 1), np.take_along_axis(score, best, 1)
+        if few < n:
+            last = np.take_along_axis(rough, cand, 1).max(1)
+            size = 1e-12 * (1 + np.abs(part).max(initial=0) ** 2 * b.shape[1] + np.abs(b).max(initial=0) ** 2 * b.shape[1])
+            bound = s[:, -1] if exact is exact_negative_dot else s[:, -1] ** 2
+            for i in np.flatnonzero(last <= bound + size):
+                every = exact(part[i], b)
+                to[i] = np.argsort(every, kind="stable")[:k]
+                s[i] = every[to[i]]
+        outs.append((np.repeat(np.arange(since, since + len(part)), k), to.ravel(), s.ravel()))
+    return tuple(np.concatenate(x) for x in zip(*outs, strict=True))
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str], k: int, exact: Callable = exact_distance) -> DataFrame:
+    """keys, kp_id, x, y, r_kp_id, r_x, r_y, d: for each left row the k best right rows of every block of its keys.
+
+    Descriptors of unequal length are infinitely far apart, and come where nothing nearer fills the k.
+    """
+    cols = ["kp_id", "x", "y", "descr"]
+
+    def work(one: pa.StructArray, two: pa.StructArray):
+        a, b = vectors_by_size(one), vectors_by_size(two)
+        plain = len(a) == 1 and set(a) == set(b) and all(len(at) == len(side) for x, side in ((a, one), (b, two)) for at, _ in x.values())
+        few, found = min(k, len(two)), []
+        if not plain:
+            found.append((np.repeat(np.arange(len(one)), few), np.tile(np.arange(few), len(one)), np.full(len(one) * few, np.inf)))
+        for n in a.keys() & b.keys():
+            at, to, s = _smallest(a[n][1], b[n][1], k, exact)
+            found.append((a[n][0][at], b[n][0][to], s))
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        at, to, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(found) > 1:  # a real score for the same pair comes first
+            order = np.lexsort((s, to, at))
+            at, to, s = at[order], to[order], s[order]
+            first = np.r_[True, (at[1:] != at[:-1]) | (to[1:] != to[:-1])]
+            at, to, s = at[first], to[first], s[first]
+        return at, to, s
+
+    def pick(one, two, at, to):
+        return [*[one.field(c).take(pa.array(at)) for c in ("kp_id", "x", "y")], *[two.field(c).take(pa.array(to)) for c in ("kp_id", "x", "y")]]
+
+    given = [*[left.schema[c] for c in ("kp_id", "x", "y")], *[T.StructField(f"r_{c}", right.schema[c].dataType) for c in ("kp_id", "x", "y")], T.StructField("d", T.DoubleType())]
+    return block_pairs(left, right, keys, "kp_id", cols, work, given, pick)
 
 
 def best_two(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -34,14 +158,14 @@ def best_two(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
 
 def match_ratio(left: DataFrame, right: DataFrame, keys: list[str], most: float = 0.65) -> DataFrame:
     """keys, kp_id, match_id, d1, d2, dx, dy where the nearest is closer than `most` times the second nearest."""
-    p = _pairs(left, right, keys).withColumn("d", distance(F.col("descr"), F.col("r_descr")))
+    p = _pairs(left, right, keys, 2)
     t = best_two(p, keys, "d").filter(F.col("b1")["d"] < most * F.col("d2"))
     return t.select(*keys, "kp_id", F.col("b1.r_kp_id").alias("match_id"), F.col("b1.d").alias("d1"), "d2", (F.col("b1.r_x") - F.col("x")).alias("dx"), (F.col("b1.r_y") - F.col("y")).alias("dy"))
 
 
 def match_correlation(left: DataFrame, right: DataFrame, keys: list[str], score: float = 0.85, ambiguity: float = 0.95) -> DataFrame:
     """keys, kp_id, match_id, score, ambiguity: the largest dot product, and the second over it."""
-    p = _pairs(left, right, keys).withColumn("d", -dot(F.col("descr"), F.col("r_descr")))
+    p = _pairs(left, right, keys, 2, exact_negative_dot)
     t = best_two(p, keys, "d").select(*keys, "kp_id", F.col("b1.r_kp_id").alias("match_id"), (-F.col("b1.d")).alias("score"), (-F.col("d2")).alias("second"))
     t = t.withColumn("ambiguity", F.col("second") / (F.col("score") + 1e-6))
     return t.filter((F.col("score") > score) & (F.col("ambiguity") < ambiguity)).drop("second")
@@ -50,15 +174,40 @@ def match_correlation(left: DataFrame, right: DataFrame, keys: list[str], score:
 def knn_in_window(left: DataFrame, right: DataFrame, keys: list[str], x0: float, y0: float, x1: float, y1: float, k: int) -> DataFrame:
     """keys, kp_id, rank, match_id, d: the k nearest right points whose place is inside the window (tested first)."""
     inside = right.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    p = _pairs(left, inside, keys).withColumn("d", distance(F.col("descr"), F.col("r_descr")))
+    p = _pairs(left, inside, keys, k)
     rank = F.row_number().over(Window.partitionBy(*keys, "kp_id").orderBy("d", "r_kp_id")).cast("long")
     return p.withColumn("rank", rank).filter(F.col("rank") <= k).select(*keys, "kp_id", "rank", F.col("r_kp_id").alias("match_id"), "d")
 
 
 def match_groups(left: DataFrame, right: DataFrame, keys: list[str], group: str, limit: float) -> DataFrame:
     """keys, group, match_group, d: a group's distance is the least between descriptors; the nearest within limit."""
-    p = _pairs(left, right, keys).withColumn("d", distance(F.col("descr"), F.col("r_descr")))
-    g = p.groupBy(*keys, group, f"r_{group}").agg(F.min("d").alias("d"))
+
+
+    def work(one: pa.StructArray, two: pa.StructArray):
+        """The nearest two rows of each pair of groups that has two of equal length."""
+        a, b = vectors_by_size(one), vectors_by_size(two)
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        rows_of, cols_of = (np.asarray(x.field(group).dictionary_encode().indices) for x in (one, two))
+        for n in a.keys() & b.keys():
+            (i, x), (j, y) = a[n], b[n]
+            order = np.argsort(cols_of[j], kind="stable")
+            j, y = j[order], y[order]
+            starts = np.flatnonzero(np.r_[True, cols_of[j][1:] != cols_of[j][:-1]])
+            for row, v in zip(i, x, strict=True):  # differences, not products: a small distance keeps its digits
+                d = exact_distance(v, y)
+                least = np.minimum.reduceat(d, starts)
+                for s, m in zip(starts, least, strict=True):
+                    key = (int(rows_of[row]), int(cols_of[j[s]]))
+                    if key not in best or m < best[key][0]:
+                        best[key] = (float(m), int(row), int(j[s]))
+        got = list(best.values())
+        return np.array([g[1] for g in got], int), np.array([g[2] for g in got], int), np.array([g[0] for g in got])
+
+    def pick(one, two, at, to):
+        return [one.field(group).take(pa.array(at)), two.field(group).take(pa.array(to))]
+
+    given = [left.schema[group], T.StructField(f"r_{group}", right.schema[group].dataType), T.StructField("d", T.DoubleType())]
+    g = block_pairs(left, right, keys, "kp_id", [group, "descr"], work, given, pick).groupBy(*keys, group, f"r_{group}").agg(F.min("d").alias("d"))
     best = g.groupBy(*keys, group).agg(F.min(F.struct("d", F.col(f"r_{group}").alias("m"))).alias("b"))
     return best.filter(F.col("b.d") < limit).select(*keys, group, F.col("b.m").alias("match_group"), F.col("b.d").alias("d"))
 
