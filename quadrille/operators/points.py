@@ -39,6 +39,28 @@ def best_per_block(blocked: DataFrame, most: int = 1) -> DataFrame:
     return blocked.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
+def image_residuals(points: DataFrame) -> DataFrame:
+    """Add dx, dy: observed (x, y) less modelled (mx, my)."""
+    return points.withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
+
+
+def ground_residuals(points: DataFrame) -> DataFrame:
+    """Add dx, dy, dz: observed (lon, lat in degrees, hgt) less modelled (mlon, mlat, mhgt), angles by 1e5.
+
+    A hundred-thousandth of a degree is about a metre; of longitudes it shrinks with the cosine of the latitude.
+    """
+    return points.withColumns({"dx": (F.col("lon") - F.col("mlon")) * 1e5 * F.cos(F.radians("lat")), "dy": (F.col("lat") - F.col("mlat")) * 1e5, "dz": F.col("hgt") - F.col("mhgt")})
+
+
+def residual_report(residuals: DataFrame, key: str, axes: tuple[str, ...] = ("dx", "dy")) -> DataFrame:
+    """key, n, rmse (root of the summed squares over the points), mean_error, max_error of each image; of all where key is null."""
+    total = None
+    for c in axes:
+        total = F.col(c) * F.col(c) if total is None else total + F.col(c) * F.col(c)
+    e = residuals.select(key, total.alias("s"))
+    return e.rollup(key).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum("s") / F.count(F.lit(1))).alias("rmse"), F.avg(F.sqrt("s")).alias("mean_error"), F.max(F.sqrt("s")).alias("max_error"))
+
+
 def min_inliers(n: Column, model: int, support: float, doubt: float) -> Column:
     """The least j in model+1..n such that j or more inliers of n by chance are less likely than `doubt`, or null.
 
@@ -105,6 +127,42 @@ def kth_value(rows: DataFrame, keys: list[str], value: str, tie: str, k: int) ->
     return r.filter(F.col("k") == F.least(F.lit(k), "c")).select(*keys, F.col(value).alias("value"))
 
 
+def select_kth(rows: DataFrame, value: str, k: int, bins: int = 4096) -> float | None:
+    """The k-th smallest (from 1; k is clipped to the rows) of a whole table's values, nulls left out; None if there are none.
+
+    Each round counts the values of the range that still holds the k-th one, in `bins` equal parts, and goes on with
+    one part; the driver sees its count and ends. No rows are sorted or moved. It ends once a range holds one value.
+    NaN is larger than any other value, infinite ones are counted apart.
+    """
+    v = F.col(value).cast("double")
+    whole = rows.select(v.alias("v")).filter("v is not null")
+    finite = whole.filter(~F.isnan("v") & (F.abs("v") < float("inf")))
+    low, n, nan = F.lit(float("-inf")), F.count(F.lit(1)), F.isnan("v")
+    r = whole.agg(n.alias("n"), F.sum((F.col("v") == low).cast("long")).alias("below"), F.sum(((F.col("v") == float("inf")) & ~nan).cast("long")).alias("above"), F.sum(nan.cast("long")).alias("nan")).first()
+    if not r.n:
+        return None
+    k = min(max(k, 1), r.n)
+    if k <= r.below:
+        return float("-inf")
+    if k > r.n - r.nan:
+        return float("nan")
+    if k > r.n - r.nan - r.above:
+        return float("inf")
+    k -= r.below
+    lo, hi = finite.agg(F.min("v"), F.max("v")).first()
+    while lo < hi:
+        half = hi / bins - lo / bins  # a part's width, without overflow
+        part = F.least(F.floor((F.col("v") / bins - lo / bins) / half * bins), F.lit(bins - 1)) if half > 0 else (F.col("v") > lo).cast("long")
+        inside = finite.filter(F.col("v").between(lo, hi))
+        counts = inside.groupBy(part.alias("b")).agg(n.alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()  # `bins` rows at most
+        for c in counts:
+            if k <= c.c:
+                lo, hi = c.lo, c.hi
+                break
+            k -= c.c
+    return float(lo)
+
+
 def merge_metadata(items: DataFrame) -> DataFrame:
     """key, value of (source, key, value) for the keys of the first source by name: '*' where sources differ or lack it.
 

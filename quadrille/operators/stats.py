@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,32 +60,61 @@ def _covariance(rows: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
 def covariance(rows: DataFrame, vector: str) -> DataFrame:
     """(i, j, cov) for i <= j of the vectors' columns, with divisor n - 1 (one row: null). Null vectors don't count.
 
-    A task moves one matrix of d by d, whatever its rows, and the driver holds one.
+    Nothing runs before the result is asked for. A task sums one matrix of its rows about its own first vector, and
+    these sums, d by d for each task whatever its rows, are brought together about their common mean.
     """
-    cov, _ = _covariance(rows, vector)
-    out = [(int(i), int(j), None if np.isnan(cov[i, j]) else float(cov[i, j])) for i, j in zip(*np.triu_indices(len(cov)), strict=True)]
-    return rows.sparkSession.createDataFrame(out, "i long, j long, cov double")
-
-
-def pca_fit(rows: DataFrame, vector: str) -> dict[str, np.ndarray]:
-    """values (ratios, falling), vectors (rows; the entry of largest absolute value is positive), mean, energy.
+    whole = rows.select(F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = total = None
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column("v").flatten()).reshape(b.num_rows, -1)
+                if shift is None:
+                    shift, total = x[0].copy(), np.zeros((x.shape[1] + 1, x.shape[1] + 1))
+                x = np.c_[np.ones(len(x)), x - shift]
+                total += x.T @ x
+        if shift is not None:
+            i, j = np.triu_indices(len(shift))
+            n, s = total[0, 0], total[0, 1:]
+            own = total[1:, 1:] - np.outer(s, s) / n
+            mean = shift + s / n
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (i, j, np.full(len(i), n), mean[i], mean[j], own[i, j])], names=["i", "j", "n", "a", "b", "s"])
+
+    tasks = whole.mapInArrow(sums, "i long, j long, n double, a double, b double, s double")
+    # each task's sum about its mean, plus the weighted covariance of the tasks' means
+    groups = tasks.groupBy("i", "j").agg(F.collect_list(F.struct("n", "a", "b", "s")).alias("g"))  # one for each task
+    total = F.aggregate("g", F.lit(0.0), lambda t, g: t + g["n"])
+    ma = F.aggregate("g", F.lit(0.0), lambda t, g: t + g["n"] * g["a"])
+    mb = F.aggregate("g", F.lit(0.0), lambda t, g: t + g["n"] * g["b"])
+    met = groups.withColumn("total", total).withColumns({"ma": ma / F.col("total"), "mb": mb / F.col("total")})
+    cov = F.aggregate("g", F.lit(0.0), lambda t, g: t + g["s"] + g["n"] * (g["a"] - F.col("ma")) * (g["b"] - F.col("mb")))
+    return met.select("i", "j", F.when(F.col("total") > 1, cov / (F.col("total") - 1)).alias("cov"))
+
+
+def pca_fit(rows: DataFrame, vector: str, normalise: bool = False) -> dict[str, np.ndarray]:
+    """values (ratios, falling), vectors (rows; the entry of largest absolute value is positive), mean, sigma, energy.
+
+    normalise: columns are divided by their deviation (of n - 1) first; one without any is an error. sigma is 1 without.
     The driver holds one d by d matrix. Fewer than two columns or rows are an error.
     """
     d = rows.select(F.size(vector)).first()
     if d is None or d[0] < 2 or rows.limit(2).count() < 2:
         raise ValueError("principal components need two columns and two rows at least")
     cov, mean = _covariance(rows, vector)
-    values, vectors = np.linalg.eigh(cov)
+    sigma = np.sqrt(np.diag(cov)) if normalise else np.ones(len(cov))
+    if not (sigma > 0).all():
+        raise ValueError("a column whose values are all equal can't be normalised")
+    values, vectors = np.linalg.eigh(cov / np.outer(sigma, sigma))
     values, vectors = values[::-1], vectors.T[::-1]
     signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])
-    return {"values": values / values.sum(), "vectors": vectors * signs[:, None], "mean": mean, "energy": float(values.sum())}
+    return {"values": values / values.sum(), "vectors": vectors * signs[:, None], "mean": mean, "sigma": sigma, "energy": float(values.sum())}
 
 
 def pca_transform(rows: DataFrame, vector: str, model: dict, k: int) -> DataFrame:
-    """Add principals: the centred vector on the first k principal vectors."""
+    """Add principals: the centred (and, by the model, normalised) vector on the first k principal vectors."""
     parts = []
-    for p in model["vectors"][:k]:
+    for p in model["vectors"][:k] / model["sigma"]:
         terms = F.zip_with(F.zip_with(vector, F.array(*map(F.lit, model["mean"].tolist())), lambda a, m: a - m), F.array(*map(F.lit, p.tolist())), lambda a, w: a * w)
         parts.append(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
     return rows.withColumn("principals", F.array(*parts))
@@ -90,7 +122,7 @@ def pca_transform(rows: DataFrame, vector: str, model: dict, k: int) -> DataFram
 
 def pca_inverse(rows: DataFrame, principals: str, model: dict) -> DataFrame:
     """Add restored: the vectors that the first principal values stand for."""
-    vectors, mean = model["vectors"], model["mean"]
+    vectors, mean = model["vectors"] * model["sigma"], model["mean"]
 
     @F.pandas_udf("array<double>")
     def back(p: pd.Series) -> pd.Series:
@@ -110,13 +142,13 @@ def pca_checks(rows: DataFrame, vector: str, model: dict) -> dict[str, float]:
 
 def pca_save(spark: SparkSession, model: dict, path: str) -> None:
     """The model as Parquet: one row for each principal vector."""
-    d = [(k, float(v), [float(x) for x in p], [float(x) for x in model["mean"]], model["energy"]) for k, (v, p) in enumerate(zip(model["values"], model["vectors"], strict=True))]
-    spark.createDataFrame(d, "k int, value double, vector array<double>, mean array<double>, energy double").coalesce(1).write.mode("overwrite").parquet(path)
+    d = [(k, float(v), [float(x) for x in p], [float(x) for x in model["mean"]], [float(x) for x in model["sigma"]], model["energy"]) for k, (v, p) in enumerate(zip(model["values"], model["vectors"], strict=True))]
+    spark.createDataFrame(d, "k int, value double, vector array<double>, mean array<double>, sigma array<double>, energy double").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def pca_load(spark: SparkSession, path: str) -> dict:
     d = spark.read.parquet(path).orderBy("k").collect()
-    return {"values": np.array([r.value for r in d]), "vectors": np.array([r.vector for r in d]), "mean": np.array(d[0]["mean"]), "energy": d[0].energy}
+    return {"values": np.array([r.value for r in d]), "vectors": np.array([r.vector for r in d]), "mean": np.array(d[0]["mean"]), "sigma": np.array(d[0]["sigma"]), "energy": d[0].energy}
 
 
 def pca_bootstrap(rows: DataFrame, vector: str, order: str, replicates: int = 10, seed: int = 11) -> DataFrame:

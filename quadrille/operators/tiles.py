@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.steps import cut
+
 
 def filters(octave: int) -> tuple[int, ...]:
     """Sides of the four box filters of an octave, 1 and on, evenly spaced: 9 15 21 27, then 15 27 39 51, and so on."""
@@ -43,28 +45,67 @@ def correlation(template: np.ndarray, search: np.ndarray) -> np.ndarray:
     return np.divide(product / (h * w), dev, out=np.zeros_like(product), where=dev > 1e-13)
 
 
-def ncc_match(templates: DataFrame, searches: DataFrame, key: str) -> DataFrame:
-    """key, row, col, score: where each template tile fits best in the search tile of its key.
+#: Offsets of a search tile in each direction, and templates that meet a tile in one task.
+TILE, TEMPLATES = 256, 256
+
+
+def ncc_match(templates: DataFrame, searches: DataFrame, key: str, template: str | None = None, size: int = TILE) -> DataFrame:
+    """key, (template,) row, col, score: where each template fits best in the search image of its key.
+
+    Both are pixel tables (key, row, col, value); templates with a column `template` if a key has several. row and
+    col of the result are the search pixel under the template's first one. Ties go to the first row and column.
+    Templates that don't fit into the image are left out; a null or missing pixel within an image counts 0.
 
-    Both are pixel tables (key, row, col, value); row and col of the result are the search pixel under the
-    template's first one. Ties go to the first row and column. Pairs without room for the template are left out.
+    The image is cut into tiles of size by size offsets, which travel with a margin of the largest template. A tile
+    and up to TEMPLATES templates are one task's work, whose best places are merged by a partial maximum.
     """
+    tid = [F.lit(0).alias("__t") if template is None else F.col(template).alias("__t")]
+    left = templates.select(F.col(key).alias("__k"), *tid, "row", "col", "value")
+    right = searches.select(F.col(key).alias("__k"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value")
+    ends = [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("row", "col")]
+    shapes = cut(left.groupBy("__k", "__t").agg(*ends))
+    edges = cut(right.groupBy("__k").agg(*ends))
+    most = shapes.agg(F.max(F.col("hi_row") - F.col("lo_row")), F.max(F.col("hi_col") - F.col("lo_col"))).first()
+    high, wide = (int(m or 0) for m in most)
+
+    def reach(c: str, margin: int):
+        return F.sequence(F.floor(F.greatest(F.col(c) - margin, F.col(f"lo_{c}")) / size), F.floor(F.col(c) / size))
+
+    parts = shapes.groupBy("__k").agg(F.ceil(F.count(F.lit(1)) / TEMPLATES).alias("parts"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    bounds = edges.join(parts, "__k")
+    spread = right.join(bounds, "__k").withColumn("tr", F.explode(reach("row", high))).withColumn("tc", F.explode(reach("col", wide))).withColumn("part", F.explode(every))
+    lattice = [F.sequence(F.floor(F.col(f"lo_{c}") / size), F.floor(F.col(f"hi_{c}") / size)) for c in ("row", "col")]
+    spots = bounds.select("__k", "parts", F.explode(lattice[0]).alias("tr"), "lo_col", "hi_col").select("__k", "parts", "tr", F.explode(lattice[1]).alias("tc"))
+    sent = left.join(spots, "__k").withColumn("part", F.pmod(F.xxhash64("__t"), F.col("parts")))
+    kinds = {c: left.schema[c].dataType.simpleString() for c in ("__k", "__t")}
 
     def run(t: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        names = [key, "row", "col", "score"]
-        if not len(t) or not len(s):
-            return pd.DataFrame(columns=names)
-        a, b = _grid(t), _grid(s)
-        if a.shape[0] > b.shape[0] or a.shape[1] > b.shape[1]:
-            return pd.DataFrame(columns=names)
-        score = correlation(a, b)
-        r, c = np.unravel_index(np.argmax(np.round(score, 12)), score.shape)
-        return pd.DataFrame([[t[key].iloc[0], r + s["row"].min(), c + s["col"].min(), score[r, c]]], columns=names)
-
-    kind = templates.schema[key].dataType.simpleString()
+        names, found = ["__k", "__t", "row", "col", "score"], []
+        if len(t) and len(s):
+            one = s.iloc[0]
+            top, left_ = max(int(one["tr"]) * size, int(one["lo_row"])), max(int(one["tc"]) * size, int(one["lo_col"]))
+            rows, cols = (min(int(one[n]) * size + size + m, int(one[f"hi_{c}"]) + 1) - lo for n, c, m, lo in (("tr", "row", high, top), ("tc", "col", wide, left_)))
+            area = np.zeros((rows, cols))
+            area[s["row"].to_numpy() - top, s["col"].to_numpy() - left_] = np.nan_to_num(s["value"].to_numpy(float))
+            for tid, pixels in t.groupby("__t", sort=True):
+                a = _grid(pixels)
+                # offsets of this tile only, and none whose window leaves the image
+                r, c = min(rows, size + a.shape[0] - 1), min(cols, size + a.shape[1] - 1)
+                if a.shape[0] > r or a.shape[1] > c:
+                    continue
+                score = correlation(a, area[:r, :c])
+                i, j = np.unravel_index(np.argmax(np.round(score, 12)), score.shape)
+                found.append((one["__k"], tid, i + top, j + left_, score[i, j]))
+        return pd.DataFrame(found, columns=names)
+
+    where = ["__k", "tr", "tc", "part"]
     # fresh columns: both sides may stem from one table
-    left, right = (t.select(*[F.col(c).alias(c) for c in (key, "row", "col", "value")]) for t in (templates, searches))
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, f"{key} {kind}, row long, col long, score double")
+    sent, spread = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (sent, spread))
+    met = sent.groupBy(*where).cogroup(spread.groupBy(*where)).applyInPandas(run, f"__k {kinds['__k']}, __t {kinds['__t']}, row long, col long, score double")
+    best = met.groupBy("__k", "__t").agg(F.max(F.struct(F.round("score", 12).alias("s"), (-F.col("row")).alias("r"), (-F.col("col")).alias("c"), "score")).alias("b"))
+    given = [F.col("__k").alias(key), *([] if template is None else [F.col("__t").alias(template)])]
+    return best.select(*given, (-F.col("b.r")).alias("row"), (-F.col("b.c")).alias("col"), F.col("b.score").alias("score"))
 
 
 def tiled(px: DataFrame, size: int, margin: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,74 @@ def warp_bilinear(px: DataFrame, target: DataFrame, sx: Column, sy: Column) -> D
     return met.groupBy("image_id", "band", "row", "col").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(total, F.lit(0.0))).alias("value"))
 
 
+def cubic(t: np.ndarray) -> np.ndarray:
+    """The cubic kernel of a = -0.5, of reach 2."""
+    t = np.abs(t)
+    return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
+
+
+def lanczos(t: np.ndarray) -> np.ndarray:
+    """The sinc of t, windowed by the sinc of t / 3, of reach 3."""
+    return np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
+
+
+#: kernel and reach in cells.
+KERNELS = {"cubic": (cubic, 2), "lanczos": (lanczos, 3)}
+#: Source cells of a tile, and target cells of a block, in each direction.
+SOURCE, TARGET = 256, 512
+
+
+def warp_kernel(px: DataFrame, target: DataFrame, sx: Column, sy: Column, kernel: str = "cubic", source: int = SOURCE, block: int = TARGET) -> DataFrame:
+    """As warp_nearest, by a kernel over the cells around: cubic (4 x 4) or lanczos (6 x 6).
+
+    Null and missing cells are left out and the weights of the others made up to 1; where these come to nothing, or
+    (sx, sy) is null, the value is null. Targets meet the source tile they fall into, which travels with a margin as
+    wide as the kernel, as arrays: no cell is copied for each tap. Targets of one tile are dealt by blocks, so strong
+    enlargement spreads too.
+    """
+    weigh, reach = KERNELS[kernel]
+    keys, spot = ["image_id", "band"], ["trow", "tcol", "brow", "bcol"]
+    at = target.withColumns({"__x": sx.cast("double"), "__y": sy.cast("double")})
+    at = at.select(*keys, "row", "col", "__x", "__y", F.coalesce(F.floor(F.col("__y") / source), F.lit(0)).alias("trow"), F.coalesce(F.floor(F.col("__x") / source), F.lit(0)).alias("tcol"), F.floor(F.col("row") / block).alias("brow"), F.floor(F.col("col") / block).alias("bcol"))
+    spots = at.select(*keys, *spot).distinct()
+
+    def near(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - reach) / source), F.floor((F.col(c) + reach) / source)))
+
+    cells = px.filter("value is not null").select(*keys, F.col("row").alias("srow"), F.col("col").alias("scol"), F.col("value").cast("double").alias("value"))
+    cells = cells.withColumn("trow", near("srow")).withColumn("tcol", near("scol")).join(spots, [*keys, "trow", "tcol"])
+
+    def run(key: tuple, t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = t[[*keys, "row", "col"]].copy()
+        out["value"] = None
+        if not len(t) or not len(c):
+            return out
+        # the tile with its margin; a cell that is missing has no weight
+        top, left = key[2] * source - reach, key[3] * source - reach
+        side = source + 2 * reach + 1
+        values, there = np.zeros((side, side)), np.zeros((side, side))
+        r, k = c["srow"].to_numpy() - top, c["scol"].to_numpy() - left
+        values[r, k], there[r, k] = c["value"].to_numpy(), 1.0
+        ok = t["__x"].notna().to_numpy() & t["__y"].notna().to_numpy()
+        x, y = t["__x"].to_numpy(float)[ok], t["__y"].to_numpy(float)[ok]
+        taps = np.arange(1 - reach, reach + 1)
+        cx, cy = np.floor(x)[:, None] + taps, np.floor(y)[:, None] + taps
+        wx, wy = weigh(x[:, None] - cx), weigh(y[:, None] - cy)
+        rows, cols = (cy - top).astype(int), (cx - left).astype(int)
+        w = wy[:, :, None] * wx[:, None] * there[rows[:, :, None], cols[:, None]]
+        total = w.sum((1, 2))
+        got = np.divide((w * values[rows[:, :, None], cols[:, None]]).sum((1, 2)), total, out=np.full(len(total), np.nan), where=np.abs(total) > 1e-9)
+        full = np.full(len(t), np.nan)
+        full[ok] = got
+        out["value"] = pd.Series(full, index=out.index).astype(object).where(~np.isnan(full), None)
+        return out
+
+    kinds = ", ".join(f"{c} {target.schema[c].dataType.simpleString()}" for c in (*keys, "row", "col"))
+    # fresh columns: both sides may stem from one table
+    at, cells = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (at, cells))
+    return at.groupBy(*keys, *spot).cogroup(cells.groupBy(*keys, *spot)).applyInPandas(run, f"{kinds}, value double")
+
+
 def warp_average(px: DataFrame, trow: Column, tcol: Column) -> DataFrame:
     """Means of the source cells that fall into each target cell (floor of trow, tcol); nulls are left out."""
     at = px.filter("value is not null").select("image_id", "band", F.floor(trow).alias("trow"), F.floor(tcol).alias("tcol"), "value")

@@ -66,10 +66,15 @@ def ransac_similarity(spark, sf):
 
 @query("residual_report", f"WITH {RANSAC_SQL}, r AS (SELECT t.pair_id, {ERROR} AS e FROM tie t JOIN fit f ON t.pair_id = f.pair_id) SELECT pair_id, count(*) AS n, round(sqrt(sum(e*e)/count(*)), 4) AS rmse, round(avg(e), 4) AS mean_error, round(max(e), 4) AS max_error FROM r GROUP BY ROLLUP (pair_id)")
 def residual_report(spark, sf):
+    from quadrille.operators.points import image_residuals
+    from quadrille.operators.points import residual_report as report
+
     points = tie_points(spark, sf)
     models = fitting.ransac_similarity(points).select("pair_id", *fitting.SIMILARITY)
-    e = points.join(models, "pair_id").select("pair_id", fitting.similarity_error().alias("e"))
-    return e.rollup("pair_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sqrt(F.sum(F.col("e") * F.col("e")) / F.count(F.lit(1))), 4).alias("rmse"), F.round(F.avg("e"), 4).alias("mean_error"), F.round(F.max("e"), 4).alias("max_error"))
+    a0, a1, x, y = (F.col(c) for c in ("a0", "a1", "x", "y"))
+    met = points.join(models, "pair_id").select("pair_id", F.col("x2").alias("x"), F.col("y2").alias("y"), (a0 * x + a1 * y + F.col("a2")).alias("mx"), (-a1 * x + a0 * y + F.col("a3")).alias("my"))
+    found = report(image_residuals(met), "pair_id")
+    return found.select("pair_id", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "mean_error", "max_error")])
 
 
 @query("robust_weights", f"WITH {TIE_SQL}, r AS (SELECT pair_id, pt, abs(x2 - y2) / 100 AS r FROM tie), w AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY r, pt) AS k, count(*) OVER (PARTITION BY pair_id) AS c FROM r) SELECT pair_id, pt, round(0.8/(power(r, 1.2)+1e-8), 4) AS w_pnorm, round(CASE WHEN r >= 1 THEN 0.0 ELSE power(1-r*r, 2) END, 4) AS w_tukey, round(1/(1+r), 4) AS w_fair, round(CASE WHEN r < 1e-12 THEN 1.0 ELSE ((exp(r)-exp(-r))/(exp(r)+exp(-r)))/r END, 4) AS w_logistic, CASE WHEN k <= floor(c*0.5) THEN 1.0 ELSE 0.0 END AS w_trimmed, 1.0 AS w_uniform FROM w")
@@ -144,6 +149,17 @@ def kth_value(spark, sf):
     return kth(tie_points(spark, sf), ["pair_id"], "x", "pt", 300)
 
 
+RANKS = (1, 100, 5000, 1 << 40)
+
+
+@query("select_kth", "WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem), k AS (SELECT CAST(unnest([" + ", ".join(map(str, RANKS)) + "]) AS BIGINT) AS k) SELECT k, v AS value FROM k JOIN r ON i = least(k, n)")
+def select_kth(spark, sf):
+    from quadrille.operators.points import select_kth as kth
+
+    li = table(spark, sf, "lineitem")
+    return spark.createDataFrame([(k, kth(li, "l_extendedprice", k)) for k in RANKS], "k long, value double")
+
+
 @query("merge_metadata", "WITH m AS (SELECT user_id % 50 AS source, event_type AS key, max(props->>'$.k') AS value FROM events GROUP BY 1, 2), n AS (SELECT count(DISTINCT source) AS n FROM m), f AS (SELECT min(source) AS s FROM m) SELECT key, CASE WHEN count(DISTINCT value) = 1 AND count(*) = (SELECT n FROM n) THEN min(value) ELSE '*' END AS value FROM m GROUP BY key HAVING bool_or(source = (SELECT s FROM f))")
 def merge_metadata(spark, sf):
     from quadrille.operators.points import merge_metadata as merge

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quadrille.operators import nearest, spatial
+from quadrille.operators import nearest, points, spatial
 from quadrille.plans.registry import query, table
 from quadrille.plans.views import PIXEL_SQL, TIE_SQL, pixels, tie_points
 
@@ -105,3 +105,12 @@ def datum_shift(spark, sf):
     k = F.col("c_custkey")
     g = table(spark, sf, "customer").select(k, ((k * 37 % 36000) / 100.0 - 180).alias("lon"), ((k * 91 % 16000) / 100.0 - 80).alias("lat"), (F.col("c_acctbal") / 10).alias("hgt"))
     return spatial.datum_shift(g, 100.0, -50.0, 25.0).select("c_custkey", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), (F.round("hgt", 4) + 0.0).alias("hgt"))
+
+
+@query("ground_residuals", f"WITH g AS (SELECT c.c_nationkey AS image_id, g.* FROM customer c JOIN ({GEO}) g ON c.c_custkey = g.c_custkey), r AS (SELECT image_id, power((c_custkey % 7 - 3) * 1e-5 * 1e5 * cos(radians(lat)), 2) + power((c_custkey % 5 - 2) * 2e-5 * 1e5, 2) + power((c_custkey % 11 - 5) / 10.0, 2) AS s FROM g) SELECT image_id, count(*) AS n, round(sqrt(sum(s) / count(*)), 4) AS rmse, round(avg(sqrt(s)), 4) AS mean_error, round(max(sqrt(s)), 4) AS max_error FROM r GROUP BY ROLLUP (image_id)")
+def ground_residuals(spark, sf):
+    k = F.col("c_custkey")
+    g = table(spark, sf, "customer").select(F.col("c_nationkey").alias("image_id"), k, ((k * 37 % 36000) / 100.0 - 180).alias("lon"), ((k * 91 % 16000) / 100.0 - 80).alias("lat"), (F.col("c_acctbal") / 10).alias("hgt"))
+    modelled = g.withColumns({"mlon": F.col("lon") - (k % 7 - 3) * 1e-5, "mlat": F.col("lat") - (k % 5 - 2) * 2e-5, "mhgt": F.col("hgt") - (k % 11 - 5) / 10.0})
+    found = points.residual_report(points.ground_residuals(modelled), "image_id", ("dx", "dy", "dz"))
+    return found.select("image_id", "n", *[F.round(c, 4).alias(c) for c in ("rmse", "mean_error", "max_error")])

@@ -24,6 +24,23 @@ def ncc_match(spark, sf):
     return tiles.ncc_match(template, search, "image_id").withColumn("score", F.round("score", 6))
 
 
+@query(
+    "ncc_templates",
+    f"""WITH {PIXEL_SQL}, p AS (SELECT image_id AS k, col // 16 AS part, row - 10 AS r, col % 16 - 4 AS c, value FROM px WHERE row BETWEEN 10 AND 17 AND col % 16 BETWEEN 4 AND 11),
+ t AS (SELECT *, value - avg(value) OVER w AS v, stddev_pop(value) OVER w AS sd FROM p WINDOW w AS (PARTITION BY k, part)),
+ s AS (SELECT (image_id + 9) % 10 AS k, row, col, value FROM px), o AS (SELECT r0, c0 FROM (SELECT unnest(range((SELECT max(row) FROM px))) AS r0), (SELECT unnest(range(57)) AS c0)),
+ a AS (SELECT k, part, r0, c0, r0 + r AS row, c0 + c AS col, v, sd FROM t, o), j AS (SELECT a.k, part, r0, c0, sum(v * s.value) / 64 AS cc, stddev_pop(s.value) AS wd, max(sd) AS sd FROM a JOIN s ON s.k = a.k AND s.row = a.row AND s.col = a.col GROUP BY 1, 2, 3, 4 HAVING count(*) = 64),
+ n AS (SELECT k, part, r0, c0, CASE WHEN wd * sd > 1e-13 THEN cc / (wd * sd) ELSE 0 END AS score FROM j)
+SELECT k AS image_id, part, r0 AS row, c0 AS col, round(score, 6) AS score FROM n QUALIFY row_number() OVER (PARTITION BY k, part ORDER BY round(score, 12) DESC, r0, c0) = 1""",
+)
+def ncc_templates(spark, sf):
+    """Four templates of each image, searched in tiles of the next image."""
+    p = pixels(spark, sf).drop("band")
+    template = p.filter(F.col("row").between(10, 17) & (F.col("col") % 16).between(4, 11)).withColumn("part", F.floor(F.col("col") / 16))
+    search = p.withColumn("image_id", ((F.col("image_id") + 9) % 10).cast(p.schema["image_id"].dataType))
+    return tiles.ncc_match(template, search, "image_id", "part", size=32).withColumn("score", F.round("score", 6))
+
+
 @query("hessian_blobs")
 def hessian_blobs(spark, sf):
     return tiles.hessian_blobs(pixels(spark, sf), 1e-7, 256, octaves=2)

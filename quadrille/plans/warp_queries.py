@@ -27,6 +27,16 @@ def warp_bilinear(spark, sf):
     return warp.warp_bilinear(p, *inverse(p.drop("value"))).withColumn("value", F.round("value", 6) + 0.0)
 
 
+_T = "abs({s} - c{s})"
+_CUBIC = " * ".join(f"(CASE WHEN {t} <= 1 THEN 1.5*{t}*{t}*{t} - 2.5*{t}*{t} + 1 WHEN {t} < 2 THEN -0.5*{t}*{t}*{t} + 2.5*{t}*{t} - 4*{t} + 2 ELSE 0 END)" for t in (_T.format(s="sx"), _T.format(s="sy")))
+
+
+@query("warp_cubic", f"WITH {PIXEL_SQL}, t AS (SELECT image_id, band, row, col, {MAP} FROM px), c AS (SELECT t.*, floor(sx) + i AS csx, floor(sy) + j AS csy FROM t, (SELECT unnest([-1, 0, 1, 2]) AS i), (SELECT unnest([-1, 0, 1, 2]) AS j)), m AS (SELECT c.image_id, c.band, c.row, c.col, p.value, {_CUBIC} AS w FROM c LEFT JOIN px p ON p.image_id = c.image_id AND p.row = csy AND p.col = csx), g AS (SELECT image_id, band, row, col, sum(w * value) AS v, sum(CASE WHEN value IS NOT NULL THEN w END) AS w FROM m GROUP BY ALL) SELECT image_id, band, row, col, CASE WHEN abs(w) > 1e-9 THEN round(v / w, 6) + 0.0 END AS value FROM g")
+def warp_cubic(spark, sf):
+    p = pixels(spark, sf)
+    return warp.warp_kernel(p, *inverse(p.drop("value")), source=32, block=40).withColumn("value", F.round("value", 6) + 0.0)
+
+
 POLY = "SELECT p_partkey AS poly_id, CAST(p_partkey * 13 % 60 AS DOUBLE) AS x, CAST(p_partkey * 7 % 60 AS DOUBLE) AS y FROM part"
 
 
