@@ -66,7 +66,8 @@ def conditional(baskets: DataFrame, tokens: DataFrame, good: int, least: int) ->
     ones; and anchors that aren't in all good URLs. Dropping another from a rule would spare no good URL, and lose no
     bad one, so the shorter set is a rule too. Sets of one anchor never mix with those of others.
     """
-    size = tokens.select("token", F.struct("n", "token").alias("place"))
+    # each token stands in a share `support` of the urls, so there are as many as a url has on average, over support
+    size = F.broadcast(tokens.select("token", F.struct("n", "token").alias("place")))
     ordered = baskets.select("row", "bad", F.explode("items").alias("token")).join(size, "token")
     whole = ordered.groupBy("row", "bad").agg(F.sort_array(F.collect_list("place")).alias("p"))
     beside = whole.select("row", "bad", F.posexplode("p").alias("at", "a"), "p").select("row", "bad", F.col("a.token").alias("anchor"), F.explode(F.slice("p", F.col("at") + 2, F.size("p"))).alias("t"))
@@ -98,7 +99,7 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, count: int = COUN
     single = tokens.filter(F.col("b") >= confidence * F.col("n"))
     alone = single.select(F.col("token").alias("anchor"), F.array("token").alias("needs"), (F.col("b") / F.col("n")).alias("confidence"), F.col("b").cast("long").alias("hits"))
     others = tokens.join(single.select("token"), "token", "left_anti")
-    baskets = cut(items.join(others.filter("token = name").select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items")))
+    baskets = cut(items.join(F.broadcast(others.filter("token = name").select("token")), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items")))
     bad = cut(conditional(baskets, others, rows.filter("not bad").count(), least))
     m = bad.count()
     if not m:
