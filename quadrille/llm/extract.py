@@ -142,17 +142,24 @@ def decoded(text: str) -> str:
 
 
 def blocks(page: str) -> list[tuple[Path, str]]:
-    """The leaf texts of a page in order, each with its path; white space as one space."""
+    """The leaf texts of a page in order, each with its path; white space as one space.
+
+    A block whose words all stand in links ends its path with an `a`.
+    """
     found, stack, text = [], [], []  # stack: (name, path)
+    link, linked, bare = False, False, False  # inside an a element; the block has words inside, and outside, of links
     at, hidden, tags = 0, None, Tags(page)  # hidden: the place in stack of the outermost opaque element
     opened: Counter = Counter()
 
     def end():
+        nonlocal linked, bare
         if text:
             joined = " ".join(decoded("".join(text)).split())
             if joined:
-                found.append((stack[-1][1] if stack else ROOT, joined))
+                path = stack[-1][1] if stack else ROOT
+                found.append((Path(path, ("a",)) if linked and not bare else path, joined))
             text.clear()
+        linked = bare = False
 
     def pop(k: int):
         nonlocal hidden
@@ -164,10 +171,15 @@ def blocks(page: str) -> list[tuple[Path, str]]:
             hidden = None
 
     def add(part: str):
+        nonlocal linked, bare
         if hidden is None:
             if stack and stack[-1][0] == "head" and not part.isspace():
                 pop(len(stack) - 1)
             text.append(part)
+            if link:
+                linked = linked or any(map(str.isalnum, part))
+            else:
+                bare = bare or any(map(str.isalnum, part))
 
     while tag := tags.next(at):
         start, to, closing, name, attributes = tag
@@ -178,6 +190,7 @@ def blocks(page: str) -> list[tuple[Path, str]]:
             continue
         if closing:
             if name in INLINE:
+                link = link and name != "a"
                 continue
             if opened[name]:
                 pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
@@ -188,8 +201,10 @@ def blocks(page: str) -> list[tuple[Path, str]]:
             add("\n")
             continue
         if name in INLINE:
+            link = link or name == "a" and "href" in attributes.lower()
             continue
         end()
+        link = False
         if stack and stack[-1][0] == "head" and name not in IN_HEAD:
             pop(len(stack) - 1)
         whole = not attributes.rstrip().endswith("/")

@@ -49,14 +49,31 @@ class Pages:
     def inside(self, tag: str, body: str) -> str:
         return f"<{tag}>{body}" + (f"</{tag.split()[0]}>")
 
+    def named(self, tag: str) -> str:
+        """The tag, or at times one of its kind whose class says nothing."""
+        return f'{tag.split()[0]} class="{self.r.choice(self.words)}{self.r.randint(1, 9)}"' if self.r.random() < 0.3 else tag
+
+    def anchors(self, low: int, high: int) -> list[str]:
+        return [f'<a href="/x">{self.text(REST, 1, 3)}</a>' for _ in range(self.r.randint(low, high))]
+
     def links(self) -> str:
-        """A menu that only its place beside the article tells: a row of a table, or a plain list."""
-        outer, inner = self.r.choice((("table", "td"), ("ul", "li")))
-        items = "".join(self.inside(inner, f'<a href="/x">{self.text(REST, 1, 3)}</a>') for _ in range(self.r.randint(2, 8)))
-        return self.inside(outer, f"<tr>{items}</tr>" if outer == "table" else items)
+        """A menu that only its links and its place tell: a row or cell of a table, a plain list, a row of anchors."""
+        r = self.r
+        kind = r.randrange(5)
+        items = self.anchors(1, 8)
+        if kind == 0:
+            return self.inside("table", self.inside("tr", "".join(self.inside("td", a) for a in items)))
+        if kind == 1:
+            return self.inside("table", self.inside("tr", self.inside("td", "<br>".join(items))))
+        if kind == 2:
+            return self.inside(r.choice(("ul", "ol")), "".join("<li>" + a for a in items))
+        return self.inside(self.named(r.choice(("div", "p", "div"))), r.choice((" ", " | ", " &gt; ", "")).join(items))
 
     def menu(self) -> str:
-        return self.inside(self.r.choice(MENU), "<ul>" + "".join(f'<li><a href="/x">{self.text(REST, 1, 3)}</a></li>' for _ in range(self.r.randint(2, 8))) + "</ul>")
+        items = self.anchors(1, 8)
+        if self.r.random() < 0.25:
+            return self.inside(self.r.choice(MENU), self.r.choice((" ", " | ", "")).join(items))
+        return self.inside(self.r.choice(MENU), "<ul>" + "".join(self.inside("li", a) for a in items) + "</ul>")
 
     def boxed(self, tags) -> str:
         r = self.r
@@ -70,27 +87,56 @@ class Pages:
     def article(self) -> str:
         r = self.r
         if r.random() < 0.08:  # one paragraph is all
-            return self.inside(r.choice(ARTICLE), f"<p>{self.text(MAIN, 5, 60)}</p>")
+            return self.wrapped(f"<p>{self.text(MAIN, 1, 60)}</p>")
         parts = [f"<h1>{self.text(MAIN, 1, 9)}</h1>"] if r.random() < 0.8 else []
         for _ in range(r.randint(1, 14)):
-            parts.append(r.choices((lambda: f"<p>{self.text(MAIN, 1, 90)}</p>", lambda: f"<p>{self.text(MAIN, 1, 90)}", lambda: f"<p><b>{self.text(MAIN, 1, 40)}<br>", lambda: f"<h2>{self.text(MAIN, 1, 7)}</h2>", lambda: "<ul>" + "".join(f"<li>{self.text(MAIN, 1, 20)}</li>" for _ in range(3)) + "</ul>", lambda: "<ol>" + "".join(f"<li>{self.text(MAIN, 1, 20)}" for _ in range(r.randint(1, 6))) + "</ol>", lambda: f"<blockquote>{self.text(MAIN, 3, 40)}</blockquote>", lambda: f"<blockquote><p>{self.text(MAIN, 3, 40)}</p></blockquote>", lambda: f"<table><tr><td>{self.text(MAIN, 1, 4)}</td><td>{self.text(MAIN, 1, 4)}</td></tr></table>", lambda: f"<pre>{self.text(MAIN, 3, 30)}</pre>", lambda: f"<div>{self.text(MAIN, 3, 60)}</div>", lambda: f"<section><p>{self.text(MAIN, 3, 60)}</p></section>", lambda: f"<figure><figcaption>{self.text(MAIN, 2, 12)}</figcaption></figure>"), (40, 12, 8, 6, 3, 2, 2, 3, 2, 2, 3, 3, 1))[0]())
+            parts.append(r.choices((lambda: f"<p>{self.text(MAIN, 1, 90)}</p>", lambda: f"<p>{self.text(MAIN, 1, 90)}", lambda: f"<p><b>{self.text(MAIN, 1, 40)}<br>", lambda: f"<h2>{self.text(MAIN, 1, 7)}</h2>", lambda: "<ul>" + "".join(f"<li>{self.text(MAIN, 1, 20)}</li>" for _ in range(3)) + "</ul>", lambda: "<ol>" + "".join(f"<li>{self.text(MAIN, 1, 20)}" for _ in range(r.randint(1, 6))) + "</ol>", lambda: f"<blockquote>{self.text(MAIN, 3, 40)}</blockquote>", lambda: f"<blockquote><p>{self.text(MAIN, 3, 40)}</p></blockquote>", lambda: f"<table><tr><td>{self.text(MAIN, 1, 4)}</td><td>{self.text(MAIN, 1, 4)}</td></tr></table>", lambda: f"<pre>{self.text(MAIN, 3, 30)}</pre>", lambda: f"<div>{self.text(MAIN, 3, 60)}</div>", lambda: f"<section><p>{self.text(MAIN, 3, 60)}</p></section>", lambda: f"<figure><figcaption>{self.text(MAIN, 2, 12)}</figcaption></figure>", self.table, self.terms, lambda: f"<h3>{self.text(MAIN, 1, 7)}</h3>", lambda: f'<p>{self.text(MAIN, 2, 20)} <a href="/x">{" ".join(r.choices(self.words, k=2))}</a> {" ".join(r.choices(self.words, k=r.randint(1, 20)))}', lambda: self.text(MAIN, 3, 60)), (40, 12, 8, 6, 3, 2, 2, 3, 2, 2, 3, 3, 1, 2, 2, 3, 3, 2))[0]())
             if r.random() < 0.12:
                 parts.append(r.choice((lambda: self.boxed(ADVERT), self.form, lambda: self.boxed(AROUND), lambda: self.boxed(COMMENT), self.menu, lambda: self.boxed(NOTICE)))())
         if r.random() < 0.15:
             parts.append(self.boxed(COMMENT))
-        return self.inside(r.choice(ARTICLE), "".join(parts))
+        return self.wrapped("".join(parts))
+
+    def table(self) -> str:
+        ends, wide = self.r.random() < 0.5, self.r.randint(1, 4)
+        cells = [["".join(f"<{c}>{self.text(MAIN, 1, 5)}" + (f"</{c}>" if ends else "") for _ in range(wide)) for c in ("th" if not i else "td",)][0] for i in range(self.r.randint(1, 5))]
+        return "<table>" + "".join("<tr>" + c + ("</tr>" if ends else "") for c in cells) + "</table>"
+
+    def terms(self) -> str:
+        ends = self.r.random() < 0.5
+        return "<dl>" + "".join(f"<{k}>{self.text(MAIN, 1, n)}" + (f"</{k}>" if ends else "") for _ in range(self.r.randint(1, 5)) for k, n in (("dt", 3), ("dd", 20))) + "</dl>"
+
+    def wrapped(self, body: str) -> str:
+        """An article in its element, in a box that says nothing, in a cell of a layout table, or in none."""
+        r = self.r
+        if r.random() < 0.5:
+            return self.inside(r.choice(ARTICLE), body)
+        kind = r.randrange(6)
+        if kind < 2:
+            return body
+        if kind < 4:
+            return self.inside(self.named(r.choice(("div", "section", "div"))), body)
+        if kind == 4:
+            return self.inside(self.named("div"), self.inside(self.named("div"), body))
+        side = self.inside("td", "<br>".join(self.anchors(1, 6))) if r.random() < 0.5 else ""
+        return self.inside("table", self.inside("tr", side + self.inside("td", body)))
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.04:  # plain text, or paragraphs alone
+            return self.text(MAIN, 1, 200) if r.random() < 0.5 else "".join(f"<p>{self.text(MAIN, 1, 60)}" for _ in range(r.randint(1, 5)))
         before = [x() for x in (self.menu, lambda: self.boxed(ADVERT), lambda: self.boxed(HEAD), lambda: self.boxed(NOTICE), self.form, lambda: self.boxed(AROUND)) if r.random() < 0.45]
         after = [x() for x in (lambda: self.boxed(COMMENT), lambda: self.boxed(AROUND), lambda: self.boxed(ADVERT), self.form, self.menu, lambda: self.boxed(NOTICE)) if r.random() < 0.35]
-        if r.random() < 0.12:
+        if r.random() < 0.25:
             before.append(self.links())
+        if r.random() < 0.1:
+            after.append(self.links())
         r.shuffle(before)
         r.shuffle(after)
         if r.random() < 0.7:
             after.append(self.boxed(FOOT))
-        body = "".join([*before, self.article(), *after])
+        some = r.random() > 0.03  # a few pages have no article
+        body = "".join([*before, self.article() if some else "", *after])
         if r.random() < 0.3:
             body = self.inside(r.choice(("div", 'div class="wrapper"', 'div id="page"', 'div class="container"')), body)
         return f"<!DOCTYPE html><html><head><title>{self.text(REST, 2, 8)}</title></head><body>{body}</body></html>"
@@ -100,7 +146,7 @@ class Pages:
         return vectors([(n, t.strip(MAIN + REST) or "x") for n, t in found]), np.array([t[0] == MAIN for _, t in found])
 
 
-def train(pages: int = 6000, rounds: int = 6, batch: int = 32, seed: int = 7, rate: float = 4e-3) -> Labeller:
+def train(pages: int = 12000, rounds: int = 8, batch: int = 32, seed: int = 7, rate: float = 4e-3) -> Labeller:
     """Adam over shuffled batches of pages of like length."""
     draw, model, r = Pages(seed), Labeller.fresh(seed), np.random.default_rng(seed)
     data = sorted((p for p in (draw.labelled() for _ in range(pages)) if len(p[0])), key=lambda p: len(p[0]))
