@@ -28,25 +28,25 @@ def _near(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFram
 
 
 def flow_groups(points: DataFrame, keys: list[str], width: float, rounds: int = 50, digits: int = 6) -> DataFrame:
-    """keys, id, and cx, cy, cu, cv: the centre of each point's group, by a flat kernel of bandwidth `width`.
+    """keys, id, cx, cy, cu, cv, settled: the centre of each point's group, by a flat kernel of bandwidth `width`.
 
     points: keys, id, x, y, x2, y2. Every point climbs to the mean of the points within the bandwidth until none
-    moves more than 10^-digits; points at one place climb as one. Modes within the bandwidth of each other are one
+    moves more than 10^-digits, or for so many rounds: points then still climbing are not settled. Points at one place
+    climb as one. Modes within the bandwidth of each other are one
     group: each follows the most climbed of its neighbours (the greater coordinates on a tie) until all stay.
     """
     spot = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("x") - F.col("x2")).cast("double").alias("u"), (F.col("y") - F.col("y2")).cast("double").alias("v"))
     given = cut(points.select(*keys, "id", spot.alias("q")))
     places = given.groupBy(*keys, "q").agg(F.count(F.lit(1)).alias("n"))
-    path = cut(places.select(*keys, F.col("q").alias("start"), F.col("q").alias("p")))
+    path = cut(places.select(*keys, F.col("q").alias("start"), F.col("q").alias("p"), F.lit(True).alias("went")))
     for _ in range(rounds):
         modes = path.select(*keys, "p").distinct()
         means = [F.round(F.sum(F.col("n") * F.col(f"q.{c}")) / F.sum("n"), digits).alias(c) for c in SPOT]
         up = _near(modes, places, keys, width).groupBy(*keys, "p").agg(F.struct(*means).alias("to"))
-        path = cut(path.join(up, [*keys, "p"]).select(*keys, "start", F.col("to").alias("p"), (F.col("to") != F.col("p")).alias("went")))
+        path = cut(path.drop("went").join(up, [*keys, "p"]).select(*keys, "start", F.col("to").alias("p"), (F.col("to") != F.col("p")).alias("went")))
         if path.filter("went").isEmpty():
             break
-        path = path.drop("went")
-    path = path.select(*keys, "start", "p")
+    path = path.select(*keys, "start", "p", (~F.col("went")).alias("settled"))
     modes = cut(path.join(places.withColumnRenamed("q", "start"), [*keys, "start"]).groupBy(*keys, "p").agg(F.sum("n").alias("n")))
     best = F.max(F.struct("m", "q"))["q"]
     follows = _near(modes.select(*keys, "p"), modes.select(*keys, F.col("p").alias("q"), F.col("n").alias("m")), keys, width)
@@ -57,5 +57,5 @@ def flow_groups(points: DataFrame, keys: list[str], width: float, rounds: int =
         top = further.drop("went")
         if not moving:
             break
-    ends = path.join(top, [*keys, "p"]).select(*keys, F.col("start").alias("q"), "to")
-    return given.join(ends, [*keys, "q"]).select(*keys, "id", *[F.col(f"to.{c}").alias(f"c{c}") for c in SPOT])
+    ends = path.join(top, [*keys, "p"]).select(*keys, F.col("start").alias("q"), "to", "settled")
+    return given.join(ends, [*keys, "q"]).select(*keys, "id", *[F.col(f"to.{c}").alias(f"c{c}") for c in SPOT], "settled")

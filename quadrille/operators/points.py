@@ -65,17 +65,31 @@ def min_inliers(n: Column, model: int, support: float, doubt: float) -> Column:
     """The least j in model+1..n such that j or more inliers of n by chance are less likely than `doubt`, or null.
 
     Beyond the `model` points of the sample, each is an inlier by chance with probability `support`. The binomial
-    tail is summed from n down, its terms by the ratio of neighbours in logarithms, so that any n will do.
+    tail is summed downward, its terms by the ratio of neighbours in logarithms, over the counts outside of which less
+    than 1e-17 lies by Bernstein's bound: some 18 standard deviations and 120, whatever n is.
     """
     rest = (n - model).cast("long")
     odds = math.log((1 - support) / support)
-    start = F.struct((rest * math.log(support)).cast("double").alias("term"), F.lit(0.0).alias("tail"), F.lit(None).cast("long").alias("least"))
+    far = 9 * F.sqrt(rest * (support * (1 - support))) + 60
+    top = F.least(rest, F.ceil(rest * support + far))
+    low = F.greatest(F.lit(1).cast("long"), F.floor(rest * support - far))
+    first = _log_factorial(rest) - _log_factorial(top) - _log_factorial(rest - top) + top * math.log(support) + (rest - top) * math.log(1 - support)
+    start = F.struct(first.cast("double").alias("term"), F.lit(0.0).alias("tail"), F.lit(None).cast("long").alias("least"))
 
     def down(s: Column, k: Column) -> Column:
         tail = s["tail"] + F.exp(s["term"])
         return F.struct((s["term"] + F.log(k / (rest - k + 1)) + odds).alias("term"), tail.alias("tail"), F.when(tail < doubt, k).otherwise(s["least"]).alias("least"))
 
-    return F.when(rest > 0, F.aggregate(F.sequence(rest, F.lit(1).cast("long"), F.lit(-1).cast("long")), start, down)["least"] + model)
+    return F.when(rest > 0, F.aggregate(F.sequence(top, low, F.lit(-1).cast("long")), start, down)["least"] + model)
+
+
+def _log_factorial(n: Column) -> Column:
+    """log n! by Stirling's series from n + 8 on, less the logarithm of the eight factors between."""
+    x = n.cast("double") + 8
+    between = n.cast("double") + 1
+    for i in range(2, 9):
+        between = between * (n.cast("double") + i)
+    return (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - F.log(between)
 
 
 def prosac_samples(points: DataFrame, rounds: int) -> DataFrame:

@@ -22,11 +22,38 @@ def _near(column: str, axis: str, step: int) -> Column:
     return F.max(column).over(_along(axis).rangeBetween(step, step))
 
 
-def integral_image(px: DataFrame) -> DataFrame:
-    """Add s, s2: sums of value and value squared over all cells up to and including this one."""
-    across, down = _along("col").rowsBetween(Window.unboundedPreceding, 0), _along("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = px.withColumns({"r": F.sum("value").over(across), "r2": F.sum(F.col("value") * F.col("value")).over(across)})
-    return rows.withColumns({"s": F.sum("r").over(down), "s2": F.sum("r2").over(down)}).drop("r", "r2")
+def integral_image(px: DataFrame, side: int = 256) -> DataFrame:
+    """Add s, s2: sums of value and value squared over all cells up to and including this one.
+
+    In two levels: totals of the rows, columns and whole of each tile of `side` cells are summed over the tiles before
+    it and stand around the tile as a margin row and column, so that running sums inside tiles are those of the image.
+    No window holds more than a tile's width, and pixels move once. Images are whole rectangles; null values count 0.
+    """
+    tile = ["__tr", "__tc"]
+    cells = px.withColumns({"__tr": F.floor(F.col("row") / side), "__tc": F.floor(F.col("col") / side), "__v": F.col("value"), "__v2": F.col("value") * F.col("value")})
+
+    def before(sums: DataFrame, fixed: list[str], order: str) -> DataFrame:
+        w = Window.partitionBy(*KEY, *fixed).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return sums.withColumns({c: F.sum(c).over(w) for c in ("__v", "__v2")})
+
+    def totals(of: DataFrame, by: list[str]) -> DataFrame:
+        return of.groupBy(*KEY, *by).agg(*[F.sum(c).alias(c) for c in ("__v", "__v2")])
+
+    rows, columns = totals(cells, [*tile, "row"]), totals(cells, [*tile, "col"])
+    left, above = before(rows, ["row"], "__tc"), before(columns, ["col"], "__tr")
+    corner = before(before(totals(rows, tile), ["__tr"], "__tc"), ["__tc"], "__tr")
+    margin = [m.withColumns({c: F.lit(None).cast(px.schema[c].dataType) for c in ("row", "col") if c not in m.columns}) for m in (left, above, corner)]
+    met = cells.withColumn("__cell", F.lit(True))
+    for m in margin:
+        met = met.unionByName(m, allowMissingColumns=True)
+    met = met.repartition(*KEY, *tile)
+
+    def running(fixed: str, order: str) -> Window:
+        return Window.partitionBy(*KEY, *tile, fixed).orderBy(F.asc_nulls_first(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+    across = met.withColumns({f"__r{c}": F.sum(c).over(running("row", "col")) for c in ("__v", "__v2")})
+    down = across.withColumns({o: F.sum(f"__r{c}").over(running("col", "row")) for c, o in (("__v", "s"), ("__v2", "s2"))})
+    return down.filter("__cell").select(*px.columns, "s", "s2")
 
 
 def box_sums(integral: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,16 +133,47 @@ def kmeans_points(points: DataFrame, k: int, rounds: int = 100, most: int = 1000
         raise ValueError(f"k-means needs 1 to {most} centres")
     centres, seen, still = [(i, *r) for i, r in enumerate(start)], None, False
     for _ in range(rounds):
-        at = points.withColumn("k", _nearest_centre(centres))
-        means = at.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "dx", "dy")], F.sum(F.xxhash64("id", "k").cast("decimal(38,0)")).alias("mark")).orderBy("k").collect()
-        now = [(r.k, r.n, r.mark) for r in means]
-        still, seen = now == seen, now
+        means = _lloyd(points, centres, seen).orderBy("k").collect()
+        still = seen is not None and not sum(r.moved for r in means)
         if still:
             break
-        centres = [(r.k, r.x, r.y) for r in means]
+        seen, centres = centres, [(r.k, r.x, r.y) for r in means]
+    at = points.withColumn("k", _nearest_centre(seen or centres))
     return at, at.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "dx", "dy")]), still
 
 
+def _lloyd(points: DataFrame, centres: list, before: list | None) -> DataFrame:
+    """k, x, y, moved: the mean of the points nearest to each centre, and how many had another k by the centres before.
+
+    Distances are the matrices of a batch by the centres; a task gives one row of sums for each centre.
+    """
+    def nearest(xy: np.ndarray, at: list) -> np.ndarray:
+        c, out = np.array([r[1:3] for r in at], float), np.empty(len(xy), int)
+        step = max(1, 1_000_000 // len(c))
+        for i in range(0, len(xy), step):
+            b = xy[i : i + step]
+            out[i : i + step] = ((b[:, :1] - c[:, 0]) ** 2 + (b[:, 1:] - c[:, 1]) ** 2).argmin(1)
+        return np.array([r[0] for r in at])[out]
+
+    ks = np.array([c[0] for c in centres])
+
+    def run(batches):
+        sums = np.zeros((6, len(ks)))  # rows, sums and counts of x and y, moved
+        for b in batches:
+            xy = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], 1)
+            k = nearest(xy, centres)
+            at = np.searchsorted(ks, k)
+            went = k != nearest(xy, before) if before else np.ones(len(k))
+            there = ~np.isnan(xy)
+            for i, w in enumerate((None, np.where(there[:, 0], xy[:, 0], 0), there[:, 0], np.where(there[:, 1], xy[:, 1], 0), there[:, 1], went)):
+                sums[i] += np.bincount(at, w, len(ks))
+        yield pa.RecordBatch.from_arrays([pa.array(ks), *[pa.array(x) for x in sums]], names=["k", "n", "sx", "nx", "sy", "ny", "moved"])
+
+    parts = points.select(F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(run, "k long, n double, sx double, nx double, sy double, ny double, moved double")
+    total = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "nx", "sy", "ny", "moved")]).filter("n > 0")
+    return total.select("k", *[F.try_divide(f"s{c}", f"n{c}").alias(c) for c in "xy"], "moved")
+
+
 def datum_shift(points: DataFrame, dx: float, dy: float, dz: float, a: float = 6378137.0, f: float = 1 / 298.257223563) -> DataFrame:
     """Points (lon, lat in degrees, hgt) moved by a geocentric shift: to XYZ, add, and back by Bowring's formula."""
     e2, b = f * (2 - f), a * (1 - f)

@@ -19,6 +19,12 @@ def test_flow_groups_known_cases(spark):
     assert flows(spark, [*range(2, 7), *range(106, 111)]) == [(3, 0, -1, 0)] * 5 + [(8, 0, -100, 0)] * 5
 
 
+def test_flow_groups_tell_what_still_climbs(spark):
+    table = spark.createDataFrame([(0, i, float(i), 0.0, float(i), 0.0) for i in range(40)], "k int, id int, x double, y double, x2 double, y2 double")
+    assert not all(r.settled for r in flow.flow_groups(table, ["k"], 10.0, rounds=1).collect())
+    assert all(r.settled for r in flow.flow_groups(table, ["k"], 10.0).collect())
+
+
 @pytest.mark.parametrize("local", [50_000, 0])
 def test_refine_gcps_equals_brute_force(spark, monkeypatch, local):
     monkeypatch.setattr(adjustment, "LOCAL", local)

@@ -37,7 +37,7 @@ def test_chance_pairs_are_left_out(spark):
 
 
 def test_min_inliers_of_any_count(spark):
-    ns = [1, 2, 3, 5, 12, 60, 61, 600, 5000]
+    ns = [1, 2, 3, 5, 12, 60, 61, 130, 200, 600, 5000, 200_000]
     got = {r.n: r.least for r in spark.createDataFrame([(n,) for n in ns], "n long").select("n", points.min_inliers(F.col("n"), 2, 0.25, 0.05).alias("least")).collect()}
 
     def brute(n):
@@ -123,3 +123,17 @@ def test_minima_and_box_figures(spark):
     for k, part in ((1, values[:2, :2]), (2, values[:3, 2:])):
         assert np.allclose([got[k].total, got[k].n, got[k].mean, got[k].std], [part.sum(), part.size, part.mean(), part.std()])
     assert got[3].n == 0 and got[3]["mean"] is None
+
+
+@pytest.mark.parametrize("side", [3, 4, 100])
+def test_integral_image_over_tiles(spark, side):
+    v = np.random.default_rng(5).integers(0, 9, (2, 10, 7))
+    rows = [(None if i else 7, 1, r, c, int(v[i, r, c]) if (r, c) != (4, 4) else None, "x") for i in range(2) for r in range(10) for c in range(7)]
+    v[:, 4, 4] = 0
+    px = spark.createDataFrame(rows, "image_id long, band int, row int, col int, value long, note string")
+    got = raster.integral_image(px, side)
+    assert got.columns == [*px.columns, "s", "s2"] and got.count() == 140
+    for r in got.collect():
+        part = v[0 if r.image_id else 1, : r.row + 1, : r.col + 1]
+        assert (r.s, r.s2, r.note) == (part.sum(), (part**2).sum(), "x")
+    assert raster.integral_image(px.limit(0), side).count() == 0
