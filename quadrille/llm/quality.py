@@ -196,7 +196,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """The rows of docs that judge keeps, with all their columns. Texts are scored once and kept beside their p."""
+    """The rows of docs that judge keeps, with all their columns. Texts are scored once and kept beside their p.
+
+    Null and empty texts, null hosts and paths, repeated rows and missing labels count as in judge: equal rows stay or
+    go together, and without labels all stay. Columns may have any name, and an empty table stays empty.
+    """
     models = fit(docs, labels, id_col, text_col, sample)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = stored(scored(docs.select(*[F.col(c).alias(names[c]) for c in docs.columns]), models, names[text_col], True, "p"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_operators import SCHEMA, words
 
 import corpus_pipeline
-from quadrille.llm import common, decontaminate, mixing
+from quadrille.llm import common, decontaminate, mixing, quality
 
 
 def test_mixing_keeps_null_and_repeated_ids(spark):
@@ -40,3 +40,20 @@ def test_leaks_of_repeated_and_null_item_ids(spark):
         assert Counter((x.doc_id, x.item_id) for x in decontaminate.leaks(docs, bench, most=most).collect()) == want
         left = decontaminate.clean(docs, bench, most=most)
         assert left.columns == docs.columns and Counter(map(tuple, left.collect())) == Counter(rows[6:])
+
+
+def test_quality_of_hostile_rows(spark):
+    good, bad = "a calm and useful sentence about rivers.", "BUY!!! $$$ CLICK"
+    texts = [good, bad] * 15 + [None, "", "word " * 200_000, good, good]
+    rows = [(i if i < 33 else 33, None if i == 32 else "s0" if i > 32 else f"s{i % 2}", None if i == 31 else "en", t, 0.5, "h", "q") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, p double, host string, path string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 2)) for i in range(30)] + [(31, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.accepted(docs, labels)
+    kept = [tuple(r) for r in got.collect()]
+    judged = [r for r in quality.judge(docs, labels).collect()]
+    assert got.columns == docs.columns and len(judged) == len(rows) and len(kept) == sum(r.keep for r in judged)
+    assert {r[0] for r in kept} == {r.doc_id for r in judged if r.keep} and kept.count(rows[33]) in (0, 2)
+    assert {r[0] for r in kept if r[0] < 30} == set(range(0, 30, 2))
+    assert len({r.keep for r in judged if r.doc_id == 33}) == 1
+    assert quality.accepted(docs, labels.limit(0)).count() == len(rows)
+    assert quality.accepted(docs.limit(0), labels).count() == 0
