@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate
+from array import array
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ WINDOW, GRAM = 50, 12
 LONGEST = 64
 #: A minimiser with more different super-k-mers than this is hot: its windows are dealt to several buckets.
 HOT = 20_000
+#: Windows of one bucket are sorted so many bytes at a time, about.
+PASS = 64_000_000
 #: A table of hot minimisers is broadcast up to so many rows (16 bytes each); a shuffle join takes it beyond.
 SMALL = 100_000
 #: Odd multipliers of the rolling hashes.
@@ -108,39 +112,32 @@ def _runs(batches, pack: bool, window: int, gram: int):
     yield from flush()
 
 
-def bucket_rows(rows: list[tuple], window: int = WINDOW):
-    """One bucket's super-k-mers (x1, x2, first, least id, most id, words), words from window `first` of it on: sort
-    all their windows, so that equal ones meet; yield (x1, x2, offset, windows, least id) for each stretch of windows
-    that more than one id holds."""
-    kmers: dict[tuple[int, int, int], list] = {}
-    for a, c, off, least, most, words in rows:
-        got = kmers.setdefault((a, c, off), [least, most, words])
-        got[0], got[1] = min(got[0], least), max(got[1], most)
+def bucket_rows(kmers: dict[tuple[int, int, int], list], window: int = WINDOW, most_bytes: int = PASS):
+    """One bucket's super-k-mers, (x1, x2, first) -> [least id, most id, words], words from window `first` of it on:
+    sort all their windows, so that equal ones meet; yield (x1, x2, offset, windows, least id) for each stretch of
+    windows that more than one id holds. Windows of more than `most_bytes` in all are sorted in passes, each by their hash."""
     if len(kmers) == 1 and next(iter(kmers.values()))[0] == next(iter(kmers.values()))[1]:
         return
-    windows = []
-    for i, (least, _, words) in enumerate(kmers.values()):
-        ends = list(accumulate(len(w) + 1 for w in words.split(b" ")))
-        begins = [0, *ends]
-        windows += [(words[begins[j] : ends[j + window - 1] - 1], least, i, j) for j in range(len(ends) - window + 1)]
-    windows.sort()
-    found: dict[int, list] = {}
-    at = first = None
-    for w, least, i, j in windows:
-        if w != at:
-            at, first = w, least
-        found.setdefault(i, []).append((j, first))
-    for i, ((a, c, off), (_, most, _)) in enumerate(kmers.items()):
-        run = None
-        for j, d in sorted(found[i]):
-            if run and run[0] + run[1] == off + j and run[2] == d:
-                run[1] += 1
-                continue
-            if run and run[2] < most:
-                yield a, c, *run
-            run = [off + j, 1, d]
-        if run[2] < most:
-            yield a, c, *run
+    begins = [array("i", accumulate((len(w) + 1 for w in words.split(b" ")), initial=0)) for _, _, words in kmers.values()]
+    places = list(accumulate((len(b) - window for b in begins), initial=0))
+    passes = 1 + sum(len(k[2]) * window * (len(b) - window) // len(b) for k, b in zip(kmers.values(), begins, strict=True)) // most_bytes
+    first = [0] * places[-1]
+    for part in range(passes):
+        windows = []
+        for (least, _, words), b, at in zip(kmers.values(), begins, places, strict=False):
+            cuts = ((words[b[j] : b[j + window] - 1], least, at + j) for j in range(len(b) - window))
+            windows.extend(cuts if passes == 1 else (w for w in cuts if xxhash.xxh64_intdigest(w[0]) % passes == part))
+        windows.sort()
+        at = None
+        for w, least, place in windows:
+            if w != at:
+                at, holder = w, least
+            first[place] = holder
+    for ((a, c, off), (_, most, _)), start, end in zip(kmers.items(), places, places[1:], strict=False):
+        for holder, same in groupby(range(start, end), first.__getitem__):
+            if holder < most:
+                same = list(same)
+                yield a, c, off + same[0] - start, len(same), holder
 
 
 def dealt_windows(travels: DataFrame, parts: DataFrame, window: int) -> DataFrame:
@@ -158,8 +155,9 @@ def dealt_windows(travels: DataFrame, parts: DataFrame, window: int) -> DataFram
 
 
 def _buckets(batches, window: int):
-    """Rows come sorted by minimiser and bucket; each one's are worked off as they end."""
-    held, at, out = [], None, []
+    """Rows come sorted by minimiser and bucket; equal super-k-mers merge as they come, and a bucket is worked off as it ends."""
+    held: dict[tuple[int, int, int], list] = {}
+    at, out = None, []
 
     def batch():
         cols = list(zip(*out, strict=True))
@@ -169,12 +167,13 @@ def _buckets(batches, window: int):
         return done
 
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("x1", "x2", "first", "least", "most", "words")]
-        for *key, row in zip(b.column("mini").to_pylist(), b.column("bucket").to_pylist(), zip(*cols, strict=True), strict=True):
-            if key != at:
+        cols = [b.column(c).to_pylist() for c in ("mini", "bucket", "x1", "x2", "first", "least", "most", "words")]
+        for mini, bucket, x1, x2, first, least, most, words in zip(*cols, strict=True):
+            if (mini, bucket) != at:
                 out.extend(bucket_rows(held, window))
-                held, at = [], key
-            held.append(row)
+                held, at = {}, (mini, bucket)
+            got = held.setdefault((x1, x2, first), [least, most, words])
+            got[0], got[1] = min(got[0], least), max(got[1], most)
         if len(out) > 20_000:
             yield batch()
     out.extend(bucket_rows(held, window))
