@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import MULTIPLIER, WordHash, encoded, mixed, pieces, plain_names, row_hash
+from quadrille.llm.common import MULTIPLIER, WordHash, bloom, bloom_bits, cut, encoded, mixed, pieces, plain_names, probe, row_hash, stored
 
 #: A tile has so many tokens at least; items whose tokens are covered by this share or more are leaked.
 MIN_TILE, MIN_COVERAGE = 5, 0.5
-#: The test items travel to all tasks up to so many tokens (about 100 MB); beyond, seeds are joined by a shuffle.
+#: The test items travel to all tasks up to so many tokens (16 bytes for each seed, 8 for each token, and the words); beyond, seeds are joined by a shuffle.
 MAX_TOKENS = 1_000_000
 TOKEN = re.compile(r"\w+")
 FOUND = "doc_id long, item_id long, item_tokens int, covered int, tiles int, coverage double"
@@ -137,19 +137,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Suite:
-    """A bounded set of test items, as each task holds it: ids and tokens by place, and seed hash -> places."""
+    """A bounded set of test items, as each task holds it: ids and tokens by place, and sorted seeds with their places."""
 
     def __init__(self, ids: list[int | None], items: dict[int, list[str]], least: int):
         self.ids, self.least, self.known = ids, least, WordHash()
         self.items = {k: self.array(words) for k, words in items.items()}
-        found: dict[int, set[int]] = {}
-        for item, words in self.items.items():
-            for h in seed_hashes(words, least).tolist():
-                found.setdefault(h, set()).add(item)
-        self.seeds = found
+        each = [np.unique(seed_hashes(words, least)) for words in self.items.values()]
+        seeds = np.concatenate([np.empty(0, np.uint64), *each])
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.places = seeds[order], np.repeat(np.array(list(self.items), np.int64), [len(s) for s in each])[order]
         self.quick = np.zeros(1 << 22, bool)
-        if found:
-            self.quick[(np.fromiter(found, np.uint64, len(found)) & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.quick[(seeds & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def array(self, words: list[str]) -> np.ndarray:
         return self.known.array([w.encode() for w in words])
@@ -163,11 +161,12 @@ class Suite:
             return out
         ends = np.cumsum(lengths)
         near = np.flatnonzero(self.quick[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        for at, seed in zip(near.tolist(), h[near].tolist(), strict=True):
-            if seed in self.seeds:
-                d = int(np.searchsorted(ends, at, "right"))
-                if at + self.least <= ends[d]:
-                    out.setdefault(d, set()).update(self.seeds[seed])
+        doc = np.searchsorted(ends, near, "right")
+        near, doc = (x[near + self.least <= ends[doc]] for x in (near, doc))
+        low, high = (np.searchsorted(self.seeds, h[near], side) for side in ("left", "right"))
+        met = low < high
+        for d, a, b in zip(doc[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+            out.setdefault(d, set()).update(self.places[a:b].tolist())
         return out
 
 
@@ -220,16 +219,21 @@ def _joined(texts: DataFrame, benchmark: DataFrame, least: int, share: float) ->
             known = WordHash()
             for b in batches:
                 for i, t in zip(b.column(key).to_pylist(), b.column(text).to_pylist(), strict=True):
-                    h = np.unique(seed_hashes(known.array([w.encode() for w in tokens(t)]), least)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array(h)], names=[key, "seed"])
+                    words = tokens(t)
+                    h, c = np.unique(seed_hashes(known.array([w.encode() for w in words]), least).view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([i] * len(h), h, c, [len(words)] * len(h))], names=[key, "seed", "c", "n"])
 
         return run
 
     rows = texts.withColumn("th", row_hash(texts))
     items = _items(benchmark)
-    left = rows.select("th", "text").mapInArrow(seeds("th", "text"), "th long, seed long")
-    right = items.mapInArrow(seeds("item", "item_text"), "item long, seed long")
-    pairs = left.join(right, "seed").select("th", "item").distinct()
+    right = stored(items.mapInArrow(seeds("item", "item_text"), "item long, seed long, c long, n long"))
+    bits = bloom_bits(right.count())
+    left = rows.select("th", "text").mapInArrow(seeds("th", "text"), "th long, seed long, c long, n long").select("th", "seed").distinct()
+    left = probe(left, "seed", cut(bloom(right, "seed", bits)), bits, "maybe").filter("maybe").select("th", "seed")
+    # a tile of t tokens holds t - least + 1 seeds of the item, t / least of them at least
+    enough = F.sum("c") * least >= share * F.first("n")
+    pairs = left.join(right, "seed").groupBy("th", "item").agg(enough.alias("enough")).filter("enough").select("th", "item")
 
     def run(batches):
         known = WordHash()
