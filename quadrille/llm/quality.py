@@ -44,7 +44,8 @@ def featurised(texts: list[bytes], known: WordHash) -> tuple[list[np.ndarray], n
 class Head:
     """A logistic model of hashed words and surface figures, fitted by Newton's method."""
 
-    def __init__(self, words: list[np.ndarray], surface: np.ndarray, y: np.ndarray):
+    def __init__(self, words: list[np.ndarray], surface: np.ndarray, y: np.ndarray, best: np.ndarray):
+        """words: of each text at least those of `best`, the sorted words that the model may use."""
         self.mean, self.scale = surface.mean(0), surface.std(0) + 1e-6
         self.words, self.weights, self.surface = np.empty(0, np.int64), np.empty(0), np.zeros(surface.shape[1])
         rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -52,18 +53,11 @@ class Head:
         if y.min() == y.max():
             return
         flat, doc = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
-        ids, inverse = np.unique(flat, return_inverse=True)
-        pos = np.bincount(inverse, weights=y[doc], minlength=len(ids))
-        both = np.bincount(inverse, minlength=len(ids))
-        p = both / len(y)
-        z = (pos - both * y.mean()) / np.sqrt(y.mean() * (1 - y.mean()) * both * (1 - p) + 1e-9)
-        best = np.argsort(-np.abs(np.where(both >= 3, z, 0)), kind="stable")[:CHOSEN]
-        best = np.sort(best[(np.abs(z[best]) >= SIGNIFICANT) & (both[best] >= 3)])
-        column = np.full(len(ids), -1)
-        column[best] = np.arange(len(best))
+        column = np.searchsorted(best, flat)
+        use = column < len(best)
+        use[use] = best[column[use]] == flat[use]
         x = np.zeros((len(y), len(best) + surface.shape[1] + 1))
-        use = column[inverse] >= 0
-        x[doc[use], column[inverse[use]]] = 1
+        x[doc[use], column[use]] = 1
         x[:, len(best) : -1] = np.clip((surface - self.mean) / self.scale, -8, 8)
         x[:, -1] = 1
         w = np.zeros(x.shape[1])
@@ -75,7 +69,7 @@ class Head:
             w += step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
             if np.abs(step).max() < 1e-6:
                 break
-        self.words, self.weights = ids[best], w[: len(best)]
+        self.words, self.weights = best, w[: len(best)]
         self.surface, self.bias = w[len(best) : -1], float(w[-1])
 
     def logits(self, words: list[np.ndarray], surface: np.ndarray) -> np.ndarray:
@@ -84,12 +78,21 @@ class Head:
         return np.array([table[w].sum() for w in words]) + np.clip((surface - self.mean) / self.scale, -8, 8) @ self.surface + self.bias
 
 
+def _telling(counts: DataFrame, label: str, y: np.ndarray) -> np.ndarray:
+    """Up to CHOSEN words that lie SIGNIFICANT deviations or more from independence of the label, sorted."""
+    mean, n = float(y.mean()), F.col("n")
+    z = (F.col(label) - n * mean) / F.sqrt(F.lit(mean * (1 - mean)) * n * (1 - n / len(y)) + 1e-9)
+    far = counts.select("word", F.abs(z).alias("z")).filter(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(CHOSEN)
+    return np.sort(np.array([r.word for r in far.collect()], np.int64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[Head, Head] | None:
     """Models of quality and of toxicity from at most `sample` labelled rows; None if there are none.
 
     labels: doc_id, quality, toxic (0 or 1). Rows with a null there are left out. Of several labels of one id
-    all count; of documents that repeat an id the first `sample` rows by hash. What reaches the driver are features
-    of the sample, whatever the tables' sizes.
+    all count; of documents that repeat an id the first `sample` rows by hash. Words are counted and chosen by grouped
+    sums. What reaches the driver is, for each row of the sample, its surface and those of the chosen words that it
+    holds, however long texts are.
     """
     chosen = labels.select("doc_id", "quality", "toxic").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
@@ -101,13 +104,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.array(words, pa.list_(pa.int64())), pa.array(surface.tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "toxic", "words", "surface"])
 
     found = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["quality"], rows.schema["toxic"], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("surface", T.ArrayType(T.DoubleType()))]))
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic", F.xxhash64("words", "surface")).limit(sample).toArrow()
+    found = stored(found.withColumns({"place": F.monotonically_increasing_id(), "h": F.xxhash64("words", "surface")}))
+    first = found.select("place", "doc_id", "quality", "toxic", "h").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic", "h").limit(sample)
+    taken = found.join(F.broadcast(cut(first.select("place"))), "place", "left_semi")
+    got = taken.select("place", "doc_id", "quality", "toxic", "h", "surface").toArrow()
     if not got.num_rows:
         return None
-    order = np.lexsort([got.column(c).to_numpy() for c in ("toxic", "quality", "doc_id")])
-    words = [np.array(w, np.int64) for w in got.column("words").to_pylist()]
-    words, surface = [words[i] for i in order], np.array(got.column("surface").to_pylist())[order]
-    return tuple(Head(words, surface, got.column(c).to_numpy()[order].astype(float)) for c in ("quality", "toxic"))
+    order = np.lexsort([got.column(c).to_numpy() for c in ("h", "toxic", "quality", "doc_id")])
+    y = {c: got.column(c).to_numpy()[order].astype(float) for c in ("quality", "toxic")}
+    each = taken.select("quality", "toxic", F.explode("words").alias("word"))
+    counts = cut(each.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"), F.sum("toxic").alias("toxic")).filter("n >= 3"))
+    best = {c: _telling(counts, c, y[c]) for c in y}
+    wanted = np.union1d(best["quality"], best["toxic"]).tolist()  # 2 * CHOSEN at most
+    held = taken.select("place", F.filter("words", lambda w: w.isin(wanted)).alias("words")).toArrow()
+    words = dict(zip(held.column("place").to_pylist(), held.column("words").to_pylist(), strict=True))
+    words = [np.array(words[p], np.int64) for p in got.column("place").to_numpy()[order].tolist()]
+    surface = np.array(got.column("surface").to_pylist())[order]
+    return Head(words, surface, y["quality"], best["quality"]), Head(words, surface, y["toxic"], best["toxic"])
 
 
 def scored(docs: DataFrame, models: tuple[Head, Head] | None, text_col: str, keep: bool, out: str) -> DataFrame:
