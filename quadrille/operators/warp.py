@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Columns of a stretch of cells that meets a cutline's stretches of a row.
+#: Columns of a row whose cells inside a cutline are the bits of one number, so 64.
 TILE = 64
 
 
@@ -113,8 +113,9 @@ def warp_mode(px: DataFrame, trow: Column, tcol: Column) -> DataFrame:
 def cutline_clip(px: DataFrame, polygons: DataFrame) -> DataFrame:
     """Cells whose centre (col, row) is inside any polygon (poly_id, points array of x, y), by even-odd crossings.
 
-    A polygon's crossings of a row, in order, are the ends of its stretches there. A cell meets only the stretches of
-    its row and of its TILE columns, and is kept once, whatever their number.
+    A polygon's crossings of a row, in order, are the ends of its stretches there. The stretches of TILE columns of a row
+    become the bits of one number before they move, whatever their number. A cell meets the number of its row and of
+    its columns; row and col are whole numbers.
     """
     n = F.size("points")
     edges = polygons.select("poly_id", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.col("points")[i].alias("p"), F.col("points")[(i + 1) % n].alias("q")))).alias("e"))
@@ -124,10 +125,15 @@ def cutline_clip(px: DataFrame, polygons: DataFrame) -> DataFrame:
     crossings = rows.select("poly_id", "row", x.alias("x")).groupBy("row", "poly_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     ends = F.transform(F.sequence(F.lit(0), F.size("xs") - 2, F.lit(2)), lambda i: F.struct(F.col("xs")[i].alias("x0"), F.col("xs")[i + 1].alias("x1")))
     stretches = crossings.filter(F.size("xs") > 1).select("row", F.inline(ends)).filter("x0 < x1")
-    tile = F.sequence(F.floor(F.col("x0") / TILE), F.floor(F.col("x1") / TILE))
-    stretches = stretches.select(F.col("row").alias("__row"), "x0", "x1", F.explode(tile).alias("__tile"))
-    met = (F.col("row") == F.col("__row")) & (F.floor(F.col("col") / TILE) == F.col("__tile")) & (F.col("col") >= F.col("x0")) & (F.col("col") < F.col("x1"))
-    return px.join(stretches, met, "left_semi")
+    first, last = F.ceil("x0"), F.ceil("x1") - 1
+    tile = F.sequence(F.floor(first / TILE), F.floor(last / TILE))
+    spread = stretches.select(F.col("row").alias("__row"), first.alias("a"), last.alias("b"), F.explode(F.when(first <= last, tile)).alias("__tile"))
+    at = F.col("__tile") * TILE
+    low, high = F.greatest(F.col("a") - at, F.lit(0)).cast("int"), F.least(F.col("b") - at, F.lit(TILE - 1)).cast("int")
+    bits = F.expr("shiftleft(-1L, __low) & shiftrightunsigned(-1L, 63 - __high)")
+    masks = spread.select("__row", "__tile", low.alias("__low"), high.alias("__high")).groupBy("__row", "__tile").agg(F.bit_or(bits).alias("__bits"))
+    met = (F.col("row") == F.col("__row")) & (F.floor(F.col("col") / TILE) == F.col("__tile")) & (F.expr("shiftrightunsigned(__bits, cast(pmod(col, 64) AS int)) & 1") == 1)
+    return px.join(masks.hint("merge"), met, "left_semi")
 
 
 def cutline(px: DataFrame, features: DataFrame, where: str | None = None, crop: bool = False) -> DataFrame:

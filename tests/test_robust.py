@@ -107,6 +107,17 @@ def test_cutline_picks_features_and_crops(spark):
             warp.cutline(px, features, where)
 
 
+def test_cutline_bits_of_wide_and_negative_columns(spark):
+    px = spark.createDataFrame([(0, 0, r, c) for r in (-1, 0, 1) for c in range(-70, 200)], "image_id int, band int, row long, col long")
+    rows = [(1, [(-66.5, -0.5), (130.0, -0.5), (130.0, 0.5), (-66.5, 0.5)]), (2, [(150.0, -1.5), (190.5, -1.5), (190.5, 1.5), (150.0, 1.5)]), (3, [(10.2, 0.5), (10.9, 0.5), (10.9, 1.5), (10.2, 1.5)])]
+    rows += [(4 + i, rows[0][1]) for i in range(50)]
+    got = warp.cutline_clip(px, spark.createDataFrame(rows, "poly_id long, points array<struct<x:double,y:double>>"))
+    want = {(0, c) for c in range(-66, 130)} | {(r, c) for r in (-1, 0, 1) for c in range(150, 191)}
+    assert got.count() == len(want) and {(r.row, r.col) for r in got.collect()} == want
+    # stretches, whose number Spark underestimates, go to no driver
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_normalise_refuses_equal_values(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0)], "k string, v double")
     assert sorted(round(r.v, 4) for r in stats.normalised(rows.filter("k = 'a'"), ["k"], "v").collect()) == [-0.7071, 0.7071]
