@@ -1,14 +1,19 @@
-"""The k nearest points without a radius: all queries descend a quadtree, kept as a table, together."""
+"""The k nearest points without a radius: matrices of small groups; of large ones all queries descend a quadtree together."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrille.operators.steps import cut
 
 #: Cells with more points than CAPACITY are split, DEPTH times at most; tables of cells are broadcast up to SMALL rows.
 CAPACITY, DEPTH, SMALL = 32, 16, 100_000
+#: Points of both sides that share their keys and may meet in one task, and distances that it computes at once.
+GROUP, CHUNK = 8192, 1_000_000
 
 
 def _box(points: DataFrame) -> tuple[float, float, float]:
@@ -43,16 +48,57 @@ def _between(norm: int, dx: Column, dy: Column) -> Column:
     return dx + dy if norm == 1 else F.sqrt(dx * dx + dy * dy)
 
 
+def _in_groups(left: DataFrame, right: DataFrame, keys: list[str], k: int, norm: int) -> DataFrame:
+    """k_nearest of groups that one task holds: the distances of its queries to all its points, a chunk at a time."""
+    schema = T.StructType([*[left.schema[c] for c in keys], T.StructField("left_id", left.schema["id"].dataType), T.StructField("rank", T.LongType()), T.StructField("right_id", right.schema["id"].dataType), T.StructField("d", T.DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("id")  # ties go to the lower place
+        (x, y), (u, v) = ([t.column(c).to_numpy() for c in "xy"] for t in (a, b))
+        few, found = min(k, len(u)), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        step = max(1, CHUNK // max(1, len(u)))
+        for since in range(0, len(x) if few else 0, step):
+            dx, dy = np.abs(x[since : since + step, None] - u), np.abs(y[since : since + step, None] - v)
+            d = dx + dy if norm == 1 else np.sqrt(dx * dx + dy * dy)
+            at, to = np.nonzero(d <= np.partition(d, few - 1, axis=1)[:, few - 1 : few])
+            order = np.lexsort((to, d[at, to], at))
+            at, to = at[order], to[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            at, to, rank = (c[rank < few] for c in (at, to, rank))
+            found.append((at + since, to, rank + 1, d[at, to]))
+        at, to, rank, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.Table.from_arrays([*[a.column(c).take(pa.array(at)) for c in keys], a.column("id").take(pa.array(at)), pa.array(rank), b.column("id").take(pa.array(to)), pa.array(d)], names=schema.names)
+
+    # fresh columns: both sides may stem from one table
+    left, right = (p.select(*[F.col(c).alias(c) for c in p.columns]) for p in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def k_nearest(left: DataFrame, right: DataFrame, keys: list[str], k: int, norm: int = 2) -> DataFrame:
     """keys, left_id, rank, right_id, d: the k right points (keys, id, x, y) nearest to each left one in the same keys.
 
     norm 2 is Euclidean, 1 the sum of the differences. Ties go to the lower right_id; a left point whose keys hold
-    fewer than k right points gets them all. Any distribution will do: from the root down each query keeps, of the
+    fewer than k right points gets them all. Points with a null coordinate take no part. Groups of up to GROUP points
+    are each one task's matrices, so their points move once; larger ones descend a quadtree.
+    """
+    left, right = (p.select(*keys, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y", *keys]) for p in (left, right))
+    if not keys:
+        return _by_quadtree(left, right, keys, k, norm)
+    left, right = cut(left), cut(right)
+    sizes = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    large = cut(sizes.filter(F.col("__size") > GROUP).select(*keys))
+    if large.isEmpty():
+        return _in_groups(left, right, keys, k, norm)
+    small = [p.join(large, keys, "left_anti") for p in (left, right)]
+    return _in_groups(*small, keys, k, norm).unionByName(_by_quadtree(*[p.join(large, keys, "left_semi") for p in (left, right)], keys, k, norm))
+
+
+def _by_quadtree(left: DataFrame, right: DataFrame, keys: list[str], k: int, norm: int) -> DataFrame:
+    """k_nearest of groups of any size and distribution: from the root down each query keeps, of the
     cells it looks at, those not farther than the k nearest points can be by the cells' counts and far corners,
     and meets points only in the leaves that are left. Of points in one place only the k lowest ids are looked at,
-    and queries from one place are one query. Points with a null coordinate take no part.
+    and queries from one place are one query.
     """
-    left, right = (p.select(*keys, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y"]) for p in (left, right))
     place = [*keys, "x", "y"]
     right = cut(right.withColumn("__r", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).filter(F.col("__r") <= k).drop("__r"))
     left = cut(left)

@@ -64,3 +64,19 @@ def test_a_large_box_meets_few_cells(spark):
     one = spark.createDataFrame([(1, -2e7, -2e7, 2e7, 2e7)], "id int, xmin double, ymin double, xmax double, ymax double")
     level = spatial._levelled(one, 0.5, "a")
     assert spatial._placed(level, 0.5, "a", F.array("own")).count() <= 4
+
+
+@pytest.mark.parametrize("group", [80, 0])
+@pytest.mark.parametrize("norm", [2, 1])
+def test_k_nearest_of_large_groups(spark, monkeypatch, norm, group):
+    """The same by the quadtree, for all groups and for those of more than 80 points."""
+    monkeypatch.setattr(nearest, "GROUP", group)
+    test_k_nearest_on_clusters(spark, monkeypatch, norm)
+
+
+def test_small_groups_write_no_tree(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "_by_quadtree", None)
+    monkeypatch.setattr(nearest, "CHUNK", 7)
+    p = spark.createDataFrame([("a", i, float(i % 3), 0.0) for i in range(9)] + [("b", 1, 0.0, 0.0), (None, 2, 0.0, 0.0)], "k string, id int, x double, y double")
+    got = nearest.k_nearest(p.filter("id < 3"), p, ["k"], 2)
+    assert sorted((g.k, g.left_id, g.rank, g.right_id, g.d) for g in got.collect()) == [("a", 0, 1, 0, 0.0), ("a", 0, 2, 3, 0.0), ("a", 1, 1, 1, 0.0), ("a", 1, 2, 4, 0.0), ("a", 2, 1, 2, 0.0), ("a", 2, 2, 5, 0.0), ("b", 1, 1, 1, 0.0)]
