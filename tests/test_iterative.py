@@ -100,6 +100,23 @@ def test_covariance_of_few_and_far_rows(spark):
     assert [r["cov"] for r in stats.covariance(spark.createDataFrame([([1.0],)], "v array<double>"), "v").collect()] == [None]
 
 
+def test_flow_groups_in_tasks_and_by_rounds(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i % 2, i, *r.integers(0, 40, 2).tolist(), *r.integers(0, 40, 2).tolist()) for i in range(120)] + [(0, 900, 1, 2, None, 3), (None, 901, 1, 2, 3, 4)]
+    table = spark.createDataFrame([(k, i, *(None if v is None else float(v) for v in p)) for k, i, *p in rows], "k int, id int, x double, y double, x2 double, y2 double")
+
+    def found():
+        return sorted(tuple(g) for g in flow.flow_groups(table, ["k"], 25.0, rounds=4, digits=4).collect())
+
+    one = found()
+    monkeypatch.setattr(flow, "GROUP", 0)
+    other = found()
+    assert len(one) == 120 and [(g[:2], g[-1]) for g in one] == [(g[:2], g[-1]) for g in other] and np.allclose([g[2:6] for g in one], [g[2:6] for g in other], atol=2e-4)
+    monkeypatch.setattr(flow, "GROUP", 120)
+    monkeypatch.setattr(flow, "_by_rounds", None)
+    assert found() == one
+
+
 def test_knn_approx_recall(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16))
