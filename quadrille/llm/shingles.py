@@ -189,8 +189,11 @@ def clusters(heads: DataFrame) -> DataFrame:
     return components(dealt.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "n").mapInArrow(run, "u long, v long"))
 
 
-def joined(sets: list[np.ndarray], block: np.ndarray | None):
-    """Places (i, j) of links of 0.8 or more that join all such pairs of `sets` (by size) of different blocks, if given."""
+def joined(sets: list[np.ndarray], block: np.ndarray | None, group: np.ndarray | None = None):
+    """Places (i, j) of links of 0.8 or more that join all such pairs of `sets` (by size) of different blocks, if given.
+
+    group: sets of one group are joined already, and are not compared.
+    """
     size = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(ids.max() + 1, np.int64)
@@ -200,7 +203,7 @@ def joined(sets: list[np.ndarray], block: np.ndarray | None):
     owner, first = np.repeat(np.arange(len(sets)), short), np.concatenate([s[:k] for s, k in zip(sets, short, strict=True)])
     order = np.argsort(first, kind="stable")
     owner, lists = owner[order], np.searchsorted(first[order], np.arange(len(rank) + 1))
-    mark, at = np.zeros(len(rank), bool), np.arange(len(sets))
+    mark, at = np.zeros(len(rank), bool), np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
     for j, s in enumerate(sets):
         met = np.unique(np.concatenate([owner[lists[r] : lists[r + 1]] for r in s[: short[j]].tolist()]))
         met = met[(met < j) & (at[met] != at[j]) & (5 * size[met] >= 4 * size[j])]
@@ -217,9 +220,12 @@ def joined(sets: list[np.ndarray], block: np.ndarray | None):
                 at[at == at[i]] = at[j]
 
 
-def completed(sets: DataFrame, roots: DataFrame) -> DataFrame:
+def completed(sets: DataFrame, roots: DataFrame, groups: DataFrame) -> DataFrame:
     """(u, v): links of 0.8 or more that join all of `sets` (at, n, s) that are alike, within their clusters.
 
+    groups: (node, root) of those that links have joined before. They are not compared again, and clusters of a single
+    group don't move.
+
     A cluster's sets meet in one task; one of more than BLOCK / 4 texts or a million shingles is dealt to pairs of
     blocks, each of which joins what is alike across it. Tasks pass on forests, never all pairs.
     """
@@ -232,14 +238,15 @@ def completed(sets: DataFrame, roots: DataFrame) -> DataFrame:
                 part = t.slice(lo, hi - lo)
                 at, side = (part.column(c).to_numpy(zero_copy_only=False) for c in ("at", "side"))
                 lists = [x.values.to_numpy() for x in part.column("s").combine_chunks()]
-                found = list(joined(lists, None if keys[1, lo] == keys[2, lo] else side))
+                found = list(joined(lists, None if keys[1, lo] == keys[2, lo] else side, part.column("group").to_numpy()))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(at[list(c)]) for c in zip(*found, strict=True)], names=["u", "v"])
 
     inside = sets.select("at", "n").join(roots.select(F.col("node").alias("at"), F.col("root").alias("cluster")), "at")
-    sizes = cut(inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) * 4 / BLOCK), F.ceil(F.sum("n") / 1e6)).cast("int").alias("parts"), F.count(F.lit(1)).alias("c")))
+    inside = cut(inside.join(groups.select(F.col("node").alias("at"), F.col("root").alias("group")), "at", "left").withColumn("group", F.coalesce("group", "at")))
+    sizes = cut(inside.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) * 4 / BLOCK), F.ceil(F.sum("n") / 1e6)).cast("int").alias("parts"), F.count(F.lit(1)).alias("c"), (F.min("group") < F.max("group")).alias("apart")).filter("apart").drop("apart"))
     rows = join_groups(inside, sizes, "cluster", "c", sizes.agg(F.sum("c")).first()[0] or 0).join(sets.select("at", "s"), "at")
-    dealt = _dealt(rows, F.col("parts"), F.pmod(F.xxhash64("at"), "parts").cast("int")).select("cluster", "a", "b", "side", "at", "n", "s")
+    dealt = _dealt(rows, F.col("parts"), F.pmod(F.xxhash64("at"), "parts").cast("int")).select("cluster", "a", "b", "side", "at", "n", "group", "s")
     keys = ["cluster", "a", "b"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "n", "at").mapInArrow(run, "u long, v long")
 
@@ -272,7 +279,8 @@ def links(docs: DataFrame, heads: DataFrame) -> DataFrame:
     """(u, v): links that join all of `heads` (doc_id, row, at, n, prefix) with a similarity of 0.8 or more into their groups.
 
     SimHash links come first, each checked by the whole sets. No bit budget reaches all pairs of 0.8, so exact
-    bounds deal the texts to clusters, and tasks join each cluster's whole sets; all pairs of a group are never made.
+    bounds deal the texts to clusters, and tasks join the groups that SimHash has left apart in each cluster, by their
+    whole sets; all pairs of a group are never made.
     """
     heads = stored(supported(heads))
     few = heads.count()
@@ -290,8 +298,8 @@ def links(docs: DataFrame, heads: DataFrame) -> DataFrame:
     sets = stored(texts.mapInArrow(run, "at long, n int, s array<long>, sketch binary"))
     if sets.count() > few:  # equal rows have one head
         sets = stored(sets.dropDuplicates(["at"]))
-    near = alike(near_fingerprints(sets, few), sets)
-    return near.union(completed(sets, clusters(heads.join(sets.select("at", "sketch"), "at"))))
+    near = cut(alike(near_fingerprints(sets, few), sets))
+    return near.union(completed(sets, clusters(heads.join(sets.select("at", "sketch"), "at")), components(near)))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,3 +58,27 @@ def corpus_bits(t):
     from quadrille.llm.simhash import fingerprint
 
     return fingerprint((t or "").encode())
+
+
+def test_simhash_groups_are_not_joined_again(spark, monkeypatch):
+    """What SimHash has joined is left out of the exact join, which links its groups to the rest; alone a group doesn't move."""
+    import numpy as np
+
+    sets = [np.arange(k, 100 + k, dtype=np.int64) for k in (0, 1, 2, 3)] + [np.arange(1000, 1050 + k, dtype=np.int64) for k in (0, 1)]
+    order = [0, 1, 2, 3]
+    assert list(shingles.joined([sets[i] for i in order], None, np.array([7, 7, 7, 7]))) == []
+    assert len(list(shingles.joined([sets[i] for i in order], None, np.array([7, 7, 2, 7])))) == 1
+    table = spark.createDataFrame([(i, len(s), s.tolist()) for i, s in enumerate(sets)], "at long, n int, s array<long>")
+    roots = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 4)], "node long, root long")
+    groups = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (4, 4), (5, 4)], "node long, root long")
+    for block in (shingles.BLOCK, 4):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        got = {tuple(sorted(x)) for x in shingles.completed(table, roots, groups).collect()}
+        assert got and all(3 in x and max(x) == 3 for x in got)
+    # the whole stage hands SimHash's groups on
+    given, made = [], shingles.completed
+    monkeypatch.setattr(shingles, "completed", lambda s, r, g: given.append(g) or made(s, r, g))
+    texts = [" ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(299)) + " w7"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(shingles, "near_fingerprints", lambda sets, n: sets.sparkSession.createDataFrame([tuple(sorted(x.at for x in sets.select("at").collect()))], "u long, v long"))
+    assert [x.doc_id for x in shingles.near_dedup(docs).collect()] == [0] and given[0].count() == 2
