@@ -46,13 +46,14 @@ def points_at(blocks: DataFrame, places: DataFrame, axes: list[str]) -> DataFram
     return met.select(*places.columns, *[F.get(c, at).alias(c) for c in axes])
 
 
-def inlier_counts(blocks: DataFrame, models: DataFrame, axes: list[str], names: tuple[str, ...], errors: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: float) -> DataFrame:
+def inlier_counts(blocks: DataFrame, models: DataFrame, axes: list[str], names: tuple[str, ...], errors: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: float, unit: int = 1) -> DataFrame:
     """pair_id, h, inliers: the points of the pair with an error below limit, for each model that may still have the most.
 
     models: pair_id, np (points of the pair), known (inliers that some model is known to have), h and names. errors:
     (models x parameters, axes x points) -> models x points. A task holds the models of one pair as a matrix and
     counts block by block. A model that would not have the most even if all points that the task hasn't seen were
-    inliers is dropped; what is left of its counts elsewhere can't win either.
+    inliers is dropped; what is left of its counts elsewhere can't win either. unit: if over 1, an inlier counts for so
+    much without an error, and for less in proportion to it, down to 0 at the limit.
     """
     runs = F.greatest(F.floor((F.col("np") - 1) / (BLOCK * RUN)), F.lit(0))
     packed = models.groupBy("pair_id").agg(F.first("np").alias("np"), F.first("known").alias("known"), F.collect_list(F.struct("h", *[F.col(c).cast("double").alias(c) for c in names])).alias("m"))
@@ -82,9 +83,10 @@ def inlier_counts(blocks: DataFrame, models: DataFrame, axes: list[str], names:
                 for since in range(0, xy.shape[1], CHUNK):
                     part = xy[:, since : since + CHUNK]
                     with np.errstate(all="ignore"):
-                        n += (errors(m, part) < limit).sum(1)
+                        e = errors(m, part)
+                        n += ((e < limit) if unit == 1 else np.where(e < limit, unit - unit * e / limit, 0).astype(np.int64)).sum(1)
                     seen += part.shape[1]
-                    may = n + (total - seen) >= max(known, n.max(initial=0))
+                    may = n + unit * (total - seen) >= max(known, n.max(initial=0))
                     if not may.all():
                         h, m, n = h[may], m[may], n[may]
         if at is not None:

@@ -18,6 +18,8 @@ from quadrille.operators.steps import cut
 
 SIMILARITY = ("a0", "a1", "a2", "a3")
 AFFINE = ("m0", "m1", "m2", "m3", "m4", "m5")
+#: What an inlier without an error counts for where errors count too.
+UNIT = 1_000_000
 
 
 def _moments(names: list[str], weight: Column | None = None) -> list[Column]:
@@ -166,14 +168,15 @@ def hypotheses(blocks: DataFrame, sizes: DataFrame, rounds: int, model: Model =
     return model.fit(drawn, ["pair_id", "h"]).dropna(subset=[model.names[0]]).drop("n")
 
 
-def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, confidence: float = 0.99, most: int = 1000, support: float | None = None, doubt: float = 0.05, ordered: bool = False, budget: int = GROWTH) -> DataFrame:
+def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, confidence: float = 0.99, most: int = 1000, support: float | None = None, doubt: float = 0.05, ordered: bool = False, budget: int = GROWTH, inner: int = 0) -> DataFrame:
     """pair_id, h, inliers, n and the model: the hypothesis with most inliers (error < factor sigma^2), refitted on them.
 
     Each pair is tried `rounds` times, and then on while its best share w of inliers asks for more: a sample of clean
     points has come up with `confidence` after log(1 - confidence) / log(1 - w^size) rounds, `most` at most. Only
     pairs that need more are tried on. support: pairs whose inliers may be chance (min_inliers) are left out.
     ordered: pt is the order of falling quality and samples grow with it; a pair also stops at what the prefix
-    of its last round needs, once the best has more inliers there than chance gives.
+    of its last round needs, once the best has more inliers there than chance gives. inner: the best of each pair is then
+    improved by so many samples of its own inliers at a time, as improved_best tells.
 
     Points are packed into blocks once (pt counts 0..n-1 in each pair). Each batch of hypotheses is fitted and written
     before it meets them as the matrix of its pair, so what moves is one count for each hypothesis and task.
@@ -208,6 +211,8 @@ def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5
         if todo.isEmpty():
             break
     best = best.filter("b is not null")
+    if inner:
+        best = improved_best(blocks, best, model, limit, inner, model.size * most)
     if support is not None:
         best = best.filter(F.col("b.inliers") >= min_inliers(F.col("np"), model.size, support, doubt))
     best = best.select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
@@ -215,6 +220,39 @@ def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5
     return model.fit(kept, ["pair_id", "h", "inliers"])
 
 
+def improved_best(blocks: DataFrame, best: DataFrame, model: Model, limit: float, inner: int, since: int) -> DataFrame:
+    """best (pair_id, np, b) with the models of least error among samples of its inliers, and of theirs in turn.
+
+    Where many points are wrong the best sample is seldom clean, but most of its inliers are, so few samples of these
+    find the clean model. Samples are scored over all points of the pair by errors cut at the limit, as by number alone a
+    model bent to one more wrong point would win. Pairs go on until none of `inner` samples is better; these
+    have numbers from `since` on.
+    """
+    axes, names = list(model.axes), list(model.names)
+
+    def scored(models: DataFrame, unit: int = UNIT) -> DataFrame:
+        return consensus.inlier_counts(blocks, models, axes, model.names, model.errors, limit, unit)
+
+    zero = F.lit(0).cast("long").alias("known")
+    flat = cut(best.select("pair_id", "np", zero, (-F.col("b.h")).alias("h"), *[F.col(f"b.{c}").alias(c) for c in names]))
+    best = cut(flat.join(scored(flat).withColumnRenamed("inliers", "gain"), ["pair_id", "h"]).select("pair_id", "np", "h", "gain", *names))
+    active = best
+    while not active.isEmpty():
+        near = consensus.block_points(blocks, axes).join(active, "pair_id").filter(model.error() < limit)
+        near = near.withColumn("pt", (F.row_number().over(Window.partitionBy("pair_id").orderBy("pt")) - 1).cast("long"))
+        own = consensus.point_blocks(near.select("pair_id", "pt", *axes), axes)
+        models = hypotheses(own, cut(consensus.block_sizes(own)), inner, model)
+        models = cut(models.withColumn("h", F.col("h") + since))
+        known = active.select("pair_id", "np", F.col("gain").alias("known"))
+        top = scored(models.join(known, "pair_id")).groupBy("pair_id").agg(F.max(F.struct(F.col("inliers").alias("gain"), (-F.col("h")).alias("h"))).alias("t"))
+        top = top.join(known, "pair_id").filter(F.col("t.gain") > F.col("known")).select("pair_id", "np", (-F.col("t.h")).alias("h"), "t.gain")
+        active = cut(top.join(models, ["pair_id", "h"]).select("pair_id", "np", "h", "gain", *names))
+        best = cut(best.join(active.select("pair_id"), "pair_id", "left_anti").unionByName(active))
+        since += model.size * inner
+    counts = scored(best.withColumn("known", zero), 1)
+    return best.join(counts, ["pair_id", "h"]).select("pair_id", "np", F.struct("inliers", (-F.col("h")).alias("h"), *names).alias("b"))
+
+
 def prefix_inliers(blocks: DataFrame, best: DataFrame, model: Model, limit: float, budget: int) -> DataFrame:
     """pair_id, m, within: the prefix of each pair's last round, and the best model's inliers in it."""
     best = best.filter("b is not null")
@@ -242,8 +280,11 @@ def ransac_homography(points: DataFrame, rounds: int = 32, sigma: float = 0.5, f
 
 
 def ransac_fundamental(points: DataFrame, rounds: int = 64, sigma: float = 0.5, factor: float = 3.84) -> DataFrame:
-    """As ransac, of the fundamental matrix f0..f8; the error is Sampson's. h is three times the round, plus the root."""
-    return ransac(points, FUNDAMENTAL_MODEL, rounds, sigma, factor)
+    """As ransac, of the fundamental matrix f0..f8; the error is Sampson's. h is three times the round, plus the root.
+
+    Seven clean points are rare where half are wrong, so the best is improved by samples of its inliers.
+    """
+    return ransac(points, FUNDAMENTAL_MODEL, rounds, sigma, factor, inner=rounds)
 
 
 def prosac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5, factor: float = 3.84, **more) -> DataFrame:

@@ -119,3 +119,17 @@ def test_prosac_needs_fewer_rounds_on_scored_points(spark):
     grown = {x.pair_id: x for x in fitting.prosac(table, fitting.AFFINE_MODEL, rounds=8).collect()}
     assert all(grown[p].inliers == hashed[p].inliers and np.allclose([grown[p].m1, grown[p].m5], [2, -3], atol=0.05) for p in range(6))
     assert sum(x.h for x in grown.values()) < sum(x.h for x in hashed.values()) / 2
+
+
+def test_fundamental_of_pairs_with_few_clean_points(spark, tmp_path):
+    """Pairs whose best sample is not clean within the rounds, or is bent to one more wrong point."""
+    import duckdb
+
+    from quadrille.plans import catalogue
+
+    few = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").filter("l_suppkey in (30, 339, 836)")
+    few.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.pair_id, r.inliers) for r in catalogue.QUERIES["ransac_fundamental"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == set(db.execute(catalogue.ORACLES["ransac_fundamental"]).fetchall()) and len(got) == 3
