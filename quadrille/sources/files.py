@@ -26,9 +26,13 @@ def read_gcp_text(spark: SparkSession, path: str) -> DataFrame:
     return v.select("set_id", F.when(good, F.col("t")[0]).alias("point_id"), *[F.when(good, F.col(c)).alias(c) for c in names], F.when(~good, F.col("value")).alias("corrupt"))
 
 
-def write_gcp(points: DataFrame, path: str, append: bool = False) -> None:
-    """Points as Parquet, a folder for each set; append adds to sets that are there."""
-    points.write.partitionBy("set_id").mode("append" if append else "overwrite").parquet(path)
+def write_gcp(points: DataFrame, path: str, append: bool = False, folders: bool = True) -> None:
+    """Points as Parquet, a folder for each set; append adds to sets that are there.
+
+    Without folders, for many sets: sets share files, which hold them in order, so that a reader of one skips most.
+    """
+    rows = points.write.partitionBy("set_id") if folders else points.sortWithinPartitions("set_id").write
+    rows.mode("append" if append else "overwrite").parquet(path)
 
 
 def read_tiepoint_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +43,37 @@ def read_tiepoint_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"{g}.X").alias("gx"), F.col(f"{g}.Y").alias("gy"), F.col(f"{g}.Z").alias("gz"), F.col(f"{i}.X").alias("x"), F.col(f"{i}.Y").alias("y"), "score")
 
 
+def write_tiepoint_xml(points: DataFrame, path: str, per_file: int = 20_000) -> None:
+    """Points (gx, gy, gz, x, y, score) as files of TiePointSets, `per_file` in each, whatever sets they come from."""
+
+    def text(tag: str, c: str) -> Column:
+        return F.coalesce(F.concat(F.lit(f"<{tag}>"), F.col(c).cast("string"), F.lit(f"</{tag}>")), F.lit(""))  # a null has no element
+
+    def coord(tag: str, **named: str) -> Column:
+        inner = [text(n, c) for n, c in named.items()]
+        return F.concat(F.lit(f"<{tag}><gml:Point><gml:coord>"), *inner, F.lit(f"</gml:coord></gml:Point></{tag}>"))
+
+    point = F.concat(F.lit("<SimpleTiePoint>"), coord("ground", X="gx", Y="gy", Z="gz"), coord("image", X="x", Y="y"), text("score", "score"), F.lit("</SimpleTiePoint>"))
+
+    def documents(batches):
+        import pandas as pd
+
+        def whole(lines):
+            head = '<?xml version="1.0"?>\n<TiePointSet xmlns:gml="http://www.opengis.net/gml">'
+            return pd.DataFrame({"value": ["\n".join([head, *lines, "</TiePointSet>"])]})
+
+        held = []
+        for pdf in batches:
+            held += pdf["value"].tolist()
+            while len(held) >= per_file:
+                yield whole(held[:per_file])
+                held = held[per_file:]
+        if held:
+            yield whole(held)
+
+    points.select(point.alias("value")).mapInPandas(documents, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_tiepoint_header(spark: SparkSession, path: str) -> DataFrame:
     """set_id, master, slave: the image paths that the head of each tie-point file names; null where it names none."""
     t = spark.read.text(path).select(F.col(NAME).alias("set_id"), "value")
@@ -88,8 +123,14 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
 
 
-def read_keyword_list(spark: SparkSession, path: str) -> DataFrame:
-    """set_id and the map of its `key: value` lines; of a repeated key the greatest value stays."""
+def read_keyword_list(spark: SparkSession, path: str, prefixed: bool = False) -> DataFrame:
+    """set_id and the map of its `key: value` lines; of a repeated key the greatest value stays.
+
+    prefixed: a file holds many lists, of lines `prefix.key: value`; prefix is a column then, null for keys without one.
+    """
     t = spark.read.text(path).select(F.col(NAME).alias("set_id"), F.split("value", ":", 2).alias("p")).filter(F.size("p") == 2)
-    kv = t.groupBy("set_id", F.trim(F.col("p")[0]).alias("k")).agg(F.max(F.trim(F.col("p")[1])).alias("v"))
-    return kv.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("keys"))
+    k = F.trim(F.col("p")[0])
+    names = {"prefix": F.nullif(F.regexp_extract(k, r"^([^.]*)\.", 1), F.lit("")), "k": F.regexp_replace(k, r"^[^.]+\.", "")} if prefixed else {"k": k}
+    of = ["set_id", *list(names)[:-1]]
+    kv = t.groupBy("set_id", *[c.alias(n) for n, c in names.items()]).agg(F.max(F.trim(F.col("p")[1])).alias("v"))
+    return kv.groupBy(*of).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("keys"))

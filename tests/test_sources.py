@@ -56,3 +56,31 @@ def test_keywords_and_listing(spark, tmp_path):
     put(tmp_path / "k", "q.dat", "x")
     assert files.read_keyword_list(spark, f"{p}/p.txt").first()["keys"] == {"datum": "WGE", "origin": "( 1.0, 2.0 )", "url": "a:b"}
     assert [r.path.rsplit("/", 1)[1] for r in files.list_files(spark, str(tmp_path), "*.dat").collect()] == ["q.dat"]
+
+
+def test_lists_of_a_file_are_told_apart_by_prefix(spark, tmp_path):
+    p = put(tmp_path / "m", "m.txt", " a.id: 1\n a.url: x:y.z\nb.id :2\nid: 3\n b.band.n: 4\n")
+    got = {r.prefix: r["keys"] for r in files.read_keyword_list(spark, p, prefixed=True).collect()}
+    assert got == {"a": {"id": "1", "url": "x:y.z"}, "b": {"id": "2", "band.n": "4"}, None: {"id": "3"}}
+
+
+def test_tiepoint_files_follow_points_not_sets(spark, tmp_path):
+    rows = [(float(i), 2.0, i // 3 * 1.0, 4.0, 5.0, 6.0) for i in range(50)] + [(1.0, None, 3.0, None, None, None)]
+    points = spark.createDataFrame(rows, "gx double, gy double, gz double, x double, y double, score double").coalesce(1)
+    files.write_tiepoint_xml(points, str(tmp_path / "t"), per_file=20)
+    names = list((tmp_path / "t").glob("part-*"))
+    assert len(names) == 3 and all(n.read_text().strip().endswith("</TiePointSet>") for n in names)
+    key = lambda r: tuple((v is None, v or 0.0) for v in r)
+    assert sorted(map(tuple, files.read_tiepoint_xml(spark, str(tmp_path / "t")).collect()), key=key) == sorted(rows, key=key)
+
+
+def test_sources_of_many_sets_write_few_files(spark, tmp_path):
+    """A file or a folder for each set made time grow with the sets."""
+    from quadrille.plans import source_queries
+
+    sets = 300
+    spark.range(sets).selectExpr("id s_suppkey", "concat('n.', id) s_name", "id % 25 s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(4 * sets).selectExpr("id div 4 l_suppkey", "id l_orderkey", "1 l_linenumber", "id l_partkey", "double(id % 50) l_quantity", "double(id) l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    for query, rows in ((source_queries.read_keyword_list, sets), (source_queries.write_gcp, 4 * sets), (source_queries.read_tiepoint_xml, 4 * sets)):
+        got = query(spark, str(tmp_path))
+        assert got.count() == rows and len(got.inputFiles()) <= 16
