@@ -34,6 +34,27 @@ def _placed(boxes: DataFrame, size: float, side: str, levels: Column) -> DataFra
     return at.withColumn("cx", F.explode(run("x"))).withColumn("cy", F.explode(run("y"))).drop("own")
 
 
+#: Boxes of a side that a share of a cell holds, about; pairs that a partition looks at; and partitions at most.
+SHARE, PAIRS, PARTS = 5_000, 20_000_000, 4096
+
+
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The pairs of placed boxes in one cell. Full cells are cut to shares of both sides, and each pair of shares is
+    a key of its own; there are as many partitions as the pairs need, since few boxes may have very many of them."""
+    cell = ["level", "cx", "cy"]
+    sizes = cut(x.groupBy(*cell).agg(F.count(F.lit(1)).alias("na")).join(y.groupBy(*cell).agg(F.count(F.lit(1)).alias("nb")), cell))
+    pairs = sizes.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0.0
+    parts = int(min(PARTS, 1 + pairs // PAIRS))
+    shares = sizes.select(*cell, F.ceil(F.col("na") / SHARE).alias("na"), F.ceil(F.col("nb") / SHARE).alias("nb"))
+
+    def dealt(t: DataFrame, side: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(*[c for c in t.columns if c.startswith(f"{side}_")]), F.col(f"n{side}")).alias(f"s{side}")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(f"s{other}")
+        return t.join(shares, cell).select(*t.columns, own, every).repartition(parts, *cell, "sa", "sb")
+
+    return dealt(x, "a", "b").join(dealt(y, "b", "a"), [*cell, "sa", "sb"]).drop("sa", "sb")
+
+
 def footprint_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     """left_id, right_id and the intersection of boxes (id, xmin, ymin, xmax, ymax) that overlap or touch.
 
@@ -52,7 +73,7 @@ def footprint_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
         return F.filter(F.array(*map(F.lit, used[other])).cast("array<int>"), lambda x: x >= F.col("own") + least)
 
     pairs = [(_placed(a, size, "a", own), _placed(b, size, "b", upward("a", 0))), (_placed(a, size, "a", upward("b", 1)), _placed(b, size, "b", own))]
-    met = [x.join(y, ["level", "cx", "cy"]) for x, y in pairs]
+    met = [_met(x, y) for x, y in pairs]
     cell = F.pow(F.lit(2.0), F.col("level")) * size
     names = [F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), *[F.greatest(f"a_{c}", f"b_{c}").alias(c) for c in BOX[:2]], *[F.least(f"a_{c}", f"b_{c}").alias(c) for c in BOX[2:]]]
     both = met[0].unionByName(met[1]).select(*names, "cx", "cy", cell.alias("cell"))

@@ -77,3 +77,19 @@ def test_datum_shift_returns(spark):
     p = spark.createDataFrame([(10.0, 50.0, 300.0), (-120.0, -33.0, 0.0)], "lon double, lat double, hgt double")
     back = spatial.datum_shift(spatial.datum_shift(p, 84.0, -97.0, 117.0), -84.0, 97.0, -117.0).orderBy("lon").collect()
     assert np.allclose([[r.lon, r.lat] for r in back], [[-120, -33], [10, 50]], atol=1e-9) and np.allclose([r.hgt for r in back], [0, 300], atol=1e-4)
+
+
+def test_boxes_on_one_spot_are_dealt_to_many_partitions(spark, monkeypatch):
+    """All pairs of a full cell were one task's, or those of the one file that holds the larger side."""
+    from quadrille.operators import spatial
+
+    monkeypatch.setattr(spatial, "SHARE", 20)
+    monkeypatch.setattr(spatial, "PAIRS", 500)
+    one = spark.range(100).selectExpr("id", "id % 7 xmin", "id % 5 ymin", "id % 7 + 3 xmax", "id % 5 + id % 4 ymax").coalesce(1)
+    two = spark.range(60).selectExpr("id", "id % 3 xmin", "id % 4 ymin", "id % 3 + id % 40 xmax", "id % 4 + 2 ymax").coalesce(1)
+    got = spatial.footprint_join(one, two, 32)
+    a, b = ([tuple(r) for r in t.collect()] for t in (one, two))
+    want = sorted((i, j) for i, x0, y0, x1, y1 in a for j, u0, v0, u1, v1 in b if max(x0, u0) <= min(x1, u1) and max(y0, v0) <= min(y1, v1))
+    assert sorted((r.left_id, r.right_id) for r in got.collect()) == want
+    sizes = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) > 6 and max(sizes) < len(want) / 3
