@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.operators.normal import matrices, normal_sums
-from quadrille.operators.steps import by_size, cut
+from quadrille.operators.steps import by_size, cut, dealt
 
 
 class Sensor(NamedTuple):
@@ -23,20 +23,24 @@ class Sensor(NamedTuple):
     predict: Callable[[dict[str, Column]], tuple[Column, Column]]
 
 
-def _equations(sensor: Sensor, shared: dict[str, float], step: float) -> list[tuple[list[Column | None], Column]]:
+def _equations(sensor: Sensor, step: float) -> list[tuple[list[Column | None], Column]]:
     """Central differences by every parameter, and the residuals observed - modelled."""
-    at = {**{p: F.col(p) for p in sensor.own}, **{p: F.lit(float(v)) for p, v in shared.items()}}
+    at = {p: F.col(p) for p in (*sensor.own, *sensor.shared)}
     sides = [(sensor.predict({**at, p: at[p] + step}), sensor.predict({**at, p: at[p] - step})) for p in at]
     here = sensor.predict(at)
     return [([(plus[k] - minus[k]) * (0.5 / step) for plus, minus in sides], F.col(c) - here[k]) for k, c in enumerate(("x2", "y2"))]
 
 
-def _cost(points: DataFrame, images: DataFrame, sensor: Sensor, shared: dict[str, float]) -> tuple[float, int]:
-    at = {**{p: F.col(p) for p in sensor.own}, **{p: F.lit(float(v)) for p, v in shared.items()}}
-    u, v = sensor.predict(at)
-    square = (F.col("x2") - u) * (F.col("x2") - u) + (F.col("y2") - v) * (F.col("y2") - v)
-    row = points.join(images, "image_id").agg(F.sum(square), F.count(F.lit(1))).first()
-    return row[0] or 0.0, row[1]
+def _normal(points: DataFrame, images: DataFrame, sensor: Sensor, step: float) -> tuple[DataFrame, float, int, float, float]:
+    """Each image's parameters and sums of the normal equation; the squared error, the points, the largest diagonal entry and right side."""
+    size = len(sensor.own) + len(sensor.shared)
+    # the residuals ride along as one more unknown, so that their square is summed in the same pass
+    equations = [([*c, r], r) for c, r in _equations(sensor, step)]
+    met = points.join(images.hint("shuffle_hash"), "image_id")
+    sums = cut(normal_sums(met, ["image_id", *sensor.own], equations))
+    most = [F.max(F.greatest(*c) if size > 1 else c[0]) for c in ([F.col(f"a_{i}_{i}") for i in range(size)], [F.abs(F.col(f"b_{i}")) for i in range(size)])]
+    got = sums.agg(F.sum(f"a_{size}_{size}"), F.sum("n"), *most).first()
+    return sums, got[0] or 0.0, got[1] or 0, got[2], got[3]
 
 
 def block_adjust(points: DataFrame, sensor: Sensor, rounds: int = 200, tolerance: float = 1e-10, step: float = 0.5) -> tuple[DataFrame, dict[str, float], float, float]:
@@ -48,36 +52,31 @@ def block_adjust(points: DataFrame, sensor: Sensor, rounds: int = 200, tolerance
     shrinks by max(1/3, 1 - (2 rho - 1)^3) on a gain and grows 2, 4, 8 times on a loss. No points: start values, 0.
     """
     own, few = list(sensor.own), len(sensor.shared)
-    size = len(own) + few
     shared = dict(sensor.shared)
-    images = cut(points.select("image_id").distinct().select("image_id", *[F.lit(float(v)).alias(p) for p, v in sensor.own.items()]))
-    cost, n = _cost(points, images, sensor, shared)
-    start = cost
-    mu, nu, sums = None, 2.0, None
-    key = points.schema["image_id"]
+    points = dealt(points, ["image_id"])  # so that rounds move sums only
+    images = points.select("image_id").distinct().select("image_id", *[F.lit(float(v)).alias(p) for p, v in (sensor.own | sensor.shared).items()])
+    sums, cost, n, largest, right = _normal(points, images, sensor, step)
+    start, mu, nu = cost, 1e-3 * (largest or 0.0), 2.0
+    # shared parameters stand in each image's row, not in the plan, whose code stays the same in all rounds
+    schema = T.StructType([points.schema["image_id"], *[T.StructField(p, T.DoubleType()) for p in (*own, *shared, "gain", "move")]])
     for _ in range(rounds if n else 0):
-        if sums is None:
-            sums = cut(normal_sums(points.join(images, "image_id"), ["image_id"], _equations(sensor, shared, step)))
-            if mu is None:
-                mu = 1e-3 * sums.agg(F.max(F.greatest(*[F.col(f"a_{i}_{i}") for i in range(size)]))).first()[0]
-            if sums.agg(F.max(F.greatest(*[F.abs(F.col(f"b_{i}")) for i in range(size)]))).first()[0] < tolerance:
-                break
+        if right < tolerance:
+            break
         delta = np.zeros(few)
         if few:
             rows = sums.mapInPandas(_reducer(len(own), few, mu), ", ".join(f"s_{i} double" for i in range(few * few + few))).agg(*[F.sum(f"s_{i}") for i in range(few * few + few)]).first()
             total = np.array(rows, float)
             delta = np.linalg.solve(total[: few * few].reshape(few, few) + mu * np.eye(few), total[few * few :])
-        schema = T.StructType([key, *[T.StructField(f"d_{p}", T.DoubleType()) for p in own], T.StructField("gain", T.DoubleType()), T.StructField("move", T.DoubleType())])
-        moves = cut(sums.mapInPandas(_mover(len(own), own, delta, mu), schema))
-        sums_of = moves.agg(F.sum("gain"), F.sum("move")).first()
-        tried = cut(images.join(moves, "image_id").select("image_id", *[(F.col(p) + F.col(f"d_{p}")).alias(p) for p in own]))
         named = dict(zip(shared, (v + d for v, d in zip(shared.values(), delta, strict=True)), strict=True))
-        now, _ = _cost(points, tried, sensor, named)
+        moves = cut(sums.mapInPandas(_mover(own, named, delta, mu), schema))
+        sums_of = moves.agg(F.sum("gain"), F.sum("move")).first()
+        tried = _normal(points, moves.drop("gain", "move"), sensor, step)
+        now = tried[1]
         gain = (sums_of[0] or 0.0) + mu * float(delta @ delta)
         rho = (cost - now) / gain if gain > 0 else 0.0
         if rho > 0:
             small = abs(cost - now) <= tolerance * max(cost, tolerance)
-            images, shared, cost, sums = tried, named, now, None
+            shared, (sums, cost, n, largest, right) = named, tried
             mu, nu = mu * max(1 / 3, 1 - (2 * rho - 1) ** 3), 2.0
             if small:
                 break
@@ -85,7 +84,7 @@ def block_adjust(points: DataFrame, sensor: Sensor, rounds: int = 200, tolerance
             mu, nu = mu * nu, nu * 2
             if (sums_of[1] or 0.0) + float(delta @ delta) < tolerance**2 or nu > 1e12:
                 break
-    return images, shared, (start / n) ** 0.5 if n else 0.0, (cost / n) ** 0.5 if n else 0.0
+    return sums.select("image_id", *own), shared, (start / n) ** 0.5 if n else 0.0, (cost / n) ** 0.5 if n else 0.0
 
 
 def _reducer(own: int, few: int, mu: float):
@@ -105,8 +104,9 @@ def _reducer(own: int, few: int, mu: float):
     return run
 
 
-def _mover(own: int, names: list[str], delta: np.ndarray, mu: float):
-    """The steps of each image's own parameters, given those of the shared ones."""
+def _mover(names: list[str], shared: dict[str, float], delta: np.ndarray, mu: float):
+    """Each image's own parameters after their steps, given those of the shared ones."""
+    own = len(names)
 
     def run(batches):
         for pdf in batches:
@@ -114,7 +114,9 @@ def _mover(own: int, names: list[str], delta: np.ndarray, mu: float):
             d = np.linalg.solve(a[:, :own, :own] + mu * np.eye(own), (b[:, :own] - a[:, :own, own:] @ delta)[:, :, None])[:, :, 0]
             out = pdf[["image_id"]].copy()
             for i, p in enumerate(names):
-                out[f"d_{p}"] = d[:, i]
+                out[p] = pdf[p] + d[:, i]
+            for p, v in shared.items():
+                out[p] = v
             out["gain"] = (d * (mu * d + b[:, :own])).sum(1) + b[:, own:] @ delta
             out["move"] = (d * d).sum(1)
             yield out

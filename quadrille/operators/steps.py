@@ -29,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Compute now and keep the rows in the shared folder in buckets of the keys.
+
+    Joins and grouped sums by exactly these keys then leave the rows where they are, however often they are read.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"dealt_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", fresh_folder(spark)).saveAsTable(name)
+    rows = spark.table(name)  # bound to the files, which stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 def by_size(rows: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """The rows of groups of up to `most` rows, which one task may hold, and those of larger groups."""
     sizes = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")))

@@ -316,3 +316,22 @@ def test_late_rounds_of_line_registration_weigh_few_pairs(monkeypatch):
     assert min(weighed) < n * n / 5 and sum(weighed) < len(weighed) * n * n / 2
     assert len(got) > 0.8 * n and (got.left_id == got.right_id)[1:].mean() > 0.9
     assert np.allclose(got.iloc[0][line_matching.AFFINE6].astype(float), [5, 0.9, 0, -3, 0, 0.9], atol=0.1)
+
+
+def test_rounds_of_block_adjust_leave_points_where_they_are(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, float(x), float(y), 2 + x + i * 0.1 * y + 1e-3 * x * y, y - i) for i in range(3) for x, y in r.uniform(0, 20, (30, 2)).tolist()]
+    points = spark.createDataFrame(rows, "image_id int, x double, y double, x2 double, y2 double")
+    plans, kept = [], adjustment.cut
+    monkeypatch.setattr(adjustment, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+
+    def predict(p):
+        return p["a"] + F.col("x") + p["b"] * F.col("y") + p["k"] * F.col("x") * F.col("y"), F.col("y") + p["c"]
+
+    images, shared, before, after = adjustment.block_adjust(points, adjustment.Sensor({"a": 0.0, "b": 0.0, "c": 0.0}, {"k": 0.0}, predict))
+    got = {x.image_id: (x.a, x.b, x.c) for x in images.collect()}
+    assert before > 1 and after < 1e-6 and abs(shared["k"] - 1e-3) < 1e-6
+    assert all(np.allclose(got[i], (2, i * 0.1, -i), atol=1e-4) for i in range(3))
+    # what shuffles are rows of images: each plan that reads the points has no exchange above their scan
+    read = [p for p in plans if "Bucketed: true" in p]
+    assert len(read) > 2 and all(p.count("Exchange") == 1 for p in read[1:])
