@@ -2,7 +2,8 @@
 
 Unknowns are the parameters of every ephemeris row of every image, which a point between two rows takes in proportion,
 and the parameters that all share. Their normal equations are blocks keyed by row and neighbour row, packed into chunks
-of rows; conjugate gradients solve them, with the chunks' own block-tridiagonal solutions as preconditioner. The driver
+of rows. An image of one chunk is eliminated exactly; conjugate gradients solve the others, with the chunks' own
+block-tridiagonal solutions as preconditioner. The driver
 holds the shared parameters and a few sums only.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from quadrille.operators.adjustment import Sensor
 from quadrille.operators.normal import normal_sums
-from quadrille.operators.steps import cut
+from quadrille.operators.steps import cut, dealt
 
 #: Ephemeris rows of a chunk, which one task solves.
 CHUNK = 512
@@ -29,9 +30,9 @@ def interpolated(name: str, weight: Column) -> Column:
     return F.col(f"{name}_0") * (1 - weight) + F.col(f"{name}_1") * weight
 
 
-def _equations(sensor: Sensor, shared: dict[str, float], step: float) -> list[tuple[list[Column | None], Column]]:
+def _equations(sensor: Sensor, step: float) -> list[tuple[list[Column | None], Column]]:
     w = F.col("w")
-    at = {**{p: interpolated(p, w) for p in sensor.own}, **{p: F.lit(float(v)) for p, v in shared.items()}}
+    at = {**{p: interpolated(p, w) for p in sensor.own}, **{p: F.col(p) for p in sensor.shared}}
     here = sensor.predict(at)
     slopes = []
     for p in at:
@@ -41,13 +42,13 @@ def _equations(sensor: Sensor, shared: dict[str, float], step: float) -> list[tu
     return [([s[k] * (1 - w) for s in own] + [s[k] * w for s in own] + [s[k] for s in slopes[len(own) :]], F.col(c) - here[k]) for k, c in enumerate(("x2", "y2"))]
 
 
-def _normal(points: DataFrame, rows: DataFrame, sensor: Sensor, shared: dict[str, float], step: float) -> tuple[DataFrame, float, int, np.ndarray, np.ndarray]:
+def _normal(points: DataFrame, rows: DataFrame, sensor: Sensor, step: float) -> tuple[DataFrame, float, int, np.ndarray, np.ndarray]:
     """The interval sums (image_id, e, a_i_j, b_i), the squared error, the points, and the shared block and right side."""
-    own, few = list(sensor.own), len(shared)
-    before = rows.select("image_id", F.col("row").alias("e"), *[F.col(p).alias(f"{p}_0") for p in own])
+    own, few = list(sensor.own), len(sensor.shared)
+    before = rows.select("image_id", F.col("row").alias("e"), *sensor.shared, *[F.col(p).alias(f"{p}_0") for p in own])
     behind = rows.select("image_id", (F.col("row") - 1).alias("e"), *[F.col(p).alias(f"{p}_1") for p in own])
-    met = points.join(before.join(behind, ["image_id", "e"]), ["image_id", "e"])
-    equations = _equations(sensor, shared, step)
+    met = points.join(before.join(behind, ["image_id", "e"]).hint("shuffle_hash"), ["image_id", "e"])
+    equations = _equations(sensor, step)
     square = [(residual, residual) for _, residual in equations]
     # the residuals ride along as one more unknown, so that their square is summed in the same pass
     sums = cut(normal_sums(met, ["image_id", "e"], [([*c, r], r) for (c, _), (r, _) in zip(equations, square, strict=True)]))
@@ -133,15 +134,80 @@ class _Chunk:
         return z
 
 
+def _eliminated(own: int, few: int, damp: float, s: np.ndarray | None) -> Callable:
+    """Of chunks that hold a whole image each: without s what they take from the shared equations, with it their steps.
+
+    Chunks of equally many rows that follow each other are stacked, so that block elimination runs over all at once.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for m, group in pdf.groupby("m", sort=False):
+                take = lambda name, *shape: np.frombuffer(b"".join(group[name]), np.float64).reshape(len(group), m, *shape)  # noqa: B023, E731
+                rows = np.frombuffer(b"".join(group["rows"]), np.int64).reshape(len(group), m)
+                d, c, b = take("diagonal", own, own).copy(), take("couple", own, few), take("right", own)
+                u = np.where((rows[:, 1:] == rows[:, :-1] + 1)[:, :, None, None], take("upper", own, own)[:, :-1], 0)
+                k = np.arange(own)
+                scale = d[:, :, k, k]
+                d[:, :, k, k] += damp * scale + np.where(scale > 0, 0, 1.0)
+                z = np.concatenate([c, b[..., None]], 3) if s is None else (b - c @ s)[..., None]
+                z = z.copy()
+                for i in range(1, m):
+                    f = np.linalg.solve(d[:, i - 1], u[:, i - 1]).swapaxes(1, 2)
+                    d[:, i] -= f @ u[:, i - 1]
+                    z[:, i] -= f @ z[:, i - 1]
+                for i in range(m - 1, -1, -1):
+                    z[:, i] = np.linalg.solve(d[:, i], z[:, i] - (u[:, i] @ z[:, i + 1] if i < m - 1 else 0))
+                if s is None:
+                    out.append(np.einsum("gmif,gmiz->fz", c, z).ravel())
+                    continue
+                x = z[..., 0]
+                gain = (x * (damp * scale * x + b)).sum((1, 2))
+                yield pd.DataFrame({"image_id": group["image_id"].to_numpy(), "rows": group["rows"].to_numpy(), "x": [v.tobytes() for v in x], "gain": gain})
+            if out:
+                yield pd.DataFrame([sum(out)], columns=[f"s_{i}" for i in range(few * (few + 1))])
+
+    return run
+
+
 def solve(blocks: DataFrame, own: int, shared_block: np.ndarray, shared_right: np.ndarray, damp: float, tolerance: float = 1e-12, most: int = 100) -> tuple[DataFrame, np.ndarray, float]:
-    """Conjugate gradients: (image_id, chunk, rows, x), the shared part, and the gain x (damp diag x + right).
+    """(image_id, rows, x), the shared part, and the gain x (damp diag x + right) of the damped equations.
+
+    Images that stand in one chunk touch others only through the shared part, so they are eliminated exactly in their
+    tasks, and the driver adds up what they take from it. Conjugate gradients solve for the others.
+    """
+    few = len(shared_right)
+    chunks = blocks.groupBy("image_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("image_id")
+    chunks = cut(chunks)
+    long = not chunks.isEmpty()
+    whole = blocks.join(chunks, "image_id", "left_anti") if long else blocks
+    corner = shared_block + damp * np.diag(np.diag(shared_block)) + np.diag((np.diag(shared_block) <= 0).astype(float))
+    right = shared_right.astype(float)
+    if few:
+        names = [f"s_{i}" for i in range(few * (few + 1))]
+        taken = whole.mapInPandas(_eliminated(own, few, damp, None), ", ".join(f"{c} double" for c in names)).agg(*[F.sum(c) for c in names]).first()
+        taken = np.array([v or 0.0 for v in taken]).reshape(few, few + 1)
+        corner, right = corner - taken[:, :few], right - taken[:, few]
+    kind = T.StructType([blocks.schema["image_id"], T.StructField("rows", T.BinaryType()), T.StructField("x", T.BinaryType()), T.StructField("gain", T.DoubleType())])
+    if long:
+        done, s = _by_gradients(blocks.join(chunks, "image_id", "left_semi"), own, corner, right, damp, kind, tolerance, most)
+    else:
+        done, s = None, np.linalg.solve(corner, right) if few else right
+    steps = whole.mapInPandas(_eliminated(own, few, damp, s), kind)
+    steps = cut(steps if done is None else steps.unionByName(done))
+    total = (steps.agg(F.sum("gain")).first()[0] or 0.0) + float(s @ (damp * np.diag(shared_block) * s + shared_right))
+    return steps, s, total
+
+
+def _by_gradients(blocks: DataFrame, own: int, corner: np.ndarray, right: np.ndarray, damp: float, kind: T.StructType, tolerance: float, most: int) -> tuple[DataFrame, np.ndarray]:
+    """Conjugate gradients: (image_id, rows, x, gain) and the shared part; corner, right: the shared equations, damped.
 
     A round is one pass over the chunks for the product, in which neighbour chunks meet by the rows at their ends,
     and one for the step and the preconditioner; besides the shared part the driver adds up two sums. tolerance: of the squared residual.
     """
-    few = len(shared_right)
+    few = len(right)
     fields = T.StructType([blocks.schema["image_id"], blocks.schema["chunk"], *[T.StructField(c, T.BinaryType()) for c in ("x", "r", "z", "p", "first", "last")], T.StructField("rz", T.DoubleType()), T.StructField("rr", T.DoubleType()), T.StructField("t", T.ArrayType(T.DoubleType()))])
-    corner = shared_block + damp * np.diag(np.diag(shared_block)) + np.diag((np.diag(shared_block) <= 0).astype(float))
 
     def per_chunk(work: Callable) -> Callable:
         def run(batches):
@@ -167,7 +233,7 @@ def solve(blocks: DataFrame, own: int, shared_block: np.ndarray, shared_right: n
         return got[0] or 0.0, got[1] or 0.0, np.array([v or 0.0 for v in got[2:]]).reshape(2, few)
 
     state = cut(blocks.mapInPandas(per_chunk(begin), fields))
-    xs, rs, ps, beta = np.zeros(few), shared_right.astype(float), np.zeros(few), 0.0
+    xs, rs, ps, beta = np.zeros(few), right.astype(float), np.zeros(few), 0.0
     zs = np.linalg.solve(corner, rs) if few else rs
     rz, rr, couple = totals(state)
     rz, first = rz + float(rs @ zs), rr + float(rs @ rs)
@@ -211,13 +277,12 @@ def solve(blocks: DataFrame, own: int, shared_block: np.ndarray, shared_right: n
                 out.append((row.image_id, row.rows, row.x, float((x * (damp * c.d[:, k, k] * x + c.b)).sum())))
             yield pd.DataFrame(out, columns=["image_id", "rows", "x", "gain"])
 
-    done = cut(state.join(blocks, ["image_id", "chunk"]).mapInPandas(gain, T.StructType([blocks.schema["image_id"], T.StructField("rows", T.BinaryType()), T.StructField("x", T.BinaryType()), T.StructField("gain", T.DoubleType())])))
-    total = (done.agg(F.sum("gain")).first()[0] or 0.0) + float(xs @ (damp * np.diag(shared_block) * xs + shared_right))
-    return done, xs, total
+    return state.join(blocks, ["image_id", "chunk"]).mapInPandas(gain, kind), xs
 
 
-def _moved(rows: DataFrame, steps: DataFrame, own: list[str]) -> DataFrame:
-    """The rows' parameters plus their steps; rows that no point touches stay."""
+def _moved(rows: DataFrame, steps: DataFrame, own: list[str], shared: dict[str, float]) -> DataFrame:
+    """The rows' parameters plus their steps; rows that no point touches stay. Shared ones are written beside them, so that
+    they are no part of the plan, whose code stays the same in all rounds."""
 
     def unpack(batches):
         for pdf in batches:
@@ -226,7 +291,7 @@ def _moved(rows: DataFrame, steps: DataFrame, own: list[str]) -> DataFrame:
                 yield pd.DataFrame({"image_id": [row.image_id] * len(at), "row": at} | {f"d_{p}": x[:, i] for i, p in enumerate(own)})
 
     each = steps.mapInPandas(unpack, T.StructType([steps.schema["image_id"], T.StructField("row", T.LongType()), *[T.StructField(f"d_{p}", T.DoubleType()) for p in own]]))
-    return cut(rows.join(each, ["image_id", "row"], "left").select("image_id", "row", *[(F.col(p) + F.coalesce(F.col(f"d_{p}"), F.lit(0.0))).alias(p) for p in own]))
+    return cut(rows.join(each, ["image_id", "row"], "left").select("image_id", "row", *[(F.col(p) + F.coalesce(F.col(f"d_{p}"), F.lit(0.0))).alias(p) for p in own], *[F.lit(v).alias(p) for p, v in shared.items()]))
 
 
 def ephemeris_adjust(points: DataFrame, sensor: Sensor, every: float, rounds: int = 200, tolerance: float = 1e-10, step: float = 1e-3) -> tuple[DataFrame, dict[str, float], float, float]:
@@ -238,16 +303,16 @@ def ephemeris_adjust(points: DataFrame, sensor: Sensor, every: float, rounds: in
     """
     own, shared = list(sensor.own), dict(sensor.shared)
     place = F.col("t") / every
-    points = cut(points.withColumn("e", F.floor(place)).withColumn("w", place - F.floor(place)))
+    points = dealt(points.withColumn("e", F.floor(place)).withColumn("w", place - F.floor(place)), ["image_id", "e"])  # so that rounds move sums only
     touched = points.select("image_id", "e").distinct()
-    rows = cut(touched.select("image_id", F.explode(F.array("e", F.col("e") + 1)).alias("row")).distinct().select("image_id", "row", *[F.lit(float(v)).alias(p) for p, v in sensor.own.items()]))
-    sums, cost, n, corner, right = _normal(points, rows, sensor, shared, step)
+    rows = cut(touched.select("image_id", F.explode(F.array("e", F.col("e") + 1)).alias("row")).distinct().select("image_id", "row", *[F.lit(float(v)).alias(p) for p, v in (sensor.own | sensor.shared).items()]))
+    sums, cost, n, corner, right = _normal(points, rows, sensor, step)
     start, damp, grow = cost, 1e-3, 2.0
     for _ in range(rounds if n else 0):
         steps, delta, gain = solve(_blocks(sums, len(own), len(shared)), len(own), corner, right, damp)
-        tried = _moved(rows, steps, own)
         named = dict(zip(shared, (float(v + d) for v, d in zip(shared.values(), delta, strict=True)), strict=True))
-        now = _normal(points, tried, sensor, named, step)
+        tried = _moved(rows, steps, own, named)
+        now = _normal(points, tried, sensor, step)
         rho = (cost - now[1]) / gain if gain > 0 else 0.0
         if rho > 0:
             small = cost - now[1] <= tolerance * max(start, tolerance)
@@ -259,4 +324,4 @@ def ephemeris_adjust(points: DataFrame, sensor: Sensor, every: float, rounds: in
             damp, grow = damp * grow, grow * 2
             if gain <= tolerance * max(start, tolerance) or grow > 1e12:
                 break
-    return rows, shared, (start / n) ** 0.5 if n else 0.0, (cost / n) ** 0.5 if n else 0.0
+    return rows.select("image_id", "row", *own), shared, (start / n) ** 0.5 if n else 0.0, (cost / n) ** 0.5 if n else 0.0

@@ -63,3 +63,20 @@ def test_gaps_and_empty_tables(spark):
     assert all(np.allclose(v, truth[i, e], atol=1e-4) for (i, e), v in got.items())
     none, shared, before, after = ephemeris.ephemeris_adjust(table.limit(0), Sensor({"a": 0.0, "b": 0.0}, {"k": 0.5}, sensor), 1.0)
     assert none.count() == 0 and shared == {"k": 0.5} and before == after == 0
+
+
+def test_images_of_one_chunk_need_no_gradients(spark, monkeypatch):
+    def gradients(*_):
+        raise AssertionError("these images can be eliminated")
+
+    monkeypatch.setattr(ephemeris, "_by_gradients", gradients)
+    rows = [(i, t, float(x), t, x + i * 0.1 + 0.2 * t + 0.3 * x) for i in range(3) for t in (0.0, 0.25, 0.5, 1.0, 1.75) for x in range(6)]
+    rows = [(*r, r[3] - r[0]) for r in rows]
+    table = spark.createDataFrame(rows, "image_id int, t double, x double, y double, x2 double, y2 double")
+
+    def predict(p):
+        return F.col("x") + p["a"] + p["k"] * F.col("x"), F.col("y") + p["b"]
+
+    got, shared, before, after = ephemeris.ephemeris_adjust(table, Sensor({"a": 0.0, "b": 0.0}, {"k": 0.0}, predict), 1.0)
+    assert before > 0.5 and after < 1e-6 and abs(shared["k"] - 0.3) < 1e-6
+    assert all(abs(r.a - r.image_id * 0.1 - 0.2 * r.row) < 1e-5 and abs(r.b + r.image_id) < 1e-5 for r in got.collect())
