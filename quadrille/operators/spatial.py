@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quadrille.operators.steps import cut
+from quadrille.operators.steps import cut, fresh_folder
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
@@ -153,8 +153,9 @@ def kmeans_points(points: DataFrame, k: int, rounds: int = 100, most: int = 1000
     if not 0 < len(start) <= most:
         raise ValueError(f"k-means needs 1 to {most} centres")
     centres, seen, still = [(i, *r) for i, r in enumerate(start)], None, False
+    packed = _packed(points)
     for _ in range(rounds):
-        means = _lloyd(points, centres, seen).orderBy("k").collect()
+        means = _lloyd(packed, centres, seen).orderBy("k").collect()
         still = seen is not None and not sum(r.moved for r in means)
         if still:
             break
@@ -163,25 +164,41 @@ def kmeans_points(points: DataFrame, k: int, rounds: int = 100, most: int = 1000
     return at, at.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "dx", "dy")]), still
 
 
-def _lloyd(points: DataFrame, centres: list, before: list | None) -> DataFrame:
+def _packed(points: DataFrame) -> DataFrame:
+    """xy: the coordinates of a batch of points as float64 bytes, first all x; null is NaN. Written once to the shared folder.
+
+    Rounds then read bytes as they are and no rows.
+    """
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                xy = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")])
+                yield pa.RecordBatch.from_arrays([pa.array([xy.tobytes()], pa.binary())], names=["xy"])
+
+    path = fresh_folder(points.sparkSession)
+    points.select(F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(run, "xy binary").write.parquet(path)
+    return points.sparkSession.read.schema("xy binary").parquet(path)
+
+
+def _lloyd(packed: DataFrame, centres: list, before: list | None) -> DataFrame:
     """k, x, y, moved: the mean of the points nearest to each centre, and how many had another k by the centres before.
 
-    Distances are the matrices of a batch by the centres; a task gives one row of sums for each centre.
+    packed: batches of points as _packed writes them. Distances are the matrices of a batch by the centres; a task gives one row of sums for each centre.
     """
     def nearest(xy: np.ndarray, at: list) -> np.ndarray:
         c, out = np.array([r[1:3] for r in at], float), np.empty(len(xy), int)
         step = max(1, 1_000_000 // len(c))
         for i in range(0, len(xy), step):
             b = xy[i : i + step]
-            out[i : i + step] = ((b[:, :1] - c[:, 0]) ** 2 + (b[:, 1:] - c[:, 1]) ** 2).argmin(1)
+            out[i : i + step] = ((b[:, 0] - c[:, :1]) ** 2 + (b[:, 1] - c[:, 1:]) ** 2).argmin(0)
         return np.array([r[0] for r in at])[out]
 
     ks = np.array([c[0] for c in centres])
 
     def run(batches):
         sums = np.zeros((6, len(ks)))  # rows, sums and counts of x and y, moved
-        for b in batches:
-            xy = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], 1)
+        for value in (v for b in batches for v in b.column("xy")):
+            xy = np.frombuffer(value.as_buffer()).reshape(2, -1).T
             k = nearest(xy, centres)
             at = np.searchsorted(ks, k)
             went = k != nearest(xy, before) if before else np.ones(len(k))
@@ -190,7 +207,7 @@ def _lloyd(points: DataFrame, centres: list, before: list | None) -> DataFrame:
                 sums[i] += np.bincount(at, w, len(ks))
         yield pa.RecordBatch.from_arrays([pa.array(ks), *[pa.array(x) for x in sums]], names=["k", "n", "sx", "nx", "sy", "ny", "moved"])
 
-    parts = points.select(F.col("x").cast("double"), F.col("y").cast("double")).mapInArrow(run, "k long, n double, sx double, nx double, sy double, ny double, moved double")
+    parts = packed.mapInArrow(run, "k long, n double, sx double, nx double, sy double, ny double, moved double")
     total = parts.groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "nx", "sy", "ny", "moved")]).filter("n > 0")
     return total.select("k", *[F.try_divide(f"s{c}", f"n{c}").alias(c) for c in "xy"], "moved")
 

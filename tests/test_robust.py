@@ -148,3 +148,12 @@ def test_integral_image_over_tiles(spark, side):
         part = v[0 if r.image_id else 1, : r.row + 1, : r.col + 1]
         assert (r.s, r.s2, r.note) == (part.sum(), (part**2).sum(), "x")
     assert raster.integral_image(px.limit(0), side).count() == 0
+
+
+def test_kmeans_rounds_read_packed_points(spark, monkeypatch):
+    table = spark.createDataFrame([(i, float(i % 7), float(i % 5), 1.0, 1.0) for i in range(2500)] + [(-1, None, 1.0, 0.0, 0.0)], "id long, x double, y double, dx double, dy double")
+    sizes, lloyd = [], spatial._lloyd
+    monkeypatch.setattr(spatial, "_lloyd", lambda p, *more: sizes.append(p.count()) or lloyd(p, *more))
+    at, clusters, still = spatial.kmeans_points(table, 3)
+    assert still and at.count() == sum(c.n for c in clusters.collect()) == 2501
+    assert len(sizes) > 1 and set(sizes) == {sizes[0]} and sizes[0] < 100
