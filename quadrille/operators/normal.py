@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.operators.steps import cut
+from quadrille.operators.steps import cut, dealt
 
 
 def normal_sums(rows: DataFrame, keys: list[str], equations: list[tuple[list[Column | None], Column]], weight: Column | None = None) -> DataFrame:
     """keys, n, and the sums a_i_j (i <= j) and b_i of each row's equations: coefficients (None is 0), right side."""
-    w = F.lit(1.0) if weight is None else weight
     size = len(equations[0][0])
+    # coefficients are columns first: each stands in many sums and would be computed anew in all of them
+    each = {f"__c{k}_{i}": c for k, (row, right) in enumerate(equations) for i, c in enumerate([*row, right]) if c is not None}
+    rows = rows.select(*keys, (F.lit(1.0) if weight is None else weight).alias("__w"), *[c.alias(name) for name, c in each.items()])
 
-    def total(terms: list[Column]) -> Column:
-        if not terms:
-            return F.lit(0.0)
-        out = terms[0]
-        for t in terms[1:]:
-            out = out + t
-        return F.sum(w * out)
+    def total(i: int, j: int) -> Column:
+        terms = [F.col(f"__c{k}_{i}") * F.col(f"__c{k}_{j}") for k in range(len(equations)) if f"__c{k}_{i}" in each and f"__c{k}_{j}" in each]
+        return F.sum(F.col("__w") * reduce(Column.__add__, terms)) if terms else F.sum(F.lit(0.0))
 
-    a = [total([c[i] * c[j] for c, _ in equations if c[i] is not None and c[j] is not None]).alias(f"a_{i}_{j}") for i in range(size) for j in range(i, size)]
-    b = [total([c[i] * v for c, v in equations if c[i] is not None]).alias(f"b_{i}") for i in range(size)]
+    a = [total(i, j).alias(f"a_{i}_{j}") for i in range(size) for j in range(i, size)]
+    b = [total(i, size).alias(f"b_{i}") for i in range(size)]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *a, *b)
 
 
@@ -46,11 +46,12 @@ def solved(sums: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
             a, b = matrices(pdf, len(names))
             out = pdf[[*keys, "n"]].copy()
             x = np.full(b.shape, np.nan)
-            for g in range(len(b)):
-                scale = np.sqrt(np.maximum(np.diag(a[g]), 1e-300))
-                m = a[g] / np.outer(scale, scale)
-                if np.isfinite(m).all() and np.linalg.cond(m) < 1e14:
-                    x[g] = np.linalg.solve(m, b[g] / scale) / scale
+            k = np.arange(len(names))
+            scale = np.sqrt(np.maximum(a[:, k, k], 1e-300))
+            m = a / (scale[:, :, None] * scale[:, None, :])
+            good = np.flatnonzero(np.isfinite(m).all((1, 2)))
+            good = good[np.linalg.cond(m[good]) < 1e14] if len(good) else good
+            x[good] = np.linalg.solve(m[good], (b / scale)[good][:, :, None])[:, :, 0] / scale[good]
             for i, name in enumerate(names):
                 out[name] = pd.array(x[:, i], "Float64") if not np.isnan(x[:, i]).any() else pd.Series(x[:, i], index=out.index).astype(object).where(~np.isnan(x[:, i]), None)
             yield out
@@ -91,10 +92,21 @@ def fit_homography(points: DataFrame, keys: list[str], weight: Column | None = N
     Coordinates are centred and scaled for each group first (one row for each group, joined by key), so the sums
     stay well conditioned; the result is turned back to the given coordinates.
     """
-    spots = ("x", "y", "x2", "y2")
-    stats = points.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in spots], *[F.greatest(F.stddev_pop(c), F.lit(1e-12)).alias(f"d_{c}") for c in spots])
-    rows = points.join(stats, keys)
-    x, y, u, v = ((F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}") for c in spots)
+    stats = spot_stats(points, keys)
+    return scaled_fit(points.join(stats, keys), stats, keys, weight)
+
+
+SPOTS = ("x", "y", "x2", "y2")
+
+
+def spot_stats(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, m_ and d_ of each coordinate: its mean and deviation."""
+    return points.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in SPOTS], *[F.greatest(F.stddev_pop(c), F.lit(1e-12)).alias(f"d_{c}") for c in SPOTS])
+
+
+def scaled_fit(rows: DataFrame, stats: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """fit_homography of points that hold their group's row of spot_stats."""
+    x, y, u, v = ((F.col(c) - F.col(f"m_{c}")) / F.col(f"d_{c}") for c in SPOTS)
     one = F.lit(1.0)
     equations = [([x, y, one, None, None, None, -x * u, -y * u], u), ([None, None, None, x, y, one, -x * v, -y * v], v)]
     scaled = solved(normal_sums(rows, keys, equations, weight), keys, HOMOGRAPHY).join(stats, keys)
@@ -102,15 +114,16 @@ def fit_homography(points: DataFrame, keys: list[str], weight: Column | None = N
     def run(batches):
         for pdf in batches:
             h = np.c_[pdf[HOMOGRAPHY].to_numpy(float), np.ones(len(pdf))].reshape(-1, 3, 3)
-            m, d = pdf[[f"m_{c}" for c in spots]].to_numpy(float), pdf[[f"d_{c}" for c in spots]].to_numpy(float)
+            m, d = pdf[[f"m_{c}" for c in SPOTS]].to_numpy(float), pdf[[f"d_{c}" for c in SPOTS]].to_numpy(float)
             out = pdf[[*keys, "n"]].copy()
             full = np.full((len(pdf), 8), np.nan)
-            for g in range(len(pdf)):
-                before = np.array([[1 / d[g, 0], 0, -m[g, 0] / d[g, 0]], [0, 1 / d[g, 1], -m[g, 1] / d[g, 1]], [0, 0, 1]])
-                after = np.array([[d[g, 2], 0, m[g, 2]], [0, d[g, 3], m[g, 3]], [0, 0, 1]])
-                t = after @ h[g] @ before
-                if np.isfinite(t).all() and abs(t[2, 2]) > 1e-300:
-                    full[g] = (t / t[2, 2]).ravel()[:8]
+            before, after = (np.tile(np.eye(3), (len(pdf), 1, 1)) for _ in range(2))
+            for k in (0, 1):
+                before[:, k, k], before[:, k, 2] = 1 / d[:, k], -m[:, k] / d[:, k]
+                after[:, k, k], after[:, k, 2] = d[:, k + 2], m[:, k + 2]
+            t = after @ h @ before
+            good = np.isfinite(t).all((1, 2)) & (np.abs(t[:, 2, 2]) > 1e-300)
+            full[good] = (t[good] / t[good, 2:, 2:]).reshape(-1, 9)[:, :8]
             for i, name in enumerate(HOMOGRAPHY):
                 out[name] = pd.Series(full[:, i], index=out.index).astype(object).where(~np.isnan(full[:, i]), None)
             yield out
@@ -124,10 +137,11 @@ def refine_homography(points: DataFrame, start: DataFrame, keys: list[str], loop
 
     start: keys, h0..h7. fitted counts the points nearer than limit at the end. Each loop is one grouped sum.
     """
-    wide, model = limit * limit, start.select(*keys, *HOMOGRAPHY)
+    wide, model = limit * limit, cut(start.select(*keys, *HOMOGRAPHY))
+    points = dealt(points.select(*keys, "x", "y", "x2", "y2"), keys)  # so that loops move sums only
+    stats = cut(spot_stats(points, keys))
     for _ in range(loops):
         e = homography_error()
-        weighed = points.join(model, keys).withColumn("w", wide / (e * e + wide)).select(*keys, "x", "y", "x2", "y2", "w")
-        # a fit reads its points twice: without the cut each loop would repeat all before it
-        model = cut(fit_homography(cut(weighed), keys, F.col("w")).select(*keys, *HOMOGRAPHY))
-    return points.join(model, keys).groupBy(*keys, *HOMOGRAPHY).agg(F.count(F.lit(1)).alias("n"), F.sum((homography_error() < limit).cast("long")).alias("fitted"))
+        at = points.join(model.join(stats, keys).hint("shuffle_hash"), keys)
+        model = cut(scaled_fit(at, stats, keys, wide / (e * e + wide)).select(*keys, *HOMOGRAPHY))
+    return points.join(model.hint("shuffle_hash"), keys).groupBy(*keys, *HOMOGRAPHY).agg(F.count(F.lit(1)).alias("n"), F.sum((homography_error() < limit).cast("long")).alias("fitted"))

@@ -157,3 +157,19 @@ def test_kmeans_rounds_read_packed_points(spark, monkeypatch):
     at, clusters, still = spatial.kmeans_points(table, 3)
     assert still and at.count() == sum(c.n for c in clusters.collect()) == 2501
     assert len(sizes) > 1 and set(sizes) == {sizes[0]} and sizes[0] < 100
+
+
+def test_loops_of_homography_leave_points_where_they_are(spark, monkeypatch):
+    from quadrille.operators import normal
+
+    rows = [(p, float(x), float(y), 2.0 + x + 0.1 * y, y - 1.0 + (50.0 if (x, y) == (3, 3) else 0.0)) for p in range(2) for x in range(8) for y in range(8)]
+    points = spark.createDataFrame(rows, "pair_id int, x double, y double, x2 double, y2 double")
+    start = spark.createDataFrame([(p, 1.0, 0.1, 2.5, 0.0, 1.0, -1.0, 0.0, 0.0) for p in range(2)], "pair_id int, " + ", ".join(f"{h} double" for h in normal.HOMOGRAPHY))
+    plans, kept = [], normal.cut
+    monkeypatch.setattr(normal, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    got = normal.refine_homography(points, start, ["pair_id"], loops=3).collect()
+    assert [(r.n, r.fitted) for r in got] == [(64, 63)] * 2 and all(abs(r.h2 - 2) < 0.2 for r in got)
+    loops = [p for p in plans if "h0" in p and "Bucketed: true" in p]
+    # a model's and its group's rows shuffle; no exchange stands between the scan of the points and their sums
+    assert len(loops) == 3 and not any("Exchange" in line and "x2" in line for p in loops for line in p.splitlines())
+    assert not any("Exchange" in line for p in plans if "h0" not in p for line in p.splitlines())
