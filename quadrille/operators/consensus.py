@@ -10,22 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.operators.steps import fresh_folder
+from quadrille.operators.steps import dealt
 
 #: Points of a block, blocks of a run, and points that are scored before models that can't win are left out.
 BLOCK, RUN, CHUNK = 4096, 64, 1024
 
 
 def point_blocks(points: DataFrame, axes: list[str]) -> DataFrame:
-    """pair_id, block, run, n, axes (arrays by pt): the points of each pair, BLOCK to a row, written once to the shared folder.
+    """pair_id, block, run, n, axes (arrays by pt): the points of each pair, BLOCK to a row, written once to the shared folder, in buckets of pair_id and run.
 
-    A pair of any size spreads over many rows. A coordinate that is null is NaN. pt must count 0..n-1 in each pair.
+    Joins by exactly these two leave the points where they are. A pair of any size spreads over many rows and runs. A coordinate that is null is NaN. pt must count 0..n-1 in each pair.
     """
     row = F.struct("pt", *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in axes])
     packed = points.groupBy("pair_id", F.floor(F.col("pt") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(row)).alias("p"))
-    path = fresh_folder(points.sparkSession)
-    packed.select("pair_id", "block", F.floor(F.col("block") / RUN).alias("run"), F.size("p").alias("n"), *[F.col(f"p.{c}").alias(c) for c in axes]).write.parquet(path)
-    return points.sparkSession.read.parquet(path)
+    return dealt(packed.select("pair_id", "block", F.floor(F.col("block") / RUN).alias("run"), F.size("p").alias("n"), *[F.col(f"p.{c}").alias(c) for c in axes]), ["pair_id", "run"])
+
+
+def each_run(models: DataFrame) -> DataFrame:
+    """models (pair_id, np, ...) once for each run of their pair's blocks, which they meet by pair_id and run."""
+    runs = F.greatest(F.floor((F.col("np") - 1) / (BLOCK * RUN)), F.lit(0))
+    return models.select("*", F.explode(F.sequence(F.lit(0).cast("long"), runs)).alias("run"))
 
 
 def block_sizes(blocks: DataFrame) -> DataFrame:
@@ -33,15 +37,19 @@ def block_sizes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("pair_id").agg(F.sum("n").alias("np"))
 
 
-def block_points(blocks: DataFrame, axes: list[str]) -> DataFrame:
-    """pair_id, pt, axes: the points again."""
-    rows = blocks.select("pair_id", "block", F.posexplode(F.arrays_zip(*axes)).alias("at", "p"))
-    return rows.select("pair_id", (F.col("block") * BLOCK + F.col("at")).alias("pt"), *[F.col(f"p.{c}").alias(c) for c in axes])
+def block_points(blocks: DataFrame, axes: list[str], more: list[str] | None = None) -> DataFrame:
+    """pair_id, pt, axes: the points again, with `more` columns of their blocks."""
+    more = more or []
+    rows = blocks.select("pair_id", "block", *more, F.posexplode(F.arrays_zip(*axes)).alias("at", "p"))
+    return rows.select("pair_id", (F.col("block") * BLOCK + F.col("at")).alias("pt"), *[F.col(f"p.{c}").alias(c) for c in axes], *more)
 
 
 def points_at(blocks: DataFrame, places: DataFrame, axes: list[str]) -> DataFrame:
     """The rows of places (pair_id, pt, ...) with the axes of their points."""
-    met = places.withColumn("block", F.floor(F.col("pt") / BLOCK)).join(blocks, ["pair_id", "block"])
+    spots = places.withColumn("run", F.floor(F.col("pt") / (BLOCK * RUN)))
+    since = F.col("block") * BLOCK
+    # a range, no equation of blocks: so the join stays one by the buckets' keys
+    met = blocks.join(spots.hint("shuffle_hash"), ["pair_id", "run"]).filter((F.col("pt") >= since) & (F.col("pt") < since + BLOCK))
     at = (F.col("pt") % BLOCK).cast("int")
     return met.select(*places.columns, *[F.get(c, at).alias(c) for c in axes])
 
@@ -55,9 +63,8 @@ def inlier_counts(blocks: DataFrame, models: DataFrame, axes: list[str], names:
     inliers is dropped; what is left of its counts elsewhere can't win either. unit: if over 1, an inlier counts for so
     much without an error, and for less in proportion to it, down to 0 at the limit.
     """
-    runs = F.greatest(F.floor((F.col("np") - 1) / (BLOCK * RUN)), F.lit(0))
     packed = models.groupBy("pair_id").agg(F.first("np").alias("np"), F.first("known").alias("known"), F.collect_list(F.struct("h", *[F.col(c).cast("double").alias(c) for c in names])).alias("m"))
-    packed = packed.select("pair_id", "np", "known", F.col("m.h").alias("h"), *[F.col(f"m.{c}").alias(f"m_{c}") for c in names], F.explode(F.sequence(F.lit(0).cast("long"), runs)).alias("run"))
+    packed = each_run(packed.select("pair_id", "np", "known", F.col("m.h").alias("h"), *[F.col(f"m.{c}").alias(f"m_{c}") for c in names]))
     met = blocks.join(packed, ["pair_id", "run"])
     kind = pa.schema([("h", pa.int64()), ("inliers", pa.int64())])
 

@@ -215,11 +215,18 @@ def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5
         best = improved_best(blocks, best, model, limit, inner, model.size * most)
     if support is not None:
         best = best.filter(F.col("b.inliers") >= min_inliers(F.col("np"), model.size, support, doubt))
-    best = best.select("pair_id", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
-    kept = consensus.block_points(blocks.join(best, "pair_id", "left_semi"), axes).join(best, "pair_id").filter(model.error() < limit).select("pair_id", "h", "inliers", *axes)
+    best = best.select("pair_id", "np", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
+    kept = points_under(blocks, best, axes).filter(model.error() < limit).select("pair_id", "h", "inliers", *axes)
     return model.fit(kept, ["pair_id", "h", "inliers"])
 
 
+def points_under(blocks: DataFrame, models: DataFrame, axes: list[str]) -> DataFrame:
+    """pair_id, pt, axes and what each pair's row of models (pair_id, np, ...) holds: models go to the points' blocks."""
+    own = [c for c in models.columns if c != "pair_id"]
+    met = blocks.join(consensus.each_run(models).hint("shuffle_hash"), ["pair_id", "run"])
+    return consensus.block_points(met, axes, own)
+
+
 def improved_best(blocks: DataFrame, best: DataFrame, model: Model, limit: float, inner: int, since: int) -> DataFrame:
     """best (pair_id, np, b) with the models of least error among samples of its inliers, and of theirs in turn.
 
@@ -238,7 +245,7 @@ def improved_best(blocks: DataFrame, best: DataFrame, model: Model, limit: float
     best = cut(flat.join(scored(flat).withColumnRenamed("inliers", "gain"), ["pair_id", "h"]).select("pair_id", "np", "h", "gain", *names))
     active = best
     while not active.isEmpty():
-        near = consensus.block_points(blocks, axes).join(active, "pair_id").filter(model.error() < limit)
+        near = points_under(blocks, active, axes).filter(model.error() < limit)
         near = near.withColumn("pt", (F.row_number().over(Window.partitionBy("pair_id").orderBy("pt")) - 1).cast("long"))
         own = consensus.point_blocks(near.select("pair_id", "pt", *axes), axes)
         models = hypotheses(own, cut(consensus.block_sizes(own)), inner, model)
@@ -257,8 +264,8 @@ def prefix_inliers(blocks: DataFrame, best: DataFrame, model: Model, limit: floa
     """pair_id, m, within: the prefix of each pair's last round, and the best model's inliers in it."""
     best = best.filter("b is not null")
     last = prosac_prefix(best.select("pair_id", "np", (F.col("tried") - 1).alias("h")), model.size, budget).select("pair_id", "m")
-    models = best.select("pair_id", *[F.col(f"b.{c}").alias(c) for c in model.names]).join(last, "pair_id")
-    points = consensus.block_points(blocks, list(model.axes)).join(models, "pair_id").filter(F.col("pt") < F.col("m"))
+    models = best.select("pair_id", "np", *[F.col(f"b.{c}").alias(c) for c in model.names]).join(last, "pair_id")
+    points = points_under(blocks, models, list(model.axes)).filter(F.col("pt") < F.col("m"))
     return points.groupBy("pair_id", "m").agg(F.sum((model.error() < limit).cast("long")).alias("within"))
 
 

@@ -133,3 +133,17 @@ def test_fundamental_of_pairs_with_few_clean_points(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == set(db.execute(catalogue.ORACLES["ransac_fundamental"]).fetchall()) and len(got) == 3
+
+
+def test_counts_leave_packed_points_where_they_are(spark):
+    table = spark.createDataFrame([(p, i, float(i), float(i % 7), i + 1.0, i % 7 - 2.0) for p in range(2) for i in range(50)], "pair_id int, pt long, x double, y double, x2 double, y2 double")
+    axes = ["x", "y", "x2", "y2"]
+    blocks = consensus.point_blocks(table, axes)
+    models = spark.createDataFrame([(p, 50, 0, 1, 1.0, 0.0, 1.0, -2.0) for p in range(2)], "pair_id int, np long, known long, h long, a0 double, a1 double, a2 double, a3 double")
+    counts = consensus.inlier_counts(blocks, models.repartition(3), axes, ("a0", "a1", "a2", "a3"), consensus.similarity_errors, 0.5)
+    picked = consensus.points_at(blocks, models.select("pair_id", (F.col("np") - 43).alias("pt")), axes)
+    assert {(r.pair_id, r.inliers) for r in counts.collect()} == {(0, 50), (1, 50)}
+    assert [(r.x, r.x2) for r in picked.collect()] == [(7.0, 8.0)] * 2
+    plan = picked._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Bucketed: true" in line)
+    assert not any("Exchange" in line and "block" in line for line in plan) and "Exchange" not in plan[at - 1]
