@@ -155,13 +155,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Forest(dict):
+    """Disjoint groups of numbers: joins tells which of the given pairs join two groups not yet joined."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def joins(self, a, b):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            p, q = self.find(x), self.find(y)
+            if p != q:
+                self[max(p, q)] = min(p, q)
+                yield x, y
+
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        some, inverse = np.unique(x, return_inverse=True)
+        return np.fromiter(map(self.find, some.tolist()), np.int64, len(some))[inverse]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have links, root the least node reachable: alternating large and small stars.
 
-    edges: (u, v) of any order. The rows stay distributed, EDGES to a partition, so that few links make few files;
-    each round is cut to the shared folder.
+    edges: (u, v) of any order. Fewer than EDGES links are joined at once by a forest in one task. More stay
+    distributed, EDGES to a partition, and each round is cut to the shared folder.
     """
-    parts = 1
+
+    def joined(batches):
+        groups, ends = Forest(), []
+        for b in batches:
+            u, v = (b.column(c).to_numpy() for c in ("u", "v"))
+            ends.append(np.unique(np.concatenate([u, v])))
+            for _ in groups.joins(u, v):
+                pass
+        if ends:
+            node = np.unique(np.concatenate(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(groups.labels(node))], names=["node", "root"])
 
     def sym(e: DataFrame) -> DataFrame:
         return e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -180,10 +210,12 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    at = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = mark(at)
-    parts = seen[0] // EDGES + 1
+    at = cut(edges.filter("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")))
+    parts = at.count() // EDGES + 1
     at = at.coalesce(parts)
+    if parts == 1:
+        return at.mapInArrow(joined, "node long, root long")
+    seen = mark(at)
     while True:
         at = cut(star(star(at, True), False))
         now = mark(at)

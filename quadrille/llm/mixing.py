@@ -61,7 +61,9 @@ def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, to
     within `rounds` raise an error. One family alone parts the dual into one equation for each member; its documents
     then share one rate, since nothing else tells them apart.
     """
-    at = cut(cells.withColumn("lam", F.lit(0.0)))
+    parts = cells.count() // SMALL + 1  # rounds over few cells are few tasks
+    at = cut(cells.withColumn("lam", F.lit(0.0))).coalesce(parts)
+    goals = {family: goal.coalesce(goal.count() // SMALL + 1) for family, goal in goals.items()}
     for _ in range(rounds):
         worst = 0.0
         for family, goal in goals.items():
@@ -69,7 +71,7 @@ def balanced(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 60, to
             step = met.join(goal, met[family].eqNullSafe(goal[family])).select(
                 met[family].alias("__f"), F.when(F.col("target") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - F.col("m")) / F.col("m")))).otherwise(F.lit(-745.0)).alias("step"), F.when(F.col("target") > 0, F.abs(F.col("m") / F.col("target") - 1)).otherwise(0.0).alias("off"),
             )
-            at = cut(at.join(step, at[family].eqNullSafe(step["__f"]), "left").withColumn("lam", F.col("lam") + F.coalesce("step", F.lit(0.0))).withColumn("off", F.coalesce("off", F.lit(0.0))).select(*cells.columns, "lam", "off"))
+            at = cut(at.join(step, at[family].eqNullSafe(step["__f"]), "left").withColumn("lam", F.col("lam") + F.coalesce("step", F.lit(0.0))).withColumn("off", F.coalesce("off", F.lit(0.0))).select(*cells.columns, "lam", "off")).coalesce(parts)
             worst = max(worst, at.agg(F.max("off")).first()[0] or 0.0)
             at = at.drop("off")
         if worst < tolerance:
@@ -129,7 +131,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     row = [F.col(row_col).alias("row")] if row_col else []
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *row))
     sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
-    weighed = cut(targets(ranked(sums).withColumn("weight", F.pmod("rank", F.lit(3)) + 1), most))
+    few = sums.count() // SMALL + 1
+    sums = sums.coalesce(few)
+    weighed = cut(targets(cut(ranked(sums)).coalesce(few).withColumn("weight", F.pmod("rank", F.lit(3)) + 1), most)).coalesce(few)
     rates = balanced(weighed.select("source", F.col("source_size").alias("size")).filter("size > 0"), {"source": weighed.select("source", "target")})
     rates = cut(rates.select(F.col("source").alias("s"), "rate"))
     known = cut(weighed.join(rates, weighed["source"].eqNullSafe(rates["s"]), "left").select(F.col("source").alias("s"), "source_size", "n", "target", F.coalesce("rate", F.lit(0.0)).alias("rate")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm import simhash
-from quadrille.llm.common import WordHash, bloom, bloom_bits, components, cut, encoded, join_groups, pieces, plain_names, probe, row_hash, stored
+from quadrille.llm.common import Forest, WordHash, bloom, bloom_bits, components, cut, encoded, join_groups, pieces, plain_names, probe, row_hash, stored
 from quadrille.llm.decontaminate import seed_hashes
 
 #: Texts are alike if the sets of their runs of SHINGLE words have a Jaccard similarity of 4/5 or more.
@@ -106,26 +106,6 @@ def _entries(heads: DataFrame) -> DataFrame:
     return join_groups(entries, met, "g", "c", met.agg(F.sum("c")).first()[0] or 0)
 
 
-class Forest(dict):
-    """Disjoint groups of numbers: joins tells which of the given pairs join two groups not yet joined."""
-
-    def find(self, x: int) -> int:
-        while (up := self.get(x, x)) != x:
-            self[x] = x = self.get(up, up)
-        return x
-
-    def joins(self, a, b):
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = self.find(x), self.find(y)
-            if p != q:
-                self[max(p, q)] = min(p, q)
-                yield x, y
-
-    def labels(self, x: np.ndarray) -> np.ndarray:
-        some, inverse = np.unique(x, return_inverse=True)
-        return np.fromiter(map(self.find, some.tolist()), np.int64, len(some))[inverse]
-
-
 def _whole(batches, keys: list[str], rows: int):
     """Tables of whole keys, `rows` rows or more each, from batches sorted by keys."""
     held: list[pa.RecordBatch] = []

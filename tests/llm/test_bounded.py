@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quadrille.llm import decontaminate, quality, substring
+from quadrille.llm import common, decontaminate, mixing, quality, substring
 from quadrille.llm.common import WordHash
 
 
@@ -97,3 +97,46 @@ def test_large_suites_keep_what_small_ones_find(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     small, large = ({tuple(r) for r in decontaminate.leaks(d, b, most=m).collect()} for m in (10**6, 0))
     assert small == large and len(small) > 20
+
+
+def _tasks(spark, run):
+    """What run() gives, its jobs, and the tasks of their stages, with 40 partitions in each shuffle."""
+    sc, old = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    group = f"bounded-{random.random()}"
+    try:
+        for k, v in zip(old, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    track = sc.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup(group)]
+    stages = {i: track.getStageInfo(i) for j in jobs for i in j.stageIds}
+    return out, len(jobs), sum(s.numCompletedTasks for s in stages.values() if s)
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    draw = random.Random(6)
+    edges = [(i + 1, i) for i in range(300)] + [(-7, 900), (900, -7), (5, 5)] + [(draw.randrange(1000, 1300), draw.randrange(1000, 1300)) for _ in range(150)]
+    want = common.Forest()
+    for a, b in edges:
+        list(want.joins(np.array([a]), np.array([b])))
+    want = {x: want.find(x) for e in edges if e[0] != e[1] for x in e}
+    table = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    got, jobs, _ = _tasks(spark, lambda: common.components(table).collect())
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert jobs <= 6  # the driver keeps what it knows of each job, and rounds of stars take some seven each
+    assert common.components(table.limit(0)).count() == 0
+    monkeypatch.setattr(common, "EDGES", 100)  # more links stay in several partitions, and stars join them
+    got = common.components(table).collect()
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+
+
+def test_rounds_over_few_sources_are_few_tasks(spark):
+    docs = spark.createDataFrame([(i, "a word " * (1 + i % 9), None if i % 5 == 4 else f"s{i % 5}") for i in range(200)], "doc_id long, text string, source string")
+    rows, jobs, tasks = _tasks(spark, lambda: mixing.mixture(docs).collect())
+    assert len(rows) == 200
+    assert tasks < 15 * jobs  # not all 40 partitions in each
