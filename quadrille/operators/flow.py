@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,11 @@ WEIGHTS = (1.0, 1.0, 10.0, 10.0)
 SPOT = ("x", "y", "u", "v")
 #: Points that share their keys and may climb in one task, and pairs of them that it looks at at once.
 GROUP, CHUNK = 8192, 1_000_000
+#: A mode whose mean is nearer than so many units of the last digit rests there. Any longer step brings it more points or nearer ones, whatever
+#: is rounded (9 > 22 / 4, by WEIGHTS), so none comes back to where it was and all settle.
+REST = 3.5
+#: Rounds whose settled points are kept apart before they are written together.
+APART = 16
 
 
 def _square(a: str, b: str) -> Column:
@@ -32,12 +40,12 @@ def _near(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFram
     return left.join(right, [*keys, "__cx", "__cy"]).filter(_square("p", "q") <= width * width).drop("__cx", "__cy")
 
 
-def flow_groups(points: DataFrame, keys: list[str], width: float, rounds: int = 50, digits: int = 6) -> DataFrame:
+def flow_groups(points: DataFrame, keys: list[str], width: float, rounds: int | None = None, digits: int = 6) -> DataFrame:
     """keys, id, cx, cy, cu, cv, settled: the centre of each point's group, by a flat kernel of bandwidth `width`.
 
-    points: keys, id, x, y, x2, y2. Every point climbs to the mean of the points within the bandwidth until none
-    moves more than 10^-digits, or for so many rounds: points then still climbing are not settled. Points at one place
-    climb as one. Modes within the bandwidth of each other are one
+    points: keys, id, x, y, x2, y2. Every point climbs to the mean of the points within the bandwidth, rounded to
+    `digits`, until none moves by REST units of the last digit; with `rounds`, for so many at most: points then still
+    climbing are not settled. Points at one place climb as one. Modes within the bandwidth of each other are one
     group: each follows the most climbed of its neighbours (the greater coordinates on a tie) until all stay.
     Groups of keys of up to GROUP points climb in one task each, so they move once; larger ones by joins, round by round.
     """
@@ -54,7 +62,7 @@ def flow_groups(points: DataFrame, keys: list[str], width: float, rounds: int =
     return given.join(large, keys, "left_anti").groupBy(*keys).applyInArrow(climb, schema).unionByName(_by_rounds(rest, keys, width, rounds, digits))
 
 
-def _climbed(keys: list[str], width: float, rounds: int, digits: int):
+def _climbed(keys: list[str], width: float, rounds: int | None, digits: int):
     """flow_groups of one group of keys."""
 
     root = np.sqrt(WEIGHTS)
@@ -80,13 +88,15 @@ def _climbed(keys: list[str], width: float, rounds: int, digits: int):
         sums = np.c_[q, np.ones(len(q))] * n[:, None]
         place, modes, of, went = place.ravel(), q, np.arange(len(q)), np.ones(len(q), bool)
         still = went
-        for _ in range(rounds):
+        for _ in count() if rounds is None else range(rounds):
             to = modes.copy()
             moving = np.flatnonzero(went)  # a mode that stayed once stays
             for rows, met in near(modes[moving], q):
                 total = met.astype(float) @ sums
                 some = total[:, 4] > 0
                 to[moving[rows][some]] = np.round(total[some, :4] / total[some, 4:], digits) + 0.0
+            rests = (np.abs(to - modes) < REST * 10.0**-digits).all(1)
+            to[rests] = modes[rests]
             went = (to != modes).any(1)
             modes, inverse = np.unique(to, axis=0, return_inverse=True)
             of, still = inverse.ravel()[of], went[of]
@@ -106,19 +116,25 @@ def _climbed(keys: list[str], width: float, rounds: int, digits: int):
     return run
 
 
-def _by_rounds(given: DataFrame, keys: list[str], width: float, rounds: int, digits: int) -> DataFrame:
+def _by_rounds(given: DataFrame, keys: list[str], width: float, rounds: int | None, digits: int) -> DataFrame:
     """flow_groups of keys, id, q (a struct of SPOT), of groups of any size."""
     given = cut(given)
     places = given.groupBy(*keys, "q").agg(F.count(F.lit(1)).alias("n"))
     path = cut(places.select(*keys, F.col("q").alias("start"), F.col("q").alias("p"), F.lit(True).alias("went")))
-    for _ in range(rounds):
+    means = [F.round(F.sum(F.col("n") * F.col(f"q.{c}")) / F.sum("n"), digits).alias(c) for c in SPOT]
+    rests = reduce(Column.__and__, [F.abs(F.col(f"to.{c}") - F.col(f"p.{c}")) < REST * 10.0**-digits for c in SPOT])
+    settled = []
+    for _ in count() if rounds is None else range(rounds):
         modes = path.select(*keys, "p").distinct()
-        means = [F.round(F.sum(F.col("n") * F.col(f"q.{c}")) / F.sum("n"), digits).alias(c) for c in SPOT]
-        up = _near(modes, places, keys, width).groupBy(*keys, "p").agg(F.struct(*means).alias("to"))
-        path = cut(path.drop("went").join(up, [*keys, "p"]).select(*keys, "start", F.col("to").alias("p"), (F.col("to") != F.col("p")).alias("went")))
-        if path.filter("went").isEmpty():
+        up = _near(modes, places, keys, width).groupBy(*keys, "p").agg(F.struct(*means).alias("to")).select(*keys, "p", F.when(rests, F.col("p")).otherwise(F.col("to")).alias("to"))
+        moved = cut(path.join(up, [*keys, "p"]).select(*keys, "start", F.col("to").alias("p"), (F.col("to") != F.col("p")).alias("went")))
+        path = moved.filter("went")  # a mode that stayed once stays
+        settled.append(moved.filter("not went"))
+        if len(settled) == APART:
+            settled = [cut(reduce(DataFrame.unionByName, settled).repartition(moved.rdd.getNumPartitions()))]
+        if path.isEmpty():
             break
-    path = path.select(*keys, "start", "p", (~F.col("went")).alias("settled"))
+    path = cut(reduce(DataFrame.unionByName, settled, path)).select(*keys, "start", "p", (~F.col("went")).alias("settled"))
     modes = cut(path.join(places.withColumnRenamed("q", "start"), [*keys, "start"]).groupBy(*keys, "p").agg(F.sum("n").alias("n")))
     best = F.max(F.struct("m", "q"))["q"]
     follows = _near(modes.select(*keys, "p"), modes.select(*keys, F.col("p").alias("q"), F.col("n").alias("m")), keys, width)

@@ -55,7 +55,7 @@ def knn_approx(spark, sf):
 @query("flow_groups")
 def flow_groups(spark, sf):
     t = tie_points(spark, sf).select("pair_id", F.col("pt").alias("id"), "x", "y", "x2", "y2")
-    return flow.flow_groups(t, ["pair_id"], 12.0, rounds=12, digits=4)
+    return flow.flow_groups(t, ["pair_id"], 12.0)
 
 
 @query("pca_bootstrap")

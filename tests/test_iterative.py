@@ -26,6 +26,36 @@ def test_flow_groups_tell_what_still_climbs(spark):
     assert all(r.settled for r in flow.flow_groups(table, ["k"], 10.0).collect())
 
 
+def climbing(spark, n, width, length):
+    """Points on a line that grow denser to one side."""
+    x = (np.log(1 + np.linspace(0, 1, n) * (np.exp(0.05 * length) - 1)) / 0.05).round(6)
+    return x, spark.createDataFrame([(0, i, float(v), 0.0, float(v), 0.0) for i, v in enumerate(x)], "k int, id int, x double, y double, x2 double, y2 double")
+
+
+def test_flow_groups_climb_to_the_end(spark):
+    """The first points climb 77 rounds. Each centre is the mean of what is near it."""
+    x, table = climbing(spark, 250, 3.0, 16)
+    got = flow.flow_groups(table, ["k"], 3.0).collect()
+    assert len(got) == 250 and all(r.settled for r in got)
+    assert max(abs(x[np.abs(x - r.cx) <= 3.0].mean() - r.cx) for r in got) < 1e-5
+
+
+def test_flow_groups_by_rounds_keep_what_settled_apart(spark, monkeypatch):
+    monkeypatch.setattr(flow, "APART", 2)
+    _, table = climbing(spark, 40, 3.0, 6)
+    one = sorted(map(tuple, flow.flow_groups(table, ["k"], 3.0).collect()))
+    monkeypatch.setattr(flow, "GROUP", 0)
+    other = sorted(map(tuple, flow.flow_groups(table, ["k"], 3.0).collect()))
+    assert all(g[-1] for g in one) and [(g[:2], g[-1]) for g in one] == [(g[:2], g[-1]) for g in other]
+    assert np.allclose([g[2:6] for g in one], [g[2:6] for g in other], atol=2e-6)
+
+
+def test_flow_groups_query_settles_all(spark):
+    from quadrille.plans import catalogue
+
+    assert catalogue.QUERIES["flow_groups"](spark, "/root/testdata/sf0.001").filter("not settled").isEmpty()
+
+
 @pytest.mark.parametrize("local", [50_000, 0])
 def test_refine_gcps_equals_brute_force(spark, monkeypatch, local):
     monkeypatch.setattr(adjustment, "LOCAL", local)
