@@ -45,7 +45,7 @@ def icp_point_to_plane(spark, sf):
 def icp_sparse(spark, sf):
     cloud = _cloud(spark, sf)
     points = _turned(cloud)
-    motion = registration.icp_sparse(points, cloud, 0.5, rounds=5, outer=8)
+    motion = registration.icp_sparse(points, cloud, 0.5)
     return registration.moved(points, motion).select("id", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"])
 
 

@@ -289,6 +289,19 @@ def test_sparse_icp_ignores_outliers(spark):
     assert off[0] < 0.02 < off[1]
 
 
+def test_sparse_icp_query_runs_all_rounds(spark, monkeypatch):
+    """The query searches and steps until nothing moves, within the operator's own bounds of rounds."""
+    import inspect
+
+    from quadrille.plans import catalogue
+
+    full, asked = inspect.signature(registration.icp_sparse), []
+    monkeypatch.setattr(registration, "icp_sparse", lambda *a, **k: asked.append(full.bind(*a, **k)) or np.eye(4))
+    catalogue.QUERIES["icp_sparse"](spark, "/root/testdata/sf0.001")
+    asked[0].apply_defaults()
+    assert all(asked[0].arguments[c] == full.parameters[c].default for c in ("rounds", "outer", "tolerance"))
+
+
 def test_sparse_icp_to_planes(spark):
     rng = np.random.default_rng(15)
     cloud, normal = rng.uniform(0, 10, (90, 3)), np.eye(3)[np.arange(90) % 3]
