@@ -96,6 +96,27 @@ def sample_models(samples: DataFrame) -> DataFrame:
     return packed.mapInArrow(solve, schema)
 
 
+def _least(a: np.ndarray, m: list[float], d: list[float]) -> np.ndarray | None:
+    """f0..f8 of rank 2 from the 9 x 9 products of points of middle m and width d (x, y, x2, y2); None if these are degenerate."""
+    size, vectors = np.linalg.eigh(a)
+    if size[1] < 1e-12 * size[8]:
+        return None
+    p, s, q = np.linalg.svd(vectors[:, 0].reshape(3, 3))
+    f = p @ np.diag([s[0], s[1], 0.0]) @ q
+    one, two = (np.array([[1 / d[k], 0, -m[k] / d[k]], [0, 1 / d[k + 1], -m[k + 1] / d[k + 1]], [0, 0, 1]]) for k in (0, 2))
+    return normalised((two.T @ f @ one).reshape(1, 9))[0]
+
+
+def fundamental_of(p: np.ndarray) -> np.ndarray | None:
+    """As fit_fundamental, of one group's points (4 x n)."""
+    if p.shape[1] < 8:
+        return None
+    m, d = p.mean(1), np.maximum(p.std(1), 1e-12)
+    x, y, u, v = (p - m[:, None]) / d[:, None]
+    rows = np.stack([u * x, u * y, u, v * x, v * y, v, x, y, np.ones_like(x)])
+    return _least(rows @ rows.T, m.tolist(), d.tolist())
+
+
 def fit_fundamental(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n, f0..f8 by least squares over eight or more points, of rank 2; null for fewer or degenerate ones.
 
@@ -114,15 +135,8 @@ def fit_fundamental(points: DataFrame, keys: list[str]) -> DataFrame:
             for g in range(len(pdf)):
                 if pdf["n"].iloc[g] < 8 or not np.isfinite(a[g]).all():
                     continue
-                size, vectors = np.linalg.eigh(a[g])
-                if size[1] < 1e-12 * size[8]:
-                    continue
-                p, s, q = np.linalg.svd(vectors[:, 0].reshape(3, 3))
-                f = p @ np.diag([s[0], s[1], 0.0]) @ q
-                d = [pdf[f"d_{c}"].iloc[g] for c in spots]
-                m = [pdf[f"m_{c}"].iloc[g] for c in spots]
-                one, two = (np.array([[1 / d[k], 0, -m[k] / d[k]], [0, 1 / d[k + 1], -m[k + 1] / d[k + 1]], [0, 0, 1]]) for k in (0, 2))
-                full[g] = normalised((two.T @ f @ one).reshape(1, 9))[0]
+                f = _least(a[g], [pdf[f"m_{c}"].iloc[g] for c in spots], [pdf[f"d_{c}"].iloc[g] for c in spots])
+                full[g] = np.nan if f is None else f
             for i, name in enumerate(FUNDAMENTAL):
                 out[name] = pd.Series(full[:, i], index=out.index).astype(object).where(~np.isnan(full[:, i]), None)
             yield out

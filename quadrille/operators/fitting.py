@@ -9,17 +9,17 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quadrille.operators import consensus
-from quadrille.operators.epipolar import FUNDAMENTAL, fit_fundamental, sample_models, sampson_error, sampson_errors
+from quadrille.operators import consensus, whole_pairs
+from quadrille.operators.epipolar import FUNDAMENTAL, fit_fundamental, fundamental_of, sample_models, sampson_error, sampson_errors, seven_point
 from quadrille.operators.normal import HOMOGRAPHY, fit_homography, homography_error
 from quadrille.operators.points import GROWTH, min_inliers, prosac_prefix
 from quadrille.operators.steps import cut
+from quadrille.operators.whole_pairs import UNIT, Whole
 
 SIMILARITY = ("a0", "a1", "a2", "a3")
 AFFINE = ("m0", "m1", "m2", "m3", "m4", "m5")
-#: What an inlier without an error counts for where errors count too.
-UNIT = 1_000_000
 
 
 def _moments(names: list[str], weight: Column | None = None) -> list[Column]:
@@ -48,6 +48,23 @@ def fit_similarity(points: DataFrame, keys: list[str], weight: Column | None = N
     return m.select(*keys, "n", a0.alias("a0"), a1.alias("a1"), (_mean("x2") - a0 * _mean("x") - a1 * _mean("y")).alias("a2"), (_mean("y2") + a1 * _mean("x") - a0 * _mean("y")).alias("a3"))
 
 
+def similarity_of(p: np.ndarray) -> np.ndarray | None:
+    """As fit_similarity, of one group's points (4 x n)."""
+    a, of = two_points(p.T[None])
+    return a[0] if len(of) else None
+
+
+def two_points(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a0..a3 (k x 4) of samples (n x size x 4: x, y, x2, y2), and the sample of each; none where the points coincide."""
+    centre = samples.mean(1)
+    x, y, u, v = np.moveaxis(samples - centre[:, None], 2, 0)
+    s = (x * x + y * y).sum(1)
+    of = np.flatnonzero(s)
+    a0, a1 = ((x * u + y * v).sum(1)[of] / s[of], (y * u - x * v).sum(1)[of] / s[of])
+    x, y, u, v = centre[of].T
+    return np.stack([a0, a1, u - a0 * x - a1 * y, v + a1 * x - a0 * y], 1), of
+
+
 def fit_affine(points: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
     """keys, n, m0..m5 with x2 = m0 + m1 x + m2 y and y2 = m3 + m4 x + m5 y; null where the points are collinear."""
     m = points.groupBy(*keys).agg(*_moments(["x", "y", "x2", "y2"], weight))
@@ -93,7 +110,8 @@ def line_error() -> Column:
 
 class Model(NamedTuple):
     """What RANSAC needs of a model: points in a minimal sample, parameters, the fit per group, its error column and the
-    same error of many models over many points; axes of a point; the models of samples, where a sample gives several.
+    same error of many models over many points; axes of a point; the models of samples, where a sample gives several;
+    what a task needs to take a pair whole.
     """
 
     size: int
@@ -103,13 +121,14 @@ class Model(NamedTuple):
     errors: Callable[[np.ndarray, np.ndarray], np.ndarray]
     axes: tuple[str, ...] = ("x", "y", "x2", "y2")
     sample: Callable[[DataFrame], DataFrame] | None = None
+    whole: Whole | None = None
 
 
-SIMILARITY_MODEL = Model(2, SIMILARITY, fit_similarity, similarity_error, consensus.similarity_errors)
+SIMILARITY_MODEL = Model(2, SIMILARITY, fit_similarity, similarity_error, consensus.similarity_errors, whole=Whole(two_points, 1, similarity_of, T.DoubleType()))
 AFFINE_MODEL = Model(3, AFFINE, fit_affine, affine_error, consensus.affine_errors)
 LINE_MODEL = Model(2, ("nx", "ny", "ax", "ay"), fit_line_tls, line_error, consensus.line_errors, ("x", "y"))
 HOMOGRAPHY_MODEL = Model(4, tuple(HOMOGRAPHY), fit_homography, homography_error, consensus.homography_errors)
-FUNDAMENTAL_MODEL = Model(7, FUNDAMENTAL, fit_fundamental, sampson_error, sampson_errors, sample=sample_models)
+FUNDAMENTAL_MODEL = Model(7, FUNDAMENTAL, fit_fundamental, sampson_error, sampson_errors, sample=sample_models, whole=Whole(seven_point, 3, fundamental_of, T.LongType()))
 
 
 def distinct_places(h: Column, n: Column, size: int) -> Column:
@@ -180,10 +199,18 @@ def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5
 
     Points are packed into blocks once (pt counts 0..n-1 in each pair). Each batch of hypotheses is fitted and written
     before it meets them as the matrix of its pair, so what moves is one count for each hypothesis and task.
+    Pairs of up to whole_pairs.LOCAL points, of a model that a task can take whole, are each one task's work, and move once.
     """
     limit, names, axes = factor * sigma * sigma, model.names, list(model.axes)
     blocks = consensus.point_blocks(points, axes)
     sizes = cut(consensus.block_sizes(blocks))
+    small = None
+    if model.whole is not None and not ordered:
+        small = whole_pairs.in_tasks(blocks, sizes, model, rounds, limit, confidence, most, inner)
+        small = (small if support is None else small.filter(F.col("inliers") >= min_inliers(F.col("np"), model.size, support, doubt))).drop("np")
+        sizes = cut(sizes.filter(F.col("np") > whole_pairs.LOCAL))
+        if sizes.isEmpty():
+            return small
     best, todo, zero = None, None, F.lit(0).cast("long")
     while True:
         models = cut(hypotheses(blocks, sizes, rounds, model, todo, ordered, budget))
@@ -217,7 +244,8 @@ def ransac(points: DataFrame, model: Model, rounds: int = 16, sigma: float = 0.5
         best = best.filter(F.col("b.inliers") >= min_inliers(F.col("np"), model.size, support, doubt))
     best = best.select("pair_id", "np", (-F.col("b.h")).alias("h"), "b.inliers", *[F.col(f"b.{c}").alias(c) for c in names])
     kept = points_under(blocks, best, axes).filter(model.error() < limit).select("pair_id", "h", "inliers", *axes)
-    return model.fit(kept, ["pair_id", "h", "inliers"])
+    rest = model.fit(kept, ["pair_id", "h", "inliers"])
+    return rest if small is None else small.unionByName(rest)
 
 
 def points_under(blocks: DataFrame, models: DataFrame, axes: list[str]) -> DataFrame:
