@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quadrille.operators import consensus
 
 #: Points of a pair that one task takes; not more than a run of blocks holds. Points that are scored at a time.
-LOCAL, PART = 100_000, 128
+LOCAL, PART = 100_000, 32
 #: What an inlier without an error counts for where errors count too.
 UNIT = 1_000_000
 

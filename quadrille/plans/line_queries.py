@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrille.operators import fitting, line_matching, lines, normal, projection, spatial, warp
+from quadrille.operators.steps import dealt
 from quadrille.plans.fit_queries import rounded
 from quadrille.plans.registry import query, table
 from quadrille.plans.views import A0, A1, A2, A3, DESCR_SQL, EPIPOLAR_SQL, PIXEL_SQL, TIE_SQL, descriptors, epipolar_points, pixels, tie_points
@@ -181,6 +182,7 @@ def _line_pairs(spark, sf):
         return F.col(c) + F.pmod(F.xxhash64("pair_id", "pt", F.lit(k)), F.lit(1001)) / 1000 - 0.5
 
     t = tie_points(spark, sf).withColumns({"x2": error("x2", 1), "y2": error("y2", 2)})
+    t = dealt(t.select("pair_id", "pt", "x", "y", "x2", "y2"), ["pair_id"])
     coarse = fitting.ransac_similarity(t, sigma=2.0).select("pair_id", *fitting.SIMILARITY)
     g = t.groupBy("pair_id", F.floor(F.col("pt") / 2).alias("line_id"))
 
@@ -201,7 +203,7 @@ def spectral_match(spark, sf):
         return (F.col("a0") * x + F.col("a1") * y + F.col("a2")).alias(f"{e}x"), (-F.col("a1") * x + F.col("a0") * y + F.col("a3")).alias(f"{e}y")
 
     left = left.join(coarse, "pair_id").select("pair_id", "line_id", *moved("a"), *moved("b"))
-    got = line_matching.spectral_match(line_matching.candidates(left, right, ["pair_id"]), ["pair_id"])
+    got = line_matching.match_lines(left, right, ["pair_id"])
     return got.select("pair_id", "left_id", "right_id", F.round("score", 4).alias("score"))
 
 
